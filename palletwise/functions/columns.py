@@ -177,13 +177,18 @@ def split_ext(c: Column | str) -> tuple[Column, Column]:
     """(root, ext) like ``os.path.splitext``: ext includes the dot; leading
     dots of the last path part do not start an extension."""
     c = as_col(c)
-    m = r"^(.*[^./][^/]*?)(\.[^./]*)$"
-    has = c.rlike(m) & ~F.regexp_extract(c, r"([^/]*)$", 1).rlike(r"^\.+[^.]*$")
+    m = SPLITEXT_RE
+    has = c.rlike(m)
     root = F.when(has, F.regexp_extract(c, m, 1)).otherwise(c)
     ext = F.when(has, F.regexp_extract(c, m, 2)).otherwise(F.lit(""))
     return root, ext
 
 
+# Fixed value: root/extension split of a path (a non-dot character of the
+# last path part must precede the last dot).
+SPLITEXT_RE = r"^(.*[^./][^/]*?)(\.[^./]*)$"
+
+
 def run_stamp(ts: _dt.datetime, micros: bool = False) -> str:
     """One stamp per run, computed on the driver, never per row."""
     return ts.strftime("%Y%m%d_%H%M%S_%f" if micros else "%Y%m%d_%H%M%S")

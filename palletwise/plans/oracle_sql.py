@@ -90,7 +90,9 @@ def pct_of(part: str, whole: str) -> str:
 # views (mirror palletwise.plans.views)
 # ---------------------------------------------------------------------------
 
-POS = "row(l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_extendedprice)"
+POS_FIELDS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+POS = "{" + ", ".join(f"'{f}': l.{f}" for f in POS_FIELDS) + "}"
+POS_OUT = ", ".join(f"_pos.{f} AS {f}" for f in POS_FIELDS)
 
 INV = f"""inv AS (
   SELECT printf('%08d', l.l_orderkey) AS pallet_id,
@@ -176,15 +178,15 @@ def _statements() -> dict[str, str]:
 
     # -- scalar projections -------------------------------------------------
     q["numeric_coerce"] = with_(INV) + f"""
-SELECT _pos, quantity AS quantity_text, us_price AS price_text,
+SELECT {POS_OUT}, quantity AS quantity_text, us_price AS price_text,
        {num('quantity')} AS quantity, {num('us_price')} AS us_price
 FROM inv"""
 
     q["currency_clean"] = with_(INV) + f"""
-SELECT _pos, us_price AS price_text, {cur('us_price')} AS us_price FROM inv"""
+SELECT {POS_OUT}, us_price AS price_text, {cur('us_price')} AS us_price FROM inv"""
 
     q["extend_prices"] = with_(INV) + f"""
-SELECT _pos, pallet_id, item_id, q AS quantity, p AS us_price, q * p AS extended_retail,
+SELECT {POS_OUT}, pallet_id, item_id, q AS quantity, p AS us_price, q * p AS extended_retail,
        (q * p) * CAST({PCT / 100!r} AS DOUBLE) AS extended_percent
 FROM (SELECT *, {num('quantity')} AS q, {cur('us_price')} AS p FROM inv)"""
 
@@ -232,6 +234,111 @@ FROM t, n"""
 SELECT {fmt_id('item_id')} AS item_id, item_desc, {esum(num('quantity'))} AS quantity
 FROM inv WHERE item_desc IS NOT NULL GROUP BY 1, 2"""
 
+    # -- comparison ---------------------------------------------------------
+    cmp = with_(INV, REF, ITEMS)
+    q["distinct_items"] = cmp + "SELECT item_id, source_file FROM pitems"
+    q["item_files"] = cmp + """
+SELECT item_id, array_to_string(list_sort(list(DISTINCT source_file)), '|') AS source_files
+FROM pitems GROUP BY item_id"""
+    q["exact_matches"] = cmp + "SELECT item_id FROM cmp WHERE exact"
+    q["normalised_matches"] = cmp + "SELECT DISTINCT norm FROM cmp WHERE normalised"
+    q["unmatched_items"] = cmp + """
+SELECT p.item_id, array_to_string(list_sort(list(DISTINCT p.source_file)), '|') AS source_files
+FROM pitems p JOIN cmp USING (item_id) WHERE NOT cmp.normalised GROUP BY p.item_id"""
+    q["compare_items"] = cmp + """
+SELECT item_id, norm, exact, normalised, normalised AS is_matched, matched_with FROM cmp"""
+    q["files_with_missing"] = cmp + """
+SELECT DISTINCT p.source_file FROM pitems p JOIN cmp USING (item_id) WHERE NOT cmp.normalised"""
+    q["comparison_summary"] = cmp + f"""
+SELECT total_reference_items, total_processed_items, exact_matches, normalized_matches,
+       exact_matches + normalized_matches - exact_norms AS matched_items_count,
+       unmatched_count, normalized_matches - exact_matches AS zero_padding_issues,
+       {pct_of('total_processed_items - unmatched_count', 'total_processed_items')} AS match_percentage
+FROM (SELECT (SELECT count(*) FROM rids) AS total_reference_items,
+             count(*) AS total_processed_items,
+             count(*) FILTER (WHERE exact) AS exact_matches,
+             count(DISTINCT norm) FILTER (WHERE normalised) AS normalized_matches,
+             count(DISTINCT norm) FILTER (WHERE exact) AS exact_norms,
+             count(*) FILTER (WHERE NOT normalised) AS unmatched_count
+      FROM cmp)"""
+
+    # -- reference refresh and table maintenance ------------------------------
+    dd = f"""dd AS (
+  SELECT left(k, 100) AS item_number, left(arg_min(d, _pos), 500) AS description,
+         left({safe("'Reference List (v2).csv'")}, 255) AS source_file
+  FROM (SELECT {clean('"no."')} AS k, {clean('description')} AS d, _pos FROM refup)
+  WHERE k <> '' AND d <> ''
+  GROUP BY k)"""
+    q["dedupe_reference"] = with_(REFUP, dd) + "SELECT * FROM dd"
+    q["append_if_absent"] = with_(REF, REFUP, dd) + """
+SELECT id, item_number, description, source_file FROM ref
+UNION ALL
+SELECT NULL, item_number, description, source_file FROM dd
+WHERE NOT EXISTS (SELECT 1 FROM ref WHERE ref.item_number = dd.item_number)"""
+    q["update_by_key"] = with_(REF, REFUP, dd) + """
+SELECT r.id, r.item_number, CASE WHEN d.item_number IS NOT NULL THEN d.description ELSE r.description END AS description,
+       r.source_file, d.item_number IS NOT NULL AS updated
+FROM ref r LEFT JOIN dd d ON d.item_number = r.item_number"""
+    q["update_unknown_keys"] = with_(REF, REFUP, dd) + """
+SELECT DISTINCT item_number FROM dd
+WHERE NOT EXISTS (SELECT 1 FROM ref WHERE ref.item_number = dd.item_number)"""
+    q["delete_by_keys"] = with_(REF, REFUP, dd) + """
+SELECT * FROM ref WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.item_number = ref.item_number)"""
+    q["reference_items"] = with_(REF) + "SELECT * FROM ref"
+
+    # -- file catalogue ---------------------------------------------------------
+    listed = """listed AS (SELECT * FROM files
+  WHERE tipo IN ('pdf', 'csv', 'xlsx') AND nombre IS NOT NULL AND nombre <> '' AND NOT starts_with(nombre, '.'))"""
+    q["search_files"] = with_(FILES) + """
+SELECT * FROM files
+WHERE tipo IN ('csv') AND nombre IS NOT NULL AND nombre <> '' AND NOT starts_with(nombre, '.')
+  AND contains(lower(nombre), 'view_1')"""
+    q["list_files_page"] = with_(FILES, listed) + f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id
+                               ORDER BY fecha_subida DESC, list_position(['pdf', 'csv', 'xlsx'], tipo), nombre) AS position
+  FROM listed)
+WHERE position > {(LIST_USER_PAGE - 1) * LIST_LIMIT} AND position <= {LIST_USER_PAGE * LIST_LIMIT}"""
+    q["file_page_info"] = with_(FILES, listed) + f"""
+SELECT user_id, count(*) AS total, CAST({LIST_USER_PAGE} AS BIGINT) AS page, CAST({LIST_LIMIT} AS BIGINT) AS "limit",
+       (count(*) + {LIST_LIMIT - 1}) // {LIST_LIMIT} AS pages
+FROM listed GROUP BY user_id"""
+    q["expired_files"] = with_(FILES) + f"""
+SELECT * FROM files WHERE fecha_subida < TIMESTAMP '{NOW}' - INTERVAL 5 MINUTE"""
+
+    split = "'^(.*[^./][^/]*?)(\\.[^./]*)$'"
+    ext = f"lower(CASE WHEN regexp_matches(filename, {split}) THEN regexp_extract(filename, {split}, 2) ELSE '' END)"
+    sroot = f"(CASE WHEN regexp_matches(sname, {split}) THEN regexp_extract(sname, {split}, 1) ELSE sname END)"
+    q["upload_manifest"] = with_(FILES) + f"""
+SELECT filename, ok AS success, CASE WHEN ok THEN stored ELSE filename END AS stored_name,
+       CASE WHEN ok THEN sname END AS original_filename,
+       CASE WHEN ok THEN 'xlsx/u1/' || stored ELSE '' END AS destination_path,
+       CASE WHEN filename IS NULL OR filename = '' THEN 'empty file name'
+            WHEN ext NOT IN ('.xlsx', '.xls') THEN 'format not allowed (only .xlsx, .xls)' ELSE '' END AS error
+FROM (SELECT *, filename IS NOT NULL AND filename <> '' AND ext IN ('.xlsx', '.xls') AS ok,
+             {sroot} || '_{UPLOAD_STAMP}' || ext AS stored
+      FROM (SELECT filename, {ext} AS ext, {safe('filename')} AS sname
+            FROM (SELECT nombre AS filename FROM files)))"""
+    q["manifest_summary"] = with_(FILES) + f"""
+SELECT count(*) AS total_files,
+       count(*) FILTER (WHERE ok) AS successful_uploads,
+       count(*) FILTER (WHERE NOT ok) AS failed_uploads
+FROM (SELECT filename IS NOT NULL AND filename <> '' AND {ext} IN ('.xlsx', '.xls') AS ok
+      FROM (SELECT nombre AS filename FROM files))"""
+    q["admit_files"] = with_(FILES) + """
+SELECT filename, ext, admitted, CASE WHEN filename IS NULL OR filename = '' THEN 'empty file name'
+                                     WHEN NOT admitted THEN 'unsupported format' END AS reason
+FROM (SELECT filename, ext, filename IS NOT NULL AND filename <> '' AND contains(filename, '.') AND ext IN ('csv', 'xlsx') AS admitted
+      FROM (SELECT nombre AS filename, lower(split_part(nombre, '.', -1)) AS ext FROM files))"""
+
+    # -- consolidation of differently laid-out files ------------------------
+    q["consolidate"] = with_(INV) + f"""
+SELECT {POS_OUT}, item_id, quantity, pallet_id, source_file FROM inv WHERE starts_with(source_file, 'file_A')
+UNION ALL BY NAME
+SELECT {POS_OUT}, quantity, item_id, series_desc, 'x' AS extra, source_file FROM inv WHERE starts_with(source_file, 'file_N')
+UNION ALL BY NAME
+SELECT {POS_OUT}, item_id, us_price, quantity, item_desc, source_file FROM inv WHERE starts_with(source_file, 'file_R')"""
+
     return q
 
 

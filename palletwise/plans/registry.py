@@ -12,10 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import datetime as _dt
+
 from palletwise.functions import columns as C
-from palletwise.operators import rollups
+from palletwise.functions.constants import JOB_EXTENSIONS
+from palletwise.operators import catalogue, clean, compare, rollups, tables
 from palletwise.plans import views
-from palletwise.plans.oracle_sql import PCT, RUN_STAMP
+from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, UPLOAD_STAMP
+
+def pos_out():
+    return [F.col("_pos")[f].alias(f) for f in POS_FIELDS]
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -35,7 +41,7 @@ def register(name: str):
 def numeric_coerce(spark, sf):
     inv = views.inventory(spark, sf)
     return inv.select(
-        "_pos",
+        *pos_out(),
         F.col("quantity").alias("quantity_text"),
         F.col("us_price").alias("price_text"),
         C.to_number("quantity").alias("quantity"),
@@ -46,7 +52,7 @@ def numeric_coerce(spark, sf):
 @register("currency_clean")
 def currency_clean(spark, sf):
     inv = views.inventory(spark, sf)
-    return inv.select("_pos", F.col("us_price").alias("price_text"), C.currency_to_number("us_price").alias("us_price"))
+    return inv.select(*pos_out(), F.col("us_price").alias("price_text"), C.currency_to_number("us_price").alias("us_price"))
 
 
 @register("extend_prices")
@@ -54,7 +60,7 @@ def extend_prices(spark, sf):
     from palletwise.plans.jobs import extend_prices as job
 
     inv = views.inventory(spark, sf).select("_pos", "pallet_id", "item_id", "us_price", "quantity")
-    return job(inv, PCT).select("_pos", "pallet_id", "item_id", "quantity", "us_price", "extended_retail", "extended_percent")
+    return job(inv, PCT).select(*pos_out(), "pallet_id", "item_id", "quantity", "us_price", "extended_retail", "extended_percent")
 
 
 @register("item_id_format")
@@ -117,3 +123,153 @@ def po_lines(spark, sf):
 @register("item_rollup")
 def item_rollup(spark, sf):
     return rollups.item_rollup(views.inventory(spark, sf))
+
+
+# -- comparison with the reference catalogue --------------------------------
+
+def _items(spark, sf):
+    return compare.distinct_items(views.inventory(spark, sf))
+
+
+@register("distinct_items")
+def distinct_items(spark, sf):
+    return _items(spark, sf)
+
+
+@register("item_files")
+def item_files(spark, sf):
+    return compare.item_files(_items(spark, sf)).select(
+        "item_id", F.array_join("source_files", "|").alias("source_files"))
+
+
+@register("exact_matches")
+def exact_matches(spark, sf):
+    return compare.exact_matches(_items(spark, sf), views.reference(spark, sf))
+
+
+@register("normalised_matches")
+def normalised_matches(spark, sf):
+    return compare.normalised_matches(_items(spark, sf), views.reference(spark, sf))
+
+
+@register("unmatched_items")
+def unmatched_items(spark, sf):
+    return compare.unmatched_items(_items(spark, sf), views.reference(spark, sf)).select(
+        "item_id", F.array_join("source_files", "|").alias("source_files"))
+
+
+@register("compare_items")
+def compare_items(spark, sf):
+    return compare.compare_items(_items(spark, sf), views.reference(spark, sf))
+
+
+@register("files_with_missing")
+def files_with_missing(spark, sf):
+    return compare.files_with_missing(_items(spark, sf), views.reference(spark, sf))
+
+
+@register("comparison_summary")
+def comparison_summary(spark, sf):
+    return compare.comparison_summary(_items(spark, sf), views.reference(spark, sf))
+
+
+# -- reference refresh and keyed table maintenance ----------------------------
+
+def _refreshed(spark, sf):
+    return clean.clean_reference(views.reference_upload(spark, sf), views.REFERENCE_UPLOAD_NAME)
+
+
+@register("dedupe_reference")
+def dedupe_reference(spark, sf):
+    return _refreshed(spark, sf)
+
+
+@register("append_if_absent")
+def append_if_absent(spark, sf):
+    table, _ = tables.append_if_absent(_refreshed(spark, sf), views.reference(spark, sf), "item_number")
+    return table
+
+
+@register("update_by_key")
+def update_by_key(spark, sf):
+    changes = _refreshed(spark, sf).select("item_number", "description")
+    table, _ = tables.update_by_key(views.reference(spark, sf), changes, "item_number")
+    return table
+
+
+@register("update_unknown_keys")
+def update_unknown_keys(spark, sf):
+    changes = _refreshed(spark, sf).select("item_number", "description")
+    _, unknown = tables.update_by_key(views.reference(spark, sf), changes, "item_number")
+    return unknown
+
+
+@register("delete_by_keys")
+def delete_by_keys(spark, sf):
+    return tables.delete_by_keys(views.reference(spark, sf), _refreshed(spark, sf), "item_number")
+
+
+@register("reference_items")
+def reference_items(spark, sf):
+    return catalogue.reference_items(views.reference(spark, sf))
+
+
+# -- file catalogue and uploads -----------------------------------------------
+
+@register("search_files")
+def search_files(spark, sf):
+    return catalogue.search_files(views.files(spark, sf), "CSV", " View_1 ")
+
+
+@register("list_files_page")
+def list_files_page(spark, sf):
+    listed = catalogue.search_files(views.files(spark, sf), None, None)
+    return catalogue.pages_per_user(listed, LIST_USER_PAGE, LIST_LIMIT)
+
+
+@register("file_page_info")
+def file_page_info(spark, sf):
+    listed = catalogue.search_files(views.files(spark, sf), "everything", "")
+    return catalogue.page_info(listed, LIST_USER_PAGE, LIST_LIMIT, by="user_id")
+
+
+@register("expired_files")
+def expired_files(spark, sf):
+    return catalogue.expired_files(views.files(spark, sf), _dt.datetime.fromisoformat(NOW))
+
+
+def _manifest(spark, sf):
+    names = views.files(spark, sf).select(F.col("nombre").alias("filename"))
+    return catalogue.upload_manifest(names, "u1", now=_dt.datetime.strptime(UPLOAD_STAMP, "%Y%m%d_%H%M%S_%f"))
+
+
+@register("upload_manifest")
+def upload_manifest(spark, sf):
+    return _manifest(spark, sf)
+
+
+@register("manifest_summary")
+def manifest_summary(spark, sf):
+    return catalogue.manifest_summary(_manifest(spark, sf))
+
+
+@register("admit_files")
+def admit_files(spark, sf):
+    names = views.files(spark, sf).select(F.col("nombre").alias("filename"))
+    return catalogue.admit_files(names, JOB_EXTENSIONS)
+
+
+# -- consolidation of files with different layouts ---------------------------
+
+@register("consolidate")
+def consolidate_q(spark, sf):
+    from palletwise.sources.files import consolidate
+
+    inv = views.inventory(spark, sf).select(F.col("*"), *[F.col("_pos")[f].alias(f) for f in POS_FIELDS]).drop("_pos")
+    pos = list(POS_FIELDS)
+    a = inv.filter(F.col("source_file").startswith("file_A")).select(*pos, "item_id", "quantity", "pallet_id", "source_file")
+    n = inv.filter(F.col("source_file").startswith("file_N")).select(
+        *pos, "quantity", "item_id", "series_desc", F.lit("x").alias("extra"), "source_file")
+    r = inv.filter(F.col("source_file").startswith("file_R")).select(
+        *pos, "item_id", "us_price", "quantity", "item_desc", "source_file")
+    return consolidate([a, n, r])
