@@ -1,16 +1,121 @@
-"""Composite jobs (what a caller of the original service runs)."""
+"""Composite jobs: what a caller of the original service runs, as Spark
+jobs over whole file sets and tables.
+
+* ``build_purchase_order`` files -> item roll-up, PO lines + header,
+                           comparison with the reference catalogue, manifest
+* ``refresh_reference``    catalogue file -> cleaned, de-duplicated rows,
+                           versioned replace of the reference table
+* ``extend_prices``        price extension of an inventory frame
+* ``list_files`` / ``upload_manifest`` live in ``operators.catalogue``
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as _dt
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palletwise.functions.columns import safe_name
+from palletwise.functions.constants import INVENTORY_REQUIRED, JOB_EXTENSIONS
+from palletwise.operators import compare
+from palletwise.operators.clean import c, clean_reference, require_columns, resolve_id_column
+from palletwise.operators.rollups import item_rollup, pallet_rollup, po_header, po_lines, priced
+from palletwise.session import checkpoint_dir
+from palletwise.sources import sinks
+from palletwise.sources.files import read_tabular
 
-from palletwise.functions.constants import INVENTORY_REQUIRED
-from palletwise.operators.clean import require_columns
-from palletwise.operators.rollups import priced
+ITEM_KEY = "_item_key"
 
 
 def extend_prices(df: DataFrame, pct: float, strip_currency: bool = True) -> DataFrame:
     """Validate the inventory contract, coerce quantity/price and add
     ``extended_retail`` and ``extended_percent``.  Extra columns pass through."""
-    require_columns(df, [c for c in INVENTORY_REQUIRED if c in ("us_price", "quantity")])
+    require_columns(df, [x for x in INVENTORY_REQUIRED if x in ("us_price", "quantity")])
     return priced(df, pct, strip_currency)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _key_of_layout(df: DataFrame) -> DataFrame:
+    """The item id of each row, taken from the id column of *its* file's
+    layout (item_id, else the first column named no., item_number or
+    number), so files naming the id differently are compared alike."""
+    col = resolve_id_column(df, mode="file_order")
+    return df.withColumn(ITEM_KEY, c(col) if col else F.lit(None).cast("string"))
+
+
+def build_purchase_order(
+    spark: SparkSession,
+    paths,
+    reference: DataFrame,
+    pct: float,
+    attrs: dict | None = None,
+    strip_currency: bool = True,
+    out_dir: str | None = None,
+    per_page: int = 23,
+) -> dict[str, DataFrame]:
+    """The purchase-order package over every admitted file.
+
+    The consolidated rows are written once as Parquet in the shared
+    checkpoint folder and every branch scans only the columns it needs.
+    Returns a dict of DataFrames: consolidated, manifest, item_rollup,
+    po_lines, po_header, comparison, unmatched_items, files_with_missing,
+    summary.  With ``out_dir`` the item roll-up is also written as CSV and
+    the PO lines as Parquet."""
+    rows, manifest = read_tabular(spark, paths, JOB_EXTENSIONS, on_layout=_key_of_layout)
+    if rows is None:
+        raise ValueError("no readable file")
+    stage = _scratch(spark, "consolidated")
+    sinks.write_consolidated(rows, stage)
+    consolidated = spark.read.parquet(stage)
+
+    out: dict[str, DataFrame] = {"consolidated": consolidated, "manifest": manifest}
+    out["item_rollup"] = item_rollup(consolidated.drop(ITEM_KEY))
+    out["po_lines"] = po_lines(pallet_rollup(consolidated, pct, strip_currency), per_page=per_page)
+    out["po_header"] = po_header(spark, attrs, report_defaults=True)
+
+    items = compare.distinct_items(consolidated, ITEM_KEY).checkpoint(eager=True)
+    out["comparison"] = compare.compare_items(items, reference)
+    out["unmatched_items"] = compare.unmatched_items(items, reference)
+    out["files_with_missing"] = compare.files_with_missing(items, reference)
+    out["summary"] = compare.comparison_summary(items, reference)
+
+    if out_dir:
+        sinks.write_csv(out["item_rollup"], os.path.join(out_dir, "item_rollup"))
+        out["po_lines"].write.mode("overwrite").parquet(os.path.join(out_dir, "po_lines"))
+    return out
+
+
+def refresh_reference(spark: SparkSession, path: str, table_root: str | None = None) -> tuple[DataFrame, int]:
+    """Replace the reference catalogue from one .csv/.xlsx file.
+
+    Headers normalised, ``no.``/``description`` required, blanks dropped,
+    first row per key kept, values cut to 100/500/255 characters.  With
+    ``table_root`` the rows replace the table there (versioned, atomic).
+    Returns (rows, number of rows)."""
+    name = os.path.basename(path.rstrip("/"))
+    ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    if not name or ext not in JOB_EXTENSIONS:
+        raise ValueError("unsupported format")
+    rows, manifest = read_tabular(spark, [path], JOB_EXTENSIONS)
+    bad = manifest.filter(~F.col("success")).select("error").limit(1).collect()
+    if rows is None or bad:
+        raise ValueError(bad[0]["error"] if bad else "empty file")
+    ref = clean_reference(rows, name)
+    if table_root:
+        sinks.replace_table(ref, table_root, spark)
+        ref = sinks.read_table(spark, table_root)
+    return ref, ref.count()
+
+
+def upload_stamp(now: _dt.datetime | None = None) -> str:
+    return (now or _dt.datetime.now()).strftime("%Y%m%d_%H%M%S")
+
+
+__all__ = ["build_purchase_order", "refresh_reference", "extend_prices", "safe_name", "upload_stamp"]

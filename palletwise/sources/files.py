@@ -178,7 +178,7 @@ def consolidate(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def read_delimited_auto(spark: SparkSession, paths) -> tuple[DataFrame | None, DataFrame]:
+def read_delimited_auto(spark: SparkSession, paths, on_layout=None) -> tuple[DataFrame | None, DataFrame]:
     """Delimited files with sniffed delimiters and differing headers.
 
     Returns (consolidated rows or None, manifest).  The sniff result is one
@@ -197,10 +197,12 @@ def read_delimited_auto(spark: SparkSession, paths) -> tuple[DataFrame | None, D
     ).collect():
         groups[(row["sep"], tuple(row["header"]))] = row["paths"]
     parts = [read_delimited(spark, ps, sep, list(header)) for (sep, header), ps in sorted(groups.items())]
+    if on_layout is not None:
+        parts = [on_layout(p) for p in parts]
     return (consolidate(parts) if parts else None), manifest
 
 
-def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> tuple[DataFrame | None, DataFrame]:
+def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=None) -> tuple[DataFrame | None, DataFrame]:
     """First sheet of each .xlsx workbook, header in its first row, every
     cell as text.  Returns (consolidated rows or None, manifest)."""
     from palletwise.sources.workbook import CELLS_SCHEMA, parse_workbooks
@@ -245,23 +247,27 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS) -> tuple[Dat
         manifest = manifest.withColumn(
             "success", F.col("success") & ~F.col("path").isin(dup_paths)
         ).withColumn("error", F.when(F.col("path").isin(dup_paths), F.lit("duplicate columns")).otherwise(F.col("error")))
+    if on_layout is not None:
+        parts = [on_layout(p) for p in parts]
     return (consolidate(parts) if parts else None), manifest
 
 
-def read_tabular(spark: SparkSession, paths, allowed=("csv", "xlsx")) -> tuple[DataFrame | None, DataFrame]:
+def read_tabular(spark: SparkSession, paths, allowed=("csv", "xlsx"), on_layout=None) -> tuple[DataFrame | None, DataFrame]:
     """Delimited files and workbooks together, each admitted by extension.
-    Unsupported files are reported in the manifest and skipped."""
+    Unsupported files are reported in the manifest and skipped.
+    ``on_layout(df)`` runs once per distinct layout before the union (e.g.
+    to resolve which column holds the item id in that layout)."""
     listing = list_files(spark, paths).select("path")
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     kinds = {r["k"]: r["paths"] for r in listing.groupBy(ext.alias("k")).agg(F.collect_list("path").alias("paths")).collect()}
     frames, manifests = [], []
     rejected = [p for k, ps in kinds.items() if k not in allowed for p in ps]
     if "csv" in allowed and kinds.get("csv"):
-        d, m = read_delimited_auto(spark, kinds["csv"])
+        d, m = read_delimited_auto(spark, kinds["csv"], on_layout=on_layout)
         frames.append(d)
         manifests.append(m)
     if "xlsx" in allowed and kinds.get("xlsx"):
-        d, m = read_workbooks(spark, kinds["xlsx"])
+        d, m = read_workbooks(spark, kinds["xlsx"], on_layout=on_layout)
         frames.append(d)
         manifests.append(m)
     if rejected:
