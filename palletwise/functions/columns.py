@@ -13,11 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palletwise.functions.constants import (
-    INT_RE,
     MISSING_TEXT,
     NA_TOKENS,
     NO_DATE,
-    NUM_RE,
     REPORT_DESC_WIDTH,
 )
 
@@ -47,6 +45,7 @@ __all__ = [
     "percent_of",
     "ceil_div",
     "exact_sum",
+    "exact_total",
 ]
 
 
@@ -54,9 +53,20 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Whitespace characters trimmed around values, and the
+# characters a plain decimal number may consist of.
+WS = " \t\n\r\f\u000b"
+NUM_CHARS = "0123456789.+-eE" + WS
+
+
 def strip_ws(c: Column | str) -> Column:
     """Trim leading/trailing whitespace of any kind (spaces, tabs, newlines)."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    return F.btrim(as_col(c), F.lit(WS))
+
+
+def _only(c: Column, chars: str) -> Column:
+    """True when ``c`` consists of ``chars`` only (character deletion, no regex)."""
+    return F.translate(c, chars, "") == ""
 
 
 def null_tokens(c: Column | str, tokens=NA_TOKENS) -> Column:
@@ -68,16 +78,20 @@ def null_tokens(c: Column | str, tokens=NA_TOKENS) -> Column:
 def to_number(c: Column | str) -> Column:
     """Lenient numeric coercion: number-like text -> double, anything else -> 0.
 
-    The regex guard is required: Spark's cast alone accepts ``1d`` / ``1f``
-    suffixes and ``inf`` which the matched behaviour treats as unparsable.
+    The guard is required: Spark's cast alone accepts ``1d`` / ``1f``
+    suffixes, ``inf`` and ``NaN`` which the matched behaviour treats as
+    unparsable.  Restricting the text to digits, ``.``, signs, ``e``/``E``
+    and surrounding whitespace before the cast accepts exactly the language
+    of ``NUM_RE`` (anything else in that alphabet fails the cast), without
+    running a regex per row.
     """
     t = as_col(c).cast("string")
-    return F.coalesce(F.when(t.rlike(NUM_RE), strip_ws(t).try_cast("double")), F.lit(0.0))
+    return F.coalesce(F.when(_only(t, NUM_CHARS), t.try_cast("double")), F.lit(0.0))
 
 
 def currency_to_number(c: Column | str) -> Column:
     """Strip ``$``, ``,`` and spaces, then lenient numeric (bad -> 0)."""
-    return to_number(F.regexp_replace(as_col(c).cast("string"), r"[$, ]", ""))
+    return to_number(F.translate(as_col(c).cast("string"), "$, ", ""))
 
 
 def currency_strict(c: Column | str) -> Column:
@@ -107,16 +121,20 @@ def format_item_id(c: Column | str) -> Column:
     """
     raw = as_col(c).cast("string")
     t = strip_ws(raw)
-    digits = F.regexp_replace(F.regexp_replace(t, r"^[+-]", ""), r"^0+", "")
+    sign = F.substring(t, 1, 1)
+    signed = sign.isin("+", "-")
+    body = F.when(signed, F.substring(t, 2, 1 << 30)).otherwise(t)
+    is_int = (body != "") & _only(body, "0123456789")
+    digits = F.ltrim(body, F.lit("0"))
     int_text = F.when(digits == "", F.lit("0")).otherwise(
-        F.concat(F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit("")), digits)
+        F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), digits)
     )
     num = t.try_cast("double")
     in_range = F.abs(num) < F.lit(9.2e18)
     return (
         F.when(raw.isNull(), F.lit(MISSING_TEXT))
-        .when(t.rlike(INT_RE), int_text)
-        .when(t.rlike(NUM_RE) & in_range, num.cast("long").cast("string"))
+        .when(is_int, int_text)
+        .when(_only(t, NUM_CHARS) & in_range, num.cast("long").cast("string"))
         .otherwise(raw)
     )
 
@@ -128,7 +146,7 @@ def clean_text(c: Column | str) -> Column:
 
 def strip_zeros(c: Column | str) -> Column:
     """Leading zeros removed for flexible matching (``000`` -> empty)."""
-    return F.regexp_replace(as_col(c), r"^0+", "")
+    return F.ltrim(as_col(c), F.lit("0"))
 
 
 def left(c: Column | str, n: int) -> Column:
@@ -232,7 +250,19 @@ def ceil_div(a: Column | str, b: Column | str | int) -> Column:
     return F.floor((a + b - F.lit(1)) / b).cast("long")
 
 
+MICRO = 1_000_000
+
+
 def exact_sum(c: Column | str) -> Column:
-    """Sum of money values that does not depend on row order: each value is
-    fixed to 6 decimals, summed exactly, returned as double; 0 when empty."""
+    """Sum that does not depend on row order or partitioning: each value is
+    fixed to an integer number of millionths, summed as a long (hash
+    aggregation, overflow fails loudly under ANSI mode), returned as
+    double; 0 when empty.  Groups may total up to ~9.2e12."""
+    units = F.floor(as_col(c) * F.lit(float(MICRO)) + F.lit(0.5))
+    return F.coalesce(F.sum(units) / F.lit(float(MICRO)), F.lit(0.0))
+
+
+def exact_total(c: Column | str) -> Column:
+    """Grand total of already aggregated values, exact in 38 digits
+    (decimal arithmetic; used on small inputs such as one row per group)."""
     return F.coalesce(F.sum(as_col(c).cast("decimal(38,6)")).cast("double"), F.lit(0.0))

@@ -19,6 +19,7 @@ from palletwise.functions.columns import (
     currency_to_number,
     ellipsis,
     exact_sum,
+    exact_total,
     extended_percent,
     format_item_id,
     format_order_date,
@@ -178,7 +179,7 @@ def po_lines(
         ceil_div("line_no", per_page).alias("page"),
     )
     totals = rollup.agg(
-        exact_sum("quantity").alias("quantity"), exact_sum("extended_percent").alias("extended_percent")
+        exact_total("quantity").alias("quantity"), exact_total("extended_percent").alias("extended_percent")
     ).select(
         F.lit(None).cast("long").alias("line_no"),
         F.lit(None).cast("string").alias("pallet_id"),

@@ -37,6 +37,15 @@ def esum(x: str) -> str:
     return f"coalesce(CAST(SUM(CAST({x} AS DECIMAL(38,6))) AS DOUBLE), 0.0)"
 
 
+def msum(x: str) -> str:
+    return f"coalesce(CAST(SUM(CAST(floor(({x}) * 1000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / 1000000.0, 0.0)"
+
+
+def zpad(x: str, n: int) -> str:
+    t = f"CAST({x} AS VARCHAR)"
+    return f"(CASE WHEN length({t}) >= {n} THEN {t} ELSE lpad({t}, {n}, '0') END)"
+
+
 def money(x: str) -> str:
     return f"('$' || format('{{:,.2f}}', {x}))"
 
@@ -95,8 +104,8 @@ POS = "{" + ", ".join(f"'{f}': l.{f}" for f in POS_FIELDS) + "}"
 POS_OUT = ", ".join(f"_pos.{f} AS {f}" for f in POS_FIELDS)
 
 INV = f"""inv AS (
-  SELECT printf('%08d', l.l_orderkey) AS pallet_id,
-         CASE WHEN l.l_partkey % 3 = 0 THEN printf('%06d', l.l_partkey) ELSE CAST(l.l_partkey AS VARCHAR) END AS item_id,
+  SELECT {zpad('l.l_orderkey', 8)} AS pallet_id,
+         CASE WHEN l.l_partkey % 3 = 0 THEN {zpad('l.l_partkey', 6)} ELSE CAST(l.l_partkey AS VARCHAR) END AS item_id,
          p.p_name AS item_desc,
          CASE WHEN l.l_linenumber % 4 = 0 THEN NULL ELSE p.p_brand END AS series_desc,
          CASE WHEN l.l_linenumber % 5 = 0 THEN '$' ELSE '' END || CAST(CAST(p.p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS us_price,
@@ -105,15 +114,15 @@ INV = f"""inv AS (
          {POS} AS _pos
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
-REF = """ref AS (
+REF = f"""ref AS (
   SELECT p_partkey AS id,
-         CASE WHEN p_partkey % 5 = 0 THEN printf('%08d', p_partkey) ELSE CAST(p_partkey AS VARCHAR) END AS item_number,
+         CASE WHEN p_partkey % 5 = 0 THEN {zpad('p_partkey', 8)} ELSE CAST(p_partkey AS VARCHAR) END AS item_number,
          p_name AS description, 'catalogue.csv' AS source_file
   FROM part WHERE p_size <= 40)"""
 
 REFUP = f"""refup AS (
   SELECT CASE WHEN l.l_linenumber = 7 THEN NULL
-              WHEN l.l_partkey % 3 = 0 THEN ' ' || printf('%06d', l.l_partkey) || ' '
+              WHEN l.l_partkey % 3 = 0 THEN ' ' || {zpad('l.l_partkey', 6)} || ' '
               ELSE CAST(l.l_partkey AS VARCHAR) END AS "no.",
          CASE WHEN l.l_linenumber % 6 = 0 THEN NULL
               ELSE p.p_name || ' lot ' || CAST(l.l_orderkey AS VARCHAR) END AS description,
@@ -151,8 +160,8 @@ def with_(*ctes: str) -> str:
 PALLETS = f"""pallets AS (
   SELECT pallet_id,
          arg_min(series_desc, _pos) FILTER (WHERE series_desc IS NOT NULL) AS series_desc,
-         {esum('q')} AS quantity,
-         {esum(f'(q * p) * CAST({PCT / 100!r} AS DOUBLE)')} AS extended_percent
+         {msum('q')} AS quantity,
+         {msum(f'(q * p) * CAST({PCT / 100!r} AS DOUBLE)')} AS extended_percent
   FROM (SELECT pallet_id, series_desc, _pos, {num('quantity')} AS q, {cur('us_price')} AS p FROM inv)
   WHERE pallet_id IS NOT NULL
   GROUP BY pallet_id)"""
@@ -231,7 +240,7 @@ SELECT NULL, NULL, 'TOTAL:', CAST(trunc(t.quantity) AS BIGINT), {money('t.extend
 FROM t, n"""
 
     q["item_rollup"] = with_(INV) + f"""
-SELECT {fmt_id('item_id')} AS item_id, item_desc, {esum(num('quantity'))} AS quantity
+SELECT {fmt_id('item_id')} AS item_id, item_desc, {msum(num('quantity'))} AS quantity
 FROM inv WHERE item_desc IS NOT NULL GROUP BY 1, 2"""
 
     # -- comparison ---------------------------------------------------------

@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def zpad(c: str, n: int) -> F.Column:
+    """Integer as text, left-padded with zeros to at least ``n`` digits
+    (never cut, so keys stay distinct at any scale)."""
+    t = F.col(c).cast("string")
+    return F.when(F.length(t) >= n, t).otherwise(F.lpad(t, n, "0"))
+
+
 def _row_pos(prefix: str = "l_") -> F.Column:
     # (orderkey, linenumber) is not unique in the generated data; these six
     # columns are.  Used as the "row order" of the simulated files.
@@ -48,8 +55,8 @@ def _lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     price_text = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     return _lines_with_parts(spark, sf_dir).select(
-        F.format_string("%08d", F.col("l_orderkey")).alias("pallet_id"),
-        F.when(F.col("l_partkey") % 3 == 0, F.format_string("%06d", F.col("l_partkey")))
+        zpad("l_orderkey", 8).alias("pallet_id"),
+        F.when(F.col("l_partkey") % 3 == 0, zpad("l_partkey", 6))
         .otherwise(F.col("l_partkey").cast("string"))
         .alias("item_id"),
         F.col("p_name").alias("item_desc"),
@@ -69,7 +76,7 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     return part.filter(F.col("p_size") <= 40).select(
         F.col("p_partkey").alias("id"),
-        F.when(F.col("p_partkey") % 5 == 0, F.format_string("%08d", F.col("p_partkey")))
+        F.when(F.col("p_partkey") % 5 == 0, zpad("p_partkey", 8))
         .otherwise(F.col("p_partkey").cast("string"))
         .alias("item_number"),
         F.col("p_name").alias("description"),
@@ -85,7 +92,7 @@ def reference_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys repeated per line item, some blank, some padded with spaces."""
     return _lines_with_parts(spark, sf_dir).select(
         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
-        .when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" "), F.format_string("%06d", F.col("l_partkey")), F.lit(" ")))
+        .when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" "), zpad("l_partkey", 6), F.lit(" ")))
         .otherwise(F.col("l_partkey").cast("string"))
         .alias("no."),
         F.when(F.col("l_linenumber") % 6 == 0, F.lit(None).cast("string"))
