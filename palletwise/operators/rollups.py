@@ -34,6 +34,7 @@ from palletwise.functions.constants import (
     TOTAL_LABEL,
 )
 from palletwise.operators.clean import ensure_item_desc, first_non_null, require_columns
+from palletwise.session import stage
 
 POS = "_pos"
 
@@ -124,11 +125,11 @@ def number_lines(
     the counts of the ranges before it (a list of at most ``max_buckets``
     numbers), so no task holds more than about ``rows_per_bucket`` rows.
 
-    The input is cut from its lineage first (reliable checkpoint in the
+    The input is cut from its lineage first (written as Parquet in the
     folder the session names), so the count, the sample and the numbering
     all see the same rows even if an executor is lost in between."""
     if cut_lineage:
-        df = df.checkpoint(eager=True)
+        df = stage(df, "lines")
     total = df.count()
     order = [F.col(key)] + [F.col(c) for c in df.columns if c != key]
     n_buckets = min(max_buckets, max(1, -(-total // rows_per_bucket)))
@@ -166,7 +167,7 @@ def po_lines(
     page, pages, page_label; then one ``TOTAL:`` line (quantity total
     truncated after summing) on the last page.  An empty roll-up yields only
     the total line on page 1 of 1."""
-    rollup = rollup.checkpoint(eager=True)
+    rollup = stage(rollup, "rollup")
     numbered, total = number_lines(rollup, "pallet_id", rows_per_bucket=rows_per_bucket, cut_lineage=False)
     pages = max(1, -(-total // per_page))
     lines = numbered.select(

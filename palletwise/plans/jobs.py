@@ -23,7 +23,7 @@ from palletwise.functions.constants import INVENTORY_REQUIRED, JOB_EXTENSIONS
 from palletwise.operators import compare
 from palletwise.operators.clean import c, clean_reference, require_columns, resolve_id_column
 from palletwise.operators.rollups import item_rollup, pallet_rollup, po_header, po_lines, priced
-from palletwise.session import checkpoint_dir
+from palletwise.session import checkpoint_dir, stage
 from palletwise.sources import sinks
 from palletwise.sources.files import read_tabular
 
@@ -71,16 +71,16 @@ def build_purchase_order(
     rows, manifest = read_tabular(spark, paths, JOB_EXTENSIONS, on_layout=_key_of_layout)
     if rows is None:
         raise ValueError("no readable file")
-    stage = _scratch(spark, "consolidated")
-    sinks.write_consolidated(rows, stage)
-    consolidated = spark.read.parquet(stage)
+    staged = _scratch(spark, "consolidated")
+    sinks.write_consolidated(rows, staged)
+    consolidated = spark.read.parquet(staged)
 
     out: dict[str, DataFrame] = {"consolidated": consolidated, "manifest": manifest}
     out["item_rollup"] = item_rollup(consolidated.drop(ITEM_KEY))
     out["po_lines"] = po_lines(pallet_rollup(consolidated, pct, strip_currency), per_page=per_page)
     out["po_header"] = po_header(spark, attrs, report_defaults=True)
 
-    items = compare.distinct_items(consolidated, ITEM_KEY).checkpoint(eager=True)
+    items = stage(compare.distinct_items(consolidated, ITEM_KEY), "items")
     out["comparison"] = compare.compare_items(items, reference)
     out["unmatched_items"] = compare.unmatched_items(items, reference)
     out["files_with_missing"] = compare.files_with_missing(items, reference)

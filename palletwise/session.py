@@ -47,3 +47,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="palletwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def stage(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint
+    folder and reading it back.
+
+    Columnar and compressed (cheaper than an RDD checkpoint), survives the
+    loss of executors, and every later job over the result sees exactly the
+    same rows.  The folder is unique per call."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

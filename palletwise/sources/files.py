@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from palletwise.functions.columns import null_tokens
 from palletwise.functions.constants import NA_TOKENS, SNIFF_CHARS
+from palletwise.session import stage
 
 SNIFF_BYTES = 64 * 1024
 
@@ -150,21 +151,23 @@ def with_position(df: DataFrame) -> DataFrame:
 def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str] | None = None,
                    na_tokens=NA_TOKENS) -> DataFrame:
     """Delimited files with a header row and a fixed delimiter; every column
-    as text; the reader's missing-value tokens become null.  ``names``
-    renames the columns positionally (all files must share the layout)."""
-    df = (
+    as text; the reader's missing-value tokens become null.
+
+    With ``names`` (the sniffed, normalised header) the schema is given to
+    the reader, so no job is spent reading a header; all files must share
+    that layout.  Without it the header of the first file names the
+    columns."""
+    r = (
         spark.read.option("header", "true")
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8")
-        .csv(_as_paths(paths))
     )
     if names is not None:
-        if len(names) != len(df.columns):
-            raise ValueError(f"layout mismatch: {len(names)} names for {len(df.columns)} columns")
-        df = df.toDF(*names)
+        r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    df = r.csv(_as_paths(paths))
     df = df.select(*[null_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns], F.col("_metadata"))
     return with_position(df).drop("_metadata")
 
@@ -182,21 +185,19 @@ def read_delimited_auto(spark: SparkSession, paths, on_layout=None) -> tuple[Dat
     """Delimited files with sniffed delimiters and differing headers.
 
     Returns (consolidated rows or None, manifest).  The sniff result is one
-    small row per file; the (sep, header) groups are formed on the driver
-    from it and each group is read with one scan."""
-    sniffed = sniff(spark, paths).checkpoint(eager=True)
-    manifest = sniffed.select(
-        F.element_at(F.split("path", "/"), -1).alias("source_file"),
-        "path",
-        F.col("error").isNull().alias("success"),
-        "error",
+    small row per file (path, delimiter, header); it is brought to the
+    driver -- which needs the path list for the scans anyway -- and files
+    are grouped by layout there.  Each layout is read with one scan."""
+    sniffed = sniff(spark, paths).collect()
+    manifest = spark.createDataFrame(
+        [(r["path"].rsplit("/", 1)[-1], r["path"], r["error"] is None, r["error"]) for r in sniffed],
+        MANIFEST_SCHEMA,
     )
     groups: dict[tuple, list[str]] = {}
-    for row in sniffed.filter(F.col("error").isNull()).groupBy("sep", "header").agg(
-        F.collect_list("path").alias("paths")
-    ).collect():
-        groups[(row["sep"], tuple(row["header"]))] = row["paths"]
-    parts = [read_delimited(spark, ps, sep, list(header)) for (sep, header), ps in sorted(groups.items())]
+    for r in sniffed:
+        if r["error"] is None:
+            groups.setdefault((r["sep"], tuple(r["header"])), []).append(r["path"])
+    parts = [read_delimited(spark, sorted(ps), sep, list(header)) for (sep, header), ps in sorted(groups.items())]
     if on_layout is not None:
         parts = [on_layout(p) for p in parts]
     return (consolidate(parts) if parts else None), manifest
@@ -208,7 +209,7 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=No
     from palletwise.sources.workbook import CELLS_SCHEMA, parse_workbooks
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_as_paths(paths))
-    cells = raw.select("path", "content").mapInPandas(parse_workbooks, CELLS_SCHEMA).checkpoint(eager=True)
+    cells = stage(raw.select("path", "content").mapInPandas(parse_workbooks, CELLS_SCHEMA), "cells")
     manifest = (
         cells.filter(F.col("row_idx") <= 0)
         .select(
@@ -257,9 +258,10 @@ def read_tabular(spark: SparkSession, paths, allowed=("csv", "xlsx"), on_layout=
     Unsupported files are reported in the manifest and skipped.
     ``on_layout(df)`` runs once per distinct layout before the union (e.g.
     to resolve which column holds the item id in that layout)."""
-    listing = list_files(spark, paths).select("path")
-    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
-    kinds = {r["k"]: r["paths"] for r in listing.groupBy(ext.alias("k")).agg(F.collect_list("path").alias("paths")).collect()}
+    kinds: dict[str, list[str]] = {}
+    for r in list_files(spark, paths).select("path").collect():
+        name = r["path"].rsplit("/", 1)[-1]
+        kinds.setdefault(name.rsplit(".", 1)[-1].lower() if "." in name else "", []).append(r["path"])
     frames, manifests = [], []
     rejected = [p for k, ps in kinds.items() if k not in allowed for p in ps]
     if "csv" in allowed and kinds.get("csv"):
