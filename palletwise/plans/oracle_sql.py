@@ -348,6 +348,12 @@ SELECT {POS_OUT}, quantity, item_id, series_desc, 'x' AS extra, source_file FROM
 UNION ALL BY NAME
 SELECT {POS_OUT}, item_id, us_price, quantity, item_desc, source_file FROM inv WHERE starts_with(source_file, 'file_R')"""
 
+    # -- the same data through the file sources --------------------------------
+    q["files_consolidate"] = with_(INV) + "SELECT series_desc, pallet_id, item_id, item_desc, us_price, quantity FROM inv"
+    q["files_item_rollup"] = q["item_rollup"]
+    q["files_pallet_rollup"] = q["pallet_rollup"]
+    q["files_refresh_reference"] = q["dedupe_reference"]
+
     return q
 
 

@@ -273,3 +273,72 @@ def consolidate_q(spark, sf):
     r = inv.filter(F.col("source_file").startswith("file_R")).select(
         *pos, "item_id", "us_price", "quantity", "item_desc", "source_file")
     return consolidate([a, n, r])
+
+
+# -- file round trips: the same data through the real file sources -----------
+#
+# The views are written as delimited files (two layouts: different column
+# order and delimiter) into a fresh folder under the session's shared
+# checkpoint folder, then read back with layout sniffing.  Rows are written
+# in position order (a distributed range sort), so file order reproduces the
+# row order that keep-first operators rely on.
+
+INV_COLS = ["series_desc", "pallet_id", "item_id", "item_desc", "us_price", "quantity"]
+
+
+def _export_inventory(spark, sf) -> str:
+    from palletwise.session import checkpoint_dir
+    import uuid
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/uploads-{uuid.uuid4().hex[:12]}"
+    inv = views.inventory(spark, sf)
+    n_side = F.col("source_file").startswith("file_N")
+    inv.filter(n_side).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(f"{root}/layout_a")
+    inv.filter(~n_side).orderBy("_pos").select(*reversed(INV_COLS)).toDF(
+        *[" " + c.upper() + " " for c in reversed(INV_COLS)]
+    ).write.option("header", True).option("sep", ";").csv(f"{root}/layout_b")
+    return root
+
+
+@register("files_consolidate")
+def files_consolidate(spark, sf):
+    from palletwise.sources.files import read_tabular
+
+    rows, _ = read_tabular(spark, _export_inventory(spark, sf))
+    return rows.select(*INV_COLS)
+
+
+@register("files_item_rollup")
+def files_item_rollup(spark, sf):
+    from palletwise.sources.files import read_tabular
+
+    rows, _ = read_tabular(spark, _export_inventory(spark, sf))
+    return rollups.item_rollup(rows)
+
+
+@register("files_pallet_rollup")
+def files_pallet_rollup(spark, sf):
+    from palletwise.sources.files import read_tabular
+
+    # one layout only, so the file order is the row order of the view
+    from palletwise.session import checkpoint_dir
+    import uuid
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/uploads-{uuid.uuid4().hex[:12]}"
+    views.inventory(spark, sf).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(root)
+    rows, _ = read_tabular(spark, root)
+    return rollups.pallet_rollup(rows, PCT)
+
+
+@register("files_refresh_reference")
+def files_refresh_reference(spark, sf):
+    from palletwise.plans.jobs import refresh_reference
+    from palletwise.session import checkpoint_dir
+    import uuid
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/reference-{uuid.uuid4().hex[:12]}"
+    raw = views.reference_upload(spark, sf).orderBy("_pos").select(
+        F.col("`no.`").alias(" No. "), F.col("description").alias("Description"))
+    raw.write.option("header", True).csv(f"{root}/{views.REFERENCE_UPLOAD_NAME}")
+    ref, _ = refresh_reference(spark, f"{root}/{views.REFERENCE_UPLOAD_NAME}")
+    return ref
