@@ -63,6 +63,24 @@ def page_of(df: DataFrame, page: int = 1, limit: int = DEFAULT_PAGE_LIMIT) -> Da
     return df.orderBy(*newest_first()).offset((page - 1) * limit).limit(limit)
 
 
+def page_after(df: DataFrame, last: tuple | None, limit: int = DEFAULT_PAGE_LIMIT) -> DataFrame:
+    """Keyset page: the ``limit`` entries that follow ``last`` =
+    (fecha_subida, tipo, nombre) of the previous page in newest-first
+    order.  Cost does not grow with the page number (no offset rows)."""
+    _, limit = check_paging(1, limit)
+    if last is not None:
+        ts, tipo, name = last
+        rank = F.array_position(F.array(*[F.lit(t) for t in CATALOGUE_TYPES]), F.col("tipo"))
+        last_rank = CATALOGUE_TYPES.index(tipo) + 1 if tipo in CATALOGUE_TYPES else 0
+        ts_lit = F.lit(ts).cast(df.schema["fecha_subida"].dataType)
+        after = (F.col("fecha_subida") < ts_lit) | (
+            (F.col("fecha_subida") == ts_lit)
+            & ((rank > F.lit(last_rank)) | ((rank == F.lit(last_rank)) & (F.col("nombre") > F.lit(name))))
+        )
+        df = df.filter(after)
+    return df.orderBy(*newest_first()).limit(limit)
+
+
 def page_info(df: DataFrame, page: int = 1, limit: int = DEFAULT_PAGE_LIMIT, by: str | None = None) -> DataFrame:
     """total, page, limit, pages (ceiling division) — per ``by`` group when
     given, else for the whole listing."""

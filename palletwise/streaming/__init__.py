@@ -1,0 +1,3 @@
+from palletwise.streaming.uploads import inventory_stream, running_item_rollup, running_pallet_totals, start
+
+__all__ = ["inventory_stream", "running_item_rollup", "running_pallet_totals", "start"]

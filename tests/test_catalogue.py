@@ -63,3 +63,12 @@ def test_upload_manifest(spark):
     assert not got[""]["success"] and got[""]["error"] == "empty file name"
     s = catalogue.manifest_summary(m).first()
     assert (s["total_files"], s["successful_uploads"], s["failed_uploads"]) == (4, 2, 2)
+
+
+def test_keyset_pages_follow_offset_pages(spark):
+    c = catalogue.search_files(cat(spark), user_id="u1")
+    p1 = catalogue.page_after(c, None, 2).collect()
+    last = (p1[-1]["fecha_subida"], p1[-1]["tipo"], p1[-1]["nombre"])
+    p2 = catalogue.page_after(c, last, 2).collect()
+    off = catalogue.page_of(c, 2, 2).collect()
+    assert [r["nombre"] for r in p2] == [r["nombre"] for r in off]
