@@ -77,14 +77,14 @@ def zero_strip(spark, sf):
 
 @register("ellipsis")
 def ellipsis_q(spark, sf):
-    part = views.table(spark, sf, "part")
+    part = views.table(spark, sf, "part", ["p_partkey", "p_name", "p_type", "p_brand"])
     text = F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name")
     return part.select("p_partkey", C.ellipsis(text).alias("description"))
 
 
 @register("money_text")
 def money_text_q(spark, sf):
-    o = views.table(spark, sf, "orders")
+    o = views.table(spark, sf, "orders", ["o_orderkey", "o_totalprice"])
     return o.select("o_orderkey", C.money_text("o_totalprice").alias("total_text"),
                     C.money_text(-F.col("o_totalprice")).alias("credit_text"))
 

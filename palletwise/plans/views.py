@@ -18,9 +18,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palletwise.session import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+# key columns used to spread small single-file tables over the cluster
+_SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A test table, projected to ``columns`` before it is spread (so the
+    scan stays pruned)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    key = _SPREAD_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def zpad(c: str, n: int) -> F.Column:
@@ -44,11 +56,11 @@ def _row_pos(prefix: str = "l_") -> F.Column:
 
 
 def _lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
-    )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    ])
+    part = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_retailprice"])
     return li.join(part, li.l_partkey == part.p_partkey, "inner")
 
 
@@ -73,7 +85,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    part = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
     return part.filter(F.col("p_size") <= 40).select(
         F.col("p_partkey").alias("id"),
         F.when(F.col("p_partkey") % 5 == 0, zpad("p_partkey", 8))
@@ -103,7 +115,7 @@ def reference_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
     tipo = (
         F.when(F.col("event_type").isin("click", "view"), F.lit("csv"))
         .when(F.col("event_type") == "purchase", F.lit("pdf"))
@@ -124,7 +136,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates typed the ways a form sends them: ISO with time, plain,
     single-digit month/day, day-first, empty."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     k = F.col("o_orderkey") % 5
     d = F.col("o_orderdate")
     text = (

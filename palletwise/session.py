@@ -62,3 +62,19 @@ def stage(df, name: str = "stage"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, *keys: str, target: int | None = None):
+    """Give a scan enough partitions to use the whole cluster.
+
+    A small input stored as one file / one row group is read by one task,
+    which then also runs every projection above it.  When the scan has fewer
+    partitions than the cluster's default parallelism, it is hash-spread on
+    ``keys`` (round-robin if none); large inputs, whose scans already have
+    at least that many splits, are returned unchanged -- no extra shuffle at
+    scale."""
+    spark = df.sparkSession
+    want = target or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
