@@ -54,3 +54,13 @@ def update_by_key(table: DataFrame, changes: DataFrame, key: str, pos: str | Non
 def delete_by_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Table without the rows whose key is listed."""
     return table.join(keys.select(c(key)), key, "left_anti")
+
+
+def row_count(df: DataFrame) -> int:
+    """Number of rows (one aggregate job)."""
+    return df.count()
+
+
+def exists(df: DataFrame) -> bool:
+    """Whether any row exists; stops after the first row found."""
+    return len(df.limit(1).take(1)) > 0

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palletwise.functions.columns import safe_name
+from palletwise.functions.columns import file_base, file_ext, run_stamp, safe_name, stamped_name
 from palletwise.functions.constants import INVENTORY_REQUIRED, JOB_EXTENSIONS
 from palletwise.operators import compare
 from palletwise.operators.clean import c, clean_reference, require_columns, resolve_id_column
@@ -37,6 +37,14 @@ def extend_prices(df: DataFrame, pct: float, strip_currency: bool = True) -> Dat
     return priced(df, pct, strip_currency)
 
 
+def check_percent(pct) -> float:
+    """The discount rate must be numeric."""
+    try:
+        return float(pct)
+    except (TypeError, ValueError):
+        raise ValueError("discount rate must be numeric") from None
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -59,6 +67,7 @@ def build_purchase_order(
     strip_currency: bool = True,
     out_dir: str | None = None,
     per_page: int = 23,
+    now: _dt.datetime | None = None,
 ) -> dict[str, DataFrame]:
     """The purchase-order package over every admitted file.
 
@@ -68,9 +77,15 @@ def build_purchase_order(
     po_lines, po_header, comparison, unmatched_items, files_with_missing,
     summary.  With ``out_dir`` the item roll-up is also written as CSV and
     the PO lines as Parquet."""
+    pct = check_percent(pct)
     rows, manifest = read_tabular(spark, paths, JOB_EXTENSIONS, on_layout=_key_of_layout)
     if rows is None:
         raise ValueError("no readable file")
+    stamp = run_stamp(now or _dt.datetime.now())
+    manifest = manifest.withColumn(
+        "stored_name",
+        F.when(F.col("success"), stamped_name(safe_name(file_base("source_file")), stamp, file_ext("source_file"))),
+    )
     staged = _scratch(spark, "consolidated")
     sinks.write_consolidated(rows, staged)
     consolidated = spark.read.parquet(staged)

@@ -77,3 +77,12 @@ def test_catalogue_listing(spark, scratch):
     cat = catalogue_from_listing(src.list_files(spark, scratch))
     assert rows(cat, "tipo", "user_id", "nombre", "tamano") == [
         ("csv", "u1", "a.csv", 7), ("pdf", "u1", "b.pdf", 7), ("xlsx", "u2", "c.xlsx", 7)]
+
+
+def test_land_partitioned_layout(spark, scratch):
+    df = spark.createDataFrame([("a.csv", "csv", "u1"), ("b.pdf", "pdf", "u2")], "nombre string, tipo string, user_id string")
+    root = os.path.join(scratch, "landed")
+    sinks.land(df, root)
+    assert os.path.isdir(os.path.join(root, "tipo=csv", "user_id=u1"))
+    back = spark.read.parquet(root).filter("tipo = 'pdf'")
+    assert rows(back, "nombre", "user_id") == [("b.pdf", "u2")]
