@@ -90,15 +90,24 @@ def item_files(items: DataFrame) -> DataFrame:
 
 
 def unmatched_items(items: DataFrame, ref: DataFrame) -> DataFrame:
-    """Unmatched ids with their source files."""
-    miss = unmatched_ids(items, ref)
-    return item_files(items.join(miss, "item_id", "left_semi"))
+    """Unmatched ids with their source files: files are gathered per id
+    first (one aggregate over the distinct pairs), then one anti-join on the
+    stripped key keeps the unmatched ids."""
+    keys = reference_keys(ref).select("norm")
+    per_item = item_files(items).withColumn("norm", strip_zeros("item_id"))
+    return per_item.join(keys, "norm", "left_anti").select("item_id", "source_files")
 
 
 def files_with_missing(items: DataFrame, ref: DataFrame) -> DataFrame:
-    """Distinct files holding at least one unmatched id."""
-    miss = unmatched_ids(items, ref)
-    return items.join(miss, "item_id", "left_semi").select("source_file").distinct()
+    """Distinct files holding at least one unmatched id (one anti-join on
+    the stripped key, then a distinct of the file names)."""
+    keys = reference_keys(ref).select("norm")
+    return (
+        items.withColumn("norm", strip_zeros("item_id"))
+        .join(keys, "norm", "left_anti")
+        .select("source_file")
+        .distinct()
+    )
 
 
 def comparison_summary(items: DataFrame, ref: DataFrame) -> DataFrame:
@@ -106,24 +115,31 @@ def comparison_summary(items: DataFrame, ref: DataFrame) -> DataFrame:
     normalized_matches, matched_items_count, unmatched_count,
     zero_padding_issues, match_percentage.
 
-    Computed in one aggregate over the row-level comparison stacked with the
-    reference ids (no join between the two counts)."""
-    cmp = compare_items(items, ref).select(
-        F.lit(False).alias("is_ref"), "norm", "exact", "normalised"
+    Two combinable aggregates instead of distinct counts: per stripped key
+    (all ids of a key share its flexible-match flag), then over keys.  The
+    reference count rides along as extra rows of the same aggregate, so no
+    join is needed between the two sides."""
+    per_norm = compare_items(items, ref).groupBy("norm").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("exact").alias("n_exact"),
+        F.max("normalised").alias("hit"),
+        F.max("exact").alias("exact_hit"),
+    ).select(
+        F.lit(0).cast("long").alias("n_ref"), "n", "n_exact",
+        F.col("hit").cast("int").alias("hit"), F.col("exact_hit").cast("int").alias("exact_hit"),
+        F.when(~F.col("hit"), F.col("n")).otherwise(F.lit(0)).alias("n_unmatched"),
     )
     refs = reference_ids(ref).select(
-        F.lit(True).alias("is_ref"),
-        F.lit(None).cast("string").alias("norm"),
-        F.lit(False).alias("exact"),
-        F.lit(False).alias("normalised"),
+        F.lit(1).cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_exact"),
+        F.lit(0).alias("hit"), F.lit(0).alias("exact_hit"), F.lit(0).cast("long").alias("n_unmatched"),
     )
-    s = cmp.unionByName(refs).agg(
-        F.count_if(F.col("is_ref")).alias("total_reference_items"),
-        F.count_if(~F.col("is_ref")).alias("total_processed_items"),
-        F.count_if(F.col("exact")).alias("exact_matches"),
-        F.count_distinct(F.when(F.col("normalised"), F.col("norm"))).alias("normalized_matches"),
-        F.count_distinct(F.when(F.col("exact"), F.col("norm"))).alias("_exact_norms"),
-        F.count_if(~F.col("is_ref") & ~F.col("normalised")).alias("unmatched_count"),
+    s = per_norm.unionByName(refs).agg(
+        F.coalesce(F.sum("n_ref"), F.lit(0)).cast("long").alias("total_reference_items"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_processed_items"),
+        F.coalesce(F.sum("n_exact"), F.lit(0)).cast("long").alias("exact_matches"),
+        F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("normalized_matches"),
+        F.coalesce(F.sum("exact_hit"), F.lit(0)).cast("long").alias("_exact_norms"),
+        F.coalesce(F.sum("n_unmatched"), F.lit(0)).cast("long").alias("unmatched_count"),
     )
     return s.select(
         "total_reference_items",
