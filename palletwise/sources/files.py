@@ -50,9 +50,12 @@ SNIFF_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("sep", T.StringType()),
     T.StructField("header", T.ArrayType(T.StringType())),
+    T.StructField("multiline", T.BooleanType()),
     T.StructField("error", T.StringType()),
 ])
 
+OVERFLOW = "_overflow"  # first field beyond the header's width, if any
+
 
 def _as_paths(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
@@ -84,6 +87,18 @@ def _open_head(path: str, n: int) -> bytes:
         return fh.read(n)
 
 
+def has_quoted_newline(text: str, sep: str) -> bool:
+    """Whether a quoted field in the sample spans lines (such files must be
+    read whole, not split)."""
+    if '"' not in text:
+        return False
+    try:
+        body = text if text.endswith("\n") else text[: text.rfind("\n") + 1]
+        return any("\n" in f or "\r" in f for row in csv.reader(io.StringIO(body, newline=""), delimiter=sep) for f in row)
+    except csv.Error:
+        return False
+
+
 def sniff_head(raw: bytes) -> tuple[str | None, list[str] | None, str | None]:
     """(sep, normalised header, error) from the first bytes of a file.
 
@@ -125,12 +140,16 @@ def sniff(spark: SparkSession, paths) -> DataFrame:
         for b in batches:
             out = []
             for p in b["path"]:
+                multi = False
                 try:
-                    sep, header, err = sniff_head(_open_head(p, SNIFF_BYTES))
+                    head = _open_head(p, SNIFF_BYTES)
+                    sep, header, err = sniff_head(head)
+                    if err is None:
+                        multi = has_quoted_newline(head.decode("utf-8", "ignore"), sep)
                 except Exception as e:  # unreadable file: isolate it
                     sep, header, err = None, None, f"{type(e).__name__}: {e}"
-                out.append((p, sep, header, err))
-            yield pd.DataFrame(out, columns=["path", "sep", "header", "error"])
+                out.append((p, sep, header, multi, err))
+            yield pd.DataFrame(out, columns=["path", "sep", "header", "multiline", "error"])
 
     return listing.mapInPandas(run, SNIFF_SCHEMA)
 
@@ -149,14 +168,16 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str] | None = None,
-                   na_tokens=NA_TOKENS) -> DataFrame:
+                   na_tokens=NA_TOKENS, multiline: bool = False) -> DataFrame:
     """Delimited files with a header row and a fixed delimiter; every column
     as text; the reader's missing-value tokens become null.
 
     With ``names`` (the sniffed, normalised header) the schema is given to
     the reader, so no job is spent reading a header; all files must share
     that layout.  Without it the header of the first file names the
-    columns."""
+    columns.  A row with more fields than its header puts the first extra
+    field in ``_overflow`` (null for good rows; see ``bad_rows``).
+    ``multiline`` reads files whole so quoted fields may span lines."""
     r = (
         spark.read.option("header", "true")
         .option("sep", sep)
@@ -164,14 +185,26 @@ def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str]
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8")
+        .option("multiLine", "true" if multiline else "false")
     )
     if names is not None:
-        r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(OVERFLOW, T.StringType())]))
     df = r.csv(_as_paths(paths))
-    df = df.select(*[null_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns], F.col("_metadata"))
+    data = [x for x in df.columns if x != OVERFLOW]
+    keep = [F.col(OVERFLOW)] if OVERFLOW in df.columns else []
+    df = df.select(*[null_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in data], *keep, F.col("_metadata"))
     return with_position(df).drop("_metadata")
 
 
+def bad_rows(df: DataFrame) -> DataFrame:
+    """Rows with more fields than their file's header (a tabular reader
+    would reject the whole file; here the rows are kept and reported):
+    source_file, position and the first extra field."""
+    if OVERFLOW not in df.columns:
+        return df.sparkSession.createDataFrame([], "source_file string, _pos struct<file:string,block:long,row:long>, extra string")
+    return df.filter(F.col(OVERFLOW).isNotNull()).select("source_file", "_pos", F.col(OVERFLOW).alias("extra"))
+
+
 def consolidate(dfs: list[DataFrame]) -> DataFrame:
     """Concatenate by column name; a column missing from a part is null there.
     Values never move between columns.  No input is an error."""
@@ -196,8 +229,11 @@ def read_delimited_auto(spark: SparkSession, paths, on_layout=None) -> tuple[Dat
     groups: dict[tuple, list[str]] = {}
     for r in sniffed:
         if r["error"] is None:
-            groups.setdefault((r["sep"], tuple(r["header"])), []).append(r["path"])
-    parts = [read_delimited(spark, sorted(ps), sep, list(header)) for (sep, header), ps in sorted(groups.items())]
+            groups.setdefault((r["sep"], tuple(r["header"]), bool(r["multiline"])), []).append(r["path"])
+    parts = [
+        read_delimited(spark, sorted(ps), sep, list(header), multiline=multi)
+        for (sep, header, multi), ps in sorted(groups.items())
+    ]
     if on_layout is not None:
         parts = [on_layout(p) for p in parts]
     return (consolidate(parts) if parts else None), manifest

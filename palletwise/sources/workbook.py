@@ -8,11 +8,14 @@ single row with ``row_idx = -1`` and the error.
 
 Cell handling: shared and inline strings, booleans (``True``/``False``),
 numbers as written in the file (integral values without ``.0``), formulas by
-their cached value.  Date-styled numbers stay serial numbers.
+their cached value.  Numbers whose cell style is a date format become
+``YYYY-MM-DD HH:MM:SS`` text, time-only formats ``HH:MM:SS`` (1900 date
+system; the 1904 system is honoured when the workbook declares it).
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import io
 import re
 import zipfile
@@ -50,6 +53,69 @@ def _number_text(v: str) -> str:
     return v
 
 
+# Built-in number-format ids that display dates / times.
+_BUILTIN_DATE_IDS = set(range(14, 18)) | {22} | set(range(27, 37)) | set(range(50, 59))
+_BUILTIN_TIME_IDS = set(range(18, 22)) | {45, 46, 47}
+_QUOTED = re.compile(r'"[^"]*"|\[[^\]]*\]|\\.')
+
+
+def _format_kind(code: str) -> str | None:
+    """'date', 'time' or None for a custom number-format code."""
+    c = _QUOTED.sub("", code).lower()
+    if "general" in c:
+        return None
+    if "y" in c or "d" in c:
+        return "date"
+    if "h" in c or "s" in c:
+        return "time"
+    if "m" in c and "0" not in c and "#" not in c:
+        return "date"
+    return None
+
+
+def _style_kinds(z: zipfile.ZipFile) -> list[str | None]:
+    """Per cell-style index: 'date', 'time' or None."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ET.parse(z.open("xl/styles.xml")).getroot()
+    custom = {}
+    fmts = root.find(_NS + "numFmts")
+    if fmts is not None:
+        for f in fmts.findall(_NS + "numFmt"):
+            custom[int(f.get("numFmtId"))] = _format_kind(f.get("formatCode", ""))
+    kinds = []
+    xfs = root.find(_NS + "cellXfs")
+    for xf in (xfs.findall(_NS + "xf") if xfs is not None else []):
+        fid = int(xf.get("numFmtId", "0"))
+        if fid in custom:
+            kinds.append(custom[fid])
+        elif fid in _BUILTIN_DATE_IDS:
+            kinds.append("date")
+        elif fid in _BUILTIN_TIME_IDS:
+            kinds.append("time")
+        else:
+            kinds.append(None)
+    return kinds
+
+
+def _serial_text(v: str, kind: str, epoch: _dt.datetime) -> str:
+    try:
+        serial = float(v)
+    except ValueError:
+        return v
+    ts = epoch + _dt.timedelta(days=serial)
+    ts = (ts + _dt.timedelta(microseconds=500_000)).replace(microsecond=0)  # nearest second
+    return ts.strftime("%H:%M:%S") if kind == "time" else ts.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _epoch(z: zipfile.ZipFile) -> _dt.datetime:
+    wb = ET.parse(z.open("xl/workbook.xml")).getroot()
+    pr = wb.find(_NS + "workbookPr")
+    if pr is not None and pr.get("date1904") in ("1", "true"):
+        return _dt.datetime(1904, 1, 1)
+    return _dt.datetime(1899, 12, 30)
+
+
 def _first_sheet_path(z: zipfile.ZipFile) -> str:
     wb = ET.parse(z.open("xl/workbook.xml")).getroot()
     sheets = wb.find(_NS + "sheets")
@@ -85,6 +151,8 @@ def iter_rows(data: bytes):
     """Yields lists of cell texts (None for empty cells), header first."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = _shared_strings(z)
+    kinds = _style_kinds(z)
+    epoch = _epoch(z)
     sheet = _first_sheet_path(z)
     width = None
     for _, el in ET.iterparse(z.open(sheet)):
@@ -108,7 +176,11 @@ def iter_rows(data: bytes):
             elif t == "str":
                 val = v.text if v is not None else None
             else:
-                val = _number_text(v.text) if v is not None and v.text is not None else None
+                val = None
+                if v is not None and v.text is not None:
+                    style = int(c.get("s", "0"))
+                    kind = kinds[style] if style < len(kinds) else None
+                    val = _serial_text(v.text, kind, epoch) if kind else _number_text(v.text)
             cells[idx] = val
         el.clear()
         if not cells or all(x is None or x == "" for x in cells.values()):
@@ -118,28 +190,34 @@ def iter_rows(data: bytes):
         yield [cells.get(i) for i in range(max(width, max(cells) + 1))][: width]
 
 
+CHUNK_ROWS = 20_000
+
+
 def parse_workbooks(batches):
-    """``mapInPandas`` body: (path, content) -> CELLS_SCHEMA rows."""
+    """``mapInPandas`` body: (path, content) -> CELLS_SCHEMA rows, emitted in
+    chunks so a large sheet never sits in one pandas frame."""
     import pandas as pd
 
+    def frame(paths, idxs, vals, errs):
+        return pd.DataFrame({"path": paths, "row_idx": idxs, "values": vals, "error": errs})
+
     for b in batches:
-        paths, idxs, vals, errs = [], [], [], []
         for path, content in zip(b["path"], b["content"]):
+            n = 0
+            buf: list = []
             try:
-                rows = list(iter_rows(bytes(content)))
-                if not rows:
+                for r in iter_rows(bytes(content)):
+                    buf.append(r)
+                    n += 1
+                    if len(buf) >= CHUNK_ROWS:
+                        yield frame([path] * len(buf), list(range(n - len(buf), n)), buf, [None] * len(buf))
+                        buf = []
+                if n == 0:
                     raise ValueError("empty workbook")
-                for i, r in enumerate(rows):
-                    paths.append(path)
-                    idxs.append(i)
-                    vals.append(r)
-                    errs.append(None)
+                if buf:
+                    yield frame([path] * len(buf), list(range(n - len(buf), n)), buf, [None] * len(buf))
             except Exception as e:  # isolate the bad file
-                paths.append(path)
-                idxs.append(-1)
-                vals.append(None)
-                errs.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"path": paths, "row_idx": idxs, "values": vals, "error": errs})
+                yield frame([path], [-1], [None], [f"{type(e).__name__}: {e}"])
 
 
 def write_xlsx(path: str, rows: list[list]) -> None:
@@ -149,6 +227,9 @@ def write_xlsx(path: str, rows: list[list]) -> None:
     def cell(ref, v):
         if v is None:
             return ""
+        if isinstance(v, _dt.datetime):
+            serial = (v - _dt.datetime(1899, 12, 30)).total_seconds() / 86400
+            return f'<c r="{ref}" s="1"><v>{serial}</v></c>'
         if isinstance(v, bool):
             return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
         if isinstance(v, (int, float)):
@@ -177,7 +258,11 @@ def write_xlsx(path: str, rows: list[list]) -> None:
             f'<Relationships xmlns="{_PKG_REL[1:-1]}">'
             '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" '
             'Target="worksheets/sheet1.xml"/></Relationships>')
+    styles = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+              f'<styleSheet xmlns="{_NS[1:-1]}"><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy-mm-dd hh:mm"/>'
+              '</numFmts><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="164" applyNumberFormat="1"/></cellXfs></styleSheet>')
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/styles.xml", styles)
         z.writestr("xl/workbook.xml", workbook)
         z.writestr("xl/_rels/workbook.xml.rels", rels)
         z.writestr("xl/worksheets/sheet1.xml", sheet)

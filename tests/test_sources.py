@@ -86,3 +86,49 @@ def test_land_partitioned_layout(spark, scratch):
     assert os.path.isdir(os.path.join(root, "tipo=csv", "user_id=u1"))
     back = spark.read.parquet(root).filter("tipo = 'pdf'")
     assert rows(back, "nombre", "user_id") == [("b.pdf", "u2")]
+
+
+def test_quoted_newlines_and_bad_rows(spark, scratch):
+    write(os.path.join(scratch, "q.csv"), 'item_id,item_desc\n1,"two\nlines"\n2,plain\n')
+    write(os.path.join(scratch, "r.csv"), "item_id,quantity\n1,2\n3,4,5\n6\n")
+    df, manifest = src.read_delimited_auto(spark, scratch)
+    got = rows(df.select("source_file", "item_id", "item_desc").filter("source_file = 'q.csv'"))
+    assert got == [("q.csv", "1", "two\nlines"), ("q.csv", "2", "plain")]
+    bad = rows(src.bad_rows(df), "source_file", "extra")
+    assert bad == [("r.csv", "5")]
+    good = rows(df.filter("source_file = 'r.csv'").select("item_id", "quantity"))
+    assert ("1", "2") in good
+
+
+def test_workbook_dates(spark, scratch):
+    import datetime as dt
+
+    data = [["Item_ID", "Pub_Date", "Quantity"]] + [[f"{i:05d}", dt.datetime(2024, 1, 1 + i % 28, 8, 0), i] for i in range(30)]
+    write_xlsx(os.path.join(scratch, "w.xlsx"), data)
+    df, manifest = src.read_workbooks(spark, scratch)
+    got = rows(df, "item_id", "pub_date", "quantity")
+    assert len(got) == 30
+    assert got[0] == ("00000", "2024-01-01 08:00:00", "0")
+    assert got[29] == ("00029", "2024-01-02 08:00:00", "29")
+    assert [r["row"] for r in df.orderBy("_pos").select("_pos.row").collect()] == list(range(1, 31))
+
+
+def test_workbook_chunks_keep_row_order():
+    import datetime as dt
+
+    import pandas as pd
+
+    from palletwise.sources import workbook
+
+    path = os.path.join(__import__("tempfile").mkdtemp(dir="/tmp"), "c.xlsx")
+    write_xlsx(path, [["a"]] + [[i] for i in range(50)])
+    old = workbook.CHUNK_ROWS
+    workbook.CHUNK_ROWS = 7
+    try:
+        frames = list(workbook.parse_workbooks([pd.DataFrame({"path": [path], "content": [open(path, "rb").read()]})]))
+    finally:
+        workbook.CHUNK_ROWS = old
+    assert len(frames) == 8
+    allrows = pd.concat(frames)
+    assert list(allrows["row_idx"]) == list(range(51))
+    assert allrows["values"].iloc[-1] == ["49"]
