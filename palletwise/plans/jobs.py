@@ -25,7 +25,7 @@ from palletwise.operators.clean import c, clean_reference, require_columns, reso
 from palletwise.operators.rollups import item_rollup, pallet_rollup, po_header, po_lines, priced
 from palletwise.session import checkpoint_dir, stage
 from palletwise.sources import sinks
-from palletwise.sources.files import read_tabular
+from palletwise.sources.files import bad_rows, read_tabular
 
 ITEM_KEY = "_item_key"
 
@@ -73,7 +73,7 @@ def build_purchase_order(
 
     The consolidated rows are written once as Parquet in the shared
     checkpoint folder and every branch scans only the columns it needs.
-    Returns a dict of DataFrames: consolidated, manifest, item_rollup,
+    Returns a dict of DataFrames: consolidated, manifest, bad_rows, item_rollup,
     po_lines, po_header, comparison, unmatched_items, files_with_missing,
     summary.  With ``out_dir`` the item roll-up is also written as CSV and
     the PO lines as Parquet."""
@@ -90,7 +90,8 @@ def build_purchase_order(
     sinks.write_consolidated(rows, staged)
     consolidated = spark.read.parquet(staged)
 
-    out: dict[str, DataFrame] = {"consolidated": consolidated, "manifest": manifest}
+    out: dict[str, DataFrame] = {"consolidated": consolidated, "manifest": manifest,
+                                 "bad_rows": bad_rows(consolidated)}
     out["item_rollup"] = item_rollup(consolidated.drop(ITEM_KEY))
     out["po_lines"] = po_lines(pallet_rollup(consolidated, pct, strip_currency), per_page=per_page)
     out["po_header"] = po_header(spark, attrs, report_defaults=True)
