@@ -354,6 +354,11 @@ SELECT {POS_OUT}, item_id, us_price, quantity, item_desc, source_file FROM inv W
     q["files_pallet_rollup"] = q["pallet_rollup"]
     q["files_refresh_reference"] = q["dedupe_reference"]
 
+    q["currency_strict"] = with_(INV) + f"""
+SELECT {POS_OUT}, us_price AS price_text, CAST({ws("regexp_replace(us_price, '[$,]', '', 'g')")} AS DOUBLE) AS us_price FROM inv"""
+    q["line_numbers_bucketed"] = with_(INV, PALLETS) + """
+SELECT pallet_id, row_number() OVER (ORDER BY pallet_id) AS line_no FROM pallets"""
+
     return q
 
 

@@ -342,3 +342,20 @@ def files_refresh_reference(spark, sf):
     raw.write.option("header", True).csv(f"{root}/{views.REFERENCE_UPLOAD_NAME}")
     ref, _ = refresh_reference(spark, f"{root}/{views.REFERENCE_UPLOAD_NAME}")
     return ref
+
+
+# -- strict price parse and the scalable numbering path -----------------------
+
+@register("currency_strict")
+def currency_strict(spark, sf):
+    inv = views.inventory(spark, sf)
+    return inv.select(*pos_out(), F.col("us_price").alias("price_text"), C.currency_strict("us_price").alias("us_price"))
+
+
+@register("line_numbers_bucketed")
+def line_numbers_bucketed(spark, sf):
+    """Global pallet line numbers through the multi-range path (ranges of
+    at most 2,000 lines), which must equal one ordered window."""
+    pallets = rollups.pallet_rollup(views.inventory(spark, sf), PCT).select("pallet_id")
+    numbered, _ = rollups.number_lines(pallets, "pallet_id", rows_per_bucket=2000)
+    return numbered
