@@ -38,13 +38,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Taken from ``spark.checkpoint.dir`` when the cluster names one; only when
     it is unset (local tests) a scratch folder is created and registered.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext (e.g. remote)
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="palletwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -74,7 +78,10 @@ def spread(df, *keys: str, target: int | None = None):
     at least that many splits, are returned unchanged -- no extra shuffle at
     scale."""
     spark = df.sparkSession
-    want = target or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = target or spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= want:
+            return df
+    except Exception:  # no RDD view of the plan available: leave it alone
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
