@@ -52,8 +52,10 @@ def update_by_key(table: DataFrame, changes: DataFrame, key: str, pos: str | Non
 
 
 def delete_by_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Table without the rows whose key is listed."""
-    return table.join(keys.select(c(key)), key, "left_anti")
+    """Table without the rows whose key is listed.  The key list is
+    de-duplicated first (map-side), so a key repeated many times costs one
+    row per task in the join."""
+    return table.join(keys.select(c(key)).distinct(), key, "left_anti")
 
 
 def row_count(df: DataFrame) -> int:
