@@ -129,10 +129,17 @@ def sniff_head(raw: bytes) -> tuple[str | None, list[str] | None, str | None]:
     return sep, names, None
 
 
-def sniff(spark: SparkSession, paths) -> DataFrame:
-    """Per file: path, sep, header (normalised names), error.  Runs on the
-    executors; only the first 64 KB of each file is read."""
-    listing = list_files(spark, paths, recursive=True).select("path")
+def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
+    """Per file: path, sep, header (normalised names), multiline, error.
+    Runs on the executors; only the first 64 KB of each file is read.
+    ``listed=True`` means ``paths`` already are the files (no second
+    listing); they are spread over the cluster's default parallelism."""
+    if listed:
+        files = _as_paths(paths)
+        n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
+        listing = spark.createDataFrame([(p,) for p in files], "path string").repartition(n)
+    else:
+        listing = list_files(spark, paths, recursive=True).select("path")
 
     def run(batches):
         import pandas as pd
@@ -214,14 +221,14 @@ def consolidate(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def read_delimited_auto(spark: SparkSession, paths, on_layout=None) -> tuple[DataFrame | None, DataFrame]:
+def read_delimited_auto(spark: SparkSession, paths, on_layout=None, listed: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """Delimited files with sniffed delimiters and differing headers.
 
     Returns (consolidated rows or None, manifest).  The sniff result is one
     small row per file (path, delimiter, header); it is brought to the
     driver -- which needs the path list for the scans anyway -- and files
     are grouped by layout there.  Each layout is read with one scan."""
-    sniffed = sniff(spark, paths).collect()
+    sniffed = sniff(spark, paths, listed=listed).collect()
     manifest = spark.createDataFrame(
         [(r["path"].rsplit("/", 1)[-1], r["path"], r["error"] is None, r["error"]) for r in sniffed],
         MANIFEST_SCHEMA,
@@ -262,7 +269,7 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=No
         for i, n in enumerate(row["values"]):
             n = (n or "").strip().lower()
             names.append(n if n else f"unnamed: {i}")
-        groups[tuple(names)] = row["paths"]
+        groups.setdefault(tuple(names), []).extend(row["paths"])
     parts = []
     for names, ps in sorted(groups.items()):
         if len(set(names)) != len(names):
@@ -301,7 +308,7 @@ def read_tabular(spark: SparkSession, paths, allowed=("csv", "xlsx"), on_layout=
     frames, manifests = [], []
     rejected = [p for k, ps in kinds.items() if k not in allowed for p in ps]
     if "csv" in allowed and kinds.get("csv"):
-        d, m = read_delimited_auto(spark, kinds["csv"], on_layout=on_layout)
+        d, m = read_delimited_auto(spark, kinds["csv"], on_layout=on_layout, listed=True)
         frames.append(d)
         manifests.append(m)
     if "xlsx" in allowed and kinds.get("xlsx"):

@@ -132,3 +132,10 @@ def test_workbook_chunks_keep_row_order():
     allrows = pd.concat(frames)
     assert list(allrows["row_idx"]) == list(range(51))
     assert allrows["values"].iloc[-1] == ["49"]
+
+
+def test_workbooks_with_equivalent_headers_share_a_layout(spark, scratch):
+    write_xlsx(os.path.join(scratch, "a.xlsx"), [["Item_ID", "Qty"], ["1", 2]])
+    write_xlsx(os.path.join(scratch, "b.xlsx"), [[" item_id ", "QTY"], ["3", 4]])
+    df, _ = src.read_workbooks(spark, scratch)
+    assert rows(df, "source_file", "item_id", "qty") == [("a.xlsx", "1", "2"), ("b.xlsx", "3", "4")]
