@@ -38,6 +38,7 @@ from palletwise.functions.constants import NA_TOKENS, SNIFF_CHARS
 from palletwise.session import stage
 
 SNIFF_BYTES = 64 * 1024
+SNIFF_FILES_PER_TASK = 64
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()),
@@ -133,11 +134,13 @@ def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
     """Per file: path, sep, header (normalised names), multiline, error.
     Runs on the executors; only the first 64 KB of each file is read.
     ``listed=True`` means ``paths`` already are the files (no second
-    listing); they are spread over the cluster's default parallelism."""
+    listing); they are cut into tasks of about ``SNIFF_FILES_PER_TASK``
+    files (one short remote read each)."""
     if listed:
         files = _as_paths(paths)
-        n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
-        listing = spark.createDataFrame([(p,) for p in files], "path string").repartition(n)
+        n = max(1, min(-(-len(files) // SNIFF_FILES_PER_TASK), spark.sparkContext.defaultParallelism * 4))
+        listing = spark.createDataFrame([(p,) for p in files], "path string")
+        listing = listing.repartition(n) if n > 1 else listing.coalesce(1)
     else:
         listing = list_files(spark, paths, recursive=True).select("path")
 
