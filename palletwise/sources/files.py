@@ -39,6 +39,7 @@ from palletwise.session import stage
 
 SNIFF_BYTES = 64 * 1024
 SNIFF_FILES_PER_TASK = 64
+MAX_HEADER_BYTES = 16 * 1024 * 1024  # a header row longer than this is an error
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()),
@@ -153,6 +154,11 @@ def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
                 multi = False
                 try:
                     head = _open_head(p, SNIFF_BYTES)
+                    if len(head) == SNIFF_BYTES and b"\n" not in head:
+                        # the header row is longer than the sample: read on to its end
+                        head = _open_head(p, MAX_HEADER_BYTES)
+                        if len(head) == MAX_HEADER_BYTES and b"\n" not in head:
+                            raise ValueError("header row longer than 16 MB")
                     sep, header, err = sniff_head(head)
                     if err is None:
                         multi = has_quoted_newline(head.decode("utf-8", "ignore"), sep)

@@ -139,3 +139,12 @@ def test_workbooks_with_equivalent_headers_share_a_layout(spark, scratch):
     write_xlsx(os.path.join(scratch, "b.xlsx"), [[" item_id ", "QTY"], ["3", 4]])
     df, _ = src.read_workbooks(spark, scratch)
     assert rows(df, "source_file", "item_id", "qty") == [("a.xlsx", "1", "2"), ("b.xlsx", "3", "4")]
+
+
+def test_wide_header_beyond_sample(spark, scratch):
+    cols = [f"column_number_{i:05d}" for i in range(5000)]  # ~100 KB header row
+    write(os.path.join(scratch, "wide.csv"), ",".join(cols) + "\n" + ",".join(str(i) for i in range(5000)) + "\n")
+    df, manifest = src.read_delimited_auto(spark, scratch)
+    assert manifest.first()["success"]
+    r = df.select("column_number_00000", "column_number_04999").first()
+    assert (r[0], r[1]) == ("0", "4999")
