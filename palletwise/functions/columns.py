@@ -23,6 +23,8 @@ __all__ = [
     "as_col",
     "strip_ws",
     "null_tokens",
+    "null_tokens_sql",
+    "quote_name",
     "to_number",
     "currency_to_number",
     "currency_strict",
@@ -75,6 +77,18 @@ def null_tokens(c: Column | str, tokens=NA_TOKENS) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
+def quote_name(name: str) -> str:
+    """Back-quoted identifier for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def null_tokens_sql(expr: str, alias: str, tokens=NA_TOKENS) -> str:
+    """``null_tokens`` as SQL text, for projections over hundreds of columns
+    (one ``selectExpr`` call instead of several JVM calls per column)."""
+    toks = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tokens)
+    return f"CASE WHEN {expr} IN ({toks}) THEN NULL ELSE {expr} END AS {quote_name(alias)}"
+
+
 def to_number(c: Column | str) -> Column:
     """Lenient numeric coercion: number-like text -> double, anything else -> 0.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palletwise.functions.columns import null_tokens
+from palletwise.functions.columns import null_tokens_sql, quote_name
 from palletwise.functions.constants import NA_TOKENS, SNIFF_CHARS
 from palletwise.session import stage
 
@@ -207,8 +207,8 @@ def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str]
         r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(OVERFLOW, T.StringType())]))
     df = r.csv(_as_paths(paths))
     data = [x for x in df.columns if x != OVERFLOW]
-    keep = [F.col(OVERFLOW)] if OVERFLOW in df.columns else []
-    df = df.select(*[null_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in data], *keep, F.col("_metadata"))
+    keep = [quote_name(OVERFLOW)] if OVERFLOW in df.columns else []
+    df = df.selectExpr(*[null_tokens_sql(quote_name(c), c, na_tokens) for c in data], *keep, "_metadata")
     return with_position(df).drop("_metadata")
 
 
@@ -285,14 +285,10 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=No
             continue  # reported below as a layout error
         body = cells.filter((F.col("row_idx") > 0) & F.col("path").isin(ps))
         parts.append(
-            body.select(
-                *[null_tokens(F.col("values")[i], na_tokens).alias(n) for i, n in enumerate(names)],
-                F.element_at(F.split("path", "/"), -1).alias("source_file"),
-                F.struct(
-                    F.element_at(F.split("path", "/"), -1).alias("file"),
-                    F.lit(0).cast("long").alias("block"),
-                    F.col("row_idx").alias("row"),
-                ).alias("_pos"),
+            body.selectExpr(
+                *[null_tokens_sql(f"`values`[{i}]", n, na_tokens) for i, n in enumerate(names)],
+                "element_at(split(path, '/'), -1) AS source_file",
+                "named_struct('file', element_at(split(path, '/'), -1), 'block', CAST(0 AS BIGINT), 'row', row_idx) AS _pos",
             )
         )
     dup_paths = [p for names, ps in groups.items() if len(set(names)) != len(names) for p in ps]

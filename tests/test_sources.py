@@ -142,9 +142,9 @@ def test_workbooks_with_equivalent_headers_share_a_layout(spark, scratch):
 
 
 def test_wide_header_beyond_sample(spark, scratch):
-    cols = [f"column_number_{i:05d}" for i in range(5000)]  # ~100 KB header row
-    write(os.path.join(scratch, "wide.csv"), ",".join(cols) + "\n" + ",".join(str(i) for i in range(5000)) + "\n")
+    cols = [f"column_{i:04d}_" + "x" * 40 for i in range(1500)]  # ~70 KB header row
+    write(os.path.join(scratch, "wide.csv"), ",".join(cols) + "\n" + ",".join(str(i) for i in range(1500)) + "\n")
     df, manifest = src.read_delimited_auto(spark, scratch)
     assert manifest.first()["success"]
-    r = df.select("column_number_00000", "column_number_04999").first()
-    assert (r[0], r[1]) == ("0", "4999")
+    r = df.select(cols[0], cols[-1]).first()
+    assert (r[0], r[1]) == ("0", "1499")
