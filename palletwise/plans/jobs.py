@@ -108,13 +108,16 @@ def build_purchase_order(
     return out
 
 
-def refresh_reference(spark: SparkSession, path: str, table_root: str | None = None) -> tuple[DataFrame, int]:
+def refresh_reference(spark: SparkSession, path: str, table_root: str | None = None,
+                      user_id: str | None = None) -> tuple[DataFrame, int]:
     """Replace the reference catalogue from one .csv/.xlsx file.
 
     Headers normalised, ``no.``/``description`` required, blanks dropped,
     first row per key kept, values cut to 100/500/255 characters.  With
     ``table_root`` the rows replace the table there (versioned, atomic).
-    Returns (rows, number of rows)."""
+    With ``user_id`` the rows carry that user and only that user's rows are
+    replaced; other users' rows are carried into the new version unchanged.
+    Returns (rows, number of rows) -- the rows of this refresh."""
     name = os.path.basename(path.rstrip("/"))
     ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if not name or ext not in JOB_EXTENSIONS:
@@ -124,9 +127,19 @@ def refresh_reference(spark: SparkSession, path: str, table_root: str | None = N
     if rows is None or bad:
         raise ValueError(bad[0]["error"] if bad else "empty file")
     ref = clean_reference(rows, name)
+    if user_id is not None:
+        ref = ref.withColumn("user_id", F.lit(str(user_id)))
     if table_root:
-        sinks.replace_table(ref, table_root, spark)
+        new = ref
+        if user_id is not None and sinks.table_exists(spark, table_root):
+            current = sinks.read_table(spark, table_root)
+            if "user_id" in current.columns:
+                others = current.filter(F.col("user_id").isNull() | (F.col("user_id") != F.lit(str(user_id))))
+                new = others.unionByName(ref, allowMissingColumns=True)
+        sinks.replace_table(new, table_root, spark)
         ref = sinks.read_table(spark, table_root)
+        if user_id is not None:
+            ref = ref.filter(F.col("user_id") == F.lit(str(user_id)))
     return ref, ref.count()
 
 

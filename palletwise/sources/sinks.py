@@ -50,16 +50,33 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _committed(spark: SparkSession, root: str, version: str) -> bool:
+    fs, p = _fs(spark, f"{root.rstrip('/')}/{version}/_SUCCESS")
+    return bool(fs.exists(p))
+
+
 def _read_pointer(spark: SparkSession, root: str) -> str | None:
+    """The current version: the pointer's version when it names a committed
+    folder, else the greatest committed ``v...`` folder (so a reader never
+    depends on the moment the pointer is being switched)."""
     fs, p = _fs(spark, root.rstrip("/") + "/" + _POINTER)
-    if not fs.exists(p):
+    if fs.exists(p):
+        stream = fs.open(p)
+        try:
+            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            version = reader.readLine()
+        finally:
+            stream.close()
+        if version and _committed(spark, root, version):
+            return version
+    fs, r = _fs(spark, root)
+    if not fs.exists(r):
         return None
-    stream = fs.open(p)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine()
-    finally:
-        stream.close()
+    versions = sorted(
+        (st.getPath().getName() for st in fs.listStatus(r) if st.isDirectory() and st.getPath().getName().startswith("v")),
+        reverse=True,
+    )
+    return next((v for v in versions if _committed(spark, root, v)), None)
 
 
 def _write_pointer(spark: SparkSession, root: str, version: str) -> None:
@@ -75,6 +92,11 @@ def _write_pointer(spark: SparkSession, root: str, version: str) -> None:
     fs.rename(tmp, final)
 
 
+def table_exists(spark: SparkSession, root: str) -> bool:
+    """Whether a versioned table has a current version at ``root``."""
+    return _read_pointer(spark, root) is not None
+
+
 def replace_table(df: DataFrame, root: str, spark: SparkSession | None = None) -> str:
     """Replace the whole content of the table at ``root``.
 

@@ -61,3 +61,20 @@ def test_refresh_reference_replaces_table(spark, scratch):
         fh.write("no.;description\n7;Seven\n")
     ref2, n2 = jobs.refresh_reference(spark, path, table)
     assert n2 == 1 and rows(ref2) == [("7", "Seven", "Ref_List.csv")]
+
+
+def test_refresh_reference_per_user(spark, scratch):
+    table = os.path.join(scratch, "item_reference")
+    a = os.path.join(scratch, "a.csv")
+    with open(a, "w") as fh:
+        fh.write("No.,Description\n1,One\n2,Two\n")
+    b = os.path.join(scratch, "b.csv")
+    with open(b, "w") as fh:
+        fh.write("No.;Description\n9;Nine\n")
+    jobs.refresh_reference(spark, a, table, user_id="u1")
+    jobs.refresh_reference(spark, b, table, user_id="u2")
+    _, n = jobs.refresh_reference(spark, b, table, user_id="u1")
+    from palletwise.sources import sinks
+
+    got = rows(sinks.read_table(spark, table), "user_id", "item_number")
+    assert got == [("u1", "9"), ("u2", "9")] and n == 1

@@ -148,3 +148,11 @@ def test_wide_header_beyond_sample(spark, scratch):
     assert manifest.first()["success"]
     r = df.select(cols[0], cols[-1]).first()
     assert (r[0], r[1]) == ("0", "1499")
+
+
+def test_versioned_table_without_pointer_uses_latest_committed(spark, scratch):
+    root = os.path.join(scratch, "t")
+    sinks.replace_table(spark.createDataFrame([("1",)], "k string"), root)
+    sinks.replace_table(spark.createDataFrame([("2",)], "k string"), root)
+    os.remove(os.path.join(root, "_CURRENT"))  # as if a reader arrived mid-switch
+    assert rows(sinks.read_table(spark, root)) == [("2",)]
