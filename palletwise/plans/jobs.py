@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from palletwise.functions.constants import INVENTORY_REQUIRED, JOB_EXTENSIONS
 from palletwise.operators import compare
 from palletwise.operators.clean import c, clean_reference, require_columns, resolve_id_column
 from palletwise.operators.rollups import item_rollup, pallet_rollup, po_header, po_lines, priced
-from palletwise.session import checkpoint_dir, stage
+from palletwise.session import scratch_path, stage
 from palletwise.sources import sinks
 from palletwise.sources.files import bad_rows, read_tabular
 
@@ -45,11 +44,6 @@ def check_percent(pct) -> float:
         raise ValueError("discount rate must be numeric") from None
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _key_of_layout(df: DataFrame) -> DataFrame:
     """The item id of each row, taken from the id column of *its* file's
     layout (item_id, else the first column named no., item_number or
@@ -86,7 +80,7 @@ def build_purchase_order(
         "stored_name",
         F.when(F.col("success"), stamped_name(safe_name(file_base("source_file")), stamp, file_ext("source_file"))),
     )
-    staged = _scratch(spark, "consolidated")
+    staged = scratch_path(spark, "consolidated")
     sinks.write_consolidated(rows, staged)
     consolidated = spark.read.parquet(staged)
 

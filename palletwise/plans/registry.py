@@ -7,18 +7,19 @@ carry the same names as the matching DuckDB statement in
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import datetime as _dt
-
 from palletwise.functions import columns as C
 from palletwise.functions.constants import JOB_EXTENSIONS
 from palletwise.operators import catalogue, clean, compare, rollups, tables
-from palletwise.plans import views
+from palletwise.plans import jobs, views
 from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, UPLOAD_STAMP
+from palletwise.session import scratch_path
+from palletwise.sources import files
 
 def pos_out():
     return [F.col("_pos")[f].alias(f) for f in POS_FIELDS]
@@ -57,10 +58,8 @@ def currency_clean(spark, sf):
 
 @register("extend_prices")
 def extend_prices(spark, sf):
-    from palletwise.plans.jobs import extend_prices as job
-
     inv = views.inventory(spark, sf).select("_pos", "pallet_id", "item_id", "us_price", "quantity")
-    return job(inv, PCT).select(*pos_out(), "pallet_id", "item_id", "quantity", "us_price", "extended_retail", "extended_percent")
+    return jobs.extend_prices(inv, PCT).select(*pos_out(), "pallet_id", "item_id", "quantity", "us_price", "extended_retail", "extended_percent")
 
 
 @register("item_id_format")
@@ -263,8 +262,6 @@ def admit_files(spark, sf):
 
 @register("consolidate")
 def consolidate_q(spark, sf):
-    from palletwise.sources.files import consolidate
-
     inv = views.inventory(spark, sf).select(F.col("*"), *[F.col("_pos")[f].alias(f) for f in POS_FIELDS]).drop("_pos")
     pos = list(POS_FIELDS)
     a = inv.filter(F.col("source_file").startswith("file_A")).select(*pos, "item_id", "quantity", "pallet_id", "source_file")
@@ -272,7 +269,7 @@ def consolidate_q(spark, sf):
         *pos, "quantity", "item_id", "series_desc", F.lit("x").alias("extra"), "source_file")
     r = inv.filter(F.col("source_file").startswith("file_R")).select(
         *pos, "item_id", "us_price", "quantity", "item_desc", "source_file")
-    return consolidate([a, n, r])
+    return files.consolidate([a, n, r])
 
 
 # -- file round trips: the same data through the real file sources -----------
@@ -287,10 +284,7 @@ INV_COLS = ["series_desc", "pallet_id", "item_id", "item_desc", "us_price", "qua
 
 
 def _export_inventory(spark, sf) -> str:
-    from palletwise.session import checkpoint_dir
-    import uuid
-
-    root = f"{checkpoint_dir(spark).rstrip('/')}/uploads-{uuid.uuid4().hex[:12]}"
+    root = scratch_path(spark, "uploads")
     inv = views.inventory(spark, sf)
     n_side = F.col("source_file").startswith("file_N")
     inv.filter(n_side).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(f"{root}/layout_a")
@@ -302,45 +296,32 @@ def _export_inventory(spark, sf) -> str:
 
 @register("files_consolidate")
 def files_consolidate(spark, sf):
-    from palletwise.sources.files import read_tabular
-
-    rows, _ = read_tabular(spark, _export_inventory(spark, sf))
+    rows, _ = files.read_tabular(spark, _export_inventory(spark, sf))
     return rows.select(*INV_COLS)
 
 
 @register("files_item_rollup")
 def files_item_rollup(spark, sf):
-    from palletwise.sources.files import read_tabular
-
-    rows, _ = read_tabular(spark, _export_inventory(spark, sf))
+    rows, _ = files.read_tabular(spark, _export_inventory(spark, sf))
     return rollups.item_rollup(rows)
 
 
 @register("files_pallet_rollup")
 def files_pallet_rollup(spark, sf):
-    from palletwise.sources.files import read_tabular
-
     # one layout only, so the file order is the row order of the view
-    from palletwise.session import checkpoint_dir
-    import uuid
-
-    root = f"{checkpoint_dir(spark).rstrip('/')}/uploads-{uuid.uuid4().hex[:12]}"
+    root = scratch_path(spark, "uploads")
     views.inventory(spark, sf).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(root)
-    rows, _ = read_tabular(spark, root)
+    rows, _ = files.read_tabular(spark, root)
     return rollups.pallet_rollup(rows, PCT)
 
 
 @register("files_refresh_reference")
 def files_refresh_reference(spark, sf):
-    from palletwise.plans.jobs import refresh_reference
-    from palletwise.session import checkpoint_dir
-    import uuid
-
-    root = f"{checkpoint_dir(spark).rstrip('/')}/reference-{uuid.uuid4().hex[:12]}"
+    root = scratch_path(spark, "reference")
     raw = views.reference_upload(spark, sf).orderBy("_pos").select(
         F.col("`no.`").alias(" No. "), F.col("description").alias("Description"))
     raw.write.option("header", True).csv(f"{root}/{views.REFERENCE_UPLOAD_NAME}")
-    ref, _ = refresh_reference(spark, f"{root}/{views.REFERENCE_UPLOAD_NAME}")
+    ref, _ = jobs.refresh_reference(spark, f"{root}/{views.REFERENCE_UPLOAD_NAME}")
     return ref
 
 

@@ -53,6 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh, unique folder name under the shared checkpoint folder."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
+
+
 def stage(df, name: str = "stage"):
     """Cut lineage by writing ``df`` as Parquet into the shared checkpoint
     folder and reading it back.
@@ -60,10 +67,8 @@ def stage(df, name: str = "stage"):
     Columnar and compressed (cheaper than an RDD checkpoint), survives the
     loss of executors, and every later job over the result sees exactly the
     same rows.  The folder is unique per call."""
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
+    path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
