@@ -90,3 +90,24 @@ def spread(df, *keys: str, target: int | None = None):
     except Exception:  # no RDD view of the plan available: leave it alone
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized for an input of ``input_bytes`` on a cluster
+    with ``total_cores`` task slots.
+
+    Shuffle partitions are sized so that, before AQE coalescing, a partition
+    holds about ``target_partition_bytes`` even if the shuffle moved the whole
+    input (the roll-ups move far less after their map-side combine), and never
+    fewer than 2x the slots.  AQE then coalesces small partitions towards the
+    advisory size and splits skewed join partitions."""
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(min(512 << 20, max(64 << 20, target_partition_bytes))),
+        "spark.sql.session.timeZone": "UTC",
+    }

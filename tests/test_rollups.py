@@ -98,3 +98,13 @@ def test_po_header_defaults(spark):
     assert h["purchase_info"] == "N/A" and h["company_name"] == ""
     h2 = rollups.po_header(spark, {}).first()
     assert h2["purchase_info"] == "" and h2["order_date"] == "N/A"
+
+
+def test_recommended_conf_scales_with_input():
+    from palletwise.session import recommended_conf
+
+    small = recommended_conf(10 << 20, 8)
+    big = recommended_conf(100 << 40, 8000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert big["spark.sql.adaptive.enabled"] == "true"
