@@ -97,11 +97,13 @@ def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes:
     with ``total_cores`` task slots.
 
     Shuffle partitions are sized so that, before AQE coalescing, a partition
-    holds about ``target_partition_bytes`` even if the shuffle moved the whole
-    input (the roll-ups move far less after their map-side combine), and never
-    fewer than 2x the slots.  AQE then coalesces small partitions towards the
-    advisory size and splits skewed join partitions."""
-    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    holds about ``target_partition_bytes`` if the shuffle moved the whole
+    input (the roll-ups move far less after their map-side combine), kept
+    between 2x and 8x the slots: more reduce partitions than that mostly grows
+    the map-output bookkeeping on the driver (map tasks x reduce partitions).
+    AQE then coalesces small partitions towards the advisory size and splits
+    skewed join partitions."""
+    parts = min(8 * total_cores, max(2 * total_cores, -(-input_bytes // target_partition_bytes)))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -106,5 +106,5 @@ def test_recommended_conf_scales_with_input():
     small = recommended_conf(10 << 20, 8)
     big = recommended_conf(100 << 40, 8000)
     assert small["spark.sql.shuffle.partitions"] == "16"
-    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert int(big["spark.sql.shuffle.partitions"]) == 64000
     assert big["spark.sql.adaptive.enabled"] == "true"
