@@ -141,20 +141,24 @@ def reference_items(ref: DataFrame, user_id=None) -> DataFrame:
 
 
 def upload_manifest(files: DataFrame, user_id: str, now: _dt.datetime | None = None,
-                    name_col: str = "filename") -> DataFrame:
+                    name_col: str = "filename", stamp_col: str | None = None) -> DataFrame:
     """Per uploaded file: success, stored name, safe original name,
     destination path and error text.
 
     A file is accepted when its name is non-empty and its extension (case
     insensitive) is .xlsx or .xls.  The stored name is
-    ``<safe base>_<YYYYMMDD_HHMMSS_ffffff><ext>`` with one stamp per run."""
-    stamp = run_stamp(now or _dt.datetime.now(), micros=True)
+    ``<safe base>_<YYYYMMDD_HHMMSS_ffffff><ext>`` with one stamp per run, or
+    per file from the timestamp column ``stamp_col`` (streams)."""
+    if stamp_col:
+        stamp = F.date_format(F.col(stamp_col), "yyyyMMdd_HHmmss_SSSSSS")
+    else:
+        stamp = F.lit(run_stamp(now or _dt.datetime.now(), micros=True))
     name = F.col(name_col)
     _, ext = split_ext(name)
     ext = F.lower(ext)
     safe = safe_name(name)
     safe_root, _ = split_ext(safe)
-    stored = F.concat(safe_root, F.lit("_" + stamp), ext)
+    stored = F.concat(safe_root, F.lit("_"), stamp, ext)
     ok = name.isNotNull() & (name != "") & ext.isin(*UPLOAD_EXTENSIONS)
     error = (
         F.when(name.isNull() | (name == ""), F.lit("empty file name"))

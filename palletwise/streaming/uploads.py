@@ -15,8 +15,11 @@ from pyspark.sql import types as T
 
 from palletwise.functions.columns import exact_sum, extended_percent, null_tokens, currency_to_number, to_number
 from palletwise.functions.constants import INVENTORY_REQUIRED
+from palletwise.operators.catalogue import upload_manifest
 from palletwise.operators.rollups import item_rollup
 
+LANDING_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def inventory_stream(spark: SparkSession, landing: str, sep: str = ",", columns=INVENTORY_REQUIRED,
                      max_files_per_trigger: int | None = None) -> DataFrame:
@@ -49,14 +52,26 @@ def running_pallet_totals(stream: DataFrame, pct: float) -> DataFrame:
     )
 
 
+def landing_manifest(spark: SparkSession, landing: str, user_id: str) -> DataFrame:
+    """Upload manifest rows for files as they land (stateless, append-only):
+    each file is stamped with its own modification time.  File contents are
+    not read."""
+    files = spark.readStream.format("binaryFile").schema(LANDING_SCHEMA).load(landing)
+    names = files.select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "modificationTime"
+    )
+    return upload_manifest(names, user_id, stamp_col="modificationTime")
+
+
 def start(result: DataFrame, checkpoint: str, sink=None, query_name: str | None = None,
-          available_now: bool = True):
-    """Run a running roll-up.  ``sink(batch_df, epoch)`` receives the complete
-    current result each trigger (e.g. ``lambda d, e: replace_table(d, root)``);
-    without a sink the result goes to an in-memory table ``query_name``
-    (tests, notebooks).  ``available_now`` processes what has landed and
-    stops."""
-    w = result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+          available_now: bool = True, output_mode: str = "complete"):
+    """Run a streaming result.  Roll-ups use ``complete`` mode: ``sink(batch_df,
+    epoch)`` receives the complete current result each trigger (e.g.
+    ``lambda d, e: replace_table(d, root)``).  Stateless results such as the
+    landing manifest use ``append``.  Without a sink the result goes to an
+    in-memory table ``query_name`` (tests, notebooks).  ``available_now``
+    processes what has landed and stops."""
+    w = result.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     if sink is not None:

@@ -34,3 +34,27 @@ def test_running_rollups_equal_batch(spark, scratch):
     pt.awaitTermination()
     batch = rollups.pallet_rollup(inv, 20).select("pallet_id", "quantity", "extended_percent")
     assert rows(spark.table("pallets_rt")) == rows(batch)
+
+
+def test_landing_manifest_appends_new_files(spark, scratch):
+    land = os.path.join(scratch, "land")
+    os.makedirs(land)
+    for n in ("A b.XLSX", "x.pdf"):
+        with open(os.path.join(land, n), "w") as fh:
+            fh.write("x")
+    ck = os.path.join(scratch, "ck-m")
+    out = os.path.join(scratch, "manifest")
+
+    def sink(batch, epoch):
+        batch.write.mode("append").parquet(out)
+
+    q = streaming.start(streaming.landing_manifest(spark, land, "u1"), ck, sink=sink, output_mode="append")
+    q.awaitTermination()
+    got = {r["filename"]: r for r in spark.read.parquet(out).collect()}
+    assert got["A b.XLSX"]["success"] and got["A b.XLSX"]["stored_name"].startswith("A_b_")
+    assert got["A b.XLSX"]["stored_name"].endswith(".xlsx") and not got["x.pdf"]["success"]
+    with open(os.path.join(land, "old.xls"), "w") as fh:
+        fh.write("y")
+    q2 = streaming.start(streaming.landing_manifest(spark, land, "u1"), ck, sink=sink, output_mode="append")
+    q2.awaitTermination()
+    assert sorted(r["filename"] for r in spark.read.parquet(out).collect()) == ["A b.XLSX", "old.xls", "x.pdf"]
