@@ -69,7 +69,9 @@ def start(result: DataFrame, checkpoint: str, sink=None, query_name: str | None
     epoch)`` receives the complete current result each trigger (e.g.
     ``lambda d, e: replace_table(d, root)``).  Stateless results such as the
     landing manifest use ``append``.  Without a sink the result goes to an
-    in-memory table ``query_name`` (tests, notebooks).  ``available_now``
+    in-memory table ``query_name`` (tests, notebooks).  For append results
+    keep the sink idempotent -- e.g. overwrite ``<out>/epoch=<epoch>`` -- so a
+    batch replayed after a failure does not write twice.  ``available_now``
     processes what has landed and stops."""
     w = result.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if available_now:

@@ -45,8 +45,8 @@ def test_landing_manifest_appends_new_files(spark, scratch):
     ck = os.path.join(scratch, "ck-m")
     out = os.path.join(scratch, "manifest")
 
-    def sink(batch, epoch):
-        batch.write.mode("append").parquet(out)
+    def sink(batch, epoch):  # idempotent: a retried epoch rewrites its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = streaming.start(streaming.landing_manifest(spark, land, "u1"), ck, sink=sink, output_mode="append")
     q.awaitTermination()
