@@ -108,3 +108,10 @@ def test_recommended_conf_scales_with_input():
     assert small["spark.sql.shuffle.partitions"] == "16"
     assert int(big["spark.sql.shuffle.partitions"]) == 64000
     assert big["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_po_lines_exactly_one_full_page(spark):
+    data = [("d", "P%02d" % i, "1", "d", "1", "1", "f", i) for i in range(23)]
+    lines = rollups.po_lines(rollups.pallet_rollup(spark.createDataFrame(data, INV_SCHEMA), 100)).collect()
+    assert {r["pages"] for r in lines} == {1} and {r["page"] for r in lines} == {1}
+    assert max(r["line_no"] or 0 for r in lines) == 23
