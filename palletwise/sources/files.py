@@ -261,7 +261,18 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=No
     from palletwise.sources.workbook import CELLS_SCHEMA, parse_workbooks
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_as_paths(paths))
-    cells = stage(raw.select("path", "content").mapInPandas(parse_workbooks, CELLS_SCHEMA), "cells")
+    # each input row is a whole workbook: hand them to Python one at a time
+    # (the parse is staged eagerly, so the setting is scoped to this job)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    previous = spark.conf.get(key, None)
+    spark.conf.set(key, "1")
+    try:
+        cells = stage(raw.select("path", "content").mapInPandas(parse_workbooks, CELLS_SCHEMA), "cells")
+    finally:
+        if previous is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, previous)
     manifest = (
         cells.filter(F.col("row_idx") <= 0)
         .select(
