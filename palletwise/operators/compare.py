@@ -45,14 +45,24 @@ def reference_keys(ref: DataFrame, col: str = "item_number") -> DataFrame:
     )
 
 
-def compare_items(items: DataFrame, ref: DataFrame) -> DataFrame:
+def _keys(ref: DataFrame | None, keys: DataFrame | None) -> DataFrame:
+    """Reference keys, computed from ``ref`` unless given (a job computes
+    them once and passes them to every comparison output)."""
+    if keys is not None:
+        return keys
+    if ref is None:
+        raise ValueError("either ref or keys is required")
+    return reference_keys(ref)
+
+
+def compare_items(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Row-level comparison per distinct processed id.
 
     item_id, norm, exact, normalised, is_matched (= normalised, since an
     exact match implies a flexible one), matched_with (the exact reference
     id, else the smallest reference id with the same stripped key)."""
     pids = items.select("item_id").distinct().withColumn("norm", strip_zeros("item_id"))
-    keys = reference_keys(ref)
+    keys = _keys(ref, keys)
     j = pids.join(keys, "norm", "left")
     exact = F.coalesce(F.array_contains("variants", F.col("item_id")), F.lit(False))
     return j.select(
@@ -77,10 +87,10 @@ def normalised_matches(items: DataFrame, ref: DataFrame) -> DataFrame:
     return pn.join(reference_keys(ref).select("norm"), "norm", "left_semi")
 
 
-def unmatched_ids(items: DataFrame, ref: DataFrame) -> DataFrame:
+def unmatched_ids(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Processed ids matching neither exactly nor without leading zeros."""
     pids = items.select("item_id").distinct().withColumn("norm", strip_zeros("item_id"))
-    return pids.join(reference_keys(ref).select("norm"), "norm", "left_anti").select("item_id")
+    return pids.join(_keys(ref, keys).select("norm"), "norm", "left_anti").select("item_id")
 
 
 def item_files(items: DataFrame) -> DataFrame:
@@ -89,19 +99,19 @@ def item_files(items: DataFrame) -> DataFrame:
     return items.groupBy("item_id").agg(F.array_sort(F.collect_set("source_file")).alias("source_files"))
 
 
-def unmatched_items(items: DataFrame, ref: DataFrame) -> DataFrame:
+def unmatched_items(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Unmatched ids with their source files: files are gathered per id
     first (one aggregate over the distinct pairs), then one anti-join on the
     stripped key keeps the unmatched ids."""
-    keys = reference_keys(ref).select("norm")
+    keys = _keys(ref, keys).select("norm")
     per_item = item_files(items).withColumn("norm", strip_zeros("item_id"))
     return per_item.join(keys, "norm", "left_anti").select("item_id", "source_files")
 
 
-def files_with_missing(items: DataFrame, ref: DataFrame) -> DataFrame:
+def files_with_missing(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Distinct files holding at least one unmatched id (one anti-join on
     the stripped key, then a distinct of the file names)."""
-    keys = reference_keys(ref).select("norm")
+    keys = _keys(ref, keys).select("norm")
     return (
         items.withColumn("norm", strip_zeros("item_id"))
         .join(keys, "norm", "left_anti")
@@ -110,7 +120,7 @@ def files_with_missing(items: DataFrame, ref: DataFrame) -> DataFrame:
     )
 
 
-def comparison_summary(items: DataFrame, ref: DataFrame) -> DataFrame:
+def comparison_summary(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """One row: total_reference_items, total_processed_items, exact_matches,
     normalized_matches, matched_items_count, unmatched_count,
     zero_padding_issues, match_percentage.
@@ -118,8 +128,11 @@ def comparison_summary(items: DataFrame, ref: DataFrame) -> DataFrame:
     Two combinable aggregates instead of distinct counts: per stripped key
     (all ids of a key share its flexible-match flag), then over keys.  The
     reference count rides along as extra rows of the same aggregate, so no
-    join is needed between the two sides."""
-    per_norm = compare_items(items, ref).groupBy("norm").agg(
+    join is needed between the two sides.  The reference count is the
+    number of padded variants over all keys (each distinct id is the variant
+    of exactly one key), so the reference is read once."""
+    keys = _keys(ref, keys)
+    per_norm = compare_items(items, keys=keys).groupBy("norm").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("exact").alias("n_exact"),
         F.max("normalised").alias("hit"),
@@ -129,8 +142,8 @@ def comparison_summary(items: DataFrame, ref: DataFrame) -> DataFrame:
         F.col("hit").cast("int").alias("hit"), F.col("exact_hit").cast("int").alias("exact_hit"),
         F.when(~F.col("hit"), F.col("n")).otherwise(F.lit(0)).alias("n_unmatched"),
     )
-    refs = reference_ids(ref).select(
-        F.lit(1).cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_exact"),
+    refs = keys.select(
+        F.size("variants").cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_exact"),
         F.lit(0).alias("hit"), F.lit(0).alias("exact_hit"), F.lit(0).cast("long").alias("n_unmatched"),
     )
     s = per_norm.unionByName(refs).agg(

@@ -90,11 +90,13 @@ def build_purchase_order(
     out["po_lines"] = po_lines(pallet_rollup(consolidated, pct, strip_currency), per_page=per_page)
     out["po_header"] = po_header(spark, attrs, report_defaults=True)
 
+    # both sides are reduced once and shared by the four comparison outputs
     items = stage(compare.distinct_items(consolidated, ITEM_KEY), "items")
-    out["comparison"] = compare.compare_items(items, reference)
-    out["unmatched_items"] = compare.unmatched_items(items, reference)
-    out["files_with_missing"] = compare.files_with_missing(items, reference)
-    out["summary"] = compare.comparison_summary(items, reference)
+    keys = stage(compare.reference_keys(reference), "reference_keys")
+    out["comparison"] = compare.compare_items(items, keys=keys)
+    out["unmatched_items"] = compare.unmatched_items(items, keys=keys)
+    out["files_with_missing"] = compare.files_with_missing(items, keys=keys)
+    out["summary"] = compare.comparison_summary(items, keys=keys)
 
     if out_dir:
         sinks.write_csv(out["item_rollup"], os.path.join(out_dir, "item_rollup"))
