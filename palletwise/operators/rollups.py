@@ -131,7 +131,10 @@ def number_lines(
     if cut_lineage:
         df = stage(df, "lines")
     total = df.count()
-    order = [F.col(key)] + [F.col(c) for c in df.columns if c != key]
+    # ties broken by every other orderable column (maps have no order)
+    order = [F.col(key)] + [
+        F.col(f.name) for f in df.schema.fields if f.name != key and not isinstance(f.dataType, T.MapType)
+    ]
     n_buckets = min(max_buckets, max(1, -(-total // rows_per_bucket)))
     if n_buckets == 1:
         w = Window.orderBy(*order)
