@@ -41,6 +41,7 @@ __all__ = [
     "file_ext",
     "file_base",
     "split_ext",
+    "file_parts",
     "stamped_name",
     "run_stamp",
     "safe_name",
@@ -205,6 +206,12 @@ def file_base(c: Column | str) -> Column:
     return F.when(c.contains("."), F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)).otherwise(c)
 
 
+def file_parts(c: Column | str) -> Column:
+    """struct(base, ext) of a file name: text before / after the last dot,
+    the extension lower-cased."""
+    return F.struct(file_base(c).alias("base"), file_ext(c).alias("ext"))
+
+
 def split_ext(c: Column | str) -> tuple[Column, Column]:
     """(root, ext) like ``os.path.splitext``: ext includes the dot; leading
     dots of the last path part do not start an extension."""

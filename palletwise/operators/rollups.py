@@ -39,6 +39,16 @@ from palletwise.session import stage
 POS = "_pos"
 
 
+def with_extended_retail(df: DataFrame) -> DataFrame:
+    """``extended_retail = quantity * us_price`` (numeric columns)."""
+    return df.withColumn("extended_retail", F.col("quantity") * F.col("us_price"))
+
+
+def with_extended_percent(df: DataFrame, pct: float) -> DataFrame:
+    """``extended_percent = extended_retail * pct / 100`` (the share paid)."""
+    return df.withColumn("extended_percent", extended_percent("extended_retail", pct))
+
+
 def priced(df: DataFrame, pct: float, strip_currency: bool = True) -> DataFrame:
     """Adds numeric ``quantity``/``us_price``, ``extended_retail`` and
     ``extended_percent`` (= retail x pct/100).
@@ -46,12 +56,8 @@ def priced(df: DataFrame, pct: float, strip_currency: bool = True) -> DataFrame:
     ``strip_currency=False`` reproduces reading ``$12.99`` as unparsable (0)."""
     require_columns(df, ["us_price", "quantity"])
     price = currency_to_number("us_price") if strip_currency else to_number("us_price")
-    return (
-        df.withColumn("quantity", to_number("quantity"))
-        .withColumn("us_price", price)
-        .withColumn("extended_retail", F.col("quantity") * F.col("us_price"))
-        .withColumn("extended_percent", extended_percent("extended_retail", pct))
-    )
+    numeric = df.withColumn("quantity", to_number("quantity")).withColumn("us_price", price)
+    return with_extended_percent(with_extended_retail(numeric), pct)
 
 
 def pallet_rollup(df: DataFrame, pct: float, strip_currency: bool = True, pos: str = POS) -> DataFrame:
@@ -158,6 +164,37 @@ def number_lines(
     return numbered, total
 
 
+def paginate_lines(lines: DataFrame, total_lines: int, per_page: int = REPORT_LINES_PER_PAGE,
+                   line_col: str = "line_no") -> DataFrame:
+    """``page`` = ceil(line / per_page) and ``pages`` = ceil(total / per_page)
+    (at least 1), plus ``page_label`` "Page i of n"."""
+    pages = max(1, -(-total_lines // per_page))
+    return (
+        lines.withColumn("page", ceil_div(line_col, per_page))
+        .withColumn("pages", F.lit(pages).cast("long"))
+        .withColumn("page_label", F.format_string("Page %d of %d", F.col("page"), F.col("pages")))
+    )
+
+
+def with_total_row(lines: DataFrame, rollup: DataFrame, pages: int) -> DataFrame:
+    """Appends the ``TOTAL:`` line: quantity total truncated after summing,
+    money total, on the last page."""
+    totals = rollup.agg(
+        exact_total("quantity").alias("quantity"), exact_total("extended_percent").alias("extended_percent")
+    ).select(
+        F.lit(None).cast("long").alias("line_no"),
+        F.lit(None).cast("string").alias("pallet_id"),
+        F.lit(TOTAL_LABEL).alias("description"),
+        truncate_int("quantity").alias("ordered"),
+        money_text("extended_percent").alias("ext_price"),
+        F.col("extended_percent"),
+        F.lit(pages).cast("long").alias("page"),
+        F.lit(pages).cast("long").alias("pages"),
+        F.format_string("Page %d of %d", F.lit(pages), F.lit(pages)).alias("page_label"),
+    )
+    return lines.unionByName(totals)
+
+
 def po_lines(
     rollup: DataFrame,
     per_page: int = REPORT_LINES_PER_PAGE,
@@ -172,7 +209,6 @@ def po_lines(
     the total line on page 1 of 1."""
     rollup = stage(rollup, "rollup")
     numbered, total = number_lines(rollup, "pallet_id", rows_per_bucket=rows_per_bucket, cut_lineage=False)
-    pages = max(1, -(-total // per_page))
     lines = numbered.select(
         F.col("line_no"),
         F.col("pallet_id"),
@@ -180,24 +216,9 @@ def po_lines(
         truncate_int("quantity").alias("ordered"),
         money_text("extended_percent").alias("ext_price"),
         F.col("extended_percent"),
-        ceil_div("line_no", per_page).alias("page"),
-    )
-    totals = rollup.agg(
-        exact_total("quantity").alias("quantity"), exact_total("extended_percent").alias("extended_percent")
-    ).select(
-        F.lit(None).cast("long").alias("line_no"),
-        F.lit(None).cast("string").alias("pallet_id"),
-        F.lit(TOTAL_LABEL).alias("description"),
-        truncate_int("quantity").alias("ordered"),
-        money_text("extended_percent").alias("ext_price"),
-        F.col("extended_percent"),
-        F.lit(pages).cast("long").alias("page"),
-    )
-    return (
-        lines.unionByName(totals)
-        .withColumn("pages", F.lit(pages).cast("long"))
-        .withColumn("page_label", F.format_string("Page %d of %d", F.col("page"), F.col("pages")))
     )
+    paged = paginate_lines(lines, total, per_page)
+    return with_total_row(paged, rollup, max(1, -(-total // per_page)))
 
 
 def po_header(spark: SparkSession, attrs: dict | None = None, report_defaults: bool = False) -> DataFrame:

@@ -74,6 +74,15 @@ def list_files(spark: SparkSession, paths, recursive: bool = True, glob: str | N
     return r.load(_as_paths(paths)).select("path", "modificationTime", "length")
 
 
+def file_catalogue(spark: SparkSession, root) -> DataFrame:
+    """Catalogue rows (nombre, tipo, user_id, fecha_subida, tamano, url) of
+    the files under ``root`` laid out as ``<tipo>/<user_id>/<name>``; file
+    contents are not read."""
+    from palletwise.operators.catalogue import catalogue_from_listing
+
+    return catalogue_from_listing(list_files(spark, root))
+
+
 def _open_head(path: str, n: int) -> bytes:
     """First ``n`` bytes of a file on any file system Spark can name."""
     if path.startswith("file:"):

@@ -100,3 +100,9 @@ def test_null_tokens(spark):
     df = spark.createDataFrame([("NA",), ("n/a",), ("x",), ("",), ("None",)], "v string")
     got = [r["r"] for r in df.select(C.null_tokens("v").alias("r")).collect()]
     assert got == [None, None, "x", None, None]
+
+
+def test_file_parts(spark):
+    df = spark.createDataFrame([("Report.Final.XLSX",), ("noext",)], "v string")
+    got = [tuple(r["p"]) for r in df.select(C.file_parts("v").alias("p")).collect()]
+    assert got == [("Report.Final", "xlsx"), ("noext", "noext")]

@@ -156,3 +156,11 @@ def test_versioned_table_without_pointer_uses_latest_committed(spark, scratch):
     sinks.replace_table(spark.createDataFrame([("2",)], "k string"), root)
     os.remove(os.path.join(root, "_CURRENT"))  # as if a reader arrived mid-switch
     assert rows(sinks.read_table(spark, root)) == [("2",)]
+
+
+def test_file_catalogue(spark, scratch):
+    for t, u, name in [("csv", "u1", "a.csv"), ("pdf", "u2", "b.pdf")]:
+        os.makedirs(os.path.join(scratch, t, u), exist_ok=True)
+        write(os.path.join(scratch, t, u, name), "xyz")
+    assert rows(src.file_catalogue(spark, scratch), "tipo", "user_id", "nombre", "tamano") == [
+        ("csv", "u1", "a.csv", 3), ("pdf", "u2", "b.pdf", 3)]
