@@ -9,6 +9,6 @@ Sub-packages:
   streaming  -- incremental variants over a landing folder
 """
 
-from palletwise.session import get_spark, checkpoint_dir
+from palletwise.session import checkpoint_dir, get_spark, recommended_conf, stage
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["checkpoint_dir", "get_spark", "recommended_conf", "stage"]

@@ -1,0 +1,5 @@
+"""File sources and table sinks."""
+
+from palletwise.sources import files, sinks, workbook
+
+__all__ = ["files", "sinks", "workbook"]
