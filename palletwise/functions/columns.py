@@ -17,6 +17,7 @@ from palletwise.functions.constants import (
     NA_TOKENS,
     NO_DATE,
     REPORT_DESC_WIDTH,
+    UNDERSCORE_NUM_RE,
 )
 
 __all__ = [
@@ -136,6 +137,9 @@ def format_item_id(c: Column | str) -> Column:
     """
     raw = as_col(c).cast("string")
     t = strip_ws(raw)
+    # underscores between digits are accepted by the float parser being
+    # matched; the (rare) pattern check only runs on text containing "_"
+    t = F.when(t.contains("_") & t.rlike(UNDERSCORE_NUM_RE), F.translate(t, "_", "")).otherwise(t)
     sign = F.substring(t, 1, 1)
     signed = sign.isin("+", "-")
     body = F.when(signed, F.substring(t, 2, 1 << 30)).otherwise(t)

@@ -36,6 +36,10 @@ NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Fixed value: integer text (exact path of item-id formatting).
 INT_RE = r"^\s*[+-]?\d+\s*$"
 
+# Fixed value: a number written with single underscores between digits, as
+# Python's float() accepts it (``1_000``, ``1_0.5e1_0``).
+UNDERSCORE_NUM_RE = r"^\s*[+-]?(\d(_?\d)*)?(\.(\d(_?\d)*)?)?([eE][+-]?\d(_?\d)*)?\s*$"
+
 # Column names of the input contracts.
 INVENTORY_REQUIRED = ("series_desc", "pallet_id", "item_id", "item_desc", "us_price", "quantity")
 REFERENCE_REQUIRED = ("no.", "description")

@@ -7,7 +7,7 @@ The views at the top must stay identical to ``palletwise.plans.views``.
 
 from __future__ import annotations
 
-from palletwise.functions.constants import INT_RE, NUM_RE
+from palletwise.functions.constants import INT_RE, NUM_RE, UNDERSCORE_NUM_RE
 
 PCT = 20.0  # percent paid used by the registered queries
 PER_PAGE = 23
@@ -56,14 +56,16 @@ def ellipsis(x: str, n: int = 40) -> str:
 
 
 def fmt_id(x: str) -> str:
-    t = ws(x)
+    t0 = ws(x)
+    t = (f"(CASE WHEN contains({t0}, '_') AND regexp_matches({t0}, '{UNDERSCORE_NUM_RE}') "
+         f"THEN replace({t0}, '_', '') ELSE {t0} END)")
     d = f"regexp_replace(regexp_replace({t}, '^[+-]', ''), '^0+', '')"
     v = f"TRY_CAST({t} AS DOUBLE)"
     return (
         f"(CASE WHEN {x} IS NULL THEN 'nan' "
-        f"WHEN regexp_matches({x}, '{INT_RE}') THEN (CASE WHEN {d} = '' THEN '0' "
+        f"WHEN regexp_matches({t}, '{INT_RE}') THEN (CASE WHEN {d} = '' THEN '0' "
         f"ELSE (CASE WHEN starts_with({t}, '-') THEN '-' ELSE '' END) || {d} END) "
-        f"WHEN regexp_matches({x}, '{NUM_RE}') AND abs({v}) < 9.2e18 THEN CAST(CAST(trunc({v}) AS BIGINT) AS VARCHAR) "
+        f"WHEN regexp_matches({t}, '{NUM_RE}') AND abs({v}) < 9.2e18 THEN CAST(CAST(trunc({v}) AS BIGINT) AS VARCHAR) "
         f"ELSE {x} END)"
     )
 

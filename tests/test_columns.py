@@ -36,6 +36,7 @@ def test_currency_strict_fails_on_bad_value(spark):
     ("00123", "123"), ("123", "123"), ("9.78e12", "9780000000000"), ("12.7", "12"), ("-5.5", "-5"),
     (" 12 ", "12"), ("ABC", "ABC"), ("000", "0"), (None, "nan"), ("12345678901234567890", "12345678901234567890"),
     ("-007", "-7"), ("-0", "0"), ("+5", "5"), ("inf", "inf"), (" ABC ", " ABC "),
+    ("1_000", "1000"), ("1__000", "1__000"), ("00_1", "1"), ("1_000.5", "1000"), ("_1", "_1"),
 ])
 def test_format_item_id(spark, text, expected):
     assert one(spark, C.format_item_id, text) == expected
