@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palletwise.functions.columns import null_tokens_sql, quote_name
+from palletwise.functions.columns import null_tokens_sql, quote_name, strip_ws
 from palletwise.functions.constants import NA_TOKENS, SNIFF_CHARS
 from palletwise.session import stage
 
@@ -291,31 +291,39 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=No
             "error",
         )
     )
-    headers = cells.filter((F.col("row_idx") == 0) & F.col("error").isNull()).select("path", "values")
-    groups: dict[tuple, list[str]] = {}
-    for row in headers.groupBy("values").agg(F.collect_list("path").alias("paths")).collect():
-        names = []
-        for i, n in enumerate(row["values"]):
-            n = (n or "").strip().lower()
-            names.append(n if n else f"unnamed: {i}")
-        groups.setdefault(tuple(names), []).extend(row["paths"])
-    parts = []
-    for names, ps in sorted(groups.items()):
+    # layout key per file, computed in Spark: the normalised header names
+    # joined with a separator that cannot occur in them
+    norm = F.transform(
+        "values",
+        lambda x, i: F.when(strip_ws(F.lower(F.coalesce(x, F.lit("")))) == "", F.concat(F.lit("unnamed: "), i.cast("string")))
+        .otherwise(strip_ws(F.lower(x))),
+    )
+    headers = cells.filter((F.col("row_idx") == 0) & F.col("error").isNull()).select(
+        "path", F.array_join(norm, "\u0001").alias("layout")
+    )
+    layouts = [r["layout"] for r in headers.select("layout").distinct().collect()]
+    body = cells.filter(F.col("row_idx") > 0).join(headers, "path")
+    parts, dup_layouts = [], []
+    for layout in sorted(layouts):
+        names = layout.split("\u0001")
         if len(set(names)) != len(names):
-            continue  # reported below as a layout error
-        body = cells.filter((F.col("row_idx") > 0) & F.col("path").isin(ps))
+            dup_layouts.append(layout)  # reported below as a layout error
+            continue
         parts.append(
-            body.selectExpr(
+            body.filter(F.col("layout") == F.lit(layout)).selectExpr(
                 *[null_tokens_sql(f"`values`[{i}]", n, na_tokens) for i, n in enumerate(names)],
                 "element_at(split(path, '/'), -1) AS source_file",
                 "named_struct('file', element_at(split(path, '/'), -1), 'block', CAST(0 AS BIGINT), 'row', row_idx) AS _pos",
             )
         )
-    dup_paths = [p for names, ps in groups.items() if len(set(names)) != len(names) for p in ps]
-    if dup_paths:
-        manifest = manifest.withColumn(
-            "success", F.col("success") & ~F.col("path").isin(dup_paths)
-        ).withColumn("error", F.when(F.col("path").isin(dup_paths), F.lit("duplicate columns")).otherwise(F.col("error")))
+    if dup_layouts:
+        dup = headers.filter(F.col("layout").isin(*dup_layouts)).select("path", F.lit(True).alias("_dup"))
+        manifest = (
+            manifest.join(dup, "path", "left")
+            .withColumn("success", F.col("success") & F.col("_dup").isNull())
+            .withColumn("error", F.when(F.col("_dup"), F.lit("duplicate columns")).otherwise(F.col("error")))
+            .drop("_dup")
+        )
     if on_layout is not None:
         parts = [on_layout(p) for p in parts]
     return (consolidate(parts) if parts else None), manifest

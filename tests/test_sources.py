@@ -164,3 +164,12 @@ def test_file_catalogue(spark, scratch):
         write(os.path.join(scratch, t, u, name), "xyz")
     assert rows(src.file_catalogue(spark, scratch), "tipo", "user_id", "nombre", "tamano") == [
         ("csv", "u1", "a.csv", 3), ("pdf", "u2", "b.pdf", 3)]
+
+
+def test_workbook_with_colliding_headers_is_reported(spark, scratch):
+    write_xlsx(os.path.join(scratch, "dup.xlsx"), [["A", "a "], ["1", "2"]])
+    write_xlsx(os.path.join(scratch, "ok.xlsx"), [["a", "", "b"], ["1", "x", "2"]])
+    df, manifest = src.read_workbooks(spark, scratch)
+    m = {r["source_file"]: (r["success"], r["error"]) for r in manifest.collect()}
+    assert m["dup.xlsx"] == (False, "duplicate columns") and m["ok.xlsx"] == (True, None)
+    assert rows(df, "a", "unnamed: 1", "b") == [("1", "x", "2")]
