@@ -355,6 +355,7 @@ SELECT {POS_OUT}, item_id, us_price, quantity, item_desc, source_file FROM inv W
     q["files_item_rollup"] = q["item_rollup"]
     q["files_pallet_rollup"] = q["pallet_rollup"]
     q["files_refresh_reference"] = q["dedupe_reference"]
+    q["files_workbook_rollup"] = q["item_rollup"]
 
     q["currency_strict"] = with_(INV) + f"""
 SELECT {POS_OUT}, us_price AS price_text, CAST({ws("regexp_replace(us_price, '[$,]', '', 'g')")} AS DOUBLE) AS us_price FROM inv"""

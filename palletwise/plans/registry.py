@@ -340,3 +340,40 @@ def line_numbers_bucketed(spark, sf):
     pallets = rollups.pallet_rollup(views.inventory(spark, sf), PCT).select("pallet_id")
     numbered, _ = rollups.number_lines(pallets, "pallet_id", rows_per_bucket=2000)
     return numbered
+
+
+def _export_workbooks(spark, sf) -> str:
+    """The inventory view written as workbooks by the executors, one per
+    partition (so a task never holds more than its partition), through the
+    file system the path names."""
+    root = scratch_path(spark, "workbooks")
+    cols = list(INV_COLS)
+
+    def write(batches):
+        import io
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        from palletwise.sources.files import open_output
+        from palletwise.sources.workbook import write_xlsx
+
+        data = [cols]
+        for b in batches:
+            data.extend([None if v is None or v != v else v for v in r] for r in b.itertuples(index=False, name=None))
+        path = f"{root}/part-{TaskContext.get().partitionId():05d}.xlsx"
+        buf = io.BytesIO()
+        write_xlsx(buf, data)
+        with open_output(path) as fh:
+            fh.write(buf.getvalue())
+        yield pd.DataFrame({"path": [path], "rows": [len(data) - 1]})
+
+    inv = views.inventory(spark, sf).select(*cols)
+    inv.mapInPandas(write, "path string, rows long").collect()
+    return root
+
+
+@register("files_workbook_rollup")
+def files_workbook_rollup(spark, sf):
+    rows, _ = files.read_workbooks(spark, _export_workbooks(spark, sf))
+    return rollups.item_rollup(rows)

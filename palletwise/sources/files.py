@@ -110,6 +110,23 @@ def has_quoted_newline(text: str, sep: str) -> bool:
         return False
 
 
+def open_output(path: str):
+    """A writable binary stream for ``path`` on any file system Spark can
+    name (used by executor-side writers)."""
+    if path.startswith("file:") or "://" not in path:
+        local = path[5:] if path.startswith("file:") else path
+        while local.startswith("//"):
+            local = local[1:]
+        import os
+
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    from pyarrow import fs as pafs
+
+    filesystem, inner = pafs.FileSystem.from_uri(path)
+    return filesystem.open_output_stream(inner)
+
+
 def sniff_head(raw: bytes) -> tuple[str | None, list[str] | None, str | None]:
     """(sep, normalised header, error) from the first bytes of a file.
 

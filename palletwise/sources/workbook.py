@@ -220,9 +220,10 @@ def parse_workbooks(batches):
                 yield frame([path], [-1], [None], [f"{type(e).__name__}: {e}"])
 
 
-def write_xlsx(path: str, rows: list[list]) -> None:
+def write_xlsx(path, rows: list[list]) -> None:
     """Minimal single-sheet workbook writer (inline strings), used by tests
-    and examples to produce inputs without an external library."""
+    and examples to produce inputs without an external library.  ``path`` is
+    a local path or a writable binary file object."""
 
     def cell(ref, v):
         if v is None:
