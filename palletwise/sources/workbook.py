@@ -147,47 +147,93 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
     return out
 
 
-def iter_rows(data: bytes):
+class _SheetTarget:
+    """XML parser target for a worksheet: collects finished rows as lists of
+    cell texts without building an element tree."""
+
+    _ROW, _C, _V, _T, _IS = (_NS + "row", _NS + "c", _NS + "v", _NS + "t", _NS + "is")
+
+    def __init__(self, shared, kinds, epoch):
+        self.shared, self.kinds, self.epoch = shared, kinds, epoch
+        self.done: list[dict] = []
+        self.cells: dict | None = None
+        self.kind = self.ref = self.style = None
+        self.value: list[str] | None = None
+        self.inline: list[str] | None = None
+        self.capture = False
+        self.position = 0
+
+    def start(self, tag, attrib):
+        if tag == self._C:
+            self.ref, self.kind, self.style = attrib.get("r"), attrib.get("t", "n"), attrib.get("s")
+            self.value, self.inline = None, ([] if attrib.get("t") == "inlineStr" else None)
+        elif tag == self._V:
+            self.value, self.capture = [], True
+        elif tag == self._T and self.inline is not None:
+            self.capture = True
+        elif tag == self._ROW:
+            self.cells, self.position = {}, 0
+
+    def data(self, text):
+        if self.capture:
+            (self.value if self.value is not None and self.inline is None else self.inline).append(text)
+
+    def end(self, tag):
+        if tag in (self._V, self._T):
+            self.capture = False
+        elif tag == self._C:
+            m = _REF.match(self.ref) if self.ref else None
+            idx = _col_index(m.group(1)) if m else (max(self.cells) + 1 if self.cells else self.position)
+            self.position += 1
+            self.cells[idx] = self._cell_text()
+        elif tag == self._ROW:
+            self.done.append(self.cells)
+            self.cells = None
+
+    def _cell_text(self):
+        t = self.kind
+        v = "".join(self.value) if self.value is not None else None
+        if t == "inlineStr":
+            return "".join(self.inline or [])
+        if v is None or t == "e":
+            return None
+        if t == "s":
+            return self.shared[int(v)]
+        if t == "b":
+            return "True" if v == "1" else "False"
+        if t == "str":
+            return v
+        style = int(self.style) if self.style else 0
+        kind = self.kinds[style] if style < len(self.kinds) else None
+        return _serial_text(v, kind, self.epoch) if kind else _number_text(v)
+
+    def close(self):
+        return None
+
+
+def iter_rows(data: bytes, chunk: int = 1 << 20):
     """Yields lists of cell texts (None for empty cells), header first."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = _shared_strings(z)
-    kinds = _style_kinds(z)
-    epoch = _epoch(z)
-    sheet = _first_sheet_path(z)
+    target = _SheetTarget(shared, _style_kinds(z), _epoch(z))
+    parser = ET.XMLParser(target=target)
     width = None
-    for _, el in ET.iterparse(z.open(sheet)):
-        if el.tag != _NS + "row":
-            continue
-        cells: dict[int, str | None] = {}
-        for i, c in enumerate(el.findall(_NS + "c")):
-            ref = c.get("r")
-            m = _REF.match(ref) if ref else None
-            idx = _col_index(m.group(1)) if m else (max(cells) + 1 if cells else i)
-            t = c.get("t", "n")
-            v = c.find(_NS + "v")
-            if t == "s":
-                val = shared[int(v.text)] if v is not None and v.text is not None else None
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(_NS + "t"))
-            elif t == "b":
-                val = None if v is None else ("True" if v.text == "1" else "False")
-            elif t == "e":
-                val = None
-            elif t == "str":
-                val = v.text if v is not None else None
+    with z.open(_first_sheet_path(z)) as fh:
+        while True:
+            block = fh.read(chunk)
+            if block:
+                parser.feed(block)
             else:
-                val = None
-                if v is not None and v.text is not None:
-                    style = int(c.get("s", "0"))
-                    kind = kinds[style] if style < len(kinds) else None
-                    val = _serial_text(v.text, kind, epoch) if kind else _number_text(v.text)
-            cells[idx] = val
-        el.clear()
-        if not cells or all(x is None or x == "" for x in cells.values()):
-            continue  # blank rows are skipped, as a tabular reader does
-        if width is None:
-            width = max(cells) + 1
-        yield [cells.get(i) for i in range(max(width, max(cells) + 1))][: width]
+                parser.close()
+            for cells in target.done:
+                if not cells or all(x is None or x == "" for x in cells.values()):
+                    continue  # blank rows are skipped, as a tabular reader does
+                if width is None:
+                    width = max(cells) + 1
+                yield [cells.get(i) for i in range(width)]
+            target.done.clear()
+            if not block:
+                break
 
 
 CHUNK_ROWS = 20_000
