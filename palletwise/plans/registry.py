@@ -18,7 +18,7 @@ from palletwise.functions.constants import JOB_EXTENSIONS
 from palletwise.operators import catalogue, clean, compare, rollups, tables
 from palletwise.plans import jobs, views
 from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, UPLOAD_STAMP
-from palletwise.session import scratch_path
+from palletwise.session import scratch_path, ship_package
 from palletwise.sources import files
 
 def pos_out():
@@ -368,6 +368,7 @@ def _export_workbooks(spark, sf) -> str:
             fh.write(buf.getvalue())
         yield pd.DataFrame({"path": [path], "rows": [len(data) - 1]})
 
+    ship_package(spark)
     inv = views.inventory(spark, sf).select(*cols)
     inv.mapInPandas(write, "path string, rows long").collect()
     return root

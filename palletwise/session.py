@@ -113,3 +113,36 @@ def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes:
         "spark.sql.files.maxPartitionBytes": str(min(512 << 20, max(64 << 20, target_partition_bytes))),
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Make this package importable by the executors' Python workers (the
+    programmatic form of ``--py-files``), once per application.  Needed by
+    the few jobs that run Python on executors (file sniffing, workbook
+    parsing); harmless where the package is installed cluster-wide."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote sessions ship code differently
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import palletwise
+
+    pkg_dir = os.path.dirname(os.path.abspath(palletwise.__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="palletwise-pyfiles-"), "palletwise.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg_dir):
+            if "__pycache__" in dirpath:
+                continue
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(dirpath, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from palletwise.functions.columns import null_tokens_sql, quote_name, strip_ws
 from palletwise.functions.constants import NA_TOKENS, SNIFF_CHARS
-from palletwise.session import stage
+from palletwise.session import ship_package, stage
 
 SNIFF_BYTES = 64 * 1024
 SNIFF_FILES_PER_TASK = 64
@@ -163,6 +163,7 @@ def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
     ``listed=True`` means ``paths`` already are the files (no second
     listing); they are cut into tasks of about ``SNIFF_FILES_PER_TASK``
     files (one short remote read each)."""
+    ship_package(spark)
     if listed:
         files = _as_paths(paths)
         n = max(1, min(-(-len(files) // SNIFF_FILES_PER_TASK), spark.sparkContext.defaultParallelism * 4))
@@ -286,6 +287,7 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=No
     cell as text.  Returns (consolidated rows or None, manifest)."""
     from palletwise.sources.workbook import CELLS_SCHEMA, parse_workbooks
 
+    ship_package(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_as_paths(paths))
     # each input row is a whole workbook: hand them to Python one at a time
     # (the parse is staged eagerly, so the setting is scoped to this job)
