@@ -282,13 +282,26 @@ def read_delimited_auto(spark: SparkSession, paths, on_layout=None, listed: bool
     return (consolidate(parts) if parts else None), manifest
 
 
-def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=None) -> tuple[DataFrame | None, DataFrame]:
+MAX_WORKBOOK_BYTES = 1 << 30  # one workbook is parsed by one task
+
+
+def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=None,
+                   max_bytes: int = MAX_WORKBOOK_BYTES) -> tuple[DataFrame | None, DataFrame]:
     """First sheet of each .xlsx workbook, header in its first row, every
-    cell as text.  Returns (consolidated rows or None, manifest)."""
+    cell as text.  Returns (consolidated rows or None, manifest).  Workbooks
+    larger than ``max_bytes`` are reported, not read (the length filter is
+    applied by the file source before any content is loaded)."""
     from palletwise.sources.workbook import CELLS_SCHEMA, parse_workbooks
 
     ship_package(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_as_paths(paths))
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_as_paths(paths))
+    oversized = listing.filter(F.col("length") > max_bytes).select(
+        F.element_at(F.split("path", "/"), -1).alias("source_file"),
+        "path",
+        F.lit(False).alias("success"),
+        F.concat(F.lit("workbook larger than "), F.lit(str(max_bytes)), F.lit(" bytes")).alias("error"),
+    )
+    raw = listing.filter(F.col("length") <= max_bytes)
     # each input row is a whole workbook: hand them to Python one at a time
     # (the parse is staged eagerly, so the setting is scoped to this job)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -309,6 +322,7 @@ def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=No
             F.col("error").isNull().alias("success"),
             "error",
         )
+        .unionByName(oversized)
     )
     # layout key per file, computed in Spark: the normalised header names
     # joined with a separator that cannot occur in them

@@ -173,3 +173,13 @@ def test_workbook_with_colliding_headers_is_reported(spark, scratch):
     m = {r["source_file"]: (r["success"], r["error"]) for r in manifest.collect()}
     assert m["dup.xlsx"] == (False, "duplicate columns") and m["ok.xlsx"] == (True, None)
     assert rows(df, "a", "unnamed: 1", "b") == [("1", "x", "2")]
+
+
+def test_oversized_workbook_is_reported(spark, scratch):
+    write_xlsx(os.path.join(scratch, "small.xlsx"), [["a"], ["1"]])
+    write_xlsx(os.path.join(scratch, "big.xlsx"), [["a"]] + [[str(i)] for i in range(5000)])
+    df, manifest = src.read_workbooks(spark, scratch, max_bytes=4000)
+    m = {r["source_file"]: (r["success"], r["error"]) for r in manifest.collect()}
+    assert m["small.xlsx"] == (True, None)
+    assert m["big.xlsx"][0] is False and "larger than" in m["big.xlsx"][1]
+    assert rows(df, "a") == [("1",)]
