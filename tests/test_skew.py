@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from palletwise.operators import catalogue, clean, compare, rollups, tables
-from tests.conftest import rows
+
 
 N = 30_000
 
