@@ -296,6 +296,8 @@ WHERE NOT EXISTS (SELECT 1 FROM ref WHERE ref.item_number = dd.item_number)"""
     q["delete_by_keys"] = with_(REF, REFUP, dd) + """
 SELECT * FROM ref WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.item_number = ref.item_number)"""
     q["reference_items"] = with_(REF) + "SELECT * FROM ref"
+    q["reference_key_collisions"] = with_(REFUP, dd) + """
+SELECT item_number, count(*) AS "count" FROM dd GROUP BY item_number HAVING count(*) > 1"""
 
     # -- file catalogue ---------------------------------------------------------
     listed = """listed AS (SELECT * FROM files

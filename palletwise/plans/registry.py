@@ -378,3 +378,9 @@ def _export_workbooks(spark, sf) -> str:
 def files_workbook_rollup(spark, sf):
     rows, _ = files.read_workbooks(spark, _export_workbooks(spark, sf))
     return rollups.item_rollup(rows)
+
+
+@register("reference_key_collisions")
+def reference_key_collisions(spark, sf):
+    """Keys that the 100-character cut would merge after de-duplication."""
+    return clean.reference_key_collisions(_refreshed(spark, sf))
