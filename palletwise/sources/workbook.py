@@ -36,6 +36,16 @@ _PKG_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _REF = re.compile(r"([A-Z]+)(\d+)")
 
 
+def _ns(root) -> str:
+    """Namespace prefix of an element's tag (transitional and strict OOXML
+    use different namespace URIs; matching follows the document's own)."""
+    return root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
+
+
+def _is(tag: str, name: str) -> bool:
+    return tag == name or tag.endswith("}" + name)
+
+
 def _col_index(letters: str) -> int:
     n = 0
     for ch in letters:
@@ -78,14 +88,15 @@ def _style_kinds(z: zipfile.ZipFile) -> list[str | None]:
     if "xl/styles.xml" not in z.namelist():
         return []
     root = ET.parse(z.open("xl/styles.xml")).getroot()
+    ns = _ns(root)
     custom = {}
-    fmts = root.find(_NS + "numFmts")
+    fmts = root.find(ns + "numFmts")
     if fmts is not None:
-        for f in fmts.findall(_NS + "numFmt"):
+        for f in fmts.findall(ns + "numFmt"):
             custom[int(f.get("numFmtId"))] = _format_kind(f.get("formatCode", ""))
     kinds = []
-    xfs = root.find(_NS + "cellXfs")
-    for xf in (xfs.findall(_NS + "xf") if xfs is not None else []):
+    xfs = root.find(ns + "cellXfs")
+    for xf in (xfs.findall(ns + "xf") if xfs is not None else []):
         fid = int(xf.get("numFmtId", "0"))
         if fid in custom:
             kinds.append(custom[fid])
@@ -110,7 +121,7 @@ def _serial_text(v: str, kind: str, epoch: _dt.datetime) -> str:
 
 def _epoch(z: zipfile.ZipFile) -> _dt.datetime:
     wb = ET.parse(z.open("xl/workbook.xml")).getroot()
-    pr = wb.find(_NS + "workbookPr")
+    pr = wb.find(_ns(wb) + "workbookPr")
     if pr is not None and pr.get("date1904") in ("1", "true"):
         return _dt.datetime(1904, 1, 1)
     return _dt.datetime(1899, 12, 30)
@@ -118,12 +129,12 @@ def _epoch(z: zipfile.ZipFile) -> _dt.datetime:
 
 def _first_sheet_path(z: zipfile.ZipFile) -> str:
     wb = ET.parse(z.open("xl/workbook.xml")).getroot()
-    sheets = wb.find(_NS + "sheets")
+    sheets = wb.find(_ns(wb) + "sheets")
     if sheets is None or len(sheets) == 0:
         raise ValueError("workbook has no sheet")
-    rid = sheets[0].get(_REL + "id")
+    rid = next((v for k, v in sheets[0].attrib.items() if k.endswith("}id")), None)
     rels = ET.parse(z.open("xl/_rels/workbook.xml.rels")).getroot()
-    for r in rels.iter(_PKG_REL + "Relationship"):
+    for r in rels.iter(_ns(rels) + "Relationship"):
         if r.get("Id") == rid:
             target = r.get("Target")
             return target.lstrip("/") if target.startswith("/") else "xl/" + target
@@ -135,11 +146,12 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
         return []
     out = []
     for _, el in ET.iterparse(z.open("xl/sharedStrings.xml")):
-        if el.tag == _NS + "si":
+        if _is(el.tag, "si"):
+            ns = el.tag[: len(el.tag) - 2]
             # plain text and rich-text runs; phonetic hints are not content
-            parts = [t.text or "" for t in el.iter(_NS + "t")]
-            for rph in el.findall(_NS + "rPh"):
-                for t in rph.iter(_NS + "t"):
+            parts = [t.text or "" for t in el.iter(ns + "t")]
+            for rph in el.findall(ns + "rPh"):
+                for t in rph.iter(ns + "t"):
                     if t.text and parts and t.text in parts:
                         parts.remove(t.text)
             out.append("".join(parts))
@@ -151,9 +163,8 @@ class _SheetTarget:
     """XML parser target for a worksheet: collects finished rows as lists of
     cell texts without building an element tree."""
 
-    _ROW, _C, _V, _T, _IS = (_NS + "row", _NS + "c", _NS + "v", _NS + "t", _NS + "is")
-
     def __init__(self, shared, kinds, epoch):
+        self._ROW = self._C = self._V = self._T = None  # set from the root's namespace
         self.shared, self.kinds, self.epoch = shared, kinds, epoch
         self.done: list[dict] = []
         self.cells: dict | None = None
@@ -164,6 +175,9 @@ class _SheetTarget:
         self.position = 0
 
     def start(self, tag, attrib):
+        if self._ROW is None:  # the worksheet root: adopt its namespace
+            ns = tag[: tag.index("}") + 1] if tag.startswith("{") else ""
+            self._ROW, self._C, self._V, self._T = ns + "row", ns + "c", ns + "v", ns + "t"
         if tag == self._C:
             self.ref, self.kind, self.style = attrib.get("r"), attrib.get("t", "n"), attrib.get("s")
             self.value, self.inline = None, ([] if attrib.get("t") == "inlineStr" else None)

@@ -183,3 +183,39 @@ def test_oversized_workbook_is_reported(spark, scratch):
     assert m["small.xlsx"] == (True, None)
     assert m["big.xlsx"][0] is False and "larger than" in m["big.xlsx"][1]
     assert rows(df, "a") == [("1",)]
+
+
+def _shared_string_workbook(main_ns: str, rel_ns: str) -> bytes:
+    import io
+    import zipfile
+
+    sst = (f'<sst xmlns="{main_ns}" count="3" uniqueCount="3"><si><t>item_id</t></si>'
+           '<si><r><t>Desc</t></r><r><t>ription</t></r></si><si><t xml:space="preserve">00123</t></si></sst>')
+    sheet = (f'<worksheet xmlns="{main_ns}"><sheetData>'
+             '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
+             '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2" t="str"><v>=A2</v></c></row>'
+             '<row r="4"><c r="B4" t="b"><v>1</v></c></row>'
+             '</sheetData></worksheet>')
+    wb = (f'<workbook xmlns="{main_ns}" xmlns:r="{rel_ns}"><sheets>'
+          '<sheet name="S" sheetId="1" r:id="rId7"/></sheets></workbook>')
+    rels = ('<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+            '<Relationship Id="rId7" Type="x" Target="/xl/worksheets/data.xml"/></Relationships>')
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", wb)
+        z.writestr("xl/_rels/workbook.xml.rels", rels)
+        z.writestr("xl/sharedStrings.xml", sst)
+        z.writestr("xl/worksheets/data.xml", sheet)
+    return buf.getvalue()
+
+
+def test_shared_strings_and_namespaces():
+    from palletwise.sources.workbook import iter_rows
+
+    expected = [["item_id", "Description"], ["00123", "=A2"], [None, "True"]]
+    transitional = _shared_string_workbook("http://schemas.openxmlformats.org/spreadsheetml/2006/main",
+                                           "http://schemas.openxmlformats.org/officeDocument/2006/relationships")
+    strict = _shared_string_workbook("http://purl.oclc.org/ooxml/spreadsheetml/main",
+                                     "http://purl.oclc.org/ooxml/officeDocument/relationships")
+    assert list(iter_rows(transitional)) == expected
+    assert list(iter_rows(strict)) == expected
