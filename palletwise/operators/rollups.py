@@ -1,10 +1,14 @@
 """Roll-ups of the purchase-order package.
 
+* ``with_extended_retail`` / ``with_extended_percent`` / ``priced``
+                     numeric price columns of inventory rows
 * ``pallet_rollup``  quantity and amount per pallet, first description
 * ``item_rollup``    quantity per (item, description), ids canonicalised
 * ``number_lines``   global 1..n line numbers in key order without pulling the
                      data into one partition
-* ``po_lines``       numbered, paged report lines plus the ``TOTAL:`` line
+* ``paginate_lines`` page / pages / "Page i of n" of numbered lines
+* ``with_total_row`` the ``TOTAL:`` line
+* ``po_lines``       numbered, paged report lines plus the total line
 * ``po_header``      the header record of the order
 """
 
