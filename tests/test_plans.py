@@ -80,3 +80,10 @@ def test_po_lines_numbering_reads_the_staged_rollup(spark):
     p = plan(E.queries()["po_lines"](spark, SF_SMALL))
     assert "Window" in p
     assert "lineitem" not in p and "rollup-" in p
+
+
+@pytest.mark.parametrize("name", ["item_rollup", "pallet_rollup", "compare_items", "comparison_summary"])
+def test_whole_stage_codegen_and_no_python(spark, name):
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert "[codegen id :" in p
+    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
