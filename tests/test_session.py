@@ -1,0 +1,46 @@
+"""Session helpers: the checkpoint folder comes from the session."""
+
+from palletwise.session import checkpoint_dir
+
+
+class _Ctx:
+    def __init__(self, current=None):
+        self.current, self.set_to = current, None
+
+    def getCheckpointDir(self):
+        return self.current
+
+    def setCheckpointDir(self, path):
+        self.set_to = path
+        self.current = path + "/app-1"
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+class _Session:
+    def __init__(self, ctx, conf):
+        self.sparkContext, self.conf = ctx, _Conf(conf)
+
+
+def test_uses_the_context_folder_when_set():
+    ctx = _Ctx("hdfs://nn/ckpt/app-0")
+    assert checkpoint_dir(_Session(ctx, {"spark.checkpoint.dir": "hdfs://nn/other"})) == "hdfs://nn/ckpt/app-0"
+    assert ctx.set_to is None
+
+
+def test_uses_the_configured_folder():
+    ctx = _Ctx()
+    assert checkpoint_dir(_Session(ctx, {"spark.checkpoint.dir": "s3a://bucket/ckpt"})) == "s3a://bucket/ckpt/app-1"
+    assert ctx.set_to == "s3a://bucket/ckpt"
+
+
+def test_scratch_folder_only_when_unset():
+    ctx = _Ctx()
+    path = checkpoint_dir(_Session(ctx, {}))
+    assert ctx.set_to is not None and ctx.set_to.startswith("/") and path.endswith("/app-1")
