@@ -146,3 +146,27 @@ def ship_package(spark) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(sc.applicationId)
+
+
+def expired_stages(spark, older_than_minutes: float) -> list[tuple[str, float]]:
+    """Staged intermediates (``stage``/``scratch_path`` folders) under the
+    session's checkpoint folder older than ``older_than_minutes``: a list of
+    (path, age in minutes), oldest first.  Selection only -- remove them once
+    no job still reads them (their DataFrames read lazily)."""
+    import time
+
+    root = checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    now_ms = time.time() * 1000
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and "-" in name and len(name.rsplit("-", 1)[-1]) == 16:
+            age = (now_ms - st.getModificationTime()) / 60000.0
+            if age > older_than_minutes:
+                out.append((st.getPath().toString(), age))
+    return sorted(out, key=lambda x: -x[1])

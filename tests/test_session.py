@@ -44,3 +44,13 @@ def test_scratch_folder_only_when_unset():
     ctx = _Ctx()
     path = checkpoint_dir(_Session(ctx, {}))
     assert ctx.set_to is not None and ctx.set_to.startswith("/") and path.endswith("/app-1")
+
+
+def test_expired_stages_lists_only_stage_folders(spark):
+    from palletwise.session import expired_stages, stage
+
+    staged = stage(spark.range(3), "probe")
+    found = [p for p, _ in expired_stages(spark, -1.0)]
+    assert any(p.rstrip("/").endswith(staged.inputFiles()[0].split("/")[-2]) for p in found)
+    assert all(age >= 0 for _, age in expired_stages(spark, -1.0))
+    assert expired_stages(spark, 10_000) == [] or all(a > 10_000 for _, a in expired_stages(spark, 10_000))
