@@ -54,3 +54,15 @@ def test_expired_stages_lists_only_stage_folders(spark):
     assert any(p.rstrip("/").endswith(staged.inputFiles()[0].split("/")[-2]) for p in found)
     assert all(age >= 0 for _, age in expired_stages(spark, -1.0))
     assert expired_stages(spark, 10_000) == [] or all(a > 10_000 for _, a in expired_stages(spark, 10_000))
+
+
+def test_spread_only_when_too_few_partitions(spark):
+    from palletwise.session import spread
+
+    want = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, want * 2)
+    assert spread(wide, "id") is wide  # enough splits: unchanged, no shuffle added
+    narrow = spark.range(0, 1000, 1, 1)
+    spread_df = spread(narrow, "id")
+    assert spread_df.rdd.getNumPartitions() == want
+    assert sorted(r[0] for r in spread_df.collect()) == list(range(1000))
