@@ -1,0 +1,86 @@
+"""Relative Lempel-Ziv dedup against brute force."""
+
+import hashlib
+import random
+
+import pytest
+
+from palletwise.llm import substring
+
+SCHEMA = "doc_id long, text string, anchors string, refs string"
+
+
+def brute(rows, window):
+    """rows: (doc_id, text) with distinct ids or null -> the contract's rows."""
+    first = {}
+    for i, (d, t) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))):
+        w = (t or "").encode().split()
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            if d is not None:
+                first.setdefault(key, (d, s))
+    out = []
+    for d, t in rows:
+        w = (t or "").encode().split()
+        gone, seen = [False] * len(w), set()
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            if (d is not None and first[key] < (d, s)) or key in seen:
+                gone[s : s + window] = [True] * window
+            seen.add(key)
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()), key=str)
+
+
+def make(seed):
+    rng = random.Random(seed)
+    vocab = ["a", "b", "é", "word", "the", "x y", " "]
+    passages = [" ".join(rng.choices(vocab, k=rng.randint(3, 60))) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.6 else " ".join(rng.choices(vocab, k=rng.randint(0, 50)))
+                 for _ in range(rng.randint(0, 5))]
+        rows.append((i * 3 - 20, rng.choice([" ", "\n", "\t \x0b"]).join(parts)))
+    rows += [(500, None), (501, ""), (502, " \n"), (503, "x"), (504, "same " * 3000), (505, "same " * 50),
+             (506, rows[5][1]), (507, rows[5][1]), (None, rows[5][1] + " " + rows[5][1])]
+    return rows
+
+
+@pytest.mark.parametrize(("window", "gram"), [(20, 8), (5, 3), (4, 4)])
+def test_against_brute_force(spark, window, gram):
+    rows = make(window)
+    df = spark.createDataFrame([(d, t, "clash", "clash") for d, t in rows], SCHEMA)
+    res = substring.dedup(df, window, gram, with_text=True)
+    assert got(res) == brute(rows, window)
+    for r in res.collect():
+        assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
+
+
+def test_factors_are_copies(spark):
+    rows = make(3)
+    texts = {d: (t or "").split(" ") for d, t in rows if d is not None}
+    texts = {d: (t or "").encode().split() for d, t in rows}
+    df = spark.createDataFrame([(d, t, "", "") for d, t in rows], SCHEMA)
+    found = substring.factors(df, 6, 3).collect()
+    assert found
+    for f in found:
+        assert f.length >= 6
+        piece = texts[f.doc_id][f.start : f.start + f.length]
+        assert len(piece) == f.length
+        src = texts[f.source]
+        wins = {tuple(src[i : i + 6]) for i in range(len(src) - 5)}
+        assert all(tuple(piece[i : i + 6]) in wins for i in range(len(piece) - 5))
+
+
+def test_repeated_ids_and_empty(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, t, "", ""), (1, t, "", ""), (2, t, "", "")], SCHEMA)
+    assert [(r[0], r[2]) for r in got(substring.dedup(df))] == [(1, 0), (1, 0), (2, 30)]
+    assert substring.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        substring.dedup(df, 3, 4)
