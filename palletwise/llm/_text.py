@@ -93,7 +93,7 @@ class Words:
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         out = np.zeros(n, np.uint64)
-        factor = np.uint64(2 * seed + 1) * _M2
+        factor = np.uint64((2 * seed + 1) * int(_M2) & (2**64 - 1))
         for j in range(size):
             out *= factor
             out += hashes[j : j + n]

@@ -25,7 +25,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def op4_substring_dedup(spark, sf):
-    return substring.dedup(_documents(spark, sf))
+    return substring.dedup(_documents(spark, sf)).drop("n_factors")
 
 
 @register
