@@ -16,10 +16,13 @@ All decisions are made on the input: a window counts as repeated if the same
 word sequence starts in a document of smaller ``doc_id``, or earlier in the
 same document, whether or not that text is itself removed.
 
-Windows are identified by 128 hash bits (anchor and window).  Every shuffled
-row is a (hash, document) pair; hot anchors and windows are reduced by
-map-side ``count`` / ``min`` first and joined (AQE splits their rows); only
-a document's own windows are ever gathered in one place.
+To keep the index small, the consecutive windows of one anchor place are one
+entry (a run); only where different runs meet at an anchor, which is at the
+ends of repeats, are windows entered one by one.  Runs and windows are
+identified by 128 hash bits (anchor, and run or window).  Every shuffled row
+is a (hash, document) pair or a compressed text; hot anchors, runs and
+windows are reduced by map-side ``count`` / ``min`` first and joined (AQE
+splits their rows); only a document's own entries are gathered in one place.
 
 Defined results: null or blank text has no words (0, 0 and the digest of the
 empty text); texts under ``window`` words keep everything; a row with null
@@ -112,84 +115,153 @@ def _lists(column, dtype=np.int64):
     return row.astype(np.int64), value.cast(pa.int64()).to_numpy(zero_copy_only=False).astype(dtype)
 
 
-def _window_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, win, doc_id): the distinct windows of each text whose anchor
-    is among the row's ``anchors``."""
+def _runs(doc: np.ndarray, anchor: np.ndarray, place: np.ndarray, win: np.ndarray):
+    """Consecutive windows with one anchor place form a run: (first window
+    of each run, number of windows, hash of the run's windows)."""
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
+    if not len(head):
+        return head, head, np.zeros(0, np.uint64)
+    size = np.diff(np.append(head, len(doc)))
+    step = (np.arange(len(doc)) - np.repeat(head, size)).astype(np.uint64)
+    return head, size, _text.mix(np.add.reduceat(_text.mix(win + step * np.uint64(0x9E3779B97F4A7C15)), head))
+
+
+def _pack(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): the text as zstd, for shuffles."""
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdCompressor(level=3)
         for part in _text.slices(batches):
-            words = _text.Words(_text.as_bytes(part.column("text")))
-            start, anchor, _, win = _anchored(words, window, gram)
-            row, known = _lists(part.column("anchors"))
+            packed = pa.array([press.compress(t) for t in _text.as_bytes(part.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], ["doc_id", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, packed binary")
+
+
+def _unpack(part) -> _text.Words:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return _text.Words([press.decompress(t) for t in part.column("packed").to_pylist()])
+
+
+def _run_rows(packed: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, run, doc_id, wins): the distinct runs of windows of each text
+    whose anchor is among the row's ``anchors``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in _text.slices(batches, "packed", _text.CHUNK_BYTES // 2):
+            words = _unpack(part)
+            start, anchor, place, win = _anchored(words, window, gram)
             doc = words.doc[start]
+            row, known = _lists(part.column("anchors"))
             hit = _lookup(row, known, doc, anchor.view(np.int64)) >= 0
-            a, w, d = anchor[hit], win[hit], doc[hit]
-            order = np.lexsort((w, a, d))
-            a, w, d = a[order], w[order], d[order]
-            new = np.ones(len(a), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+            anchor, place, win, doc = anchor[hit], place[hit], win[hit], doc[hit]
+            head, size, digest = _runs(doc, anchor, place, win)
+            a, d = anchor[head], doc[head]
+            order = np.lexsort((digest, a, d))
+            new = np.ones(len(order), dtype=bool)
+            o, prev = order[1:], order[:-1]
+            new[1:] = (a[o] != a[prev]) | (d[o] != d[prev]) | (digest[o] != digest[prev])
+            keep = np.sort(order[new])
+            first = np.cumsum(size[keep]) - size[keep]
+            at = np.repeat(head[keep] - first, size[keep]) + np.arange(int(size[keep].sum()))
+            wins = pa.ListArray.from_arrays(
+                pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(win[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[new].view(np.int64)), pa.array(w[new].view(np.int64)), part.column("doc_id").take(pa.array(d[new]))],
-                ["anchor", "win", "doc_id"])
+                [pa.array(a[keep].view(np.int64)), pa.array(digest[keep].view(np.int64)),
+                 part.column("doc_id").take(pa.array(d[keep])), wins], ["anchor", "run", "doc_id", "wins"])
 
-    return docs.mapInArrow(run, "anchor long, win long, doc_id long")
+    return packed.mapInArrow(run, "anchor long, run long, doc_id long, wins array<long>")
 
 
-def _parse(part, window: int, gram: int):
-    """Factor the texts of an Arrow slice carrying ``anchors``, ``wins`` and
-    ``refs`` (parallel lists of the windows found in an earlier document).
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _text.mix(a * np.uint64(3) + b).view(np.int64)
+
 
-    Returns the words, and arrays (text, start, length, source) of the
-    factors; source is a position in ``ref_ids``, -1 for the text itself."""
-    words = _text.Words(_text.as_bytes(part.column("text")))
-    start, anchor, _, win = _anchored(words, window, gram)
+def _found(part, doc, anchor, other, names: tuple[str, str, str]):
+    """Whether (anchor, other) of each entry is in the row's parallel lists
+    ``names`` (anchors, others, sources), and its source.  The pair is looked
+    up as one number, then its second half is compared itself."""
+    row, a = _lists(part.column(names[0]))
+    _, b = _lists(part.column(names[1]))
+    _, refs = _lists(part.column(names[2]))
+    at = _lookup(row, _pair(a.view(np.uint64), b.view(np.uint64)), doc, _pair(anchor, other))
+    hit = at >= 0
+    hit[hit] = b[at[hit]] == other.view(np.int64)[hit]
+    source = np.zeros(len(doc), dtype=np.int64)
+    source[hit] = refs[at[hit]]
+    return hit, source
+
+
+def _parse(part, window: int, gram: int):
+    """Factor the texts of an Arrow slice that carries what the index found:
+    whole runs (``ra``, ``rr``, ``rs``) and single windows (``wa``, ``ww``,
+    ``ws``) that occur in an earlier document, with that document.
+
+    Returns the words, and arrays (text, start, length, source, inner) of the
+    factors; inner marks repeats of the text's own earlier words."""
+    words = _unpack(part)
+    start, anchor, place, win = _anchored(words, window, gram)
     doc = words.doc[start]
-    row, a = _lists(part.column("anchors"))
-    _, w = _lists(part.column("wins"))
-    _, refs = _lists(part.column("refs"))
-    # both halves of the identity decide: look the pair up as one number,
-    # then compare the window half itself
-    key = _text.mix(anchor * np.uint64(3) + win).view(np.int64)
-    table = _text.mix(a.view(np.uint64) * np.uint64(3) + w.view(np.uint64)).view(np.int64)
-    at = _lookup(row, table, doc, key)
-    earlier = at >= 0
-    earlier[earlier] = w[at[earlier]] == win.view(np.int64)[earlier]
+    head, size, digest = _runs(doc, anchor, place, win)
+    run_hit, run_source = _found(part, doc[head], anchor[head], digest, ("ra", "rr", "rs"))
+    whole, whole_source = np.repeat(run_hit, size), np.repeat(run_source, size)
+    # at the boundary of a factor: window by window
+    single, single_source = _found(part, doc, anchor, win, ("wa", "ww", "ws"))
+    earlier = whole | single
+    source = np.where(whole, whole_source, single_source)
     # the same window earlier in the same text
-    order = np.lexsort((np.arange(len(start)), win, anchor, doc))
+    o = np.lexsort((np.arange(len(start)), win, anchor, doc))
     same = np.zeros(len(start), dtype=bool)
-    o = order
     same[o[1:]] = (doc[o[1:]] == doc[o[:-1]]) & (anchor[o[1:]] == anchor[o[:-1]]) & (win[o[1:]] == win[o[:-1]])
     hit = np.flatnonzero(earlier | same)
-    source = np.where(earlier[hit], refs[at[hit]] if len(refs) else 0, np.int64(0))
-    inner = ~earlier[hit]
-    # greedy factors: consecutive windows with one source
-    begin = np.ones(len(hit), dtype=bool)
-    s = start[hit]
-    if len(hit):
-        begin[1:] = (s[1:] != s[:-1] + 1) | (inner[1:] != inner[:-1]) | (source[1:] != source[:-1]) | (doc[hit][1:] != doc[hit][:-1])
-    head = np.flatnonzero(begin)
-    runs = np.diff(np.append(head, len(hit)))
-    return words, doc[hit][head], s[head], runs + window - 1, source[head], inner[head]
+    inner, source, d, s = ~earlier[hit], source[hit], doc[hit], start[hit]
+    begin = np.ones(len(hit), dtype=bool)  # greedy: consecutive windows with one source
+    begin[1:] = (s[1:] != s[:-1] + 1) | (inner[1:] != inner[:-1]) | (source[1:] != source[:-1]) | (d[1:] != d[:-1])
+    first = np.flatnonzero(begin)
+    length = np.diff(np.append(first, len(hit))) + window - 1
+    return words, d[first], s[first], length, source[first], inner[first]
 
 
 def _with_index(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Each row of (doc_id, text) with the windows of its document that also
-    occur in a document of smaller id: lists ``anchors``, ``wins``, ``refs``."""
+    """Each row of (doc_id, text), packed, with the runs and windows of its
+    document that also occur in a document of smaller id."""
     ship_package(docs.sparkSession)
     anchors = stage(_anchor_rows(docs, window, gram), "rlz-anchors")
     repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("places")).filter("places > 1").select("anchor")
     mine = anchors.filter("doc_id is not null").join(repeated, "anchor").groupBy("doc_id").agg(
         F.collect_set("anchor").alias("anchors"))
-    wins = stage(_window_rows(docs.join(mine, "doc_id").select("doc_id", "text", "anchors"), window, gram), "rlz-windows")
-    first = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("ref"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = wins.join(first, ["anchor", "win"]).filter("ref < doc_id").groupBy("doc_id").agg(
-        F.collect_list(F.struct("anchor", "win", "ref")).alias("f"))
+    packed = _pack(docs)
+    runs = stage(_run_rows(packed.join(mine, "doc_id"), window, gram), "rlz-runs")
+    # a run of windows that an earlier document has as a whole
+    first = stage(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("ref"), F.count("*").alias("n")), "rlz-first")
+    whole = runs.select("anchor", "run", "doc_id").join(first.filter("n > 1"), ["anchor", "run"]).filter("ref < doc_id")
+    # the first holders of different runs around one anchor: their windows
+    # are compared one by one (a later holder's are all covered above)
+    kinds = first.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    heads = first.join(kinds, "anchor").select("anchor", "run", F.col("ref").alias("doc_id"))
+    wins = runs.join(heads, ["anchor", "run", "doc_id"]).select("anchor", "doc_id", F.explode("wins").alias("win"))
+    wins = stage(wins, "rlz-windows")
+    early = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("ref"), F.count("*").alias("n")).filter("n > 1")
+    part = wins.join(early, ["anchor", "win"]).filter("ref < doc_id")
+    found = whole.select("doc_id", F.lit(False).alias("one"), "anchor", F.col("run").alias("key"), "ref").unionByName(
+        part.select("doc_id", F.lit(True).alias("one"), "anchor", F.col("win").alias("key"), "ref"))
+    found = found.groupBy("doc_id").agg(
+        F.collect_list(F.when(~F.col("one"), F.struct("anchor", "key", "ref"))).alias("r"),
+        F.collect_list(F.when(F.col("one"), F.struct("anchor", "key", "ref"))).alias("w"))
     none = F.array().cast("array<long>")
-    return docs.join(found, "doc_id", "left").select(
-        "doc_id", "text", *[F.coalesce(F.col("f")[c], none).alias(to)
-                            for c, to in (("anchor", "anchors"), ("win", "wins"), ("ref", "refs"))])
+    return packed.join(found, "doc_id", "left").select(
+        "doc_id", "packed", *[F.coalesce(F.col(c)[f], none).alias(to) for c, f, to in (
+            ("r", "anchor", "ra"), ("r", "key", "rr"), ("r", "ref", "rs"),
+            ("w", "anchor", "wa"), ("w", "key", "ww"), ("w", "ref", "ws"))])
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -205,7 +277,7 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        for part in _text.slices(batches):
+        for part in _text.slices(batches, "packed", _text.CHUNK_BYTES // 2):
             words, text, start, length, source, inner = _parse(part, window, gram)
             ids = part.column("doc_id").take(pa.array(text))
             own = [i if n else s for i, n, s in zip(ids.to_pylist(), inner.tolist(), source.tolist(), strict=True)]
@@ -231,7 +303,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bo
     def run(batches):
         import pyarrow as pa
 
-        for part in _text.slices(batches):
+        for part in _text.slices(batches, "packed", _text.CHUNK_BYTES // 2):
             words, text, start, length, _, _ = _parse(part, window, gram)
             edge = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(edge, start, 1)
