@@ -33,9 +33,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    row = edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(h, 8)), F.sum(h.bitwiseAND(0xFF))).first()
-    return tuple(row)
+    """Count and order-free digest of the edges."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
