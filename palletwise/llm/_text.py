@@ -14,7 +14,7 @@ import numpy as np
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 # odd multipliers of the polynomial hashes (fixed values)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)

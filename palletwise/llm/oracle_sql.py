@@ -17,3 +17,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n
        sha256(array_to_string(k, ' ')) AS kept_sha256
 FROM kept
 """
+
+STATEMENTS["op5_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)),
+                              lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+           FROM documents),
+win AS (SELECT doc_id, i AS s, array_to_string(w[i + 1 : i + 8], ' ') AS t
+        FROM d, unnest(range(greatest(len(w) - 7, 0))) u(i)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, t) AS k FROM win) WHERE k > 1),
+cov AS (SELECT doc_id, count(DISTINCT s + j) AS n FROM rep, unnest(range(8)) v(j) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+             CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+             length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
+             length(text) - length(replace(text, '!', '')) AS n_shouts,
+             len(list_filter(w, lambda x, i: i > 1 AND w[i - 1] = x)) AS n_stutter
+      FROM d LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 2 * n_dup_lines > n_lines OR 10 * n_capitals > 3 * word_chars OR 10 * n_shouts > 3 * n_words
+            OR 10 * n_stutter > 3 * n_words) AS kept
+FROM b
+"""
+
+STATEMENTS["op2_topk_maxscore"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palletwise.llm import simhash, substring
+from palletwise.llm import mixing, packing, quality, simhash, substring, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -32,3 +32,24 @@ def op4_substring_dedup(spark, sf):
 def op8_simhash_near_dedup(spark, sf):
     found = simhash.near_duplicates(_documents(spark, sf), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register
+def op5_quality_rules(spark, sf):
+    return quality.verdicts(_documents(spark, sf))
+
+
+@register
+def op2_topk_maxscore(spark, sf):
+    rows = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet")
+    return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+@register
+def op3_source_mixing(spark, sf):
+    return mixing.mix(_documents(spark, sf)).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
+@register
+def op7_best_fit_packing(spark, sf):
+    return packing.pack(_documents(spark, sf))
