@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palletwise.llm import mixing, packing, quality, simhash, substring, topk
+from palletwise.llm import licenses, mixing, packing, quality, simhash, substring, tokens, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -53,3 +53,27 @@ def op3_source_mixing(spark, sf):
 @register
 def op7_best_fit_packing(spark, sf):
     return packing.pack(_documents(spark, sf))
+
+
+@register
+def op6_token_counts(spark, sf):
+    found = tokens.count_tokens(_documents(spark, sf), ("source", "lang", "text"))
+
+    def field_tokens(field: int) -> F.Column:
+        own = F.filter("sections", lambda s: s["field"] == field)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, s: a + s["n_tokens"])
+
+    return found.select(
+        "doc_id", "n_tokens", F.size("sections").alias("n_sections"), field_tokens(0).alias("source_tokens"),
+        field_tokens(1).alias("lang_tokens"), field_tokens(2).alias("text_tokens"),
+        F.col("sections")["n_tokens"].alias("section_tokens"))
+
+
+@register
+def op1_license_scan(spark, sf):
+    return licenses.scan(_documents(spark, sf))
+
+
+@register
+def op9_toxicity(spark, sf):
+    return toxicity.score(_documents(spark, sf), spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet"))
