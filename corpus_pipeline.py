@@ -1,4 +1,9 @@
-"""Corpus pipeline: the operators of ``palletwise.llm`` chained over documents."""
+"""Corpus pipeline: operators of ``palletwise.llm`` chained over ``documents``.
+
+quality rules -> line dedup -> SimHash near-dedup -> mixing sources to target
+weights -> best-fit packing.  Every stage takes all that the one before it
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -12,21 +17,55 @@ if _HERE not in sys.path:
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from palletwise.llm import simhash  # noqa: E402
+from palletwise.llm import lines, mixing, packing, quality, simhash  # noqa: E402
 from palletwise.session import scratch_path  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality.keep(docs.select(*COLUMNS))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and near-repeated lines go, but for the first; a document
+    that loses all its lines goes with them.  ``n_chars`` follows the text."""
+    rows = lines.dedup(docs.select(*COLUMNS)).filter("n_removed = 0 or n_removed < n_lines")
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", chars).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest
-    ``doc_id`` (of rows repeating that id, one)."""
+    ``doc_id`` (of rows repeating that id, one).  Rows with a null ``doc_id``
+    cannot stand for a group and stay."""
+    docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs, shingle=3, radius=2)
     heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix selects, once per epoch that takes them."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document and the bins they are packed into."""
+    return packing.pack(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+# MinHash, XXH64 fingerprints and bin packing have no SQL form; the tests hold
+# the stages against brute-force versions
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palletwise.llm import licenses, mixing, packing, quality, simhash, substring, tokens, topk, toxicity
+from palletwise.llm import licenses, lines, mixing, packing, quality, simhash, substring, tokens, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -77,3 +77,8 @@ def op1_license_scan(spark, sf):
 @register
 def op9_toxicity(spark, sf):
     return toxicity.score(_documents(spark, sf), spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet"))
+
+
+@register
+def op10_line_dedup(spark, sf):
+    return lines.counts(_documents(spark, sf))

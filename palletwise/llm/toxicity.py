@@ -93,6 +93,7 @@ class Matcher(dict):
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.step: list[dict[str, int]] = []
+        self.accepts: list[tuple] = []  # best (word hit, stem hit) of each state
         self.start = self._state({0: 0})
 
     def _state(self, found: dict[int, int]) -> int:
@@ -115,8 +116,21 @@ class Matcher(dict):
             at = self.number[key] = len(self.states)
             self.states.append(key)
             self.step.append({})
+            self.accepts.append(self._accept(key))
         return at
 
+    def _accept(self, key: tuple) -> tuple:
+        word = stem = None
+        for node, e in key:
+            w, s = self.word[node], self.stem[node]
+            if w is not None and e <= tolerance(w):
+                hit = (0 if e == 0 else 1, self.words[w] / (1 + e), w)
+                if word is None or hit[1] > word[1]:
+                    word = hit
+            if s is not None and e == 0:
+                stem = (2, self.stems[s], s)
+        return word, stem
+
     def _next(self, state: int, ch: str) -> int:
         found: dict[int, int] = {}
 
@@ -132,29 +146,23 @@ class Matcher(dict):
         return to
 
     def find(self, token: str):
-        state, stem = self.start, None
+        state, stem, step, accepts = self.start, None, self.step, self.accepts
         for ch in token:
-            to = self.step[state].get(ch)
+            to = step[state].get(ch)
             if to is None:
                 to = self._next(state, ch)
             if to < 0:
                 return stem
             state = to
-            for node, e in self.states[state]:
-                if e == 0 and self.stem[node] is not None:
-                    stem = (2, self.stems[self.stem[node]], self.stem[node])
-        best = None
-        for node, e in self.states[state]:
-            w = self.word[node]
-            if w is not None and e <= tolerance(w):
-                hit = (0 if e == 0 else 1, self.words[w] / (1 + e), w)
-                if best is None or hit[1] > best[1]:
-                    best = hit
+            stem = accepts[state][1] or stem
+        best = accepts[state][0]
         return best if best is not None and (best[0] == 0 or stem is None) else stem
 
     def __missing__(self, token: str):
-        if len(self) >= self.LIMIT or len(self.states) > 50_000:
+        if len(self.states) > 50_000:
             self._reset()
+        elif len(self) >= self.LIMIT:
+            self.clear()
         core = token.strip(EDGE)
         hit = self.find(core) if core else None
         self[token] = hit
