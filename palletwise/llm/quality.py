@@ -168,7 +168,9 @@ def keep(docs: DataFrame, rules=None, sample_rows: int = SAMPLE_ROWS) -> DataFra
         tmp += "_"
     text = F.col("text").cast("string")
     m = measures(text, F.col(tmp))
-    rows = docs.withColumn(tmp, words(text))
+    # the one-element generator keeps the words a column: a filter on them
+    # would be pushed below a plain projection and split the text once a use
+    rows = docs.select("*", F.explode(F.array(words(text))).alias(tmp))
     return rows.filter(~cascade({k: r(m) for k, r in rules.items()}, order)).drop(tmp)
 
 
@@ -180,10 +182,11 @@ def verdicts(docs: DataFrame, rules=None, sample_rows: int = SAMPLE_ROWS) -> Dat
     rest = {k: r for k, r in rules.items() if k not in BASE}
     order = ordered(docs, rest, sample_rows)
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", text.alias("text"), words(text).alias("w"))
+    rows = docs.select("doc_id", text.alias("text"), F.explode(F.array(words(text))).alias("w"))
     m = measures(F.col("text"), F.col("w"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = rows.select("doc_id", "text", "w", *[m[c].alias(c) for c in base])
+    rows = rows.select("doc_id", "text", "w", F.explode(F.array(F.struct(*[m[c].alias(c) for c in base]))).alias("b"))
+    rows = rows.select("doc_id", "text", "w", "b.*")
     m |= {c: F.col(c) for c in base}
     failed = RULES["min_words"](m) | RULES["repeats"](m)
     rejected = cascade({k: r(m) for k, r in rest.items()}, order)
