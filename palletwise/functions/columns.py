@@ -112,8 +112,10 @@ def currency_to_number(c: Column | str) -> Column:
 
 def currency_strict(c: Column | str) -> Column:
     """Strip ``$`` and ``,``, then a strict cast: with ANSI mode on (the
-    default) a bad value fails the job; null stays null."""
-    return strip_ws(F.regexp_replace(as_col(c).cast("string"), r"[$,]", "")).cast("double")
+    default) a bad value fails the job; null stays null.  Text that only the
+    cast would take for a number (``1d``, ``inf``) is bad too."""
+    t = strip_ws(F.regexp_replace(as_col(c).cast("string"), r"[$,]", ""))
+    return F.when(_only(t, NUM_CHARS), t).otherwise(F.concat(F.lit("not a number: "), t)).cast("double")
 
 
 def extended_retail(quantity: Column | str, price: Column | str) -> Column:
@@ -275,19 +277,14 @@ def ceil_div(a: Column | str, b: Column | str | int) -> Column:
     return F.floor((a + b - F.lit(1)) / b).cast("long")
 
 
-MICRO = 1_000_000
-
-
 def exact_sum(c: Column | str) -> Column:
     """Sum that does not depend on row order or partitioning: each value is
-    fixed to an integer number of millionths, summed as a long (hash
-    aggregation, overflow fails loudly under ANSI mode), returned as
-    double; 0 when empty.  Groups may total up to ~9.2e12."""
-    units = F.floor(as_col(c) * F.lit(float(MICRO)) + F.lit(0.5))
-    return F.coalesce(F.sum(units) / F.lit(float(MICRO)), F.lit(0.0))
+    fixed to six decimals and summed as ``decimal(38,6)`` (hash aggregation;
+    beyond 32 integer digits the job fails under ANSI mode), returned as
+    double; 0 when empty.  Values under 5e-7 count as 0."""
+    return F.coalesce(F.sum(as_col(c).cast("decimal(38,6)")).cast("double"), F.lit(0.0))
 
 
 def exact_total(c: Column | str) -> Column:
-    """Grand total of already aggregated values, exact in 38 digits
-    (decimal arithmetic; used on small inputs such as one row per group)."""
-    return F.coalesce(F.sum(as_col(c).cast("decimal(38,6)")).cast("double"), F.lit(0.0))
+    """Grand total of already aggregated values, exact in 38 digits."""
+    return exact_sum(c)

@@ -129,9 +129,10 @@ def refresh_reference(spark: SparkSession, path: str, table_root: str | None = N
         new = ref
         if user_id is not None and sinks.table_exists(spark, table_root):
             current = sinks.read_table(spark, table_root)
-            if "user_id" in current.columns:
-                others = current.filter(F.col("user_id").isNull() | (F.col("user_id") != F.lit(str(user_id))))
-                new = others.unionByName(ref, allowMissingColumns=True)
+            if "user_id" not in current.columns:  # a global table so far: its rows belong to no user
+                current = current.withColumn("user_id", F.lit(None).cast("string"))
+            others = current.filter(F.col("user_id").isNull() | (F.col("user_id") != F.lit(str(user_id))))
+            new = others.unionByName(ref, allowMissingColumns=True)
         sinks.replace_table(new, table_root, spark)
         ref = sinks.read_table(spark, table_root)
         if user_id is not None:

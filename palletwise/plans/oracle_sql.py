@@ -37,10 +37,6 @@ def esum(x: str) -> str:
     return f"coalesce(CAST(SUM(CAST({x} AS DECIMAL(38,6))) AS DOUBLE), 0.0)"
 
 
-def msum(x: str) -> str:
-    return f"coalesce(CAST(SUM(CAST(floor(({x}) * 1000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / 1000000.0, 0.0)"
-
-
 def zpad(x: str, n: int) -> str:
     t = f"CAST({x} AS VARCHAR)"
     return f"(CASE WHEN length({t}) >= {n} THEN {t} ELSE lpad({t}, {n}, '0') END)"
@@ -118,9 +114,10 @@ INV = f"""inv AS (
 
 REF = f"""ref AS (
   SELECT p_partkey AS id,
-         CASE WHEN p_partkey % 5 = 0 THEN {zpad('p_partkey', 8)} ELSE CAST(p_partkey AS VARCHAR) END AS item_number,
+         CASE WHEN p_size > 40 THEN 'X' || CAST(p_partkey AS VARCHAR)
+              WHEN p_partkey % 5 = 0 THEN {zpad('p_partkey', 8)} ELSE CAST(p_partkey AS VARCHAR) END AS item_number,
          p_name AS description, 'catalogue.csv' AS source_file
-  FROM part WHERE p_size <= 40)"""
+  FROM part)"""
 
 REFUP = f"""refup AS (
   SELECT CASE WHEN l.l_linenumber = 7 THEN NULL
@@ -162,8 +159,8 @@ def with_(*ctes: str) -> str:
 PALLETS = f"""pallets AS (
   SELECT pallet_id,
          arg_min(series_desc, _pos) FILTER (WHERE series_desc IS NOT NULL) AS series_desc,
-         {msum('q')} AS quantity,
-         {msum(f'(q * p) * CAST({PCT / 100!r} AS DOUBLE)')} AS extended_percent
+         {esum('q')} AS quantity,
+         {esum(f'(q * p) * CAST({PCT / 100!r} AS DOUBLE)')} AS extended_percent
   FROM (SELECT pallet_id, series_desc, _pos, {num('quantity')} AS q, {cur('us_price')} AS p FROM inv)
   WHERE pallet_id IS NOT NULL
   GROUP BY pallet_id)"""
@@ -242,7 +239,7 @@ SELECT NULL, NULL, 'TOTAL:', CAST(trunc(t.quantity) AS BIGINT), {money('t.extend
 FROM t, n"""
 
     q["item_rollup"] = with_(INV) + f"""
-SELECT {fmt_id('item_id')} AS item_id, item_desc, {msum(num('quantity'))} AS quantity
+SELECT {fmt_id('item_id')} AS item_id, item_desc, {esum(num('quantity'))} AS quantity
 FROM inv WHERE item_desc IS NOT NULL GROUP BY 1, 2"""
 
     # -- comparison ---------------------------------------------------------

@@ -6,7 +6,7 @@ subsets), so its size grows with them.  The same views exist as SQL text in
 must stay identical.
 
 * ``inventory``   lineitem x part       -> inventory file rows (all text)
-* ``reference``   part (size <= 40)     -> the item catalogue
+* ``reference``   part                  -> the item catalogue
 * ``reference_upload`` lineitem x part  -> a raw catalogue file with copies,
                                           blanks and padded keys
 * ``files``       events                -> the uploaded-file catalogue
@@ -86,9 +86,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size"])
-    return part.filter(F.col("p_size") <= 40).select(
+    return part.select(
         F.col("p_partkey").alias("id"),
-        F.when(F.col("p_partkey") % 5 == 0, zpad("p_partkey", 8))
+        # large parts carry a key that no inventory line uses
+        F.when(F.col("p_size") > 40, F.concat(F.lit("X"), F.col("p_partkey").cast("string")))
+        .when(F.col("p_partkey") % 5 == 0, zpad("p_partkey", 8))
         .otherwise(F.col("p_partkey").cast("string"))
         .alias("item_number"),
         F.col("p_name").alias("description"),

@@ -35,8 +35,8 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "p
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
-    Taken from ``spark.checkpoint.dir`` when the cluster names one; only when
-    it is unset (local tests) a scratch folder is created and registered.
+    Taken from ``spark.checkpoint.dir`` when the cluster names one.  Where it
+    is unset, a local master gets a scratch folder; a cluster fails.
     """
     try:
         sc = spark.sparkContext
@@ -46,6 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = str(getattr(sc, "master", "local")) if sc is not None else "remote"
+        if not master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="palletwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is None:
         return configured

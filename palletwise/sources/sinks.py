@@ -126,7 +126,7 @@ def read_table(spark: SparkSession, root: str, columns: list[str] | None = None,
     elif fmt == "table":
         df = spark.table(root)
     else:
-        version = _read_pointer(spark, root) if "://" in root or os.path.isabs(root) or root.startswith("file:") else None
+        version = _read_pointer(spark, root)
         df = spark.read.parquet(root.rstrip("/") + "/" + version if version else root)
     return df.select(*columns) if columns else df
 

@@ -107,3 +107,21 @@ def test_file_parts(spark):
     df = spark.createDataFrame([("Report.Final.XLSX",), ("noext",)], "v string")
     got = [tuple(r["p"]) for r in df.select(C.file_parts("v").alias("p")).collect()]
     assert got == [("Report.Final", "xlsx"), ("noext", "noext")]
+
+
+def test_exact_sum_of_large_and_small_values(spark):
+    from palletwise.functions.columns import exact_sum
+
+    df = spark.createDataFrame([(1e13,), (1e13,), (0.000001,)], "x double")
+    assert df.agg(exact_sum("x").alias("s")).first().s == 20000000000000.000001
+
+
+def test_currency_strict_rejects_number_suffixes(spark):
+    import pytest
+
+    from palletwise.functions.columns import currency_strict
+
+    for bad in ("1d", "2f", "inf", "x"):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            spark.createDataFrame([(bad,)], "p string").select(currency_strict("p")).collect()
+    assert spark.createDataFrame([("$1,000.5",), (None,)], "p string").select(currency_strict("p").alias("v")).collect() == [(1000.5,), (None,)]

@@ -78,3 +78,16 @@ def test_refresh_reference_per_user(spark, scratch):
 
     got = rows(sinks.read_table(spark, table), "user_id", "item_number")
     assert got == [("u1", "9"), ("u2", "9")] and n == 1
+
+
+def test_refresh_of_one_user_keeps_a_global_table(spark, scratch):
+    root = scratch + "/table"
+    for name, rows in (("global", [("1", "one"), ("2", "two")]), ("user", [("1", "mine")])):
+        spark.createDataFrame(rows, "`No.` string, Description string").coalesce(1).write.option("header", True).csv(f"{scratch}/{name}.csv")
+    jobs.refresh_reference(spark, f"{scratch}/global.csv", root)
+    mine, n = jobs.refresh_reference(spark, f"{scratch}/user.csv", root, user_id="u1")
+    assert n == 1
+    from palletwise.sources import sinks
+
+    got = {(r.item_number, r.description, r.user_id) for r in sinks.read_table(spark, root).collect()}
+    assert got == {("1", "one", None), ("2", "two", None), ("1", "mine", "u1")}
