@@ -15,6 +15,7 @@ RUN_STAMP = "20240105_100000"
 UPLOAD_STAMP = "20240105_100000_000000"
 NOW = "2024-01-01 12:00:00"
 LIST_USER_PAGE, LIST_LIMIT = 2, 10
+LIST_USER = "12"
 
 
 # ---------------------------------------------------------------------------
@@ -313,6 +314,18 @@ WHERE position > {(LIST_USER_PAGE - 1) * LIST_LIMIT} AND position <= {LIST_USER_
 SELECT user_id, count(*) AS total, CAST({LIST_USER_PAGE} AS BIGINT) AS page, CAST({LIST_LIMIT} AS BIGINT) AS "limit",
        (count(*) + {LIST_LIMIT - 1}) // {LIST_LIMIT} AS pages
 FROM listed GROUP BY user_id"""
+    one = f"""SELECT *, row_number() OVER (ORDER BY fecha_subida DESC, list_position(['pdf', 'csv', 'xlsx'], tipo), nombre) AS position
+  FROM listed WHERE user_id = '{LIST_USER}'"""
+    term = "contains(lower(nombre), 'view')"
+    of_page = f"position > {(LIST_USER_PAGE - 1) * LIST_LIMIT} AND position <= {LIST_USER_PAGE * LIST_LIMIT}"
+    q["list_files_one_user"] = with_(FILES, listed) + f"""
+SELECT * FROM ({one} AND {term}) WHERE {of_page}"""
+    q["list_files_one_user_info"] = with_(FILES, listed) + f"""
+SELECT count(*) AS total, CAST({LIST_USER_PAGE} AS BIGINT) AS page, CAST({LIST_LIMIT} AS BIGINT) AS "limit",
+       (count(*) + {LIST_LIMIT - 1}) // {LIST_LIMIT} AS pages
+FROM listed WHERE user_id = '{LIST_USER}' AND {term}"""
+    q["page_after_one_user"] = with_(FILES, listed) + f"""
+SELECT * FROM ({one}) WHERE position > {LIST_LIMIT} AND position <= {2 * LIST_LIMIT}"""
     q["expired_files"] = with_(FILES) + f"""
 SELECT * FROM files WHERE fecha_subida < TIMESTAMP '{NOW}' - INTERVAL 5 MINUTE"""
 

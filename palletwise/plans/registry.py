@@ -10,14 +10,14 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palletwise.functions import columns as C
 from palletwise.functions.constants import JOB_EXTENSIONS
 from palletwise.operators import catalogue, clean, compare, rollups, tables
 from palletwise.plans import jobs, views
-from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, UPLOAD_STAMP
+from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, UPLOAD_STAMP
 from palletwise.session import scratch_path, ship_package
 from palletwise.sources import files
 
@@ -232,6 +232,33 @@ def file_page_info(spark, sf):
     return catalogue.page_info(listed, LIST_USER_PAGE, LIST_LIMIT, by="user_id")
 
 
+def _one_user(spark, sf):
+    return catalogue.list_files(views.files(spark, sf), LIST_USER, "any", " VIEW ", page=LIST_USER_PAGE, limit=LIST_LIMIT)
+
+
+@register("list_files_one_user")
+def list_files_one_user(spark, sf):
+    # the page holds at most LIST_LIMIT rows: one small window numbers it
+    page, _ = _one_user(spark, sf)
+    place = F.row_number().over(Window.orderBy(*catalogue.newest_first())) + (LIST_USER_PAGE - 1) * LIST_LIMIT
+    return page.withColumn("position", place.cast("long"))
+
+
+@register("list_files_one_user_info")
+def list_files_one_user_info(spark, sf):
+    return _one_user(spark, sf)[1]
+
+
+@register("page_after_one_user")
+def page_after_one_user(spark, sf):
+    """The page after the entry that ``page_of`` puts last on page 1."""
+    listed = catalogue.search_files(views.files(spark, sf), user_id=LIST_USER)
+    last = catalogue.page_of(listed, 1, LIST_LIMIT).select("fecha_subida", "tipo", "nombre").collect()[-1:]
+    page = catalogue.page_after(listed, tuple(last[0]) if last else None, LIST_LIMIT)
+    place = F.row_number().over(Window.orderBy(*catalogue.newest_first())) + len(last) * LIST_LIMIT
+    return page.withColumn("position", place.cast("long"))
+
+
 @register("expired_files")
 def expired_files(spark, sf):
     return catalogue.expired_files(views.files(spark, sf), _dt.datetime.fromisoformat(NOW))
