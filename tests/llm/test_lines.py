@@ -108,3 +108,20 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {x: find(x) for x in parent}
     assert len(got) == len(parent)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rounds_of_leaders_part_the_families_of_one_band(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(240)]
+    rows, family = [], {}
+    for f in range(5):
+        base = words[f * 40 : f * 40 + 40]
+        for v in range(4):
+            k1 = v * 5 + f
+            family[k1] = f
+            rows.append((k1, k1, " ".join([*base[:-1], words[200 + v]])))
+    made = spark.createDataFrame(rows, "k1 long, k2 long, line string")
+    one_band = made.selectExpr("k1", "k2", "k1 AS doc", "1L AS n", "array(7L) AS bands")
+    found = {(r.u, r.v) for r in lines.links(one_band, made, leaders=1).collect()}
+    assert all(family[u] == family[v] for u, v in found)
+    assert {max(p) for p in found} >= {k for k in family if k >= 5}
