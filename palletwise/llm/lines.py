@@ -1,14 +1,16 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Lines are cut into character shingles: the ``SHINGLE`` characters from the
-start of each word on (and from each ideograph or kana), so an edit moves no
-other shingle.  Equal lines are one entry; its MinHash signature is built by
-a combinable aggregate over the exploded shingle hashes, one ``min`` per
-hash function (xor with a fixed mask).  Signatures are banded; lines that
-share a band are candidates.  In a band every line is compared with the
-band's leaders, its first ``LEADERS`` lines, by the exact Jaccard similarity
-of the shingle sets; lines like none of them elect the next leaders, twice
-as many each round, until none is left.  So small bands are compared whole,
+start of each word on, and from each character outside U+0021-U+2E7F
+(ideographs, kana, symbols of later planes), so an edit moves no other
+shingle.  Equal lines are one entry; its MinHash signature is built by a
+combinable aggregate over the exploded shingle hashes, one ``min`` per hash
+function (xor with a fixed mask).  Signatures are banded; lines that share a
+band are candidates.  In a band every line is compared with the band's
+leaders, its first ``LEADERS`` lines, by the exact Jaccard similarity of the
+shingle sets (a shingle identified by 64 hash bits), unless the sizes of the
+sets rule it out; lines like none of the leaders elect the next ones, eight
+times as many each round, until none is left.  So small bands are compared whole,
 a band of similar lines is never paired out, and the rounds grow with the
 logarithm of the unlike lines in a band.  Verified links are joined into components by
 distributed union-find, and of each component one line stays, the first in
@@ -40,23 +42,24 @@ SHINGLE = 9
 BANDS, ROWS = 9, 4
 LEADERS = 8
 SIMILARITY = (4, 5)  # 0.8 as a fraction
-_GAP = r"\x20\x09-\x0D"
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The character shingles of a line, in order, repeats included."""
-    start = rf"(?:(?<![^{_GAP}])[^{_GAP}]|[⺀-퟿])"
-    return F.regexp_extract_all(line, F.lit(rf"(?=({start}.{{0,{size - 1}}}))"), F.lit(1))
+    """The distinct character shingles of a trimmed line.  The pattern looks
+    ahead at a shingle and then passes to the next start."""
+    pattern = rf"(?s)(?=(\S.{{0,{size - 1}}}))\S[!-⹿]*+\s*+"
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Exact Jaccard similarity of two shingle arrays reaches ``SIMILARITY``."""
+def sizes_allow(x: Column, y: Column) -> Column:
+    """Sets of these sizes can reach ``SIMILARITY``."""
+    return F.least(x, y) * SIMILARITY[1] >= F.greatest(x, y) * SIMILARITY[0]
 
-    def test(x: Column, y: Column) -> Column:
-        common = F.size(F.array_intersect(x, y))
-        return common * SIMILARITY[1] >= (F.size(x) + F.size(y) - common) * SIMILARITY[0]
 
-    return _let(F.array_distinct(a), lambda x: _let(F.array_distinct(b), lambda y: test(x, y)))
+def similar(x: Column, y: Column) -> Column:
+    """Exact Jaccard similarity of two sets, as arrays, reaches ``SIMILARITY``."""
+    return _let(F.size(F.array_intersect(x, y)),
+                lambda n: n * SIMILARITY[1] >= (F.size(x) + F.size(y) - n) * SIMILARITY[0])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -69,43 +72,51 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k1, k2, doc, n, bands): distinct lines with their smallest document,
-    number of occurrences and band keys."""
+    """(k1, k2, doc, n, size, bands): distinct lines with their smallest
+    document, number of occurrences and of shingles, and band keys."""
     sh = lines.select("doc_id", "k1", "k2", F.posexplode(shingles(F.col("line"))).alias("at", "s"))
     sh = sh.select("doc_id", "k1", "k2", "at", F.xxhash64("s").alias("h"))
     # masks: the xxhash64 of the hash function's number, a fixed value
     mins = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.xxhash64(F.lit(j), F.lit("mask"))), 32).cast("int")).alias(f"m{j}")
             for j in range(bands * rows)]
-    sig = sh.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count_if(F.col("at") == 0).alias("n"), *mins)
+    sig = sh.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count_if(F.col("at") == 0).alias("n"),
+                                     F.count("*").alias("total"), *mins)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    return sig.select("k1", "k2", "doc", "n", F.array(*keys).alias("bands"))
+    size = (F.col("total") / F.col("n")).cast("long").alias("size")
+    return sig.select("k1", "k2", "doc", "n", size, F.array(*keys).alias("bands"))
 
 
 def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> DataFrame:
     """Verified links (u, v) between similar lines, as k1 values."""
-    member = distinct.select("k1", F.explode("bands").alias("band")).distinct()
-    many = member.groupBy("band").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("band")
-    todo = stage(member.join(many, "band").select("band", "k1"), "line-bands")
-    text = stage(lines.select("k1", "line").join(todo.select("k1").distinct(), "k1", "left_semi").dropDuplicates(["k1"]), "line-text")
-    a, b = text.select("k1", F.col("line").alias("a")), text.select(F.col("k1").alias("lead"), F.col("line").alias("b"))
+    order = Window.partitionBy("band").orderBy("k1")
+    member = distinct.select("k1", "size", F.explode("bands").alias("band"))
+    near = member.select("band", "k1", "size", F.lag("k1").over(order).alias("lo"), F.lead("k1").over(order).alias("hi"))
+    todo = stage(near.filter("lo < k1 or hi > k1").select("band", "k1", "size"), "line-bands")
+    wanted = stage(todo.select("k1").distinct(), "line-keys")
+    text = lines.select("k1", "line").join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
+    sets = stage(text.select("k1", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("set")), "line-sets")
     found = None
     while True:
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("k1"))
-        lead = todo.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("band", F.col("k1").alias("lead"))
-        met = todo.join(lead, "band").filter("lead < k1")
-        checked = met.select("k1", "lead").distinct().join(a, "k1").join(b, "lead")
-        good = stage(checked.filter(similar(shingles(F.col("a")), shingles(F.col("b")))).select("k1", "lead"), "line-pairs")
+        lead = todo.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= leaders)
+        lead = lead.select("band", F.col("k1").alias("lead"), F.col("size").alias("lead_size"))
+        met = todo.join(lead, "band").filter("lead < k1").filter(sizes_allow(F.col("size"), F.col("lead_size")))
+        met = stage(met.select("band", "k1", "lead"), "line-met")
+        pairs = met.select("k1", "lead").distinct()
+        heads = stage(sets.join(pairs.select(F.col("lead").alias("k1")).distinct(), "k1", "left_semi")
+                      .select(F.col("k1").alias("lead"), F.col("set").alias("lead_set")), "line-leads")
+        checked = pairs.join(sets, "k1").join(heads, "lead")
+        good = stage(checked.filter(similar(F.col("set"), F.col("lead_set"))).select("k1", "lead"), "line-pairs")
         pairs = good.select(F.col("k1").alias("u"), F.col("lead").alias("v"))
         found = pairs if found is None else found.unionByName(pairs)
         # of the bands with more lines than leaders, the lines like none of
         # them go on, while a band has two
         large = todo.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > leaders + 1).select("band")
-        rest = todo.join(large, "band", "left_semi").join(lead.withColumnRenamed("lead", "k1"), ["band", "k1"], "left_anti")
+        rest = todo.join(large, "band", "left_semi").join(lead.select("band", F.col("lead").alias("k1")), ["band", "k1"], "left_anti")
         rest = rest.join(met.join(good, ["k1", "lead"], "left_semi").select("band", "k1"), ["band", "k1"], "left_anti")
-        todo = stage(rest.select("band", "k1"), "line-bands")
+        todo = stage(rest.select("band", "k1", "size"), "line-bands")
         if todo.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             return found
-        leaders *= 2
+        leaders *= 8
 
 
 def removals(docs: DataFrame) -> DataFrame:
