@@ -92,8 +92,9 @@ def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> Data
     member = distinct.select("k1", "size", F.explode("bands").alias("band"))
     near = member.select("band", "k1", "size", F.lag("k1").over(order).alias("lo"), F.lead("k1").over(order).alias("hi"))
     todo = stage(near.filter("lo < k1 or hi > k1").select("band", "k1", "size"), "line-bands")
-    wanted = stage(todo.select("k1").distinct(), "line-keys")
-    text = lines.select("k1", "line").join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
+    # a line's text is taken from its smallest document
+    wanted = stage(distinct.select("k1", F.col("doc").alias("doc_id")).join(todo.select("k1").distinct(), "k1", "left_semi"), "line-keys")
+    text = lines.select("k1", "doc_id", "line").join(wanted, ["k1", "doc_id"], "left_semi").dropDuplicates(["k1"])
     sets = stage(text.select("k1", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("set")), "line-sets")
     found = None
     while True:

@@ -123,6 +123,6 @@ def test_rounds_of_leaders_part_the_families_of_one_band(spark):
     made = spark.createDataFrame(rows, "k1 long, k2 long, line string")
     size = lines.F.size(lines.shingles(made.line)).alias("size")
     one_band = made.select("*", size).selectExpr("k1", "k2", "k1 AS doc", "1L AS n", "size", "array(7L) AS bands")
-    found = {(r.u, r.v) for r in lines.links(one_band, made, leaders=1).collect()}
+    found = {(r.u, r.v) for r in lines.links(one_band, made.withColumn("doc_id", made.k1), leaders=1).collect()}
     assert all(family[u] == family[v] for u, v in found)
     assert {max(p) for p in found} >= {k for k in family if k >= 5}
