@@ -1,13 +1,12 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are cut into character shingles: the ``SHINGLE`` characters from the
-start of each word on, and from each character outside U+0021-U+2E7F
-(ideographs, kana, symbols of later planes), so an edit moves no other
-shingle.  Equal lines are one entry; its MinHash signature is built by a
-combinable aggregate over the exploded shingle hashes, one ``min`` per hash
-function (xor with a fixed mask).  Signatures are banded; lines that share a
-band are candidates.  In a band every line is compared with the band's
-leaders, its first ``LEADERS`` lines, by the exact Jaccard similarity of the
+Lines are cut into character shingles: the (up to) ``SHINGLE`` characters
+from each character of the trimmed line on.  Equal lines are one entry.  Its
+MinHash signature comes from one sorted array of its shingle hashes: hash
+function j takes the first hash at or after a fixed mark j, in cyclic order
+(any hash of the set is the first with equal chance).  Signatures are
+banded; lines that share a band are candidates.  In a band every line is
+compared with the band's leaders, its first ``LEADERS`` lines, by the exact Jaccard similarity of the
 shingle sets (a shingle identified by 64 hash bits), unless the sizes of the
 sets rule it out; lines like none of the leaders elect the next ones, eight
 times as many each round, until none is left.  So small bands are compared whole,
@@ -45,10 +44,14 @@ SIMILARITY = (4, 5)  # 0.8 as a fraction
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The distinct character shingles of a trimmed line.  The pattern looks
-    ahead at a shingle and then passes to the next start."""
-    pattern = rf"(?s)(?=(\S.{{0,{size - 1}}}))\S[!-⹿]*+\s*+"
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
+    """The distinct character shingles of a trimmed line, one from each
+    character on (those of the last characters are shorter)."""
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{size}}}))"), F.lit(1)))
+
+
+def hashes(line: Column) -> Column:
+    """The 64-bit hashes of the shingles, distinct and sorted."""
+    return F.sort_array(F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x))))
 
 
 def sizes_allow(x: Column, y: Column) -> Column:
@@ -74,16 +77,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(k1, k2, doc, n, size, bands): distinct lines with their smallest
     document, number of occurrences and of shingles, and band keys."""
-    sh = lines.select("doc_id", "k1", "k2", F.posexplode(shingles(F.col("line"))).alias("at", "s"))
-    sh = sh.select("doc_id", "k1", "k2", "at", F.xxhash64("s").alias("h"))
-    # masks: the xxhash64 of the hash function's number, a fixed value
-    mins = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.xxhash64(F.lit(j), F.lit("mask"))), 32).cast("int")).alias(f"m{j}")
-            for j in range(bands * rows)]
-    sig = sh.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count_if(F.col("at") == 0).alias("n"),
-                                     F.count("*").alias("total"), *mins)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    size = (F.col("total") / F.col("n")).cast("long").alias("size")
-    return sig.select("k1", "k2", "doc", "n", size, F.array(*keys).alias("bands"))
+    # marks: the xxhash64 of the hash function's number, a fixed value
+    marks = lines.sparkSession.range(bands * rows).select(F.xxhash64("id", F.lit("mark"))).collect()
+    marks = [m[0] for m in marks]
+    rank = {m: i for i, m in enumerate(sorted(marks))}
+    sh = lines.select("doc_id", "k1", "k2", hashes(F.col("line")).alias("h"))
+    sh = sh.select("doc_id", "k1", "k2", F.size("h").alias("size"), F.concat("h", F.slice("h", 1, 1)).alias("ring"),
+                   F.sort_array(F.concat("h", F.array(*map(F.lit, marks)))).alias("m"))
+
+    def first(mark: int) -> Column:
+        # hashes below the mark: what stands before it, less the marks there
+        return F.col("ring")[F.array_position("m", F.lit(mark)) - F.lit(1 + rank[mark])]
+
+    keys = [F.xxhash64(F.lit(b), *[first(m) for m in marks[b * rows : b * rows + rows]]).alias(f"b{b}") for b in range(bands)]
+    # a lambda function keeps this projection out of whole-stage code, whose
+    # single method would be too long for the JVM to compile
+    size = F.transform(F.array("size"), lambda x: x)[0].alias("size")
+    sig = sh.select("doc_id", "k1", "k2", size, *keys).groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.min("size").cast("long").alias("size"),
+        *[F.min(f"b{b}").alias(f"b{b}") for b in range(bands)])
+    return sig.select("k1", "k2", "doc", "n", "size", F.array(*[f"b{b}" for b in range(bands)]).alias("bands"))
 
 
 def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> DataFrame:

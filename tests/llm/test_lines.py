@@ -126,3 +126,27 @@ def test_rounds_of_leaders_part_the_families_of_one_band(spark):
     found = {(r.u, r.v) for r in lines.links(one_band, made, leaders=1).collect()}
     assert all(family[u] == family[v] for u, v in found)
     assert {max(p) for p in found} >= {k for k in family if k >= 5}
+
+
+def sliding(line):
+    return {line[i : i + 9] for i in range(len(line))}
+
+
+def test_long_tokens_against_sliding_windows(spark):
+    rng = random.Random(8)
+    urls = ["https://www.example.org/" + "".join(rng.choices("abcdefghij", k=90)) for _ in range(30)]
+    thai = ["ภาษาไทยไม่เว้นวรรค" + "".join(rng.choices("กขคงจฉชซ", k=90)) for _ in range(10)]
+    base = urls + thai + ["%064x" % rng.getrandbits(256) for _ in range(10)] + ["Andththwhwh.", "Andththwhes."]
+    edited = [x[:4] + "#" + x[5:] for x in base[:40]] + [x[:-1] + "#" for x in base[:40]]
+    texts = base + edited
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r.doc_id for r in lines.removals(df).collect()}
+    sets, comp = [sliding(x) for x in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    want = {i for i, c in enumerate(comp) if c != i}
+    assert not gone - want and not gone & set(range(len(base)))
+    assert want == set(range(len(base), len(texts))) and len(gone) >= 0.97 * len(want)
