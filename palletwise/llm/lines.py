@@ -6,12 +6,15 @@ MinHash signature comes from one sorted array of its shingle hashes: hash
 function j takes the first hash at or after a fixed mark j, in cyclic order
 (any hash of the set is the first with equal chance).  Signatures are
 banded; lines that share a band are candidates.  In a band every line is
-compared with the band's leaders, its first ``LEADERS`` lines, by the exact Jaccard similarity of the
-shingle sets (a shingle identified by 64 hash bits), unless the sizes of the
-sets rule it out; lines like none of the leaders elect the next ones, eight
-times as many each round, until none is left.  So small bands are compared whole,
-a band of similar lines is never paired out, and the rounds grow with the
-logarithm of the unlike lines in a band.  Verified links are joined into components by
+compared with the band's leaders, its first ``LEADERS`` lines, by the exact
+Jaccard similarity of the shingle sets (a shingle identified by 64 hash
+bits), unless the sizes of the sets rule it out; so bands of up to
+``LEADERS`` + 1 lines are compared whole.  In larger bands the lines that
+the links so far leave in different components are compared by an exact
+prefix filter: sets of similarity s >= 4/5 share one of the
+|set| - ceil(s |set|) + 1 first shingles of either in any common order;
+taken is the order by frequency, rarest first.  So every pair of a band is
+compared, joined already or ruled out by proof.  Verified links are joined into components by
 distributed union-find, and of each component one line stays, the first in
 (doc_id, line number) order.
 
@@ -99,37 +102,52 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     return sig.select("k1", "k2", "doc", "n", "size", F.array(*[f"b{b}" for b in range(bands)]).alias("bands"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) of ``pairs`` whose sets are similar."""
+    left = pairs.distinct().join(sets.select(F.col("k1").alias("u"), F.col("set").alias("su")), "u")
+    both = left.join(sets.select(F.col("k1").alias("v"), F.col("set").alias("sv")), "v")
+    return stage(both.filter(similar(F.col("su"), F.col("sv"))).select("u", "v"), "line-pairs")
+
+
 def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> DataFrame:
-    """Verified links (u, v) between similar lines, as k1 values."""
-    order = Window.partitionBy("band").orderBy("k1")
-    member = distinct.select("k1", "size", F.explode("bands").alias("band"))
-    near = member.select("band", "k1", "size", F.lag("k1").over(order).alias("lo"), F.lead("k1").over(order).alias("hi"))
-    todo = stage(near.filter("lo < k1 or hi > k1").select("band", "k1", "size"), "line-bands")
-    wanted = stage(todo.select("k1").distinct(), "line-keys")
+    """Verified links (u, v) between similar lines, as k1 values; the graph
+    joins every similar pair of lines that share a band."""
+    member = distinct.select("k1", "size", F.explode(F.array_distinct("bands")).alias("band"))
+    own = Window.partitionBy("band")
+    near = member.withColumn("n", F.count("*").over(own))
+    todo = stage(near.filter("n > 1").select("band", "n", "k1", "size"), "line-bands")
+    wanted = todo.select("k1").distinct()
     text = lines.select("k1", "line").join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
-    sets = stage(text.select("k1", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("set")), "line-sets")
-    found = None
-    while True:
-        lead = todo.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= leaders)
-        lead = lead.select("band", F.col("k1").alias("lead"), F.col("size").alias("lead_size"))
-        met = todo.join(lead, "band").filter("lead < k1").filter(sizes_allow(F.col("size"), F.col("lead_size")))
-        met = stage(met.select("band", "k1", "lead"), "line-met")
-        pairs = met.select("k1", "lead").distinct()
-        heads = stage(sets.join(pairs.select(F.col("lead").alias("k1")).distinct(), "k1", "left_semi")
-                      .select(F.col("k1").alias("lead"), F.col("set").alias("lead_set")), "line-leads")
-        checked = pairs.join(sets, "k1").join(heads, "lead")
-        good = stage(checked.filter(similar(F.col("set"), F.col("lead_set"))).select("k1", "lead"), "line-pairs")
-        pairs = good.select(F.col("k1").alias("u"), F.col("lead").alias("v"))
-        found = pairs if found is None else found.unionByName(pairs)
-        # of the bands with more lines than leaders, the lines like none of
-        # them go on, while a band has two
-        large = todo.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > leaders + 1).select("band")
-        rest = todo.join(large, "band", "left_semi").join(lead.select("band", F.col("lead").alias("k1")), ["band", "k1"], "left_anti")
-        rest = rest.join(met.join(good, ["k1", "lead"], "left_semi").select("band", "k1"), ["band", "k1"], "left_anti")
-        todo = stage(rest.select("band", "k1", "size"), "line-bands")
-        if todo.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-            return found
-        leaders *= 8
+    sets = stage(text.select("k1", hashes(F.col("line")).alias("set")), "line-sets")
+    order = Window.partitionBy("band").orderBy("k1")
+    lead = todo.select("band", "k1", "size", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= leaders)
+    lead = lead.select("band", F.col("k1").alias("v"), F.col("size").alias("v_size"))
+    met = todo.join(lead, "band").filter("v < k1").filter(sizes_allow(F.col("size"), F.col("v_size")))
+    found = _verified(met.select(F.col("k1").alias("u"), "v"), sets)
+    large = todo.filter(F.col("n") > leaders + 1).select("band", "k1", "size")
+    if large.isEmpty():
+        return found
+    cc = components(found).withColumnRenamed("node", "k1")
+    large = large.join(cc, "k1", "left").select("band", "k1", "size", F.coalesce("component", "k1").alias("root"))
+    apart = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    rest = stage(large.join(apart, "band", "left_semi").select("k1", "size", "root").distinct(), "line-rest")
+    return found.unionByName(_verified(_prefix_pairs(rest, sets), sets))
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): the pairs of lines of ``rest`` (k1, size, root) with different
+    roots that can be similar, among them all that are."""
+    token = rest.join(sets, "k1").select("k1", "size", "root", F.explode("set").alias("token"))
+    seen = token.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    token = token.join(seen, "token").withColumn("apart", F.expr("lo < hi"))
+    row = token.groupBy("k1", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "token", "apart"))).alias("all"))
+    # all but ceil(s |set|) of the tokens, and one more
+    length = F.floor(F.col("size") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1
+    row = row.select("k1", "size", "root", F.explode(F.slice("all", F.lit(1), length)).alias("t")).filter("t.apart")
+    row = stage(row.select("k1", "size", "root", "t.token"), "line-prefixes")
+    other = row.select("token", F.col("k1").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
+    met = row.join(other, "token").filter("v < k1 and root <> v_root").filter(sizes_allow(F.col("size"), F.col("v_size")))
+    return met.select(F.col("k1").alias("u"), "v")
 
 
 def removals(docs: DataFrame) -> DataFrame:

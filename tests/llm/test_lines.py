@@ -150,3 +150,42 @@ def test_long_tokens_against_sliding_windows(spark):
     want = {i for i, c in enumerate(comp) if c != i}
     assert not gone - want and not gone & set(range(len(base)))
     assert want == set(range(len(base), len(texts))) and len(gone) >= 0.97 * len(want)
+
+
+def test_every_pair_of_a_hub_band_is_compared(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(800)]
+    base, texts = words[:40], [" ".join(words[:40])]
+    for i in range(330):
+        new = list(base)
+        new[rng.randrange(40)], new[rng.randrange(40)] = words[100 + 2 * i], words[101 + 2 * i]
+        texts.append(" ".join(new))
+    occ = lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sig = lines.signatures(occ).cache()
+    got = sig.collect()
+    sets = {r.k1: sliding(texts[r.doc]) for r in got}
+    bands = {}
+    for r in got:
+        for b in r.bands:
+            bands.setdefault(b, []).append(r.k1)
+
+    def parts(edges):
+        comp = {k: k for k in sets}
+
+        def find(x):
+            while comp[x] != x:
+                x = comp[x]
+            return x
+
+        for u, v in edges:
+            a, b = find(u), find(v)
+            comp[max(a, b)] = min(a, b)
+        return {k: find(k) for k in sets}
+
+    want = parts((a, b) for m in bands.values() for i, a in enumerate(m) for b in m[:i]
+                 if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    found = [(r.u, r.v) for r in lines.links(sig, occ).collect()]
+    assert all(5 * len(sets[u] & sets[v]) >= 4 * len(sets[u] | sets[v]) for u, v in found)
+    have = parts(found)
+    assert max(len(m) for m in bands.values()) > 100
+    assert all(have[k] == have[want[k]] for k in sets) and len(set(have.values())) <= 15
