@@ -21,8 +21,9 @@ distributed union-find, and of each component one line stays, the first in
 With b bands of r rows a pair of similarity s meets with probability
 1 - (1 - s^r)^b: 0.991 at 0.8, 0.999 at 0.85, 0.99998 at 0.9.
 
-Skew: equal lines collapse map-side; bands hold distinct lines only, are
-reduced by ``min`` and joined (AQE splits a hot band).  Nothing is collected.
+Skew: equal lines collapse map-side; bands are counted map-side and leaders
+taken below the shuffle (``WindowGroupLimit``); members of a hot band are
+narrow rows of a join, which AQE splits.  Nothing is collected.
 
 Defined results: lines are compared without surrounding white space; lines
 without a word are kept as they are; null text stays null; rows with null
@@ -113,9 +114,8 @@ def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> Data
     """Verified links (u, v) between similar lines, as k1 values; the graph
     joins every similar pair of lines that share a band."""
     member = distinct.select("k1", "size", F.explode(F.array_distinct("bands")).alias("band"))
-    own = Window.partitionBy("band")
-    near = member.withColumn("n", F.count("*").over(own))
-    todo = stage(near.filter("n > 1").select("band", "n", "k1", "size"), "line-bands")
+    many = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    todo = stage(member.join(many, "band").select("band", "n", "k1", "size"), "line-bands")
     wanted = todo.select("k1").distinct()
     text = lines.select("k1", "line").join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
     sets = stage(text.select("k1", hashes(F.col("line")).alias("set")), "line-sets")
