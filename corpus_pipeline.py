@@ -37,14 +37,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest
-    ``doc_id`` (of rows repeating that id, one).  Rows with a null ``doc_id``
-    cannot stand for a group and stay."""
+    """One document of each SimHash group stays: of its rows with the
+    smallest ``doc_id`` the one with the smallest fingerprint, then text hash,
+    then other columns; unlike texts under one id are groups of their own.
+    Rows with a null ``doc_id`` cannot stand for a group and stay."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, shingle=3, radius=2)
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    rows = docs.withColumn("key", F.xxhash64("text"))
+    found = simhash.groups(rows, shingle=3, radius=2, keep=("key",))
+    heads = found.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "key")).alias("head"))
+    rows = rows.join(heads.select("head.doc_id", "head.key"), ["doc_id", "key"], "left_semi")
+    kept = rows.groupBy("doc_id", "key").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,8 +60,9 @@ def fingerprint_bytes(text: bytes, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long): the signed 64-bit fingerprint of each row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long): the signed 64-bit fingerprint of each row, with its
+    columns ``keep``."""
     ship_package(docs.sparkSession)
 
     def run(batches):
@@ -69,9 +70,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
         for part in _text.slices(batches):
             fp = np.array([fingerprint_bytes(t, shingle) for t in _text.as_bytes(part.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            kept = [part.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *kept], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long, fp long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(run, schema)
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -275,15 +278,21 @@ def _compared(cols: list[np.ndarray], bounds: list[int], radius: int, pa):
     return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of ``docs``; the component
-    id is the smallest doc_id reachable over links of at most ``radius``
-    differing bits."""
-    rows = stage(fingerprints(docs, shingle), "simhash")
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, *keep): one row per row of ``docs``.
+    ``root`` tells components apart that have the same smallest doc_id."""
+    rows = stage(fingerprints(docs, shingle, keep), "simhash")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-fp")
     cc = components(links(distinct.select("fp"), radius))
     named = distinct.join(cc, distinct.fp == cc.node, "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root"))
     root = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(root, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(root, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", *keep)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id): one row per row of ``docs``; the component
+    id is the smallest doc_id reachable over links of at most ``radius``
+    differing bits."""
+    return groups(docs, shingle, radius).select("doc_id", "fp", "component_id")

@@ -64,6 +64,15 @@ def test_stages(spark):
     assert sum(p.n_tokens for p in packed) == sum(len(by_id[d][1].split()) for d, _ in picked)
 
 
+def test_unlike_texts_under_one_id_both_stay(spark):
+    a, b, c = "a b c d e f g " * 40, "q r s t u v w " * 40, "h i j k l m n " * 40
+    rows = [(5, a, "en", "src0", 1), (5, b, "en", "src0", 1), (5, b, "de", "src1", 1), (7, b, "en", "src0", 1),
+            (3, c, "en", "src0", 1), (5, c, "en", "src0", 1), (None, a, "en", "src0", 1)]
+    for order in (rows, rows[::-1]):
+        got = [tuple(r) for r in P.near_dedup(spark, spark.createDataFrame(order, DOCS), "").collect()]
+        assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
+
+
 def test_run(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"bin_id", "bin_length", "n_tokens"} <= set(out.columns)
