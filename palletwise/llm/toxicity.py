@@ -260,13 +260,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, toxic, fold) of at most ``train_rows`` labelled
-    documents that are not held out."""
+    documents that are not held out; of rows repeating a ``doc_id`` the one
+    with the smallest text hash is taken."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     own = own.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(own), "doc_id")  # at most train_rows ids
+    rows = texts.join(F.broadcast(own), "doc_id")  # at most train_rows ids
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    rows = rows.groupBy("doc_id", "toxic", "fold").agg(first)
+    return rows.select("doc_id", F.col("first.text").alias("text"), "toxic", "fold")
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size: int = LEXICON_SIZE) -> DataFrame:

@@ -241,3 +241,12 @@ def test_toxicity(spark):
     none = toxicity.score(frame(spark, docs[:5]), lab.filter("toxic = 0")).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert toxicity.score(frame(spark, []), lab).count() == 0
+
+
+def test_training_rows_hold_one_row_per_id(spark):
+    docs = [(1, f"copy {i}") for i in range(50)] + [(i, f"text {i}") for i in range(2, 30)] + [(2, None)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = toxicity.training_rows(frame(spark, docs), lab, 20).collect()
+    again = toxicity.training_rows(frame(spark, docs[::-1]), lab, 20).collect()
+    assert 1 in {r.doc_id for r in got} and len(got) == len({r.doc_id for r in got}) <= 20
+    assert sorted(got) == sorted(again) and all((r.doc_id, r.text or None) in docs for r in got)
