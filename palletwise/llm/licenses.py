@@ -6,9 +6,10 @@ and winnowed (of each window of consecutive hashes the smallest is kept);
 the kept hashes form an inverted index hash -> (template, place).  A text's
 own winnowed hashes are looked up in it, so a run of at least k + window - 1
 words that a text shares with a template always meets.  The hits of a
-template give diagonals; each group of near diagonals is a candidate and is
-aligned in a band around them (local alignment: match 1, mismatch and gap
--1).  A match reports the template's words found in order, their share of
+template give diagonals; each group of diagonals at most a band apart is a
+candidate and is aligned in a band around them (local alignment: match 1,
+mismatch and gap -1); the span of a match is masked and the rest of the
+group aligned again, until no match is left.  A match reports the template's words found in order, their share of
 the template (coverage) and the span of the text; of overlapping matches of
 one template the one with most words is kept.
 
@@ -21,6 +22,9 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +123,7 @@ class Index:
         return which, np.repeat(lo, n) + step
 
 
-def align(template: list[int], text: list[int], low: int, high: int) -> tuple[int, int, int]:
+def align(template: list[int], text: list, low: int, high: int) -> tuple[int, int, int]:
     """Best local alignment with text place - template place in [low, high]:
     (words matched, first text word, end of the text span).  Of equal scores
     the one with more matches, then the earlier, wins."""
@@ -152,27 +156,35 @@ def align(template: list[int], text: list[int], low: int, high: int) -> tuple[in
     return best[1:]
 
 
-def matches(index: Index, template: int, seeds: list[int], text: list[int], band: int) -> list[tuple[int, int, int]]:
+def matches(index: Index, template: int, seeds: list[int], text: list[int], band: int, least: int = 1) -> list[tuple[int, int, int]]:
     """Non-overlapping matches (words, start, end) of a template, given the
-    diagonals its fingerprints hit."""
+    diagonals its fingerprints hit.  Matches of fewer than ``least`` words may
+    be left out."""
     own = index.words[template].tolist()
+    known = set(own)
     found, seeds, i = set(), sorted(set(seeds)), 0
     while i < len(seeds):
         j = i
-        while j + 1 < len(seeds) and seeds[j + 1] - seeds[j] <= band:
+        while j + 1 < len(seeds) and seeds[j + 1] - seeds[i] <= band:
             j += 1
         low, high = seeds[i] - band, seeds[j] + band
         base = max(0, low)
-        part = text[base : max(base, high + len(own) + 1)]
-        n, a, b = align(own, part, low - base, high - base)
-        if n:
+        part: list = text[base : max(base, high + len(own) + 1)]
+        # until too few of the template's words are left for another match
+        while sum(w in known for w in part) >= max(least, 1):
+            n, a, b = align(own, part, low - base, high - base)
+            if not n:
+                break
             found.add((n, base + a, base + b))
+            part[a:b] = [None] * (b - a)
         i = j + 1
+    # the greatest stay, each if it overlaps none before it
     kept: list[tuple[int, int, int]] = []
     for n, a, b in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-        if all(b <= x or a >= y for _, x, y in kept):
-            kept.append((n, a, b))
-    return sorted(kept, key=lambda m: m[1])
+        at = bisect.bisect_left(kept, a, key=lambda m: m[1])
+        if (at == len(kept) or kept[at][1] >= b) and (at == 0 or kept[at - 1][2] <= a):
+            kept.insert(at, (n, a, b))
+    return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE,
@@ -202,7 +214,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
             out = []
             for (d, t), seeds in sorted(groups.items()):
                 lo, hi = int(words.first[d]), int(words.first[d + 1])
-                for n, a, b in matches(index, t, seeds, h[lo:hi].tolist(), band):
+                least = math.floor(min_coverage * len(index.words[t]))
+                for n, a, b in matches(index, t, seeds, h[lo:hi].tolist(), band, least):
                     coverage = n / len(index.words[t])
                     if coverage >= min_coverage:
                         left, right = (int(words.start[lo + a] - words.text_start[d]), int(words.end[lo + b - 1] - words.text_start[d]))

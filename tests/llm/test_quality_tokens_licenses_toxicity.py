@@ -158,6 +158,19 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_notices_on_adjacent_lines(spark):
+    short = ["MIT", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"]
+    rows = [(i, "\n".join([licenses.TEMPLATES[n]] * 40)) for i, n in enumerate(short)]
+    rows.append((9, "\n".join([licenses.TEMPLATES["MIT"], "and " * 3] * 7)))
+    found = {}
+    for g in licenses.scan(frame(spark, rows)).collect():
+        found.setdefault((g.doc_id, g.license), []).append((g.start_word, g.end_word, g.coverage))
+    for i, name in enumerate(short):
+        n = len(licenses.Index({name: licenses.TEMPLATES[name]}).words[0])
+        assert sorted(found[i, name]) == [(n * j, n * j + n, 1.0) for j in range(40)]
+    assert sorted(found[9, "MIT"]) == [(8 * j, 8 * j + 5, 1.0) for j in range(7)]
+
+
 def test_winnowing_guarantee():
     """Any shared run of gram + window - 1 words meets in the index."""
     rng = random.Random(1)
