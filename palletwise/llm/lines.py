@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palletwise.llm.components import components
-from palletwise.llm.quality import SPACES, _let
+from palletwise.llm.quality import SPACES
 from palletwise.session import stage
 
 SHINGLE = 9
@@ -47,15 +47,20 @@ LEADERS = 8
 SIMILARITY = (4, 5)  # 0.8 as a fraction
 
 
+def _cut(line: Column, size: int = SHINGLE) -> Column:
+    """The shingles from each character on, with repeats."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{size}}}))"), F.lit(1))
+
+
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """The distinct character shingles of a trimmed line, one from each
     character on (those of the last characters are shorter)."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{size}}}))"), F.lit(1)))
+    return F.array_distinct(_cut(line, size))
 
 
 def hashes(line: Column) -> Column:
     """The 64-bit hashes of the shingles, distinct and sorted."""
-    return F.sort_array(F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x))))
+    return F.sort_array(F.array_distinct(F.transform(_cut(line), lambda x: F.xxhash64(x))))
 
 
 def sizes_allow(x: Column, y: Column) -> Column:
@@ -63,10 +68,10 @@ def sizes_allow(x: Column, y: Column) -> Column:
     return F.least(x, y) * SIMILARITY[1] >= F.greatest(x, y) * SIMILARITY[0]
 
 
-def similar(x: Column, y: Column) -> Column:
-    """Exact Jaccard similarity of two sets, as arrays, reaches ``SIMILARITY``."""
-    return _let(F.size(F.array_intersect(x, y)),
-                lambda n: n * SIMILARITY[1] >= (F.size(x) + F.size(y) - n) * SIMILARITY[0])
+def similar(x: Column, y: Column, x_size: Column, y_size: Column) -> Column:
+    """Exact Jaccard similarity of two sets, as arrays, reaches ``SIMILARITY``:
+    n / (x_size + y_size - n) for n common members."""
+    return F.size(F.array_intersect(x, y)) * sum(SIMILARITY) >= (x_size + y_size) * SIMILARITY[0]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -103,11 +108,13 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     return sig.select("k1", "k2", "doc", "n", "size", F.array(*[f"b{b}" for b in range(bands)]).alias("bands"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) of ``pairs`` whose sets are similar."""
-    left = pairs.distinct().join(sets.select(F.col("k1").alias("u"), F.col("set").alias("su")), "u")
-    both = left.join(sets.select(F.col("k1").alias("v"), F.col("set").alias("sv")), "v")
-    return stage(both.filter(similar(F.col("su"), F.col("sv"))).select("u", "v"), "line-pairs")
+def _verified(pairs: DataFrame, rows: DataFrame, as_set) -> DataFrame:
+    """The (u, v) of ``pairs`` (u, v, u_size, v_size) whose sets are similar;
+    ``as_set`` makes a set of the column ``x`` of ``rows`` (k1, x)."""
+    left = pairs.distinct().join(rows.select(F.col("k1").alias("u"), F.col("x").alias("x")), "u")
+    both = left.join(rows.select(F.col("k1").alias("v"), F.col("x").alias("y")), "v")
+    same = similar(as_set(F.col("x")), as_set(F.col("y")), F.col("u_size"), F.col("v_size"))
+    return stage(both.filter(same).select("u", "v"), "line-pairs")
 
 
 def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> DataFrame:
@@ -116,14 +123,15 @@ def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> Data
     member = distinct.select("k1", "size", F.explode(F.array_distinct("bands")).alias("band"))
     many = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     todo = stage(member.join(many, "band").select("band", "n", "k1", "size"), "line-bands")
-    wanted = todo.select("k1").distinct()
-    text = lines.select("k1", "line").join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
-    sets = stage(text.select("k1", hashes(F.col("line")).alias("set")), "line-sets")
+    wanted = stage(todo.select("k1").distinct(), "line-keys")
+    text = lines.select("k1", F.col("line").alias("x")).join(wanted, "k1", "left_semi")
+    text = stage(text.dropDuplicates(["k1"]), "line-texts")
     order = Window.partitionBy("band").orderBy("k1")
     lead = todo.select("band", "k1", "size", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= leaders)
     lead = lead.select("band", F.col("k1").alias("v"), F.col("size").alias("v_size"))
     met = todo.join(lead, "band").filter("v < k1").filter(sizes_allow(F.col("size"), F.col("v_size")))
-    found = _verified(met.select(F.col("k1").alias("u"), "v"), sets)
+    # texts move, an eighth of their sets
+    found = _verified(met.select(F.col("k1").alias("u"), "v", F.col("size").alias("u_size"), "v_size"), text, hashes)
     large = todo.filter(F.col("n") > leaders + 1).select("band", "k1", "size")
     if large.isEmpty():
         return found
@@ -131,13 +139,14 @@ def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> Data
     large = large.join(cc, "k1", "left").select("band", "k1", "size", F.coalesce("component", "k1").alias("root"))
     apart = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
     rest = stage(large.join(apart, "band", "left_semi").select("k1", "size", "root").distinct(), "line-rest")
-    return found.unionByName(_verified(_prefix_pairs(rest, sets), sets))
+    sets = stage(text.join(rest.select("k1"), "k1", "left_semi").select("k1", hashes(F.col("x")).alias("x")), "line-sets")
+    return found.unionByName(_verified(_prefix_pairs(rest, sets), sets, lambda x: x))
 
 
 def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): the pairs of lines of ``rest`` (k1, size, root) with different
-    roots that can be similar, among them all that are."""
-    token = rest.join(sets, "k1").select("k1", "size", "root", F.explode("set").alias("token"))
+    """(u, v, u_size, v_size): the pairs of lines of ``rest`` (k1, size, root)
+    with different roots that can be similar, among them all that are."""
+    token = rest.join(sets, "k1").select("k1", "size", "root", F.explode("x").alias("token"))
     seen = token.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     token = token.join(seen, "token").withColumn("apart", F.expr("lo < hi"))
     row = token.groupBy("k1", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "token", "apart"))).alias("all"))
@@ -147,7 +156,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     row = stage(row.select("k1", "size", "root", "t.token"), "line-prefixes")
     other = row.select("token", F.col("k1").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
     met = row.join(other, "token").filter("v < k1 and root <> v_root").filter(sizes_allow(F.col("size"), F.col("v_size")))
-    return met.select(F.col("k1").alias("u"), "v")
+    return met.select(F.col("k1").alias("u"), "v", F.col("size").alias("u_size"), "v_size")
 
 
 def removals(docs: DataFrame) -> DataFrame:
