@@ -4,9 +4,9 @@ Reading many files with different headers through one ``read.csv`` would
 silently misplace columns (Spark takes the header of one file for all).  So
 the scan is planned per *layout*:
 
-1. a sniff job (``mapInPandas`` over the path list, one short read of the
-   first 64 KB of each file on the executors) reports delimiter, header and
-   errors per file;
+1. a sniff job (``mapInPandas`` over the path list; each file is streamed
+   once on the executors) reports delimiter, header, quoted line breaks, the
+   most fields of a row and errors per file;
 2. files are grouped by (delimiter, normalised header) -- the plan grows
    with the number of distinct layouts, not with the number of files;
 3. one ``read.csv`` per group, every column as text, columns named by the
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,6 @@ from palletwise.session import ship_package, stage
 
 SNIFF_BYTES = 64 * 1024
 SNIFF_FILES_PER_TASK = 64
-MAX_HEADER_BYTES = 16 * 1024 * 1024  # a header row longer than this is an error
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()),
@@ -53,10 +53,14 @@ SNIFF_SCHEMA = T.StructType([
     T.StructField("sep", T.StringType()),
     T.StructField("header", T.ArrayType(T.StringType())),
     T.StructField("multiline", T.BooleanType()),
+    T.StructField("width", T.IntegerType()),
     T.StructField("error", T.StringType()),
 ])
 
 OVERFLOW = "_overflow"  # first field beyond the header's width, if any
+EXTRA = "_extra"  # all fields beyond the header's width, null for good rows
+csv.field_size_limit(sys.maxsize)  # fields of any length
+READER_COLUMNS = 20480  # Spark's own limit, raised for wider files
 
 
 def _as_paths(paths) -> list[str]:
@@ -83,31 +87,42 @@ def file_catalogue(spark: SparkSession, root) -> DataFrame:
     return catalogue_from_listing(list_files(spark, root))
 
 
-def _open_head(path: str, n: int) -> bytes:
-    """First ``n`` bytes of a file on any file system Spark can name."""
-    if path.startswith("file:"):
-        local = path[5:]
+def open_input(path: str):
+    """A readable, seekable binary file on any file system Spark can name."""
+    if path.startswith("file:") or "://" not in path:
+        local = path[5:] if path.startswith("file:") else path
         while local.startswith("//"):
             local = local[1:]
-        with open(local, "rb") as fh:
-            return fh.read(n)
+        return open(local, "rb")
     from pyarrow import fs as pafs
 
     filesystem, inner = pafs.FileSystem.from_uri(path)
-    with filesystem.open_input_stream(inner) as fh:
-        return fh.read(n)
-
-
-def has_quoted_newline(text: str, sep: str) -> bool:
-    """Whether a quoted field in the sample spans lines (such files must be
-    read whole, not split)."""
-    if '"' not in text:
-        return False
-    try:
-        body = text if text.endswith("\n") else text[: text.rfind("\n") + 1]
-        return any("\n" in f or "\r" in f for row in csv.reader(io.StringIO(body, newline=""), delimiter=sep) for f in row)
-    except csv.Error:
-        return False
+    return filesystem.open_input_file(inner)
+
+
+def _read_head(path: str) -> bytes:
+    """The first 64 KB of a file, or its first row where that is longer."""
+    with open_input(path) as fh:
+        blocks = [fh.read(SNIFF_BYTES)]
+        while len(blocks[-1]) == SNIFF_BYTES and b"\n" not in blocks[-1]:
+            blocks.append(fh.read(SNIFF_BYTES))
+            if b"\n" in blocks[-1]:
+                break
+    return b"".join(blocks)
+
+
+def scan_rows(path: str, sep: str) -> tuple[bool, int]:
+    """(whether a quoted field spans lines, most fields of a row) of a whole
+    file, streamed; such files must be read whole, not split.  Bytes that are
+    not UTF-8 raise UnicodeDecodeError."""
+    multi, width, seen = False, 0, 0
+    with open_input(path) as fh, io.TextIOWrapper(fh, encoding="utf-8", newline="") as text:
+        rows = csv.reader(text, delimiter=sep)
+        for row in rows:
+            width = max(width, len(row))
+            multi = multi or rows.line_num > seen + 1
+            seen = rows.line_num
+    return multi, width
 
 
 def open_output(path: str):
@@ -158,11 +173,11 @@ def sniff_head(raw: bytes) -> tuple[str | None, list[str] | None, str | None]:
 
 
 def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
-    """Per file: path, sep, header (normalised names), multiline, error.
-    Runs on the executors; only the first 64 KB of each file is read.
+    """Per file: path, sep, header (normalised names), multiline, width (most
+    fields of a row), error.  Runs on the executors, which stream each file.
     ``listed=True`` means ``paths`` already are the files (no second
     listing); they are cut into tasks of about ``SNIFF_FILES_PER_TASK``
-    files (one short remote read each)."""
+    files."""
     ship_package(spark)
     if listed:
         files = _as_paths(paths)
@@ -178,21 +193,17 @@ def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
         for b in batches:
             out = []
             for p in b["path"]:
-                multi = False
+                multi, width = False, 0
                 try:
-                    head = _open_head(p, SNIFF_BYTES)
-                    if len(head) == SNIFF_BYTES and b"\n" not in head:
-                        # the header row is longer than the sample: read on to its end
-                        head = _open_head(p, MAX_HEADER_BYTES)
-                        if len(head) == MAX_HEADER_BYTES and b"\n" not in head:
-                            raise ValueError("header row longer than 16 MB")
-                    sep, header, err = sniff_head(head)
+                    sep, header, err = sniff_head(_read_head(p))
                     if err is None:
-                        multi = has_quoted_newline(head.decode("utf-8", "ignore"), sep)
+                        multi, width = scan_rows(p, sep)
+                except UnicodeDecodeError as e:
+                    sep, header, err = None, None, f"not UTF-8 text: {e.reason}"
                 except Exception as e:  # unreadable file: isolate it
                     sep, header, err = None, None, f"{type(e).__name__}: {e}"
-                out.append((p, sep, header, multi, err))
-            yield pd.DataFrame(out, columns=["path", "sep", "header", "multiline", "error"])
+                out.append((p, sep, header, multi, width, err))
+            yield pd.DataFrame(out, columns=["path", "sep", "header", "multiline", "width", "error"])
 
     return listing.mapInPandas(run, SNIFF_SCHEMA)
 
@@ -211,7 +222,7 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str] | None = None,
-                   na_tokens=NA_TOKENS, multiline: bool = False) -> DataFrame:
+                   na_tokens=NA_TOKENS, multiline: bool = False, width: int = 0) -> DataFrame:
     """Delimited files with a header row and a fixed delimiter; every column
     as text; the reader's missing-value tokens become null.
 
@@ -219,7 +230,8 @@ def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str]
     the reader, so no job is spent reading a header; all files must share
     that layout.  Without it the header of the first file names the
     columns.  A row with more fields than its header puts the first extra
-    field in ``_overflow`` (null for good rows; see ``bad_rows``).
+    field in ``_overflow`` and all of them, up to ``width`` fields in the
+    row, in the array ``_extra`` (null for good rows; see ``bad_rows``).
     ``multiline`` reads files whole so quoted fields may span lines."""
     r = (
         spark.read.option("header", "true")
@@ -230,11 +242,18 @@ def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str]
         .option("encoding", "UTF-8")
         .option("multiLine", "true" if multiline else "false")
     )
+    over = []
     if names is not None:
-        r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(OVERFLOW, T.StringType())]))
+        over = [OVERFLOW, *[f"{OVERFLOW} {i}" for i in range(1, width - len(names))]]
+        r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, *over]]))
+        r = r.option("maxColumns", str(max(READER_COLUMNS, len(names) + len(over) + 1)))
     df = r.csv(_as_paths(paths))
-    data = [x for x in df.columns if x != OVERFLOW]
-    keep = [quote_name(OVERFLOW)] if OVERFLOW in df.columns else []
+    data = [x for x in df.columns if x not in over]
+    keep = []
+    if over:
+        fields = f"array({', '.join(map(quote_name, over))})"
+        last = f"array_max(transform({fields}, (x, i) -> if(x is null, 0, i + 1)))"
+        keep = [quote_name(OVERFLOW), f"nullif(slice({fields}, 1, {last}), array()) AS {EXTRA}"]
     df = df.selectExpr(*[null_tokens_sql(quote_name(c), c, na_tokens) for c in data], *keep, "_metadata")
     return with_position(df).drop("_metadata")
 
@@ -242,10 +261,12 @@ def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str]
 def bad_rows(df: DataFrame) -> DataFrame:
     """Rows with more fields than their file's header (a tabular reader
     would reject the whole file; here the rows are kept and reported):
-    source_file, position and the first extra field."""
-    if OVERFLOW not in df.columns:
-        return df.sparkSession.createDataFrame([], "source_file string, _pos struct<file:string,block:long,row:long>, extra string")
-    return df.filter(F.col(OVERFLOW).isNotNull()).select("source_file", "_pos", F.col(OVERFLOW).alias("extra"))
+    source_file, position, the first extra field and all extra fields."""
+    if EXTRA not in df.columns:
+        return df.sparkSession.createDataFrame(
+            [], "source_file string, _pos struct<file:string,block:long,row:long>, extra string, extras array<string>")
+    return df.filter(F.col(EXTRA).isNotNull()).select(
+        "source_file", "_pos", F.col(OVERFLOW).alias("extra"), F.col(EXTRA).alias("extras"))
 
 
 def consolidate(dfs: list[DataFrame]) -> DataFrame:
@@ -270,11 +291,14 @@ def read_delimited_auto(spark: SparkSession, paths, on_layout=None, listed: bool
         MANIFEST_SCHEMA,
     )
     groups: dict[tuple, list[str]] = {}
+    width: dict[tuple, int] = {}
     for r in sniffed:
         if r["error"] is None:
-            groups.setdefault((r["sep"], tuple(r["header"]), bool(r["multiline"])), []).append(r["path"])
+            key = (r["sep"], tuple(r["header"]), bool(r["multiline"]))
+            groups.setdefault(key, []).append(r["path"])
+            width[key] = max(width.get(key, 0), r["width"])
     parts = [
-        read_delimited(spark, sorted(ps), sep, list(header), multiline=multi)
+        read_delimited(spark, sorted(ps), sep, list(header), multiline=multi, width=width[sep, header, multi])
         for (sep, header, multi), ps in sorted(groups.items())
     ]
     if on_layout is not None:
@@ -282,26 +306,31 @@ def read_delimited_auto(spark: SparkSession, paths, on_layout=None, listed: bool
     return (consolidate(parts) if parts else None), manifest
 
 
-MAX_WORKBOOK_BYTES = 1 << 30  # one workbook is parsed by one task
+ROW_WORKBOOK_BYTES = 1 << 30  # a larger workbook is opened by path, not sent as a row
 
 
 def read_workbooks(spark: SparkSession, paths, na_tokens=NA_TOKENS, on_layout=None,
-                   max_bytes: int = MAX_WORKBOOK_BYTES) -> tuple[DataFrame | None, DataFrame]:
+                   max_bytes: int | None = None) -> tuple[DataFrame | None, DataFrame]:
     """First sheet of each .xlsx workbook, header in its first row, every
-    cell as text.  Returns (consolidated rows or None, manifest).  Workbooks
-    larger than ``max_bytes`` are reported, not read (the length filter is
-    applied by the file source before any content is loaded)."""
+    cell as text.  Returns (consolidated rows or None, manifest).  One
+    workbook is parsed by one task.  Where ``max_bytes`` is given, larger
+    workbooks are reported, not read (the length filter is applied by the
+    file source before any content is loaded)."""
     from palletwise.sources.workbook import CELLS_SCHEMA, parse_workbooks
 
     ship_package(spark)
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_as_paths(paths))
-    oversized = listing.filter(F.col("length") > max_bytes).select(
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    oversized = listing.filter(too_large).select(
         F.element_at(F.split("path", "/"), -1).alias("source_file"),
         "path",
         F.lit(False).alias("success"),
         F.concat(F.lit("workbook larger than "), F.lit(str(max_bytes)), F.lit(" bytes")).alias("error"),
     )
-    raw = listing.filter(F.col("length") <= max_bytes)
+    raw = listing.filter(~too_large)
+    by_path = F.col("length") > ROW_WORKBOOK_BYTES
+    raw = raw.filter(~by_path).select("path", "content").unionByName(
+        raw.filter(by_path).select("path", F.lit(None).cast("binary").alias("content")))
     # each input row is a whole workbook: hand them to Python one at a time
     # (the parse is staged eagerly, so the setting is scoped to this job)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

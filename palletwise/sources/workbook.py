@@ -225,9 +225,9 @@ class _SheetTarget:
         return None
 
 
-def iter_rows(data: bytes, chunk: int = 1 << 20):
-    """Yields lists of cell texts (None for empty cells), header first."""
-    z = zipfile.ZipFile(io.BytesIO(data))
+def iter_rows(data, chunk: int = 1 << 20):
+    """``data``: the workbook's bytes or a seekable binary file.  Yields lists of cell texts (None for empty cells), header first."""
+    z = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
     shared = _shared_strings(z)
     target = _SheetTarget(shared, _style_kinds(z), _epoch(z))
     parser = ET.XMLParser(target=target)
@@ -255,9 +255,12 @@ CHUNK_ROWS = 20_000
 
 def parse_workbooks(batches):
     """``mapInPandas`` body: (path, content) -> CELLS_SCHEMA rows, emitted in
-    chunks so a large sheet never sits in one pandas frame."""
+    chunks so a large sheet never sits in one pandas frame.  A workbook
+    without content is opened by its path."""
     import pandas as pd
 
+    from palletwise.sources.files import open_input
+
     def frame(paths, idxs, vals, errs):
         return pd.DataFrame({"path": paths, "row_idx": idxs, "values": vals, "error": errs})
 
@@ -266,7 +269,7 @@ def parse_workbooks(batches):
             n = 0
             buf: list = []
             try:
-                for r in iter_rows(bytes(content)):
+                for r in iter_rows(open_input(path) if content is None else bytes(content)):
                     buf.append(r)
                     n += 1
                     if len(buf) >= CHUNK_ROWS:

@@ -219,3 +219,35 @@ def test_shared_strings_and_namespaces():
                                      "http://purl.oclc.org/ooxml/officeDocument/relationships")
     assert list(iter_rows(transitional)) == expected
     assert list(iter_rows(strict)) == expected
+
+
+def test_whole_files_are_checked(spark, scratch):
+    plain = "".join(f"{i},plain text\n" for i in range(9000))  # more than the first 64 KB
+    write(os.path.join(scratch, "late.csv"), "item_id,quantity\n" + plain + '9000,"two\nlines"\n9001,"a, b"\n')
+    with open(os.path.join(scratch, "bytes.csv"), "wb") as fh:
+        fh.write(("item_id,bytes\n" + plain).encode() + b"1,\xff\xfe\n")
+    write(os.path.join(scratch, "long.csv"), "item_id,q\n1,2,3,4,5\n6,7\n8,9,,10\n11,12,,\n")
+    df, manifest = src.read_delimited_auto(spark, scratch)
+    m = {r["source_file"]: (r["success"], r["error"]) for r in manifest.collect()}
+    assert m["late.csv"] == (True, None) and m["long.csv"] == (True, None)
+    assert m["bytes.csv"][0] is False and "UTF-8" in m["bytes.csv"][1]
+    late = df.filter("source_file = 'late.csv'")
+    assert late.count() == 9002
+    assert rows(late.filter("item_id >= 9000"), "item_id", "quantity") == [("9000", "two\nlines"), ("9001", "a, b")]
+    bad = {r["item_id"]: r["_extra"] for r in df.filter("_extra is not null").collect()}
+    assert bad == {"1": ["3", "4", "5"], "8": [None, "10"]}
+    assert sorted(r["extras"][-1] for r in src.bad_rows(df).collect()) == ["10", "5"]
+
+
+def test_header_row_beyond_16_mb(scratch):
+    path = os.path.join(scratch, "w.csv")
+    write(path, "a," + "x" * (17 << 20) + "\n1,2\n")
+    assert src.sniff_head(src._read_head(path))[1] == ["a", "x" * (17 << 20)] and src.scan_rows(path, ",") == (False, 2)
+
+
+def test_large_workbooks_are_opened_by_path(spark, scratch, monkeypatch):
+    write_xlsx(os.path.join(scratch, "small.xlsx"), [["a"], ["1"]])
+    write_xlsx(os.path.join(scratch, "big.xlsx"), [["a"]] + [[str(i)] for i in range(5000)])
+    monkeypatch.setattr(src, "ROW_WORKBOOK_BYTES", 4000)
+    df, manifest = src.read_workbooks(spark, scratch)
+    assert df.count() == 5001 and all(r["success"] for r in manifest.collect())
