@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palletwise.llm import licenses, lines, mixing, packing, quality, simhash, substring, tokens, topk, toxicity
+from palletwise.llm import (
+    audit, imatch, licenses, lines, mixing, packing, quality, resampling, simhash, substring, tokens, topk, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -82,3 +83,19 @@ def op9_toxicity(spark, sf):
 @register
 def op10_line_dedup(spark, sf):
     return lines.counts(_documents(spark, sf))
+
+
+@register
+def op11_importance_resampling(spark, sf):
+    target = spark.read.parquet(f"{sf.rstrip('/')}/benchmark.parquet")
+    return resampling.scores(_documents(spark, sf), target, max_n=1).drop("n_words")
+
+
+@register
+def op13_filter_audit(spark, sf):
+    return audit.audit(_documents(spark, sf), spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet"))
+
+
+@register
+def op12_imatch_fingerprints(spark, sf):
+    return imatch.compared(_documents(spark, sf))
