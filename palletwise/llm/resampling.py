@@ -57,7 +57,9 @@ def word_indices(texts):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # a copy that begins at offset 0: lower-casing a cast slice mixes up places
+    texts = texts.take(pa.array(np.arange(len(texts))))
+    texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     pieces = pc.split_pattern_regex(texts, pattern=SEPARATORS)
     if isinstance(pieces, pa.ChunkedArray):
         pieces = pieces.combine_chunks()

@@ -73,6 +73,17 @@ def test_resampling_matches_brute_force(spark, max_n, buckets, percent):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
+def test_words_of_slices():
+    import pyarrow as pa
+
+    column = pa.array([t for _, t in random.Random(2).sample(list(enumerate(texts())), len(texts()))])
+    for lo in range(len(column)):
+        part = column.slice(lo, 1 + lo % 3)
+        names, index, count = resampling.word_indices(part)
+        want = [brute_features(t, 1)[0] for t in part.to_pylist()]
+        assert [names[i] for i in index] == sum(want, []) and count.tolist() == [len(w) for w in want]
+
+
 def test_draw_keeps_the_rows_and_replaces_clashing_columns(spark):
     docs, target = spark.createDataFrame(rows(), DOCS), spark.createDataFrame([("abc",)], "text string")
     got = resampling.draw(docs, target, percent=30)
