@@ -6,22 +6,23 @@ in a band: neither the words of every text nor rare ones and misspellings.
 df counts documents; the copies of a text that makes up a ten-thousandth of
 all rows or more count as one document, so a large group of copies doesn't
 push its own words out of the band.  A text keeps its terms in the lexicon,
-sorted and distinct; every randomised subset of the lexicon (``SUBSETS``
-seeds, each at a quarter, a 16th, a 64th and a 256th of the terms) hashes
-those of them it holds.  The first hash is that of all of them; a text
-without any has the hash of all its terms there.  Likeness is the share of
-equal hashes among the subsets that hold a term of either text: sparse
-subsets still agree where dense ones no longer do.
+sorted and distinct.  Terms are known by uniform 64-bit hashes, so a range of
+hashes is a random subset of the lexicon and a run of the sorted terms; for
+each of several rates (a quarter to a 1024th of all terms) up to ``SUBSETS``
+such subsets hash the terms they hold.  The first hash is that of all the
+terms; a text without any in the lexicon has that of all its terms there.
+Likeness is the share of equal hashes among the subsets that hold a term of
+either text: sparse subsets still agree where dense ones no longer do.
 
 Sizes: the band bounds the lexicon: terms of df >= N e^-hi number at most
 the mean count of distinct terms a document times e^hi, whatever the input;
-the bound is checked before it is broadcast, and so are the texts that count
-once (at most ten thousand).  The rest is one shuffle: documents go by
-ranges of ids to buckets, where a window finds the next document, and terms
-are looked up and gathered in the same tasks.
+the bound is checked before the lexicon goes to every task, as a constant
+hash table of the plan that array functions look terms up in.  Texts that
+count once are ten thousand at most.  The rest is one shuffle: documents go
+by ranges of ids to buckets, where a window finds the next document.
 
-A term is a run of letters and digits (ASCII ones lower-cased, and all other
-characters).  Defined results: null text is empty; empty texts are alike;
+A term is a run of ASCII letters and digits and non-ASCII characters,
+lower-cased.  Defined results: null text is empty; empty texts are alike;
 rows that share an id follow one another by a hash of their texts (equal
 rows in one window group, which spills); null ids come last; an empty table
 gives an empty result; other columns are not read.
@@ -38,15 +39,14 @@ from pyspark.sql import functions as F
 from palletwise.session import stage
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 IDF_BAND = (3.0, 7.0)
 SUBSETS = 16
-LEVELS = (2, 4, 6, 8)  # a subset holds 1 in 2^level terms
+LEVELS = (2, 4, 6, 8, 10)  # a subset holds 1 in 2^level terms
 COPY_SHARE = 10_000  # texts of at least 1 / COPY_SHARE of all rows count once
 UNIT = 1 << 20  # weight of a document
 BUCKET_CHARS = 8 << 20
 BUCKETS = (64, 65_536)
-MOST_TERMS = 1 << 24
+MOST_TERMS = 1 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -56,7 +56,7 @@ def _let(value: Column, body) -> Column:
 
 def terms(text: Column) -> Column:
     """The distinct terms of a text as sorted 64-bit hashes."""
-    words = F.array_remove(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), "")
+    words = F.array_remove(F.split(F.lower(text), SEPARATORS), "")
     return F.sort_array(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))))
 
 
@@ -69,10 +69,11 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
     rows = _rows(docs).select("text", F.xxhash64("text").alias("copy"))
     copies = stage(rows.groupBy("copy").agg(F.count("*").alias("n")), "imatch-copies")
     n_rows = copies.agg(F.sum("n")).first()[0] or 0
-    many = copies.filter((F.col("n") > 1) & (F.col("n") * COPY_SHARE >= n_rows))  # COPY_SHARE rows at most
-    weight = F.when(F.col("n").isNull(), UNIT).otherwise(F.floor(F.lit(UNIT) / F.col("n"))).cast("long")
-    rows = rows.join(F.broadcast(many), "copy", "left").select("text", weight.alias("weight"))
-    n_docs = rows.agg(F.sum("weight")).first()[0] or 0
+    once = (F.col("n") > 1) & (F.col("n") * COPY_SHARE >= n_rows)
+    share = F.when(once, F.floor(F.lit(UNIT) / F.col("n"))).otherwise(UNIT).cast("long")
+    n_docs = copies.agg(F.sum(F.col("n") * share)).first()[0] or 0
+    many = F.broadcast(copies.filter(once).select("copy", share.alias("weight")))  # COPY_SHARE rows at most
+    rows = rows.join(many, "copy", "left").select("text", F.coalesce("weight", F.lit(UNIT)).alias("weight"))
     df = rows.select("weight", F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("weight").alias("df"))
     lo, hi = (n_docs / math.exp(x) for x in band)
     found = stage(df.filter(F.col("df").between(hi, lo)).select("term"), "imatch-lexicon")
@@ -82,26 +83,52 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
     return found
 
 
-def signature(found: Column, whole: Column, subsets: int = SUBSETS, levels: tuple[int, ...] = LEVELS) -> Column:
-    """Hashes (32 bits, 0 if the subset holds no term) of the sorted terms
-    ``found``; ``whole`` stands in where there are none."""
+def lookup(lex: DataFrame):
+    """A test of a term column for ``lex`` (at most ``MOST_TERMS`` rows): a
+    hash table of lists as a constant, folded once by the optimizer."""
+    found = [r[0] for r in lex.collect()]
+    slots = 1 << max(len(found) - 1, 1).bit_length()
+    table: list[list[int]] = [[] for _ in range(slots)]
+    for x in found:
+        table[x % slots].append(x)
+    held = F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>")
+    return lambda x: F.array_contains(F.get(held, F.pmod(x, F.lit(slots)).cast("int")), x)
+
+
+def ranges(subsets: int = SUBSETS, levels: tuple[int, ...] = LEVELS) -> list[tuple[int, int]]:
+    """The hash ranges (first, end) of the subsets."""
+    return [(c << (64 - k), (c + 1) << (64 - k)) for k in levels for c in range(min(subsets, 1 << k))]
+
+
+def signature(text: Column, known, subsets: int = SUBSETS, levels: tuple[int, ...] = LEVELS) -> Column:
+    """Hashes (32 bits, 0 if the subset holds no term) of the terms of a text
+    that pass the test ``known``."""
+    low = -(1 << 63)  # hashes are signed
+    bounds = sorted({x for r in ranges(subsets, levels) for x in r} - {0, 1 << 64})
+    marks = F.array(*[F.lit(low + x).cast("long") for x in bounds])
+
     def short(h: Column) -> Column:
         return h.bitwiseAND(F.lit(0xFFFFFFFF))
 
-    empty = F.array().cast("array<bigint>")
+    def every(found: Column, whole: Column, at: Column) -> Column:
+        def place(x: int) -> Column:
+            if x in (0, 1 << 64):
+                return F.size(found).cast("long") if x else F.lit(0).cast("long")
+            return F.get(at, F.lit(bounds.index(x)))
+
+        def subset(first: Column, end: Column) -> Column:
+            held = F.slice(found, first.cast("int") + 1, (end - first).cast("int"))
+            return F.when(end > first, short(F.xxhash64(held))).otherwise(F.lit(0)).cast("long")
 
-    def level(acc: Column, mask: Column, seed: Column) -> Column:
-        held = F.filter(acc["rest"], lambda x: F.xxhash64(x, seed).bitwiseAND(mask) == 0)
-        return _let(held, lambda x: F.struct(
-            x.alias("rest"), F.concat(acc["out"], F.array(F.when(F.size(x) > 0, short(F.xxhash64(x))).otherwise(F.lit(0)).cast("long"))).alias("out")))
+        first = short(F.xxhash64(F.when(F.size(found) > 0, found).otherwise(whole)))
+        return F.array(first, *[subset(place(x), place(y)) for x, y in ranges(subsets, levels)])
 
-    def subset(seed: Column) -> Column:
-        masks = F.array(*[F.lit((1 << k) - 1).cast("long") for k in levels])
-        start = F.struct(found.alias("rest"), empty.alias("out"))
-        return F.aggregate(masks, start, lambda acc, mask: level(acc, mask, seed), lambda acc: acc["out"])
+    def places(found: Column) -> Column:  # of each bound, the terms below it
+        return _let(F.sort_array(F.concat(found, marks)), lambda m: F.array(
+            *[F.array_position(m, F.lit(low + x).cast("long")) - F.lit(1 + i) for i, x in enumerate(bounds)]))
 
-    first = F.array(short(F.when(F.size(found) > 0, F.xxhash64(found)).otherwise(whole)))
-    return F.concat(first, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(subsets)), subset)))
+    return _let(terms(text), lambda whole: _let(F.filter(whole, known), lambda found: _let(
+        places(found), lambda at: every(found, whole, at))))
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -137,10 +164,15 @@ def _bucket(doc_id: Column, u: Column, cuts: list[int]) -> Column:
     return F.when(doc_id.isNull(), n + 1 + F.floor(share * (n + 1)).cast("int")).otherwise(own)
 
 
+def _order():
+    return Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "u")
+
+
 def followed(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
-    """(bucket, place, doc_id, text, next_text, extra): every row with the
-    text of the next row by descending id, the first after the last; rows of
-    ``extra`` only lend their text to the end of a bucket."""
+    """(bucket, extra, doc_id, u, text, next_text): every row with the text
+    of the next row by descending id, the first after the last; rows of
+    ``extra`` only lend their text to the end of a bucket.  Rows follow one
+    another as in ``_order``."""
     rows = _rows(docs).withColumn("u", F.shiftrightunsigned(F.xxhash64("text"), 1))
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = _sized(size, bucket_chars)
@@ -155,9 +187,7 @@ def followed(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     extra = extra.groupBy("goes", "doc_id", "u").agg(F.first("text").alias("text"))  # of equal rows one
     every = rows.withColumn("extra", F.lit(False)).unionByName(
         extra.select("doc_id", "text", "u", F.col("goes").alias("bucket"), F.lit(True).alias("extra")))
-    order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "u")
-    return every.select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text",
-                        F.lead("text").over(order).alias("next_text"), "extra")
+    return every.select("bucket", "extra", "doc_id", "u", "text", F.lead("text").over(_order()).alias("next_text"))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -170,45 +200,20 @@ def edited(text: Column, next_text: Column) -> Column:
 def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND, subsets: int = SUBSETS,
                  levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(doc_id, signature) of every row, the signature an array of hashes."""
-    return _signed(_rows(docs).select("doc_id", F.monotonically_increasing_id().alias("place"), F.lit(0).alias("bucket"),
-                                      F.array("text").alias("texts")), lexicon(docs, band), ("doc_id",), subsets, levels).select(
-        "doc_id", F.col("signatures")[0].alias("signature"))
-
-
-def _signed(rows: DataFrame, lex: DataFrame, carry: tuple[str, ...], subsets: int, levels: tuple[int, ...]) -> DataFrame:
-    """``rows`` (bucket, place: a key; texts: array) -> key, ``carry`` and
-    ``signatures``, one for each text.  Terms are exploded, looked up and
-    gathered again by the key, where rows are dealt by bucket without a
-    shuffle."""
-    first = F.struct(*carry, F.transform("texts", lambda t: F.xxhash64(terms(t))).alias("whole"))
-    # one entry a text and one that carries the row's other columns
-    entry = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.array(F.lit(0).cast("long")).alias("terms"))),
-                     F.transform("texts", lambda t, i: F.struct(i.alias("side"), terms(t).alias("terms"))))
-    rows = rows.select("bucket", "place", F.explode(entry).alias("e"), first.alias("row"))
-    rows = rows.select("bucket", "place", F.col("e.side").alias("side"), F.when(F.col("e.side") < 0, F.col("row")).alias("row"),
-                       F.explode("e.terms").alias("term"))
-    rows = rows.join(F.broadcast(lex.withColumn("known", F.lit(True))), "term", "left").filter("known or side < 0")
-    own = rows.groupBy("bucket", "place").agg(F.first("row", True).alias("row"), F.collect_list(
-        F.when(F.col("side") >= 0, F.struct("side", "term"))).alias("found"))
-
-    def sign(whole: Column, side: Column) -> Column:
-        mine = F.sort_array(F.transform(F.filter("found", lambda x: x["side"] == side), lambda x: x["term"]))
-        return _let(mine, lambda found: signature(found, whole, subsets, levels))
-
-    return own.select("bucket", "place", *[F.col(f"row.{c}").alias(c) for c in carry], F.transform("row.whole", sign).alias("signatures"))
+    known = lookup(lexicon(docs, band))
+    return _rows(docs).select("doc_id", signature(F.col("text"), known, subsets, levels).alias("signature"))
 
 
 def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND, subsets: int = SUBSETS, levels: tuple[int, ...] = LEVELS,
              bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next) of every row of ``docs`` (doc_id, text)."""
-    lex = lexicon(docs, band)
+    known = lookup(lexicon(docs, band))
     rows = followed(docs, bucket_chars).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    rows = rows.select("bucket", "place", "doc_id", "extra", F.char_length("text").cast("long").alias("n_chars"),
-                       F.sha2("edited", 256).alias("edited_sha256"), F.array("text", "edited").alias("texts"))
-    own = _signed(rows, lex, ("doc_id", "extra", "n_chars", "edited_sha256"), subsets, levels)
+    signed = F.transform(F.array("text", "edited"), lambda t: signature(t, known, subsets, levels))
+    rows = rows.select("bucket", "extra", "doc_id", "u", F.char_length("text").cast("long").alias("n_chars"),
+                       F.sha2("edited", 256).alias("edited_sha256"), signed.alias("signatures"))
     sig, cut = F.col("signatures")[0], F.col("signatures")[1]
-    after = F.lead(sig).over(Window.partitionBy("bucket").orderBy("place"))
-    own = own.withColumn("after", after).filter("not extra")
-    return own.select("doc_id", "n_chars", "edited_sha256", as_text(sig).alias("fingerprint"), as_text(cut).alias("edited_fingerprint"),
-                      likeness(sig, cut).alias("near_edited"), likeness(sig, F.col("after")).alias("near_next"))
+    rows = rows.withColumn("after", F.lead(sig).over(_order())).filter("not extra")
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(sig).alias("fingerprint"), as_text(cut).alias("edited_fingerprint"),
+                       likeness(sig, cut).alias("near_edited"), likeness(sig, F.col("after")).alias("near_next"))

@@ -124,8 +124,7 @@ def hash_longs(values, seed=42):
 
 
 def brute_terms(text):
-    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-    words = {w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", text) if w}
+    words = {w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()) if w}
     return sorted(signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words)
 
 
@@ -133,13 +132,10 @@ def brute_signature(text, lexicon):
     every = brute_terms(text)
     found = [x for x in every if x in lexicon]
     out = [hash_longs(found or every) & 0xFFFFFFFF]
-    for seed in range(1, imatch.SUBSETS + 1):
-        rest = found
-        for level in imatch.LEVELS:
-            # the seed is an int, hashed as four bytes after the term
-            rest = [x for x in rest if not xxhash.xxh64_intdigest(
-                struct.pack("<i", seed), xxhash.xxh64_intdigest(struct.pack("<q", x), 42)) & ((1 << level) - 1)]
-            out.append(hash_longs(rest) & 0xFFFFFFFF if rest else 0)
+    for level in imatch.LEVELS:
+        for c in range(min(imatch.SUBSETS, 1 << level)):
+            held = [x for x in found if (x + (1 << 63)) >> (64 - level) == c]
+            out.append(hash_longs(held) & 0xFFFFFFFF if held else 0)
     return out
 
 
