@@ -8,6 +8,10 @@ projection.  No Python runs per row.
 from __future__ import annotations
 
 import datetime as _dt
+import functools
+import json
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,8 +138,11 @@ def format_item_id(c: Column | str) -> Column:
     * integer text (any size)  -> digits without leading zeros, sign kept
                                   (exact: no float round trip, so ids longer
                                   than 15 digits keep every digit)
-    * other number-like text   -> truncated toward zero, exponent expanded
-    * anything else            -> unchanged
+    * other number-like text   -> truncated toward zero, exponent expanded:
+                                  the point is moved in the digit text, so
+                                  no digit is lost at any size
+    * anything else, and text
+      beyond a double's range  -> unchanged
     """
     raw = as_col(c).cast("string")
     t = strip_ws(raw)
@@ -150,12 +157,18 @@ def format_item_id(c: Column | str) -> Column:
     int_text = F.when(digits == "", F.lit("0")).otherwise(
         F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), digits)
     )
-    num = t.try_cast("double")
-    in_range = F.abs(num) < F.lit(9.2e18)
+    finite = F.abs(t.try_cast("double")) < F.lit(float("inf"))
+    parts = F.split(F.lower(body), "e")
+    mantissa = F.split(F.get(parts, F.lit(0)), r"\.")
+    whole, fraction = F.get(mantissa, F.lit(0)), F.coalesce(F.get(mantissa, F.lit(1)), F.lit(""))
+    point = F.length(whole) + F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(0))
+    moved = F.ltrim(F.rpad(F.concat(whole, fraction), F.greatest(point, F.lit(0)), "0"), F.lit("0"))
+    moved = F.when((point <= 0) | (moved == ""), F.lit("0")).otherwise(
+        F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), moved))
     return (
         F.when(raw.isNull(), F.lit(MISSING_TEXT))
         .when(is_int, int_text)
-        .when(_only(t, NUM_CHARS) & in_range, num.cast("long").cast("string"))
+        .when(_only(t, NUM_CHARS) & finite, moved)
         .otherwise(raw)
     )
 
@@ -244,19 +257,35 @@ def stamped_name(base: Column | str, stamp: str, ext: Column | str) -> Column:
     return F.concat(as_col(base), F.lit("_" + stamp + "."), as_col(ext))
 
 
-# Latin letters with diacritics and the plain letter they
-# decompose to (compatibility decomposition, marks dropped).
-_ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-_PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
+@functools.cache
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Non-ASCII characters whose compatibility decomposition holds ASCII
+    ones -> those, for one and for several ASCII characters."""
+    plain = {}
+    for point in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= point <= 0xDFFF:
+            form = unicodedata.normalize("NFKD", chr(point))
+            if form != chr(point) and (text := form.encode("ascii", "ignore").decode()):
+                plain[chr(point)] = text
+    return {c: x for c, x in plain.items() if len(x) == 1}, {c: x for c, x in plain.items() if len(x) > 1}
+
+
+def ascii_text(c: Column | str) -> Column:
+    """Text in ASCII: characters decomposed (accents dropped, ligatures and
+    fractions spelt out), all others left out."""
+    one, more = _decompositions()
+    s = F.translate(as_col(c), "".join(one), "".join(one.values()))
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
+    spelt = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    s = F.when(s.rlike("[" + "".join(more) + "]"), spelt).otherwise(s)
+    return F.regexp_replace(s, r"[^\x00-\x7F]", "")
 
 
 def safe_name(c: Column | str) -> Column:
-    """Safe file name: accents folded, non-ASCII dropped, ``/`` -> space,
+    """Safe file name: decomposed to ASCII, ``/`` -> space,
     whitespace runs -> ``_``, characters outside ``[A-Za-z0-9_.-]`` dropped,
     leading/trailing ``.`` and ``_`` removed."""
-    s = F.translate(as_col(c), _ACCENTED, _PLAIN)
-    s = F.regexp_replace(s, r"[^\x00-\x7F]", "")
-    s = F.regexp_replace(s, "/", " ")
+    s = F.regexp_replace(ascii_text(c), "/", " ")
     s = F.regexp_replace(strip_ws(s), r"\s+", "_")
     s = F.regexp_replace(s, r"[^A-Za-z0-9_.\-]", "")
     return F.regexp_replace(s, r"^[._]+|[._]+$", "")

@@ -55,6 +55,13 @@ def _keys(ref: DataFrame | None, keys: DataFrame | None) -> DataFrame:
     return reference_keys(ref)
 
 
+def comparison_rows(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The comparison record of every (item, file): item_id, source_file,
+    is_matched, matched_with (see ``compare_items``)."""
+    found = compare_items(items, ref, keys).select("item_id", "is_matched", "matched_with")
+    return items.select("item_id", "source_file").distinct().join(found, "item_id")
+
+
 def compare_items(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Row-level comparison per distinct processed id.
 

@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,3 +238,14 @@ def po_header(spark: SparkSession, attrs: dict | None = None, report_defaults: b
     schema = T.StructType([T.StructField(f, T.StringType(), False) for f in PO_HEADER_FIELDS])
     df = spark.createDataFrame([tuple(row[f] for f in PO_HEADER_FIELDS)], schema)
     return df.withColumn("order_date", format_order_date("order_date"))
+
+
+def po_headers(runs: DataFrame, key: str = "run_id", report_defaults: bool = False) -> DataFrame:
+    """Headers of many runs: one row per row of ``runs`` (the run's ``key``
+    and any of the header attributes) with defaults as in ``po_header``.
+    Joined to the lines by ``key``."""
+    def field(f: str) -> Column:
+        value = F.col(f).cast("string") if f in runs.columns else F.lit(None).cast("string")
+        return F.coalesce(value, F.lit(PO_HEADER_REPORT_DEFAULTS.get(f, "") if report_defaults else "")).alias(f)
+
+    return runs.select(key, *[field(f) for f in PO_HEADER_FIELDS]).withColumn("order_date", format_order_date("order_date"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 import datetime as _dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palletwise.functions.columns import file_base, file_ext, run_stamp, safe_name, stamped_name
@@ -24,7 +24,7 @@ from palletwise.operators.clean import c, clean_reference, require_columns, reso
 from palletwise.operators.rollups import item_rollup, pallet_rollup, po_header, po_lines, priced
 from palletwise.session import scratch_path, stage
 from palletwise.sources import sinks
-from palletwise.sources.files import bad_rows, read_tabular
+from palletwise.sources.files import EXTRA, bad_rows, read_tabular
 
 ITEM_KEY = "_item_key"
 
@@ -32,7 +32,7 @@ ITEM_KEY = "_item_key"
 def extend_prices(df: DataFrame, pct: float, strip_currency: bool = True) -> DataFrame:
     """Validate the inventory contract, coerce quantity/price and add
     ``extended_retail`` and ``extended_percent``.  Extra columns pass through."""
-    require_columns(df, [x for x in INVENTORY_REQUIRED if x in ("us_price", "quantity")])
+    require_columns(df, INVENTORY_REQUIRED)
     return priced(df, pct, strip_currency)
 
 
@@ -62,6 +62,7 @@ def build_purchase_order(
     out_dir: str | None = None,
     per_page: int = 23,
     now: _dt.datetime | None = None,
+    user_id: str = "",
 ) -> dict[str, DataFrame]:
     """The purchase-order package over every admitted file.
 
@@ -69,8 +70,14 @@ def build_purchase_order(
     checkpoint folder and every branch scans only the columns it needs.
     Returns a dict of DataFrames: consolidated, manifest, bad_rows, item_rollup,
     po_lines, po_header, comparison, unmatched_items, files_with_missing,
-    summary.  With ``out_dir`` the item roll-up is also written as CSV and
-    the PO lines as Parquet."""
+    summary, counts (rows read, rows without an item id, rows with extra
+    fields, files read and failed; counted while the rows are staged).
+
+    With ``out_dir`` the outputs are landed as ``csv/<user>/<stamped name>``
+    (item roll-up, sorted by key) and ``pdf/<user>/<stamped name>`` (the PO
+    lines as Parquet), and then named together by one new version of the log
+    under ``out_dir``; ``read_outputs`` gives those of the latest version.
+    So either all outputs of a run are found or none."""
     pct = check_percent(pct)
     rows, manifest = read_tabular(spark, paths, JOB_EXTENSIONS, on_layout=_key_of_layout)
     if rows is None:
@@ -81,8 +88,13 @@ def build_purchase_order(
         F.when(F.col("success"), stamped_name(safe_name(file_base("source_file")), stamp, file_ext("source_file"))),
     )
     staged = scratch_path(spark, "consolidated")
-    sinks.write_consolidated(rows, staged)
+    key = F.trim(F.col(ITEM_KEY))
+    seen = Observation("rows read")
+    sinks.write_consolidated(rows.observe(
+        seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(key.isNull() | (key == "")).alias("null_ids"),
+        (F.count_if(F.col(EXTRA).isNotNull()) if EXTRA in rows.columns else F.sum(F.lit(0))).cast("long").alias("bad_rows")), staged)
     consolidated = spark.read.parquet(staged)
+    found = seen.get
 
     out: dict[str, DataFrame] = {"consolidated": consolidated, "manifest": manifest,
                                  "bad_rows": bad_rows(consolidated)}
@@ -98,21 +110,35 @@ def build_purchase_order(
     out["files_with_missing"] = compare.files_with_missing(items, keys=keys)
     out["summary"] = compare.comparison_summary(items, keys=keys)
 
+    counted = [F.lit(found[c] or 0).cast("long").alias(c) for c in ("n_rows", "null_ids", "bad_rows")]
+    out["counts"] = manifest.agg(F.count_if("success").alias("files_read"), F.count_if(~F.col("success")).alias("files_failed")).select(
+        *counted, "files_read", "files_failed")
+
     if out_dir:
-        sinks.write_csv(out["item_rollup"], os.path.join(out_dir, "item_rollup"))
-        out["po_lines"].write.mode("overwrite").parquet(os.path.join(out_dir, "po_lines"))
+        base = sinks.current_version(spark, out_dir)
+        land = {"item_rollup": f"csv/{user_id or '-'}/item_rollup_{stamp}.csv", "po_lines": f"pdf/{user_id or '-'}/po_lines_{stamp}"}
+        sinks.write_sorted_csv(out["item_rollup"], f"{out_dir.rstrip('/')}/{land['item_rollup']}", ["item_id", "item_desc"])
+        out["po_lines"].write.mode("errorifexists").parquet(f"{out_dir.rstrip('/')}/{land['po_lines']}")
+        sinks.commit_paths(spark, out_dir, land, based_on=base)
     return out
 
 
+def read_outputs(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """The outputs the latest committed run landed under ``out_dir``."""
+    land = {f["name"]: f"{out_dir.rstrip('/')}/{f['folder']}" for f in sinks.committed_paths(spark, out_dir)}
+    return {"item_rollup": spark.read.option("header", True).option("escape", '"').csv(land["item_rollup"]),
+            "po_lines": spark.read.parquet(land["po_lines"])} if land else {}
+
+
 def refresh_reference(spark: SparkSession, path: str, table_root: str | None = None,
                       user_id: str | None = None) -> tuple[DataFrame, int]:
     """Replace the reference catalogue from one .csv/.xlsx file.
 
     Headers normalised, ``no.``/``description`` required, blanks dropped,
     first row per key kept, values cut to 100/500/255 characters.  With
-    ``table_root`` the rows replace the table there (versioned, atomic).
+    ``table_root`` the rows replace the table there, as one new version.
     With ``user_id`` the rows carry that user and only that user's rows are
-    replaced; other users' rows are carried into the new version unchanged.
+    replaced; the files of other users' rows are not touched.
     Returns (rows, number of rows) -- the rows of this refresh."""
     name = os.path.basename(path.rstrip("/"))
     ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
@@ -126,14 +152,10 @@ def refresh_reference(spark: SparkSession, path: str, table_root: str | None = N
     if user_id is not None:
         ref = ref.withColumn("user_id", F.lit(str(user_id)))
     if table_root:
-        new = ref
-        if user_id is not None and sinks.table_exists(spark, table_root):
-            current = sinks.read_table(spark, table_root)
-            if "user_id" not in current.columns:  # a global table so far: its rows belong to no user
-                current = current.withColumn("user_id", F.lit(None).cast("string"))
-            others = current.filter(F.col("user_id").isNull() | (F.col("user_id") != F.lit(str(user_id))))
-            new = others.unionByName(ref, allowMissingColumns=True)
-        sinks.replace_table(new, table_root, spark)
+        if user_id is None:
+            sinks.replace_table(ref, table_root, spark)
+        else:
+            sinks.replace_slice(ref, table_root, "user_id", str(user_id))
         ref = sinks.read_table(spark, table_root)
         if user_id is not None:
             ref = ref.filter(F.col("user_id") == F.lit(str(user_id)))

@@ -374,7 +374,58 @@ SELECT {POS_OUT}, us_price AS price_text, CAST({ws("regexp_replace(us_price, '[$
     q["line_numbers_bucketed"] = with_(INV, PALLETS) + """
 SELECT pallet_id, row_number() OVER (ORDER BY pallet_id) AS line_no FROM pallets"""
 
+    desc = "CASE WHEN length(item_desc) % 5 = 0 THEN item_desc || chr(10) || 'second, \"line\"' ELSE item_desc END AS item_desc"
+    q["files_multiline"] = with_(INV) + f"SELECT series_desc, pallet_id, item_id, {desc}, us_price, quantity FROM inv"
+    q["files_manifest"] = with_(INV) + """,
+f AS (SELECT source_file AS f, count(*) AS n FROM inv GROUP BY 1),
+m(path, source_file, success, error, f) AS (VALUES
+  ('list[1].csv', 'list[1].csv', true, NULL, 'file_AF.csv'), ('a b+c%20.csv', 'a b+c%20.csv', true, NULL, 'file_NF.csv'),
+  ('_list.csv', '_list.csv', false, 'hidden name', ''), ('user/list[1].csv', 'list[1].csv', true, NULL, 'file_NO.csv'),
+  ('notes.txt', 'notes.txt', false, 'unsupported format', ''), ('twice.csv', 'twice.csv', false, 'duplicate columns: item_id', ''),
+  ('empty.csv', 'empty.csv', false, 'empty file', ''))
+SELECT path, source_file, success, error, coalesce(n, 0) AS n_rows FROM m LEFT JOIN f USING (f)"""
+    q["files_fixed_delimiter"] = with_(INV) + """
+SELECT sep, series_desc, pallet_id, item_id, item_desc, us_price, quantity FROM inv, (VALUES (','), (';')) t(sep)"""
+    q["table_append_read"] = with_(REF) + """
+SELECT id, item_number, (SELECT count(*) FROM ref) AS appended FROM (SELECT id, item_number FROM ref
+      UNION ALL SELECT id, 'N' || item_number FROM ref)"""
+    q["table_replace_read"] = with_(REF) + "SELECT * REPLACE (upper(description) AS description) FROM ref WHERE item_number NOT LIKE 'X%'"
+    q["table_one_user_refresh"] = with_(REF) + """
+SELECT item_number, description, source_file, user_id, true AS untouched FROM ref, (VALUES ('u1'), ('u3')) t(user_id)
+UNION ALL SELECT item_number, upper(description), 'new.csv', 'u2', true FROM ref"""
+    q["landed_listing"] = with_(FILES) + f"""
+SELECT nombre, tipo, CAST(user_id AS VARCHAR) AS user_id, tamano FROM files WHERE tipo = 'csv' AND CAST(user_id AS VARCHAR) = '{LIST_USER}'"""
+    q["job_po_lines"] = q["po_lines"]
+    q["job_summary"] = f"""
+SELECT *, (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey) AS n_rows, CAST(0 AS BIGINT) AS null_ids,
+       CAST(0 AS BIGINT) AS bad_rows, CAST(0 AS BIGINT) AS files_failed FROM ({q["comparison_summary"]})"""
+    q["po_headers"] = """
+SELECT o_orderkey AS run_id, 'N/A' AS purchase_info, strftime(o_orderdate, '%m/%d/%Y') AS order_date, '' AS seller_name, '' AS "seller_PO",
+       '' AS seller_address, CASE WHEN o_orderkey % 2 > 0 THEN 'Customer ' || o_custkey ELSE '' END AS company_name,
+       '' AS company_address, '' AS company_info, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE 'N/A' END AS shipping_method,
+       'N/A' AS payment_terms, n_lines
+FROM orders JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) USING (o_orderkey)"""
+    q["comparison_rows"] = cmp + """
+SELECT DISTINCT item_id, p.source_file, normalised AS is_matched, matched_with FROM pitems p JOIN cmp USING (item_id)"""
+    q["reference_positions"] = with_(REF) + "SELECT item_number, row_number() OVER (ORDER BY item_number) AS position FROM ref"
+    q["alias_item_rollup"] = with_(INV) + f"""
+SELECT {fmt_id('item_id')} AS item_id, series_desc AS item_desc, {esum(num('quantity'))} AS quantity
+FROM inv WHERE series_desc IS NOT NULL GROUP BY 1, 2"""
+    marks = ", ".join(f"'{x}'" for x in SAFE_PLAIN)
+    q["safe_names"] = f"""
+SELECT p_partkey, replace(p_name, ' ', '_') || '_' || CASE WHEN x = '' THEN '' ELSE x || '_' END || 'v1.csv' AS name
+FROM (SELECT p_partkey, p_name, list_extract([{marks}], CAST(p_partkey % {len(SAFE_MARKS)} AS INTEGER) + 1) AS x FROM part)"""
+    q["item_id_any_size"] = """
+SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4
+    WHEN 0 THEN ltrim(l_orderkey || '5' || repeat('0', l_linenumber + 17), '0') WHEN 1 THEN '0' WHEN 2 THEN CAST(l_orderkey AS VARCHAR)
+    ELSE ltrim(l_orderkey || repeat('7', 40), '0') END AS item_id
+FROM lineitem"""
+
     return q
 
 
+# names with characters that decompose to one, several or no ASCII characters
+SAFE_MARKS = ("Š", "ć", "ﬁ", "½", "Ångström", "漢字", "e\u0301", "Ⅷ")
+SAFE_PLAIN = ("S", "c", "fi", "12", "Angstrom", "", "e", "VIII")
+
 STATEMENTS = _statements()

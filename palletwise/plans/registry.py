@@ -17,9 +17,9 @@ from palletwise.functions import columns as C
 from palletwise.functions.constants import JOB_EXTENSIONS
 from palletwise.operators import catalogue, clean, compare, rollups, tables
 from palletwise.plans import jobs, views
-from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, UPLOAD_STAMP
+from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, SAFE_MARKS, UPLOAD_STAMP
 from palletwise.session import scratch_path, ship_package
-from palletwise.sources import files
+from palletwise.sources import files, sinks
 
 def pos_out():
     return [F.col("_pos")[f].alias(f) for f in POS_FIELDS]
@@ -58,7 +58,7 @@ def currency_clean(spark, sf):
 
 @register("extend_prices")
 def extend_prices(spark, sf):
-    inv = views.inventory(spark, sf).select("_pos", "pallet_id", "item_id", "us_price", "quantity")
+    inv = views.inventory(spark, sf).drop("source_file")
     return jobs.extend_prices(inv, PCT).select(*pos_out(), "pallet_id", "item_id", "quantity", "us_price", "extended_retail", "extended_percent")
 
 
@@ -411,3 +411,191 @@ def files_workbook_rollup(spark, sf):
 def reference_key_collisions(spark, sf):
     """Keys that the 100-character cut would merge after de-duplication."""
     return clean.reference_key_collisions(_refreshed(spark, sf))
+
+
+# -- tables, sinks and jobs over real files and folders ------------------------
+
+
+def _broken_desc():
+    """Some descriptions with a line break and quotes."""
+    broken = F.concat("item_desc", F.lit('\nsecond, "line"'))
+    return F.when(F.length("item_desc") % 5 == 0, broken).otherwise(F.col("item_desc")).alias("item_desc")
+
+
+@register("files_multiline")
+def files_multiline(spark, sf):
+    """Quoted line breaks late in a file and in a header; files with bytes
+    that are not UTF-8, which are left out whole."""
+    root = scratch_path(spark, "uploads")
+    inv = views.inventory(spark, sf)
+    n_side = F.col("source_file").startswith("file_N")
+    cols = [c for c in INV_COLS if c != "item_desc"]
+    late = inv.filter(n_side).orderBy(F.length("item_desc") % 5 == 0, "_pos").select(*cols, _broken_desc())
+    late.write.option("header", True).option("escape", '"').csv(f"{root}/late")
+    head = inv.filter(~n_side).select(*cols, _broken_desc()).withColumnRenamed("pallet_id", "Pallet\nID")
+    head.write.option("header", True).option("sep", ";").option("escape", '"').csv(f"{root}/head")
+    # one file whose last line is not UTF-8
+    good = inv.select(F.lit(1).alias("place"), F.concat_ws(",", "item_id", "item_desc", "quantity").alias("value"))
+    ends = spark.createDataFrame([(0, "item_id,item_desc,quantity"), (2, "1,bad,")], "place int, value string")
+    ends = ends.withColumn("value", F.when(F.col("place") == 2, F.concat("value", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("value")))
+    good.unionByName(ends).repartition(1).sortWithinPartitions("place").select("value").write.text(f"{root}/bad")
+
+    def named(layout):
+        return layout.withColumnRenamed("pallet\nid", "pallet_id").select(*INV_COLS)
+
+    return files.read_delimited_auto(spark, [f"{root}/{d}" for d in ("late", "head", "bad")], on_layout=named)[0]
+
+
+def _as_file(spark, df, path, sep=","):
+    """Rows as the one delimited file ``path``, as an upload arrives."""
+    tmp = scratch_path(spark, "upload")
+    df.repartition(1).write.option("header", True).option("sep", sep).option("escape", '"').csv(tmp)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    fs.mkdirs(to.getParent())
+    part = next(x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(tmp)) if x.getPath().getName().startswith("part-"))
+    if not fs.rename(part, to):
+        raise OSError(f"{path} was not written")
+
+
+@register("files_manifest")
+def files_manifest(spark, sf):
+    """One row a file: what was read from it, or why it was not."""
+    root = scratch_path(spark, "uploads")
+    inv = views.inventory(spark, sf)
+    side = lambda x: inv.filter(F.col("source_file") == f"file_{x}.csv").select(*INV_COLS)
+    _as_file(spark, side("AF"), f"{root}/list[1].csv")
+    _as_file(spark, side("NF"), f"{root}/a b+c%20.csv", ";")
+    _as_file(spark, side("RF"), f"{root}/_list.csv")
+    _as_file(spark, side("NO").withColumn("item_desc", F.concat(F.lit('5" '), "item_desc")), f"{root}/user/list[1].csv")
+    _as_file(spark, side("NO"), f"{root}/notes.txt")
+    _as_file(spark, side("NO").selectExpr("item_id", "item_id AS ` Item_ID`"), f"{root}/twice.csv")
+    spark._jvm.org.apache.hadoop.fs.Path(f"{root}/empty.csv").getFileSystem(spark._jsc.hadoopConfiguration()).create(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{root}/empty.csv")).close()
+    rows, manifest = files.read_tabular(spark, root)
+    read = rows.groupBy(F.col("_pos.file").alias("path")).agg(F.count("*").alias("n_rows"))
+    return manifest.join(read, "path", "left").select(
+        F.replace("path", F.concat(F.regexp_extract("path", "^(.*/uploads-[^/]*/)", 1)), F.lit("")).alias("path"),
+        "source_file", "success", "error", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+@register("files_fixed_delimiter")
+def files_fixed_delimiter(spark, sf):
+    """The CSV sink, read back with a fixed delimiter; and the same with ;"""
+    inv = views.inventory(spark, sf).select(*INV_COLS)
+    comma, semi = scratch_path(spark, "csv"), scratch_path(spark, "csv")
+    sinks.write_csv(inv, comma)
+    inv.write.option("header", True).option("sep", ";").csv(semi)
+    both = [files.read_delimited(spark, p, s).withColumn("sep", F.lit(s)) for p, s in ((comma, ","), (semi, ";"))]
+    return files.consolidate(both).select("sep", *INV_COLS)
+
+
+@register("table_append_read")
+def table_append_read(spark, sf):
+    """Consolidated sink, counted append, read-back of two columns."""
+    ref, path = views.reference(spark, sf), scratch_path(spark, "table")
+    sinks.write_consolidated(ref, path)
+    added = sinks.append_rows(ref.withColumn("item_number", F.concat(F.lit("N"), "item_number")), path)
+    return sinks.read_table(spark, path, ["id", "item_number"]).withColumn("appended", F.lit(added).cast("long"))
+
+
+@register("table_replace_read")
+def table_replace_read(spark, sf):
+    """A table replaced from a query that reads it, read back."""
+    root = scratch_path(spark, "table")
+    sinks.replace_table(views.reference(spark, sf), root)
+    sinks.change_table(spark, root, lambda t: t.filter("item_number NOT LIKE 'X%'").withColumn("description", F.upper("description")))
+    return sinks.read_table(spark, root)
+
+
+@register("table_one_user_refresh")
+def table_one_user_refresh(spark, sf):
+    """The catalogue of one of three users refreshed from a file; the files
+    of the others are the same before and after (``untouched``)."""
+    root, upload = scratch_path(spark, "table"), scratch_path(spark, "reference") + "/new.csv"
+    ref = views.reference(spark, sf).drop("id")
+    for user in ("u1", "u2", "u3"):
+        sinks.replace_slice(ref.withColumn("user_id", F.lit(user)), root, "user_id", user)
+    others = lambda: sinks.read_table(spark, root).filter("user_id <> 'u2'").select(F.col("_metadata.file_path").alias("f")).distinct()
+    before = {r["f"] for r in others().collect()}  # a few files a user
+    _as_file(spark, ref.select(F.col("item_number").alias("No."), F.upper("description").alias("Description")), upload)
+    jobs.refresh_reference(spark, upload, root, user_id="u2")
+    same = before == {r["f"] for r in others().collect()}
+    return sinks.read_table(spark, root).withColumn("untouched", F.lit(same))
+
+
+@register("landed_listing")
+def landed_listing(spark, sf):
+    """The file catalogue landed by type and user, one folder read back."""
+    root = scratch_path(spark, "landed")
+    sinks.land(views.files(spark, sf).withColumn("user_id", F.col("user_id").cast("string")), root)
+    return sinks.read_landed(spark, root, "csv", str(LIST_USER)).select("nombre", "tipo", "user_id", "tamano")
+
+
+def _job(spark, sf, out_dir=None):
+    root = scratch_path(spark, "uploads")
+    views.inventory(spark, sf).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(root)
+    return jobs.build_purchase_order(spark, root, views.reference(spark, sf), PCT, out_dir=out_dir, user_id="u1")
+
+
+@register("job_po_lines")
+def job_po_lines(spark, sf):
+    """PO lines of the whole job over real files, read from its committed outputs."""
+    out_dir = scratch_path(spark, "outputs")
+    _job(spark, sf, out_dir)
+    return jobs.read_outputs(spark, out_dir)["po_lines"]
+
+
+@register("job_summary")
+def job_summary(spark, sf):
+    out = _job(spark, sf)
+    return out["summary"].join(out["counts"].select("n_rows", "null_ids", "bad_rows", "files_failed"))
+
+
+@register("po_headers")
+def po_headers(spark, sf):
+    """A header for every order, with missing attributes, joined to the order's line total."""
+    runs = views.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("run_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("order_date"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("shipping_method"),
+        F.when(F.col("o_orderkey") % 2 > 0, F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))).alias("company_name"))
+    lines = views.table(spark, sf, "lineitem", ["l_orderkey"]).groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("n_lines"))
+    return rollups.po_headers(runs, report_defaults=True).join(lines, "run_id")
+
+
+@register("comparison_rows")
+def comparison_rows(spark, sf):
+    return compare.comparison_rows(_items(spark, sf), views.reference(spark, sf))
+
+
+@register("reference_positions")
+def reference_positions(spark, sf):
+    """Catalogue rows with their place in item-number order."""
+    return rollups.number_lines(views.reference(spark, sf), "item_number", out="position")[0].select("item_number", "position")
+
+
+@register("alias_item_rollup")
+def alias_item_rollup(spark, sf):
+    """A file whose id column has an alias, without item descriptions, with
+    a column to drop."""
+    raw = views.inventory(spark, sf).select(F.col("item_id").alias(" Number "), "series_desc", "quantity", F.lit("1").alias("Extended Retail"))
+    dropped = clean.ensure_item_desc(raw)
+    df = clean.normalise_headers(dropped)
+    return rollups.item_rollup(df.withColumnRenamed(clean.resolve_id_column(df, mode="file_order"), "item_id"))
+
+
+@register("safe_names")
+def safe_names(spark, sf):
+    part = views.table(spark, sf, "part", ["p_partkey", "p_name"])
+    mark = F.element_at(F.array(*map(F.lit, SAFE_MARKS)), (F.col("p_partkey") % len(SAFE_MARKS) + 1).cast("int"))
+    return part.select("p_partkey", C.safe_name(F.concat(F.lit("._"), "p_name", F.lit(" /"), mark, F.lit(" v1.csv_"))).alias("name"))
+
+
+@register("item_id_any_size")
+def item_id_any_size(spark, sf):
+    rows = views.table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber"])
+    key, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    text = (F.when(n % 4 == 0, F.concat(key, F.lit(".5e"), (n + 18).cast("string"))).when(n % 4 == 1, F.concat(F.lit("-0."), key))
+            .when(n % 4 == 2, F.concat(key, F.lit(".9"))).otherwise(F.concat(key, F.lit("7" * 40))))
+    return rows.select("l_orderkey", "l_linenumber", C.format_item_id(text).alias("item_id"))

@@ -4,27 +4,52 @@
 * ``write_consolidated`` the consolidated rows as Parquet (shared input of
                          the report branches)
 * ``append_rows``        append, returning the number of rows written
-* ``replace_table``      versioned full replace with an atomic switch
+* ``replace_table``      full replace as a new version in the table's log
+* ``replace_slice``      replace of the rows of one key value (one user);
+                         the files of the other values are not touched
+* ``change_table``       read, change, replace; again if another writer won
 * ``read_table``         latest version of a replaced table, or any
                          Spark-readable table / JDBC source
 * ``land``               ``<tipo>/<user_id>/`` partitioned layout
+* ``read_landed``        read-back of that layout, pruned to type and user
+
+A versioned table is a folder of data folders and a log.  Version n is the
+log entry ``_log/<n>.json``, a list of data folders; it is written under
+another name and renamed, which fails if the entry exists.  So of two writers
+that start from the same version one commits and the other gets
+``ConflictError``, and a reader always finds a complete version.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-import os
+import json
+import uuid
+from collections.abc import Callable
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_LOG = "_log"
+
 
-_POINTER = "_CURRENT"
+class ConflictError(RuntimeError):
+    """Another writer committed the version this one wanted to."""
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
 
 
+def write_sorted_csv(df: DataFrame, path: str, keys: list[str]) -> None:
+    """CSV parts whose order by file name is the order of ``keys``: a range
+    partitioning, each part sorted, so that no task sees all rows."""
+    df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    df.write.mode("errorifexists").option("header", "true").option("escape", '"').csv(path)
+
+
 def write_consolidated(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
@@ -50,68 +75,126 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _committed(spark: SparkSession, root: str, version: str) -> bool:
-    fs, p = _fs(spark, f"{root.rstrip('/')}/{version}/_SUCCESS")
-    return bool(fs.exists(p))
+def _entry(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/{_LOG}/{version:012d}.json"
 
 
-def _read_pointer(spark: SparkSession, root: str) -> str | None:
-    """The current version: the pointer's version when it names a committed
-    folder, else the greatest committed ``v...`` folder (so a reader never
-    depends on the moment the pointer is being switched)."""
-    fs, p = _fs(spark, root.rstrip("/") + "/" + _POINTER)
-    if fs.exists(p):
-        stream = fs.open(p)
-        try:
-            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            version = reader.readLine()
-        finally:
-            stream.close()
-        if version and _committed(spark, root, version):
-            return version
-    fs, r = _fs(spark, root)
-    if not fs.exists(r):
-        return None
-    versions = sorted(
-        (st.getPath().getName() for st in fs.listStatus(r) if st.isDirectory() and st.getPath().getName().startswith("v")),
-        reverse=True,
-    )
-    return next((v for v in versions if _committed(spark, root, v)), None)
-
-
-def _write_pointer(spark: SparkSession, root: str, version: str) -> None:
-    """Write the pointer to a temporary name, then rename it over the old
-    one: readers see the old or the new version, never a partial one."""
-    fs, final = _fs(spark, root.rstrip("/") + "/" + _POINTER)
-    _, tmp = _fs(spark, root.rstrip("/") + f"/.{_POINTER}.{version}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(version.encode("utf-8")))
+def current_version(spark: SparkSession, root: str) -> int:
+    """Number of the table's latest version, 0 where there is none."""
+    fs, log = _fs(spark, f"{root.rstrip('/')}/{_LOG}")
+    if not fs.exists(log):
+        return 0
+    names = (st.getPath().getName() for st in fs.listStatus(log))
+    return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+
+def _folders(spark: SparkSession, root: str, version: int) -> list[dict]:
+    """The data folders of a version: {"folder", and "column" and "value" of
+    a slice}."""
+    if not version:
+        return []
+    fs, path = _fs(spark, _entry(root, version))
+    stream = fs.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, root: str, version: int, folders: list[dict]) -> None:
+    """Create the entry of ``version`` if it is absent, else ConflictError."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    fs, final = _fs(spark, _entry(root, version))
+    _, tmp = _fs(spark, f"{root.rstrip('/')}/{_LOG}/.{uuid.uuid4().hex}")
+    out = fs.create(tmp, False)
+    out.write(bytearray(json.dumps(folders).encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(tmp, final)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    try:  # without the option to overwrite, an existing entry makes it fail
+        files.rename(fs.makeQualified(tmp), fs.makeQualified(final), gateway.new_array(rename, 0))
+    except Py4JJavaError as e:
+        fs.delete(tmp, False)
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            raise ConflictError(f"version {version} of {root} was committed by another writer") from None
+        raise
+
+
+def _write_folder(df: DataFrame, root: str) -> str:
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/{folder}")
+    return folder
 
 
 def table_exists(spark: SparkSession, root: str) -> bool:
-    """Whether a versioned table has a current version at ``root``."""
-    return _read_pointer(spark, root) is not None
+    """Whether a versioned table has a version at ``root``."""
+    return current_version(spark, root) > 0
 
 
-def replace_table(df: DataFrame, root: str, spark: SparkSession | None = None) -> str:
-    """Replace the whole content of the table at ``root``.
+def replace_table(df: DataFrame, root: str, spark: SparkSession | None = None, based_on: int | None = None) -> int:
+    """Replace the whole content of the table at ``root``; returns the new
+    version.
 
-    The rows are written to a new version folder; only when that write has
-    committed is the pointer switched.  A failed run leaves the previous
-    version in place, and a table can be replaced from a query that reads
-    it (the version being read is never overwritten).  An empty input yields
-    an empty table.  Returns the version written."""
+    The rows are written to a new folder first, then the version that names
+    it is committed.  A failed run leaves the previous version in place, and
+    a table can be replaced from a query that reads it.  An empty input
+    yields an empty table.  ``based_on`` is the version the rows were made
+    from (by default the one found at the start): if another writer has
+    committed since, ConflictError is raised and the table is as that writer
+    left it."""
     spark = spark or df.sparkSession
-    version = "v" + _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
-    df.write.mode("errorifexists").parquet(root.rstrip("/") + "/" + version)
-    _write_pointer(spark, root, version)
+    version = (current_version(spark, root) if based_on is None else based_on) + 1
+    _commit(spark, root, version, [{"folder": _write_folder(df, root)}])
+    return version
+
+
+def replace_slice(df: DataFrame, root: str, column: str, value: str, based_on: int | None = None) -> int:
+    """Replace the rows whose ``column`` is ``value`` by ``df`` (all rows of
+    which have that value); returns the new version.  Folders that hold only
+    other values stay as they are; a folder of mixed rows is written again
+    without the value, once."""
+    spark = df.sparkSession
+    version = current_version(spark, root) if based_on is None else based_on
+    keep = []
+    for f in _folders(spark, root, version):
+        if "column" not in f:
+            rows = spark.read.parquet(f"{root.rstrip('/')}/{f['folder']}")
+            if column in rows.columns and not rows.filter(F.col(column) == value).isEmpty():
+                f = {"folder": _write_folder(rows.filter(F.col(column).isNull() | (F.col(column) != value)), root)}
+            keep.append(f)
+        elif (f["column"], f["value"]) != (column, value):
+            keep.append(f)
+    _commit(spark, root, version + 1, [*keep, {"folder": _write_folder(df, root), "column": column, "value": value}])
+    return version + 1
+
+
+def commit_paths(spark: SparkSession, root: str, paths: dict[str, str], based_on: int | None = None) -> int:
+    """Name outputs that were written under ``root`` (name -> path in it)
+    together as the next version of its log."""
+    version = (current_version(spark, root) if based_on is None else based_on) + 1
+    _commit(spark, root, version, [{"name": n, "folder": p} for n, p in paths.items()])
     return version
 
 
+def committed_paths(spark: SparkSession, root: str) -> list[dict]:
+    """name and folder of the outputs of the latest version under ``root``."""
+    return _folders(spark, root, current_version(spark, root))
+
+
+def change_table(spark: SparkSession, root: str, change: Callable[[DataFrame | None], DataFrame], attempts: int = 5) -> int:
+    """Replace the table by ``change(current rows, None if there is no
+    table)``.  If another writer commits meanwhile, its rows are read and
+    the change is made again, up to ``attempts`` times."""
+    for left in reversed(range(attempts)):
+        version = current_version(spark, root)
+        try:
+            return replace_table(change(read_table(spark, root) if version else None), root, spark, based_on=version)
+        except ConflictError:
+            if not left:
+                raise
+    raise ValueError("attempts must be positive")
+
+
 def read_table(spark: SparkSession, root: str, columns: list[str] | None = None, fmt: str | None = None,
                options: dict | None = None) -> DataFrame:
     """A versioned table (latest version), a Parquet folder, a catalog table
@@ -126,8 +209,12 @@ def read_table(spark: SparkSession, root: str, columns: list[str] | None = None,
     elif fmt == "table":
         df = spark.table(root)
     else:
-        version = _read_pointer(spark, root)
-        df = spark.read.parquet(root.rstrip("/") + "/" + version if version else root)
+        by_schema: dict[str, list[str]] = {}  # folders of one schema are read with one scan
+        for f in _folders(spark, root, current_version(spark, root)):
+            path = f"{root.rstrip('/')}/{f['folder']}"
+            by_schema.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+        scans = [spark.read.parquet(*paths) for paths in by_schema.values()]
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans) if scans else spark.read.parquet(root)
     return df.select(*columns) if columns else df
 
 
@@ -146,3 +233,16 @@ def land(df: DataFrame, root: str, mode: str = "append") -> None:
     """Partitioned layout ``tipo=<t>/user_id=<u>/`` so listings by type and
     user prune folders instead of scanning them."""
     df.write.mode(mode).partitionBy("tipo", "user_id").parquet(root)
+
+
+def read_landed(spark: SparkSession, root: str, tipo: str | None = None, user_id: str | None = None) -> DataFrame:
+    """The landed rows, optionally of one type and user: the folders of the
+    others are pruned before the scan."""
+    df = spark.read.parquet(root)
+    rest = [f for f in df.schema.fields if f.name not in ("tipo", "user_id")]
+    # partition values are text, also where all of them look like numbers
+    df = spark.read.schema(T.StructType([*rest, T.StructField("tipo", T.StringType()), T.StructField("user_id", T.StringType())])).parquet(root)
+    for column, value in (("tipo", tipo), ("user_id", user_id)):
+        if value is not None:
+            df = df.filter(F.col(column) == value)
+    return df

@@ -46,7 +46,17 @@ def test_purchase_order_job_matches_direct_operators(spark, scratch):
     assert s["unmatched_count"] == s2["unmatched_count"]
     assert out["po_header"].first()["order_date"] == "01/05/2024"
     assert all(r["success"] for r in out["manifest"].collect())
-    assert spark.read.option("header", True).csv(os.path.join(scratch, "out", "item_rollup")).count() == expected_items.count()
+    landed = jobs.read_outputs(spark, os.path.join(scratch, "out"))
+    assert landed["item_rollup"].count() == expected_items.count()
+    assert rows(landed["po_lines"]) == rows(lines)
+    parts = sorted(p for p in os.listdir(os.path.join(scratch, "out", "csv", "-")) if p.startswith("item_rollup_"))
+    folder = os.path.join(scratch, "out", "csv", "-", parts[0])
+    keys = []
+    for part in sorted(x for x in os.listdir(folder) if x.startswith("part-")):
+        with open(os.path.join(folder, part)) as fh:
+            keys += [tuple(line.rstrip("\n").split(",")[:2]) for line in fh.readlines()[1:]]
+    assert keys == sorted(keys) and len(keys) == expected_items.count()
+    assert out["counts"].first().asDict() == {"n_rows": inv.count(), "null_ids": 0, "bad_rows": 0, "files_read": out["manifest"].count(), "files_failed": 0}
 
 
 def test_refresh_reference_replaces_table(spark, scratch):
@@ -91,3 +101,29 @@ def test_refresh_of_one_user_keeps_a_global_table(spark, scratch):
 
     got = {(r.item_number, r.description, r.user_id) for r in sinks.read_table(spark, root).collect()}
     assert got == {("1", "one", None), ("2", "two", None), ("1", "mine", "u1")}
+
+
+def test_price_extension_names_every_missing_column(spark):
+    import pytest
+
+    from palletwise.functions.constants import INVENTORY_REQUIRED
+    from palletwise.operators.clean import MissingColumnsError
+
+    whole = views.inventory(spark, SF_SMALL)
+    assert "extended_retail" in jobs.extend_prices(whole, 20).columns
+    for column in INVENTORY_REQUIRED:
+        with pytest.raises(MissingColumnsError) as e:
+            jobs.extend_prices(whole.drop(column), 20)
+        assert e.value.missing == [column]
+
+
+def test_outputs_of_a_lost_run_are_not_found(spark, scratch):
+    from palletwise.sources import sinks
+
+    out = os.path.join(scratch, "out")
+    assert jobs.read_outputs(spark, out) == {}
+    for name in ("csv/u/a", "csv/u/b"):
+        sinks.write_sorted_csv(spark.createDataFrame([(name, "d", 1.0)], "item_id string, item_desc string, quantity double"), f"{out}/{name}", ["item_id"])
+        spark.range(2).write.parquet(f"{out}/pdf/{name}")
+    sinks.commit_paths(spark, out, {"item_rollup": "csv/u/a", "po_lines": "pdf/csv/u/a"})
+    assert jobs.read_outputs(spark, out)["item_rollup"].first()["item_id"] == "csv/u/a"

@@ -150,14 +150,62 @@ def test_wide_header_beyond_sample(spark, scratch):
     assert (r[0], r[1]) == ("0", "1499")
 
 
-def test_versioned_table_without_pointer_uses_latest_committed(spark, scratch):
+def test_data_that_no_version_names_is_not_read(spark, scratch):
     root = os.path.join(scratch, "t")
     sinks.replace_table(spark.createDataFrame([("1",)], "k string"), root)
-    sinks.replace_table(spark.createDataFrame([("2",)], "k string"), root)
-    os.remove(os.path.join(root, "_CURRENT"))  # as if a reader arrived mid-switch
+    assert sinks.replace_table(spark.createDataFrame([("2",)], "k string"), root) == 2
+    # as a writer leaves it that was lost before its commit
+    spark.createDataFrame([("3",)], "k string").write.parquet(os.path.join(root, "data-lost"))
     assert rows(sinks.read_table(spark, root)) == [("2",)]
 
 
+def test_of_two_writers_one_fails_and_tries_again(spark, scratch):
+    import pytest
+
+    root = os.path.join(scratch, "t")
+    table = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    start = sinks.replace_table(table("a"), root)
+    assert sinks.replace_table(table("a", "b"), root, based_on=start) == 2
+    with pytest.raises(sinks.ConflictError):
+        sinks.replace_table(table("a", "c"), root, based_on=start)
+    with pytest.raises(sinks.ConflictError):
+        sinks.replace_slice(table("z"), root, "k", "z", based_on=start)
+    assert rows(sinks.read_table(spark, root)) == [("a",), ("b",)]
+    calls = []
+
+    def add(current):
+        calls.append(current.count())
+        if len(calls) == 1:  # another writer commits in between
+            sinks.replace_table(current.union(table("other")), root)
+        return current.union(table("mine"))
+
+    sinks.change_table(spark, root, add)
+    assert calls == [2, 3] and rows(sinks.read_table(spark, root)) == [("a",), ("b",), ("mine",), ("other",)]
+    with pytest.raises(sinks.ConflictError):
+        sinks.change_table(spark, root, lambda t: (sinks.replace_table(table("x"), root), table("y"))[1], attempts=2)
+
+
+def test_slices_leave_other_files_alone(spark, scratch):
+    root = os.path.join(scratch, "t")
+    mixed = spark.createDataFrame([("1", "u1"), ("2", "u2"), ("3", None)], "k string, user_id string")
+    sinks.replace_table(mixed, root)
+    for u in ("u1", "u4"):
+        sinks.replace_slice(spark.createDataFrame([("9" + u, u)], "k string, user_id string"), root, "user_id", u)
+    holding = lambda: {r[0] for r in sinks.read_table(spark, root).filter("user_id IS NULL OR user_id <> 'u4'").select("_metadata.file_path").collect()}
+    before = holding()
+    sinks.replace_slice(spark.createDataFrame([], "k string, user_id string"), root, "user_id", "u4")
+    assert rows(sinks.read_table(spark, root)) == [("2", "u2"), ("3", None), ("9u1", "u1")]
+    assert holding() == before and len(before) >= 2
+
+
+def test_landed_rows_are_pruned(spark, scratch):
+    root = os.path.join(scratch, "landed")
+    sinks.land(spark.createDataFrame([("a", "csv", "007"), ("b", "csv", "2"), ("c", "pdf", "007")], "nombre string, tipo string, user_id string"), root)
+    one = sinks.read_landed(spark, root, "csv", "007")
+    assert rows(one) == [("a", "csv", "007")]
+    assert "PartitionFilters: [isnotnull(tipo" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_file_catalogue(spark, scratch):
     for t, u, name in [("csv", "u1", "a.csv"), ("pdf", "u2", "b.pdf")]:
         os.makedirs(os.path.join(scratch, t, u), exist_ok=True)
@@ -242,7 +290,8 @@ def test_whole_files_are_checked(spark, scratch):
 def test_header_row_beyond_16_mb(scratch):
     path = os.path.join(scratch, "w.csv")
     write(path, "a," + "x" * (17 << 20) + "\n1,2\n")
-    assert src.sniff_head(src._read_head(path))[1] == ["a", "x" * (17 << 20)] and src.scan_rows(path, ",") == (False, 2)
+    with open(path, "rb") as fh:
+        assert src.sniff_stream(fh)[1] == ["a", "x" * (17 << 20)]
 
 
 def test_large_workbooks_are_opened_by_path(spark, scratch, monkeypatch):
@@ -251,3 +300,68 @@ def test_large_workbooks_are_opened_by_path(spark, scratch, monkeypatch):
     monkeypatch.setattr(src, "ROW_WORKBOOK_BYTES", 4000)
     df, manifest = src.read_workbooks(spark, scratch)
     assert df.count() == 5001 and all(r["success"] for r in manifest.collect())
+
+
+def test_heads_with_quoted_breaks():
+    assert src.sniff_head('\ufeff"Item\r\nid",qty\n1,2\n'.encode()) == (",", ["item\r\nid", "qty"], None)
+    long = "x" * 3000
+    assert src.sniff_head(f'"{long}\n{long}";b;"c""d"\n1;2\n'.encode())[1] == [f"{long}\n{long}", "b", 'c"d']
+    assert src.sniff_head(b'\n  \na,5" pipe\n')[1] == ["a", '5" pipe']
+
+
+def test_open_quotes(spark):
+    cases = {'a,"b': True, 'a,"b"': False, 'a,5" pipe': False, 'a,"b""': True, 'a,"b"""': False, '""': False, '"""': True, 'a,"b"x"y': False,
+             '"a,b",c': False, 'x,"' + '""' * 20000 + 'y': True, 'x,"' + '""' * 20000 + 'y"': False, "plain": False, '"a";"b': False}
+    got = spark.createDataFrame([(k,) for k in cases], "line string").select("line", src.ends_open(src.F.col("line"), ",").alias("o")).collect()
+    assert {r["line"]: r["o"] for r in got} == cases
+
+
+def test_states_compose_over_splits(spark):
+    import random
+
+    rng = random.Random(3)
+    files, steps = {}, []
+    for f in range(40):
+        state = False
+        for row in range(rng.randint(1, 12)):
+            f0, f1 = rng.choice([(False, True), (True, False), (False, False), (True, True)])
+            steps.append((f"f{f}", row // 3, row, f0, f1))
+            state = f1 if state else f0
+        files[f"f{f}"] = state
+    table = spark.createDataFrame(steps, "path string, block int, row int, f0 boolean, f1 boolean")
+    whole = src.composed(src.composed(table, ["path", "block"], "row"), ["path"], "block")
+    assert {r["path"]: r["f0"] for r in whole.collect()} == files
+
+
+def test_small_splits_find_late_breaks(spark, scratch):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        plain = "".join(f'{i},"a ""{i}"", b"\n' for i in range(6000))
+        write(os.path.join(scratch, "late.csv"), "id,d\n" + plain + '6000,"two\nlines, ""x"""\n' + plain)
+        write(os.path.join(scratch, "open.csv"), "id,d\n" + plain + '6000,"two\n' + plain.replace('"', ""))
+        write(os.path.join(scratch, "stray.csv"), "id,d\n" + plain + '6000,5" pipe\n6001,"x"y"\n')
+        df, manifest = src.read_delimited_auto(spark, scratch)
+        m = {r["source_file"]: r["error"] for r in manifest.collect()}
+        assert m == {"late.csv": None, "open.csv": "quoted field never closed", "stray.csv": None}
+        got = {r["source_file"]: r["count"] for r in df.groupBy("source_file").count().collect()}
+        assert got == {"late.csv": 12001, "stray.csv": 6002}
+        assert rows(df.filter("id = 6000"), "source_file", "d") == [("late.csv", 'two\nlines, "x"'), ("stray.csv", '5" pipe')]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_names_are_literal_and_hidden_names_reported(spark, scratch):
+    for name in ["list[1].csv", "b c+d%20.csv", "{x}.csv", "_list.csv", "_SUCCESS", ".part.csv"]:
+        write(os.path.join(scratch, name), "id,q\n1,2\n")
+    write(os.path.join(scratch, "none.csv"), "")
+    for folder in ("u1", "u2"):
+        os.makedirs(os.path.join(scratch, folder))
+        write(os.path.join(scratch, folder, "list.csv"), f"id,q\n{folder},2,x\n")
+    df, manifest = src.read_tabular(spark, scratch)
+    m = {r["path"][len("file:") + len(scratch) + 1 :]: r["error"] for r in manifest.collect()}
+    assert m == {"list[1].csv": None, "b c+d%20.csv": None, "{x}.csv": None, "_list.csv": "hidden name", "none.csv": "empty file", "u1/list.csv": None, "u2/list.csv": None}
+    assert sorted(r["source_file"] for r in df.collect()) == ["b c+d%20.csv", "list.csv", "list.csv", "list[1].csv", "{x}.csv"]
+    assert len({r["_pos"]["file"] for r in df.collect()}) == 5
+    assert sorted(r["_pos"]["file"][-11:] for r in src.bad_rows(df).collect()) == ["u1/list.csv", "u2/list.csv"]
+    one, _ = src.read_tabular(spark, os.path.join(scratch, "list[1].csv"))
+    assert one.count() == 1
