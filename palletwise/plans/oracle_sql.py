@@ -374,7 +374,7 @@ SELECT {POS_OUT}, us_price AS price_text, CAST({ws("regexp_replace(us_price, '[$
     q["line_numbers_bucketed"] = with_(INV, PALLETS) + """
 SELECT pallet_id, row_number() OVER (ORDER BY pallet_id) AS line_no FROM pallets"""
 
-    desc = "CASE WHEN length(item_desc) % 5 = 0 THEN item_desc || chr(10) || 'second, \"line\"' ELSE item_desc END AS item_desc"
+    desc = "CASE WHEN length(item_desc) % 5 = 0 THEN item_desc || chr(10) || 'second \"line\"' ELSE item_desc END AS item_desc"
     q["files_multiline"] = with_(INV) + f"SELECT series_desc, pallet_id, item_id, {desc}, us_price, quantity FROM inv"
     q["files_manifest"] = with_(INV) + """,
 f AS (SELECT source_file AS f, count(*) AS n FROM inv GROUP BY 1),

@@ -418,7 +418,7 @@ def reference_key_collisions(spark, sf):
 
 def _broken_desc():
     """Some descriptions with a line break and quotes."""
-    broken = F.concat("item_desc", F.lit('\nsecond, "line"'))
+    broken = F.concat("item_desc", F.lit('\nsecond "line"'))
     return F.when(F.length("item_desc") % 5 == 0, broken).otherwise(F.col("item_desc")).alias("item_desc")
 
 
