@@ -291,23 +291,20 @@ def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
     """Per file: path, sep, header (normalised names), multiline, error, as a
     staged table."""
     head = stage(heads(spark, paths, listed), "file-heads")
-    good = head.filter("error IS NULL")
-    by_sep = {r["sep"]: r["paths"] for r in good.groupBy("sep").agg(F.collect_list("path").alias("paths")).collect()}
-    checks = [stage(body_checks(spark, ps, sep), "file-checks") for sep, ps in sorted(by_sep.items())]
+    good = head.filter("error IS NULL").groupBy("sep").agg(F.collect_list("path").alias("paths"))
+    checks = [body_checks(spark, r["paths"], r["sep"]) for r in good.collect()]
     if not checks:
         return head.withColumn("multiline", F.lit(False))
-    check = reduce(DataFrame.unionByName, checks)
-    found = head.join(check, "path", "left").withColumn("multiline", F.coalesce("multiline", F.lit(False)))
-    ends = []
-    for c, (sep, _) in zip(checks, sorted(by_sep.items()), strict=True):
-        broken = [r["path"] for r in c.filter("multiline AND bad_lines = 0").select("path").collect()]
-        if broken:
-            ends.append(unclosed(spark, broken, sep))
-    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("bad_lines") > 0, F.lit("not UTF-8 text"))
-    if ends:
-        found = found.join(reduce(DataFrame.unionByName, ends).withColumn("is_open", F.lit(True)), "path", "left")
-        error = error.when(F.col("is_open"), F.lit("quoted field never closed"))
-    return stage(found.select("path", "sep", "header", "multiline", error.alias("error")), "file-sniff")
+    error = F.coalesce("error", F.when(F.col("bad_lines") > 0, F.lit("not UTF-8 text")))
+    found = head.join(reduce(DataFrame.unionByName, checks), "path", "left")
+    found = stage(found.select("path", "sep", "header", F.coalesce("multiline", F.lit(False)).alias("multiline"), error.alias("error")), "file-sniff")
+    broken = found.filter("multiline AND error IS NULL").groupBy("sep").agg(F.collect_list("path").alias("paths"))
+    ends = [unclosed(spark, r["paths"], r["sep"]) for r in broken.collect()]
+    if not ends:
+        return found
+    is_open = reduce(DataFrame.unionByName, ends).withColumn("is_open", F.lit(True))
+    error = F.coalesce("error", F.when(F.col("is_open"), F.lit("quoted field never closed")))
+    return stage(found.join(is_open, "path", "left").withColumn("error", error).drop("is_open"), "file-sniff")
 
 
 def with_position(df: DataFrame) -> DataFrame:
