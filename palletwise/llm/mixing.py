@@ -20,7 +20,8 @@ as its leaf's whole epochs, and with the prefix; null language, source or
 domain is a branch of its own; repeated rows are separate documents (equal
 places in the order, the prefix takes them one by one); weights that are
 null, missing or not positive count as ``DEFAULT_WEIGHT``; an empty table
-gives an empty result; clashing extra columns are kept as they are.
+gives an empty result; columns ``domain``, ``epoch`` and ``n_tokens`` are
+replaced, all others kept whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from palletwise.session import stage
 
 DEFAULT_WEIGHT = 100
 SLICE_ROWS = 4096
+BROADCAST_LEAVES = 100_000
 LEVELS = ("domain", "lang", "source")
 
 
@@ -117,12 +119,11 @@ def mix(docs: DataFrame, budget: int | None = None, weights: dict | None = None,
     ``budget`` None means as many tokens as the documents hold."""
     if max_epochs < 1:
         raise ValueError("max_epochs must be positive")
-    extra = [c for c in ("domain", "epoch", "n_tokens") if c in docs.columns]
-    if extra:
-        docs = docs.drop(*extra)
     dom = domain_of(F.col("source").cast("string")) if domain is None else domain
-    rows = docs.withColumn("domain", dom).withColumn(
-        "n_tokens", F.size(words(F.col("text").cast("string"))).cast("long"))
+    # the caller's columns travel as one, so that none clashes with those here
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("domain", "epoch", "n_tokens")])
+    rows = docs.select(own.alias("row"), "doc_id", dom.alias("domain"), "lang", "source",
+                       F.size(words(F.col("text").cast("string"))).cast("long").alias("n_tokens"))
     light = stage(rows.select("doc_id", *LEVELS, "n_tokens"), "mix-tokens")
     leaves = light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     if budget is None:
@@ -132,6 +133,8 @@ def mix(docs: DataFrame, budget: int | None = None, weights: dict | None = None,
                  .withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))
                  .withColumn("slices", F.pow(F.lit(16), F.least(F.lit(6), F.ceil(F.log(F.greatest(F.lit(1.0), F.col("docs") / slice_rows)) / F.log(F.lit(16.0))))).cast("long"))
                  .withColumn("digits", F.round(F.log(F.col("slices").cast("double")) / F.log(F.lit(16.0))).cast("int")), "mix-plan")
+    # one row a leaf: no leaf's documents need to meet in one task
+    small = plan.count() <= BROADCAST_LEAVES
     # the slice of each leaf that its last epoch's prefix ends in
     open_ = _same(light, plan.filter("tokens > 0").select(*LEVELS, "epochs", "rest", "digits"), list(LEVELS))
     open_ = open_.withColumn("place", _place(seed, F.col("epochs"))).withColumn("slice", F.expr("substring(place, 1, digits)"))
@@ -149,15 +152,16 @@ def mix(docs: DataFrame, budget: int | None = None, weights: dict | None = None,
     tied = _same(inside, over.select(*LEVELS, F.col("stop.place").alias("place")), [*LEVELS, "place"]).groupBy(*LEVELS).agg(
         F.first("place").alias("stop"), F.count_if(F.col("upto") <= F.col("rest")).alias("fit"))
     ends = _same(plan, tied, list(LEVELS), "left").select(*LEVELS, "tokens", "epochs", "stop", "fit")
-    got = _same(rows, ends, list(LEVELS)).withColumn("place", _place(seed, F.col("epochs")))
+    ends = stage(ends, "mix-ends")
+    got = _same(rows, F.broadcast(ends) if small else ends, list(LEVELS)).withColumn("place", _place(seed, F.col("epochs")))
     at_stop = F.col("place") == F.col("stop")
     # rows at the stop place are told apart by their number of tokens, then
     # by an arbitrary but fixed order of their text
-    tie = Window.partitionBy(*LEVELS, "place").orderBy("doc_id", "n_tokens", F.xxhash64("text"))
+    tie = Window.partitionBy(*LEVELS, "place").orderBy("doc_id", "n_tokens", F.xxhash64("row.text"))
     stopped = got.filter(at_stop & (F.col("fit") > 0)).withColumn("nth", F.row_number().over(tie)).filter("nth <= fit").drop("nth")
     prefix = (F.col("tokens") > 0) & (F.col("epochs") < max_epochs) & (F.col("stop").isNull() | (F.col("place") < F.col("stop")))
     times = F.col("epochs") + F.when(prefix, F.lit(1)).otherwise(F.lit(0))
     taken = got.withColumn("times", times).filter("times > 0").withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    drop = ["tokens", "epochs", "stop", "fit", "place"]
-    return taken.drop("times", *drop).unionByName(stopped.withColumn("epoch", F.col("epochs")).drop(*drop))
+    taken = taken.select("row.*", "domain", "epoch", "n_tokens")
+    return taken.unionByName(stopped.select("row.*", "domain", F.col("epochs").alias("epoch"), "n_tokens"))

@@ -14,12 +14,15 @@ still reach the k-th score.  Shards return k rows a query, merged at the end.
 Queries are the given set against all rows, in blocks: a task holds one
 shard and one query block, both of bounded size.  Scores are exact: the
 arithmetic runs in float32, float64 or int64, whichever holds every partial
-sum exactly (an integer score beyond 64 bits fails the job).
+sum exactly.  Where a product of a shard and a query could leave 64 bits, that
+query is scored against that shard without bounds, the rows in question in
+integers of any size; only a returned score beyond 64 bits fails the job.
 
 Defined results: vectors that are null or hold a null or non-finite
 component take no part, nor do rows with a null id; shorter vectors count as
-padded with zeros (a missing posting); of rows repeating an id, the smallest
-vector stands for the id; ties go to the smaller id; fewer than k other rows
+padded with zeros (a missing posting); rows repeating an id are candidates
+each, but not for the query of their own id, and of a query id's vectors the
+smallest asks; ties go to the smaller id; fewer than k other rows
 give all of them; an empty table gives an empty result.
 """
 
@@ -36,6 +39,9 @@ QUERY_ROWS = 4096
 BLOCK_ROWS = 1024
 
 
+_EXACT = 2.0**60  # bounds below it leave every partial sum within 64 bits
+
+
 def integers(vector: Column, scale: float = 64.0) -> Column:
     """floor(scale * x) of each component x as double."""
     return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
@@ -119,6 +125,18 @@ def maxscore(shard: Shard, query_id: int, query: np.ndarray, k: int, kind) -> li
     return [(int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
 
 
+def scored(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """``maxscore`` for products of any size, by scoring every row."""
+    size = np.abs(vectors.astype(np.float64)) @ np.abs(query.astype(np.float64))
+    score = (vectors @ query).astype(object)  # rows beyond 64 bits are replaced
+    for i in np.flatnonzero(size >= 2**62):
+        score[i] = sum(a * b for a, b in zip(vectors[i].tolist(), query.tolist(), strict=True))
+    best = sorted((-score[i], int(ids[i])) for i in np.flatnonzero(ids != query_id))[:k]
+    if any(not -(2**63) <= -s < 2**63 for s, _ in best):
+        raise OverflowError(f"a score of query {query_id} exceeds 64 bits")
+    return [(i, -s) for s, i in best]
+
+
 def _matrix(values, width: int) -> np.ndarray:
     out = np.zeros((len(values), width), dtype=np.int64)
     for i, v in enumerate(values):
@@ -134,11 +152,14 @@ def _search(candidates, queries, k: int):
     if len(candidates) and len(queries):
         width = max(max(map(len, candidates["v"])), max(map(len, queries["v"])))
         x, q = _matrix(candidates["v"], width), _matrix(queries["v"], width)
-        bound = float(np.abs(x.astype(np.float64)).max(axis=0, initial=0) @ np.abs(q.astype(np.float64)).max(axis=0, initial=0))
-        kind = _arithmetic(4 * bound + 1)
+        size = np.abs(q.astype(np.float64))
+        each = size @ np.abs(x.astype(np.float64)).max(axis=0, initial=0)  # bound of each query's products
+        most = float(each[each < _EXACT].max(initial=0))
+        kind = _arithmetic(4 * most + 1)
         shard = Shard(candidates["vec_id"].to_numpy(np.int64), x)
-        for qid, vector in zip(queries["query_id"].tolist(), q, strict=True):
-            out += [(qid, i, s) for i, s in maxscore(shard, qid, vector, k, kind)]
+        for qid, vector, bound in zip(queries["query_id"].tolist(), q, each, strict=True):
+            found = maxscore(shard, qid, vector, k, kind) if bound < _EXACT else scored(shard.ids, shard.vectors, qid, vector, k)
+            out += [(qid, i, s) for i, s in found]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
@@ -153,13 +174,15 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0,
     data = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("q")).filter(
         F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     data = data.select("vec_id", integers(F.col("embedding"), scale).alias("v"), "q")
-    data = stage(data.groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("q").alias("q")), "topk")
-    n, m = data.agg(F.count("*"), F.count_if("q")).first()
+    # the place in the input spreads the rows of a repeated id over the shards
+    data = stage(data.withColumn("place", F.xxhash64("vec_id", F.monotonically_increasing_id())), "topk")
+    asking = data.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
+    n, m = data.count(), asking.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
     left = data.select(
-        "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"),
+        "vec_id", "v", F.pmod("place", F.lit(shards)).alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = data.filter("q").select(
+    right = asking.select(
         F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(

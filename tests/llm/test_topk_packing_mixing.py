@@ -16,21 +16,30 @@ DOCS = "doc_id long, text string, lang string, source string, domain string, epo
 
 
 def brute_top(rows, k, is_query):
-    live = {}
+    live = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        ints = [math.floor(64.0 * float(np.float32(x))) for x in v]
-        live[i] = min(live.get(i, ints), ints)
+        live.append((i, [math.floor(64.0 * float(np.float32(x))) for x in v]))
     out = []
-    for q in sorted(live):
+    for q in sorted({i for i, _ in live}):
         if not is_query(q):
             continue
-        scored = sorted((-sum(a * b for a, b in zip(live[q], v, strict=False)), i) for i, v in live.items() if i != q)
+        asked = min(v for i, v in live if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(asked, v, strict=False)), i) for i, v in live if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
+def test_top_k_outliers_and_repeated_ids(spark):
+    rows = [(20, [1e9]), (1, [1.0]), (2, [0.5]), (40, [0.25]), (1, [5.0]), (1, [5.0]), (20, [2e9]), (3, [-1e6, 4.0]), (60, [1.0, 1e7]), (4, [0.0, 1e7])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 20, shard_rows=3, query_rows=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 20, lambda i: i % 20 == 0)
+    beyond = spark.createDataFrame([(20, [1e12]), (1, [1e12])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        topk.top_k(beyond, F.col("vec_id") % 20 == 0).collect()
+
+
 @pytest.mark.parametrize(("n", "d", "k", "scale"), [(400, 8, 20, 1.0), (60, 64, 20, 100.0), (300, 3, 5, 1e6), (12, 4, 20, 1.0)])
 def test_top_k(spark, n, d, k, scale):
     rng = np.random.default_rng(n)
@@ -179,8 +188,11 @@ def test_mix(spark, budget, epochs, slice_rows):
     rows += [(300, None, "en", "src0"), (301, "", "xx", "src99"), (302, "a b c", "zz", "src3"), (5, "a b c", "en", "src0"),
              (5, "a b c", "en", "src0"), (None, "q r", "en", "src1")]
     weights = {"lang": {"en": 300, None: 7}, "source": {"src0": 10, "src12": 1}, "domain": {"0": 500}}
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS)
+    helpers = ("tokens", "place", "stop", "fit", "epochs", "row", "times", "rest", "capacity", "_domain")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS).withColumns({c: F.lit(c) for c in helpers})
     got = mixing.mix(df, budget, weights, epochs, 17, slice_rows=slice_rows)
+    assert got.columns == ["doc_id", "text", "lang", "source", *helpers, "domain", "epoch", "n_tokens"]
+    assert all(r[c] == c for r in got.select(*helpers).distinct().collect() for c in helpers)
     total = sum(len((r[1] or "").split()) for r in rows) if budget is None else budget
     assert sorted(((r.doc_id, r.epoch) for r in got.collect()), key=str) == brute_mix(rows, total, weights, epochs, 17)
 
