@@ -30,16 +30,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterable, column: str = "text", max_bytes: int = CHUNK_BYTES) -> Iterator:
-    """Slices of Arrow batches holding at most ``max_bytes`` of ``column``
-    (one row at least); an empty batch gives nothing."""
+def _random(key: np.ndarray) -> np.ndarray:
+    """A random number for each (byte, place), place * 256 + byte."""
+    return mix((key.astype(np.uint64) + np.uint64(1)) * _P)
+
+
+_TABLE = _random(np.arange(64 * 256))  # of the first places of a word
+
+
+def slices(batches: Iterable, column: str | list[str] = "text", max_bytes: int = CHUNK_BYTES) -> Iterator:
+    """Slices of Arrow batches holding at most ``max_bytes`` of ``column``,
+    or of several columns together (one row at least); an empty batch gives
+    nothing."""
     import pyarrow.compute as pc
 
+    columns = [column] if isinstance(column, str) else column
+
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
         lo = 0
         while lo < n:
             base = size[lo - 1] if lo else 0
@@ -76,14 +87,21 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word: the sum of one random number per
+        (byte, place).  (A polynomial modulo 2^64 would give some unlike
+        words of a thousand letters equal hashes, whatever its factor.)"""
         if not len(self):
             return np.zeros(0, np.uint64)
         length = self.end - self.start
-        power = np.cumprod(np.full(int(length.max()) + 1, _P, dtype=np.uint64))
         at = np.flatnonzero(self._inside)
         place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-        value = (self.buf[at].astype(np.uint64) + np.uint64(1)) * power[place]
+        key = place * 256 + self.buf[at]
+        near = key < len(_TABLE)
+        if near.all():
+            value = _TABLE[key]
+        else:
+            value = _TABLE[np.where(near, key, 0)]
+            value[~near] = _random(key[~near])
         return mix(np.add.reduceat(value, np.cumsum(length) - length))
 
     def windows(self, hashes: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,8 @@ a separator or line break belongs to the section it closes.  Empty sections
 hold no bytes and get no tokens.
 
 Defined results: a null field is an empty section; a document without bytes
-has no tokens; texts are encoded whole, whatever their length; strings that
+has no tokens; texts are encoded whole, whatever their length (a very long run of
+blanks goes to the merge directly, cut where the pattern cuts it); strings that
 look like special tokens are ordinary text; repeated rows are counted each;
 an empty table gives an empty result; other columns are not read.
 """
@@ -22,6 +23,7 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY_BYTES = 16 << 20
 RULES = ("start", "end", "most")
+LONG_RUN = 10_000  # blanks in a row from which on the pattern is not asked
+# fixed value: the characters with the property White_Space
+BLANK = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def load_ranks(spark: SparkSession, path: str = VOCABULARY) -> dict[bytes, int]:
@@ -62,6 +67,21 @@ def encoder(name: str, ranks: dict[bytes, int], pattern: str = PATTERN):
     return _ENCODERS[name]
 
 
+def encode(enc, text: str, long_run: int = LONG_RUN) -> np.ndarray:
+    """The token ids of a text.  The pattern steps back through a run of
+    blanks blank by blank, on a stack that a run of a million overflows; its
+    outcome is known: all blanks but the last are one piece, or all of them
+    at the end of the text."""
+    ids, at = [], 0
+    for run in re.finditer(f"{BLANK}{{{long_run},}}", text):
+        end = run.end() - (run.end() < len(text))
+        ids += [enc.encode_to_numpy(text[at : run.start()], disallowed_special=()),
+                np.asarray(enc._encode_single_piece(text[run.start() : end].encode()), dtype=np.int64)]
+        at = end
+    ids.append(enc.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(ids).astype(np.int64)
+
+
 def attribute(token_end: np.ndarray, section_end: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section: interval join of two tilings of the same
     bytes, given by their sorted ends."""
@@ -99,7 +119,7 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line:
         import pyarrow as pa
 
         enc, length = encoder(name, ranks.value, pattern)
-        for part in _text.slices(batches, names[-1]):
+        for part in _text.slices(batches, names):
             values = [_text.as_bytes(part.column(c)) for c in names]
             total, offsets, cols = [], [0], [[], [], [], []]
             for row in zip(*values, strict=True):
@@ -111,7 +131,7 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line:
                     field += [i] * len(own)
                     line += range(len(own))
                     size += own
-                ids = np.asarray(enc.encode_to_numpy(sep.join(row).decode(), disallowed_special=()), dtype=np.int64)
+                ids = encode(enc, sep.join(row).decode())
                 counts = attribute(np.cumsum(length[ids]), np.cumsum(size), rule)
                 total.append(len(ids))
                 offsets.append(offsets[-1] + len(size))

@@ -263,3 +263,21 @@ def test_training_rows_hold_one_row_per_id(spark):
     again = toxicity.training_rows(frame(spark, docs[::-1]), lab, 20).collect()
     assert 1 in {r.doc_id for r in got} and len(got) == len({r.doc_id for r in got}) <= 20
     assert sorted(got) == sorted(again) and all((r.doc_id, r.text or None) in docs for r in got)
+
+
+def test_long_runs_of_blanks_are_cut_as_the_pattern_cuts_them(spark):
+    import base64
+
+    import numpy as np
+
+    with open(tokens.VOCABULARY, "rb") as fh:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in fh if x.strip())}
+    enc, _ = tokens.encoder("blanks", ranks)
+    runs = [" " * 7, "\n" * 9, " \t\u2003\u00a0 ", "\r\n" * 5, "  \n"]
+    for run in runs:
+        for text in (f"ab{run}cd", f"{run}x", f"x{run}", run, f"a{run}!{run}1", f"{run}\u2003\u00e9"):
+            assert np.array_equal(tokens.encode(enc, text, 5), enc.encode(text, disallowed_special=())), (text,)
+    docs = spark.createDataFrame([(1, "a" + " " * 3_000_000 + "b"), (2, "\n" * 1_200_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in tokens.count_tokens(docs, by_line=False).collect()}
+    assert found[1]["n_tokens"] == 1 + len(enc._encode_single_piece(b" " * 2_999_999)) + 1
+    assert found[2]["sections"][0]["n_bytes"] == 1_200_000

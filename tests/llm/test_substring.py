@@ -84,3 +84,14 @@ def test_repeated_ids_and_empty(spark):
     assert substring.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         substring.dedup(df, 3, 4)
+
+
+def test_unlike_words_of_equal_polynomial_hashes_stay(spark):
+    word = "a"
+    for _ in range(10):  # the Thue-Morse word of 1,024 letters
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{same} {word}"), (2, f"{same} {other}"), (3, f"{same} {word}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
