@@ -13,7 +13,7 @@ bits), unless the sizes of the sets rule it out; so bands of up to
 the links so far leave in different components are compared by an exact
 prefix filter: sets of similarity s >= 4/5 share one of the
 |set| - ceil(s |set|) + 1 first shingles of either in any common order;
-taken is the order by frequency, rarest first.  So every pair of a band is
+taken is the order by hash, with frequent shingles last.  So every pair of a band is
 compared, joined already or ruled out by proof.  Verified links are joined into components by
 distributed union-find, and of each component one line stays, the first in
 (doc_id, line number) order.
@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palletwise.llm.components import components
-from palletwise.llm.quality import SPACES
+from palletwise.llm.imatch import lookup
+from palletwise.llm.quality import SPACES, _let
 from palletwise.session import stage
 
 SHINGLE = 9
 BANDS, ROWS = 9, 4
 LEADERS = 8
+FREQUENT = 50_000
 SIMILARITY = (4, 5)  # 0.8 as a fraction
 
 
@@ -59,8 +61,12 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 
 def hashes(line: Column) -> Column:
-    """The 64-bit hashes of the shingles, distinct and sorted."""
-    return F.sort_array(F.array_distinct(F.transform(_cut(line), lambda x: F.xxhash64(x))))
+    """The 64-bit hashes of the shingles, distinct and sorted.  A line of one
+    byte a character is cut by bytes, in constant time a shingle."""
+    by_byte = _let(line.cast("binary"), lambda raw: F.transform(
+        F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+    by_char = F.transform(_cut(line), lambda x: F.xxhash64(x))
+    return F.sort_array(F.array_distinct(F.when(F.char_length(line) == F.octet_length(line), by_byte).otherwise(by_char)))
 
 
 def sizes_allow(x: Column, y: Column) -> Column:
@@ -143,17 +149,27 @@ def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> Data
     return found.unionByName(_verified(_prefix_pairs(rest, sets), sets, lambda x: x))
 
 
+def _prefix(found: Column, size: Column) -> Column:
+    """The first |set| - ceil(s |set|) + 1 of a set's members in order."""
+    return F.slice(found, F.lit(1), F.floor(size * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1)
+
+
 def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v, u_size, v_size): the pairs of lines of ``rest`` (k1, size, root)
-    with different roots that can be similar, among them all that are."""
-    token = rest.join(sets, "k1").select("k1", "size", "root", F.explode("x").alias("token"))
-    seen = token.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    token = token.join(seen, "token").withColumn("apart", F.expr("lo < hi"))
-    row = token.groupBy("k1", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "token", "apart"))).alias("all"))
-    # all but ceil(s |set|) of the tokens, and one more
-    length = F.floor(F.col("size") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1
-    row = row.select("k1", "size", "root", F.explode(F.slice("all", F.lit(1), length)).alias("t")).filter("t.apart")
-    row = stage(row.select("k1", "size", "root", "t.token"), "line-prefixes")
+    with different roots that can be similar, among them all that are.
+
+    The order is by hash, frequent shingles last.  Frequent are those at
+    least one in ``FREQUENT`` of the prefixes' members by hash alone, so
+    their list is bounded whatever the input; it only saves work."""
+    row = stage(rest.join(sets, "k1").select("k1", "size", "root", "x"), "line-rest-sets")
+    token = row.select(F.explode(_prefix(F.col("x"), F.col("size"))).alias("term"))
+    seen = stage(token.groupBy("term").agg(F.count("*").alias("n")), "line-prefix-counts")
+    most = seen.agg(F.sum("n")).first()[0] or 0
+    frequent = lookup(seen.filter((F.col("n") > 2) & (F.col("n") * FREQUENT >= most)).select("term"))
+    order = F.concat(F.filter("x", lambda t: ~frequent(t)), F.filter("x", frequent))
+    row = stage(row.select("k1", "size", "root", F.explode(_prefix(order, F.col("size"))).alias("token")), "line-prefixes")
+    apart = row.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    row = row.join(apart, "token", "left_semi")
     other = row.select("token", F.col("k1").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
     met = row.join(other, "token").filter("v < k1 and root <> v_root").filter(sizes_allow(F.col("size"), F.col("v_size")))
     return met.select(F.col("k1").alias("u"), "v", F.col("size").alias("u_size"), "v_size")
