@@ -550,7 +550,8 @@ def job_po_lines(spark, sf):
 @register("job_summary")
 def job_summary(spark, sf):
     out = _job(spark, sf)
-    return out["summary"].join(out["counts"].select("n_rows", "null_ids", "bad_rows", "files_failed"))
+    counts = out["counts"].first()  # one row of counters
+    return out["summary"].withColumns({c: F.lit(counts[c]) for c in ("n_rows", "null_ids", "bad_rows", "files_failed")})
 
 
 @register("po_headers")
