@@ -6,6 +6,7 @@ helpers are for tests, the bench and local runs.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -63,17 +64,72 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
 
 
+#: Spark removes the shuffle files of a query once it has ended
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Queries started meanwhile give their shuffle files back when they end
+    (otherwise they stay until the driver's garbage collector finds them
+    unused).  A setting the session makes itself is left as it is."""
+    if spark.conf.get(SHUFFLE_CLEANUP, None) == "true":
+        yield
+        return
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def _write_stage(df, name: str) -> str:
+    path = scratch_path(df.sparkSession, name)
+    with _shuffles_removed(df.sparkSession):
+        df.write.mode("errorifexists").parquet(path)
+    return path
+
+
 def stage(df, name: str = "stage"):
     """Cut lineage by writing ``df`` as Parquet into the shared checkpoint
     folder and reading it back.
 
     Columnar and compressed (cheaper than an RDD checkpoint), survives the
     loss of executors, and every later job over the result sees exactly the
-    same rows.  The folder is unique per call."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    same rows.  The shuffle files of the write are removed when it has ended:
+    nothing reads them again.  The folder is unique per call."""
+    return df.sparkSession.read.parquet(_write_stage(df, name))
+
+
+class Stages:
+    """Staged tables of one step, as a context: called like ``stage``; all
+    are removed at the end (also after an error), so a result that is used
+    beyond the context must itself have been written with ``stage``."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df, name: str = "stage"):
+        path = _write_stage(df, name)
+        self._paths.append((df.sparkSession, path))
+        return df.sparkSession.read.parquet(path)
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.clear()
+
+    def clear(self, keep: int = 0) -> None:
+        """Removes all but the last ``keep`` tables."""
+        while len(self._paths) > keep:
+            spark, path = self._paths.pop(0)
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df, *keys: str, target: int | None = None):

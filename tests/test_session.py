@@ -1,5 +1,8 @@
 """Session helpers: the checkpoint folder comes from the session."""
 
+import pytest
+
+from palletwise import session
 from palletwise.session import checkpoint_dir
 
 
@@ -66,3 +69,33 @@ def test_spread_only_when_too_few_partitions(spark):
     spread_df = spread(narrow, "id")
     assert spread_df.rdd.getNumPartitions() == want
     assert sorted(r[0] for r in spread_df.collect()) == list(range(1000))
+
+
+def _folders(spark):
+    import os
+
+    return set(os.listdir(session.checkpoint_dir(spark).removeprefix("file:")))
+
+
+def test_stages_are_removed_at_the_end_also_after_an_error(spark):
+    before = _folders(spark)
+    with session.Stages() as tmp:
+        assert tmp(spark.range(5), "a").count() == 5
+        assert tmp(spark.range(6), "b").count() == 6
+        tmp.clear(keep=1)
+        assert len(_folders(spark) - before) == 1
+        kept = session.stage(spark.range(7), "c")
+    assert kept.count() == 7
+    with pytest.raises(ZeroDivisionError), session.Stages() as tmp:
+        tmp(spark.range(5), "a")
+        1 / 0
+    assert {x.split("-")[0] for x in _folders(spark) - before} == {"c"}
+
+
+def test_staging_gives_shuffle_files_back_and_the_setting_too(spark):
+    before = spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    counts = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    staged = session.stage(counts)
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == before
+    # the frame itself can still be run, before and after
+    assert sorted(counts.collect()) == sorted(staged.collect()) == sorted(counts.collect())
