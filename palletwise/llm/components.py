@@ -5,7 +5,7 @@ smallest node of its neighbourhood until every edge points at the smallest
 node of its component.  Edges never grow beyond their first count, every
 step is a combinable ``min`` and a join (AQE splits a hub's rows), and each
 round is written to the shared checkpoint folder, so neither lineage nor
-the driver grows with the data.
+the driver grows with the data; the round before it is removed then.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palletwise.session import stage
+from palletwise.session import Stages
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -46,12 +46,14 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Raises RuntimeError if ``max_rounds`` rounds do not settle it (a path of
     n nodes needs about log n rounds)."""
     edges = edges.filter("u is not null and v is not null and u <> v")
-    edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    rounds = Stages()
+    edges = rounds(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = _state(edges)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = stage(_star(_star(edges, True), False), "cc")
+        edges = rounds(_star(_star(edges, True), False), "cc")
+        rounds.clear(keep=1)
         after = _state(edges)
         if after == before:
             break

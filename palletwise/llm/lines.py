@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from palletwise.llm.components import components
 from palletwise.llm.quality import SPACES
-from palletwise.session import stage
+from palletwise.session import Stages, stage
 
 SHINGLE = 9
 BANDS, ROWS = 9, 4
@@ -120,12 +120,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, as_set) -> DataFrame:
 def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> DataFrame:
     """Verified links (u, v) between similar lines, as k1 values; the graph
     joins every similar pair of lines that share a band."""
+    with Stages() as tmp:
+        return _links(distinct, lines, leaders, tmp)
+
+
+def _links(distinct: DataFrame, lines: DataFrame, leaders: int, tmp: Stages) -> DataFrame:
+    """``links``, with intermediate tables in ``tmp``."""
     member = distinct.select("k1", "size", F.explode(F.array_distinct("bands")).alias("band"))
     many = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    todo = stage(member.join(many, "band").select("band", "n", "k1", "size"), "line-bands")
-    wanted = stage(todo.select("k1").distinct(), "line-keys")
+    todo = tmp(member.join(many, "band").select("band", "n", "k1", "size"), "line-bands")
+    wanted = tmp(todo.select("k1").distinct(), "line-keys")
     text = lines.select("k1", F.col("line").alias("x")).join(wanted, "k1", "left_semi")
-    text = stage(text.dropDuplicates(["k1"]), "line-texts")
+    text = tmp(text.dropDuplicates(["k1"]), "line-texts")
     order = Window.partitionBy("band").orderBy("k1")
     lead = todo.select("band", "k1", "size", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= leaders)
     lead = lead.select("band", F.col("k1").alias("v"), F.col("size").alias("v_size"))
@@ -138,12 +144,12 @@ def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> Data
     cc = components(found).withColumnRenamed("node", "k1")
     large = large.join(cc, "k1", "left").select("band", "k1", "size", F.coalesce("component", "k1").alias("root"))
     apart = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    rest = stage(large.join(apart, "band", "left_semi").select("k1", "size", "root").distinct(), "line-rest")
-    sets = stage(text.join(rest.select("k1"), "k1", "left_semi").select("k1", hashes(F.col("x")).alias("x")), "line-sets")
-    return found.unionByName(_verified(_prefix_pairs(rest, sets), sets, lambda x: x))
+    rest = tmp(large.join(apart, "band", "left_semi").select("k1", "size", "root").distinct(), "line-rest")
+    sets = tmp(text.join(rest.select("k1"), "k1", "left_semi").select("k1", hashes(F.col("x")).alias("x")), "line-sets")
+    return found.unionByName(_verified(_prefix_pairs(rest, sets, tmp), sets, lambda x: x))
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, tmp: Stages) -> DataFrame:
     """(u, v, u_size, v_size): the pairs of lines of ``rest`` (k1, size, root)
     with different roots that can be similar, among them all that are."""
     token = rest.join(sets, "k1").select("k1", "size", "root", F.explode("x").alias("token"))
@@ -153,7 +159,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     # all but ceil(s |set|) of the tokens, and one more
     length = F.floor(F.col("size") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1
     row = row.select("k1", "size", "root", F.explode(F.slice("all", F.lit(1), length)).alias("t")).filter("t.apart")
-    row = stage(row.select("k1", "size", "root", "t.token"), "line-prefixes")
+    row = tmp(row.select("k1", "size", "root", "t.token"), "line-prefixes")
     other = row.select("token", F.col("k1").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
     met = row.join(other, "token").filter("v < k1 and root <> v_root").filter(sizes_allow(F.col("size"), F.col("v_size")))
     return met.select(F.col("k1").alias("u"), "v", F.col("size").alias("u_size"), "v_size")
@@ -163,13 +169,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, k1, root): the lines to remove, with the component
     (``root``) whose first line stays."""
     lines = occurrences(docs)
-    distinct = stage(signatures(lines), "line-signatures")
-    cc = components(links(distinct, lines))
-    named = distinct.join(cc, distinct.k1 == cc.node, "left").select(
-        "k1", "k2", "doc", "n", F.coalesce("component", "k1").alias("root"), F.col("component").isNotNull().alias("linked"))
-    named = named.filter("linked or n > 1")
-    root = named.groupBy("root").agg(F.min("doc").alias("home"))
-    named = stage(named.join(root, "root").select("k1", "k2", "root", "home"), "line-roots")
+    with Stages() as tmp:
+        named = _named(lines, tmp)
     rows = lines.select("doc_id", "line_no", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "line_no", "k1", "root", "home")
     away = rows.filter("doc_id <> home").drop("home")
     home = rows.filter("doc_id = home").drop("home")
@@ -178,6 +179,18 @@ def removals(docs: DataFrame) -> DataFrame:
     return away.unionByName(again.select(away.columns))
 
 
+def _named(lines: DataFrame, tmp: Stages) -> DataFrame:
+    """(k1, k2, root, home): the lines that have equal or linked ones, with
+    their component and the smallest document that holds a line of it."""
+    distinct = tmp(signatures(lines), "line-signatures")
+    cc = components(links(distinct, lines))
+    named = distinct.join(cc, distinct.k1 == cc.node, "left").select(
+        "k1", "k2", "doc", "n", F.coalesce("component", "k1").alias("root"), F.col("component").isNotNull().alias("linked"))
+    named = named.filter("linked or n > 1")
+    root = named.groupBy("root").agg(F.min("doc").alias("home"))
+    return stage(named.join(root, "root").select("k1", "k2", "root", "home"), "line-roots")
+
+
 def _removed(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): per document the (line number, line key) to remove."""
     return removals(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "k1")).alias("gone"))
