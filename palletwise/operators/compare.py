@@ -100,19 +100,35 @@ def unmatched_ids(items: DataFrame, ref: DataFrame | None = None, keys: DataFram
     return pids.join(_keys(ref, keys).select("norm"), "norm", "left_anti").select("item_id")
 
 
+def item_file_rows(items: DataFrame) -> DataFrame:
+    """The distinct (item_id, source_file) pairs, one row each: bounded rows
+    however many files hold an id."""
+    return items.select("item_id", "source_file").distinct()
+
+
+def _files_as_array(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("item_id").agg(F.array_sort(F.collect_list("source_file")).alias("source_files"))
+
+
 def item_files(items: DataFrame) -> DataFrame:
-    """item_id -> sorted array of the files it occurs in.  Built from the
-    distinct (id, file) pairs, so the array is bounded by the file count."""
-    return items.groupBy("item_id").agg(F.array_sort(F.collect_set("source_file")).alias("source_files"))
+    """item_id -> sorted array of the files it occurs in (an output option;
+    ``item_file_rows`` has one row per file).  Built from the distinct pairs,
+    so an array is bounded by the file count."""
+    return _files_as_array(item_file_rows(items))
+
+
+def unmatched_item_files(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Unmatched ids with their source files, one row per (item_id,
+    source_file): distinct pairs (combined map-side), then one anti-join on
+    the stripped key.  No array, so no row grows with the number of files."""
+    pairs = item_file_rows(items).withColumn("norm", strip_zeros("item_id"))
+    return pairs.join(_keys(ref, keys).select("norm"), "norm", "left_anti").select("item_id", "source_file")
 
 
 def unmatched_items(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """Unmatched ids with their source files: files are gathered per id
-    first (one aggregate over the distinct pairs), then one anti-join on the
-    stripped key keeps the unmatched ids."""
-    keys = _keys(ref, keys).select("norm")
-    per_item = item_files(items).withColumn("norm", strip_zeros("item_id"))
-    return per_item.join(keys, "norm", "left_anti").select("item_id", "source_files")
+    """Unmatched ids with their source files as a sorted array: the rows of
+    ``unmatched_item_files`` gathered per id, after the join."""
+    return _files_as_array(unmatched_item_files(items, ref, keys))
 
 
 def files_with_missing(items: DataFrame, ref: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -132,34 +148,27 @@ def comparison_summary(items: DataFrame, ref: DataFrame | None = None, keys: Dat
     normalized_matches, matched_items_count, unmatched_count,
     zero_padding_issues, match_percentage.
 
-    Two combinable aggregates instead of distinct counts: per stripped key
-    (all ids of a key share its flexible-match flag), then over keys.  The
-    reference count rides along as extra rows of the same aggregate, so no
-    join is needed between the two sides.  The reference count is the
-    number of padded variants over all keys (each distinct id is the variant
-    of exactly one key), so the reference is read once."""
-    keys = _keys(ref, keys)
-    per_norm = compare_items(items, keys=keys).groupBy("norm").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("exact").alias("n_exact"),
-        F.max("normalised").alias("hit"),
-        F.max("exact").alias("exact_hit"),
-    ).select(
-        F.lit(0).cast("long").alias("n_ref"), "n", "n_exact",
-        F.col("hit").cast("int").alias("hit"), F.col("exact_hit").cast("int").alias("exact_hit"),
-        F.when(~F.col("hit"), F.col("n")).otherwise(F.lit(0)).alias("n_unmatched"),
-    )
-    refs = keys.select(
-        F.size("variants").cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_exact"),
-        F.lit(0).alias("hit"), F.lit(0).alias("exact_hit"), F.lit(0).cast("long").alias("n_unmatched"),
-    )
-    s = per_norm.unionByName(refs).agg(
+    No join: the ids of both sides are rows of one union, marked with their
+    side, and reduced three times by combinable hash aggregates -- per id
+    (exact match: both sides hold it), per stripped key (flexible match: both
+    sides hold an id of it), in total.  Each side is read once."""
+    if keys is None and ref is not None:
+        refs = ref.select(strip_ws(c("item_number")).alias("item_number")).filter(F.col("item_number").isNotNull())
+    else:
+        refs = _keys(ref, keys).select(F.explode("variants").alias("item_number"))
+    sides = items.select("item_id", F.lit(1).alias("p"), F.lit(0).alias("r")).unionByName(
+        refs.select(F.col("item_number").alias("item_id"), F.lit(0).alias("p"), F.lit(1).alias("r")))
+    per_id = sides.groupBy(strip_zeros("item_id").alias("norm"), "item_id").agg(F.max("p").alias("p"), F.max("r").alias("r"))
+    per_norm = per_id.groupBy("norm").agg(
+        F.sum("r").alias("n_ref"), F.sum("p").alias("n"), F.sum(F.col("p") * F.col("r")).alias("n_exact"))
+    hit = (F.col("n") > 0) & (F.col("n_ref") > 0)
+    s = per_norm.agg(
         F.coalesce(F.sum("n_ref"), F.lit(0)).cast("long").alias("total_reference_items"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_processed_items"),
         F.coalesce(F.sum("n_exact"), F.lit(0)).cast("long").alias("exact_matches"),
-        F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("normalized_matches"),
-        F.coalesce(F.sum("exact_hit"), F.lit(0)).cast("long").alias("_exact_norms"),
-        F.coalesce(F.sum("n_unmatched"), F.lit(0)).cast("long").alias("unmatched_count"),
+        F.count_if(hit).alias("normalized_matches"),
+        F.count_if(F.col("n_exact") > 0).alias("_exact_norms"),
+        F.coalesce(F.sum(F.when(F.col("n_ref") == 0, F.col("n"))), F.lit(0)).cast("long").alias("unmatched_count"),
     )
     return s.select(
         "total_reference_items",

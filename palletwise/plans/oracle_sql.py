@@ -251,6 +251,10 @@ SELECT item_id, array_to_string(list_sort(list(DISTINCT source_file)), '|') AS s
 FROM pitems GROUP BY item_id"""
     q["exact_matches"] = cmp + "SELECT item_id FROM cmp WHERE exact"
     q["normalised_matches"] = cmp + "SELECT DISTINCT norm FROM cmp WHERE normalised"
+    q["item_file_rows"] = cmp + """
+SELECT DISTINCT item_id, source_file FROM pitems"""
+    q["unmatched_item_files"] = cmp + """
+SELECT DISTINCT p.item_id, p.source_file FROM pitems p JOIN cmp USING (item_id) WHERE NOT cmp.normalised"""
     q["unmatched_items"] = cmp + """
 SELECT p.item_id, array_to_string(list_sort(list(DISTINCT p.source_file)), '|') AS source_files
 FROM pitems p JOIN cmp USING (item_id) WHERE NOT cmp.normalised GROUP BY p.item_id"""

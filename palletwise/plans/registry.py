@@ -151,6 +151,16 @@ def normalised_matches(spark, sf):
     return compare.normalised_matches(_items(spark, sf), views.reference(spark, sf))
 
 
+@register("item_file_rows")
+def item_file_rows(spark, sf):
+    return compare.item_file_rows(_items(spark, sf))
+
+
+@register("unmatched_item_files")
+def unmatched_item_files(spark, sf):
+    return compare.unmatched_item_files(_items(spark, sf), views.reference(spark, sf))
+
+
 @register("unmatched_items")
 def unmatched_items(spark, sf):
     return compare.unmatched_items(_items(spark, sf), views.reference(spark, sf)).select(

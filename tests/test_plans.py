@@ -89,3 +89,18 @@ def test_whole_stage_codegen_and_no_python(spark, name):
     p = plan(df)
     assert "isFinalPlan=true" in p and "[codegen id :" in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
+
+
+def test_summary_reads_each_side_once_and_joins_nothing(spark):
+    from palletwise.operators import compare
+
+    ids = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").selectExpr("CAST(l_partkey AS STRING) AS item_id", "'f' AS source_file")
+    ref = spark.read.parquet(f"{SF_SMALL}/part.parquet").selectExpr("CAST(p_partkey AS STRING) AS item_number")
+    p = plan(compare.comparison_summary(ids, ref), "simple")
+    assert p.count("FileScan parquet") == 2
+    assert "Join" not in p and "SortAggregate" not in p and "ObjectHashAggregate" not in p
+
+
+def test_files_of_unmatched_ids_need_no_arrays(spark):
+    p = plan(E.queries()["unmatched_item_files"](spark, SF_SMALL))
+    assert "source_files" not in p and "collect_list" not in p
