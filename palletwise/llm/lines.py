@@ -13,7 +13,9 @@ bits), unless the sizes of the sets rule it out; so bands of up to
 the links so far leave in different components are compared by an exact
 prefix filter: sets of similarity s >= 4/5 share one of the
 |set| - ceil(s |set|) + 1 first shingles of either in any common order;
-taken is the order by frequency, rarest first.  So every pair of a band is
+taken is the order by frequency, rarest first.  All they share stands from
+their first common shingle on, so pairs without enough room behind it are
+ruled out too.  So every pair of a band is
 compared, joined already or ruled out by proof.  Verified links are joined into components by
 distributed union-find, and of each component one line stays, the first in
 (doc_id, line number) order.
@@ -158,10 +160,13 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, tmp: Stages) -> DataFrame:
     row = token.groupBy("k1", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "token", "apart"))).alias("all"))
     # all but ceil(s |set|) of the tokens, and one more
     length = F.floor(F.col("size") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1
-    row = row.select("k1", "size", "root", F.explode(F.slice("all", F.lit(1), length)).alias("t")).filter("t.apart")
-    row = tmp(row.select("k1", "size", "root", "t.token"), "line-prefixes")
-    other = row.select("token", F.col("k1").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
+    row = row.select("k1", "size", "root", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t")).filter("t.apart")
+    # left: the members from this token on, itself included
+    row = tmp(row.select("k1", "size", "root", "t.token", (F.col("size") - F.col("at")).alias("left")), "line-prefixes")
+    other = row.select("token", F.col("k1").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"), F.col("left").alias("v_left"))
     met = row.join(other, "token").filter("v < k1 and root <> v_root").filter(sizes_allow(F.col("size"), F.col("v_size")))
+    # at their first common token, similar sets have room for the members they need to share
+    met = met.filter(F.least("left", "v_left") * sum(SIMILARITY) >= (F.col("size") + F.col("v_size")) * SIMILARITY[0])
     return met.select(F.col("k1").alias("u"), "v", F.col("size").alias("u_size"), "v_size")
 
 
