@@ -37,7 +37,7 @@ from palletwise.functions.constants import (
     REPORT_LINES_PER_PAGE,
     TOTAL_LABEL,
 )
-from palletwise.operators.clean import ensure_item_desc, first_non_null, require_columns
+from palletwise.operators.clean import c, ensure_item_desc, first_non_null, require_columns
 from palletwise.session import stage
 
 POS = "_pos"
@@ -104,68 +104,44 @@ def item_rollup(df: DataFrame) -> DataFrame:
 # Global line numbering
 # ---------------------------------------------------------------------------
 
-def _bucket_expr(key: F.Column, cuts: list) -> F.Column:
-    """Balanced CASE tree: index of the first cut greater than ``key``
-    (log2(len(cuts)) comparisons per row, fully code-generated)."""
-
-    def build(lo: int, hi: int) -> F.Column:  # buckets lo..hi
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # bucket mid starts at cuts[mid-1]
-        return F.when(key < F.lit(cuts[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
-
-    return build(0, len(cuts))
-
-
 def number_lines(
     df: DataFrame,
     key: str,
     out: str = "line_no",
     rows_per_bucket: int = 2_000_000,
-    max_buckets: int = 1024,
-    sample_per_bucket: int = 64,
-    seed: int = 7,
     cut_lineage: bool = True,
 ) -> tuple[DataFrame, int]:
     """1-based line numbers in ``key`` order (ties broken by all columns).
 
-    Returns the numbered frame and the line count.  Small inputs use one
-    ordered window.  Large ones are cut into key ranges taken from a bounded
-    sample of keys; each range is numbered in its own task and shifted by
-    the counts of the ranges before it (a list of at most ``max_buckets``
-    numbers), so no task holds more than about ``rows_per_bucket`` rows.
+    Returns the numbered frame and the line count.  The rows are dealt into
+    ranges of about ``rows_per_bucket`` rows, as many as that takes, and
+    written with the number of their range; each range is numbered in its
+    own task and shifted by the rows of the ranges before it, joined from a
+    table of one row per range.  A last key, unlike in every row, lets a
+    range end within equal rows, so no task holds a large group whole.
 
     The input is cut from its lineage first (written as Parquet in the
-    folder the session names), so the count, the sample and the numbering
+    folder the session names), so the count, the ranges and the numbering
     all see the same rows even if an executor is lost in between."""
     if cut_lineage:
         df = stage(df, "lines")
     total = df.count()
     # ties broken by every other orderable column (maps have no order)
-    order = [F.col(key)] + [
-        F.col(f.name) for f in df.schema.fields if f.name != key and not isinstance(f.dataType, T.MapType)
-    ]
-    n_buckets = min(max_buckets, max(1, -(-total // rows_per_bucket)))
-    if n_buckets == 1:
-        w = Window.orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long")), total
-
-    fraction = min(1.0, n_buckets * sample_per_bucket * 3.0 / max(total, 1))
-    sample = sorted(r[0] for r in df.select(key).sample(False, fraction, seed).collect() if r[0] is not None)
-    step = len(sample) / n_buckets
-    cuts = sorted({sample[int(i * step)] for i in range(1, n_buckets)}) if sample else []
-    # nulls sort first, so they belong to the first range
-    bucket = F.when(F.col(key).isNull(), F.lit(0)).otherwise(_bucket_expr(F.col(key), cuts)) if cuts else F.lit(0)
-    bucketed = df.withColumn("_bucket", bucket)
-    counts = dict(bucketed.groupBy("_bucket").count().collect())
-    offsets, run = [], 0
-    for b in range(len(cuts) + 1):
-        offsets.append(run)
-        run += counts.get(b, 0)
-    offset_col = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_bucket") + 1)
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    numbered = bucketed.withColumn(out, (offset_col + F.row_number().over(w)).cast("long")).drop("_bucket")
-    return numbered, total
+    order = [key] + [f.name for f in df.schema.fields if f.name != key and not isinstance(f.dataType, T.MapType)]
+    order = [c(x) for x in order] + [F.col("_line_tie")]
+    ranges = (
+        df.withColumn("_line_tie", F.monotonically_increasing_id())
+        .repartitionByRange(max(1, -(-total // rows_per_bucket)), *order)
+        .withColumn("_line_range", F.spark_partition_id())
+    )
+    ranges = stage(ranges, "line-ranges")
+    before = Window.orderBy("_line_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_line_range").count().select(
+        "_line_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_line_offset"))
+    w = Window.partitionBy("_line_range").orderBy(*order)
+    numbered = ranges.withColumn("_line_row", F.row_number().over(w)).join(offsets, "_line_range")
+    line = (F.col("_line_offset") + F.col("_line_row")).cast("long").alias(out)
+    return numbered.select(*[c(x) for x in df.columns if x != out], line), total
 
 
 def paginate_lines(lines: DataFrame, total_lines: int, per_page: int = REPORT_LINES_PER_PAGE,

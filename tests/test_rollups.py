@@ -115,3 +115,17 @@ def test_po_lines_exactly_one_full_page(spark):
     lines = rollups.po_lines(rollups.pallet_rollup(spark.createDataFrame(data, INV_SCHEMA), 100)).collect()
     assert {r["pages"] for r in lines} == {1} and {r["page"] for r in lines} == {1}
     assert max(r["line_no"] or 0 for r in lines) == 23
+
+
+def test_number_lines_of_one_large_group_of_equal_rows(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id END AS k", "'x' AS `a.b`")
+    got, n = rollups.number_lines(df, "k", rows_per_bucket=100)
+    assert n == 3000 and got.columns == ["k", "a.b", "line_no"]
+    lines = got.orderBy("line_no").collect()
+    assert [r["line_no"] for r in lines] == list(range(1, 3001))
+    assert [r["k"] for r in lines] == sorted(r["k"] for r in lines)
+
+
+def test_number_lines_of_an_empty_table(spark):
+    got, n = rollups.number_lines(spark.createDataFrame([], "k string"), "k")
+    assert n == 0 and got.collect() == []
