@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 ``measures`` holds the statistics of a text as Column expressions;
-``RULES`` are named rejection tests on them.  ``estimate`` times every rule
-and counts its rejections on a bounded sample; ``cascade`` orders the rules
+``RULES`` are named rejection tests on them.  ``estimate`` counts every rule's
+rejections and times its own work, without its job's, on a bounded sample of
+the columns the cascade reads; ``cascade`` orders the rules
 by rejections per second and evaluates them as one CASE expression, so a
 later rule only runs on the texts that every earlier one let through.  The
 order changes the work, never the verdict: a text is kept if no rule rejects
@@ -21,7 +22,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palletwise.session import stage
+from palletwise.session import Stages
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,6 +30,8 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 SAMPLE_ROWS = 2000
+SAMPLE_PARTS = 8  # tasks that time a rule
+SAMPLE_TIMES = 8  # runs of a rule on each row of the sample
 
 
 def _let(value: Column, body) -> Column:
@@ -115,30 +118,52 @@ RULES = {
     "stutter": lambda m: 10 * m["n_stutter"] > 3 * m["n_words"],
 }
 BASE = ("min_words", "repeats")
+#: The measures ``verdicts`` takes of every text, before the cascade.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def estimate(sample: DataFrame, tests: dict[str, Column], repeats: int = 2) -> list[tuple[str, float, float]]:
+def estimate(sample: DataFrame, tests: dict[str, Column], repeats: int = 2, times: int = SAMPLE_TIMES) -> list[tuple[str, float, float]]:
     """(rule, share rejected, seconds) of each test on ``sample``, sorted by
-    rejection per cost.  One small aggregate per rule; the best of
-    ``repeats`` runs counts."""
-    out = []
-    for name, test in tests.items():
-        job = sample.agg(F.count("*").alias("n"), F.count_if(test).alias("bad"))
+    rejection per cost, then cost.
+
+    A rule's seconds are those of one aggregate that runs it ``times`` times
+    on every row, less those of the same aggregate with an empty test that
+    reads the same columns; the best of ``repeats`` runs counts.  What is
+    left is the rule's own work, not the scheduling of its job.  Costs below
+    a hundredth of the empty run cannot be told apart and count as that."""
+    rows = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_time"))
+    empty = F.lit(True)
+    for name in sample.columns:
+        empty &= F.col(name).isNull()
+
+    def seconds(test: Column) -> tuple[float, float]:
+        job = rows.agg(F.count("*").alias("n"), F.count_if(test).alias("bad"))
         best = float("inf")
         for _ in range(repeats):
             t0 = time.perf_counter()
             row = job.first()
             best = min(best, time.perf_counter() - t0)
-        out.append((name, row.bad / max(1, row.n), best))
-    return sorted(out, key=lambda r: (-r[1] / max(r[2], 1e-6), r[0]))
+        return row.bad / max(1, row.n), best
 
+    seconds(empty)  # the first run also reads file footers
+    base = seconds(empty)[1]
+    out = []
+    for name, test in tests.items():
+        bad, spent = seconds(test)
+        out.append((name, bad, max(spent - base, base / 100)))
+    return sorted(out, key=lambda r: (-r[1] / r[2], r[2], r[0]))
 
-def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
-    """About ``sample_rows`` rows of ``docs``, staged; only the order of the
-    cascade depends on them."""
+
+def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7, computed: tuple[str, ...] = ()) -> DataFrame:
+    """About ``sample_rows`` rows of ``docs`` with the columns the cascade
+    reads: ``text``, ``w`` and the measures named in ``computed``.  Only the
+    order of the cascade depends on them."""
     n = docs.count()
     part = docs if n <= sample_rows else docs.sample(min(1.0, sample_rows / n), seed)
-    return stage(part.select(F.col("text").cast("string"), words(F.col("text").cast("string")).alias("w")), "quality-sample")
+    part = part.select(F.col("text").cast("string").alias("text")).repartition(SAMPLE_PARTS)
+    part = part.select("text", F.explode(F.array(words(F.col("text")))).alias("w"))
+    m = measures(F.col("text"), F.col("w"))
+    return part.select("text", "w", *[m[c].alias(c) for c in computed])
 
 
 def cascade(tests: dict[str, Column], order: list[str]) -> Column:
@@ -150,12 +175,14 @@ def cascade(tests: dict[str, Column], order: list[str]) -> Column:
     return out.otherwise(F.lit(False)) if order else F.lit(False)
 
 
-def ordered(docs: DataFrame, rules=None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The rules' names in cascade order for ``docs``."""
+def ordered(docs: DataFrame, rules=None, sample_rows: int = SAMPLE_ROWS, computed: tuple[str, ...] = ()) -> list[str]:
+    """The rules' names in cascade order for ``docs``; measures named in
+    ``computed`` are columns already when the cascade runs."""
     rules = RULES if rules is None else rules
-    sample = sampled(docs, sample_rows)
-    m = measures(F.col("text"), F.col("w"))
-    return [name for name, _, _ in estimate(sample, {k: r(m) for k, r in rules.items()})]
+    m = measures(F.col("text"), F.col("w")) | {c: F.col(c) for c in computed}
+    with Stages() as tmp:
+        sample = tmp(sampled(docs, sample_rows, computed=computed), "quality-sample")
+        return [name for name, _, _ in estimate(sample, {k: r(m) for k, r in rules.items()})]
 
 
 def keep(docs: DataFrame, rules=None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -180,11 +207,11 @@ def verdicts(docs: DataFrame, rules=None, sample_rows: int = SAMPLE_ROWS) -> Dat
     the cascade over the remaining rules for the texts that pass the base."""
     rules = RULES if rules is None else rules
     rest = {k: r for k, r in rules.items() if k not in BASE}
-    order = ordered(docs, rest, sample_rows)
+    order = ordered(docs, rest, sample_rows, tuple(MEASURED))
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"), F.explode(F.array(words(text))).alias("w"))
     m = measures(F.col("text"), F.col("w"))
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = MEASURED
     rows = rows.select("doc_id", "text", "w", F.explode(F.array(F.struct(*[m[c].alias(c) for c in base]))).alias("b"))
     rows = rows.select("doc_id", "text", "w", "b.*")
     m |= {c: F.col(c) for c in base}

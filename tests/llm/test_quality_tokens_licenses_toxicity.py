@@ -65,7 +65,7 @@ def test_cascade_order_and_plan(spark):
     m = quality.measures(F.col("text"), F.col("w"))
     found = quality.estimate(sample, {k: r(m) for k, r in quality.RULES.items()}, 1)
     assert sorted(f[0] for f in found) == sorted(quality.RULES)
-    rate = [share / max(cost, 1e-6) for _, share, cost in found]
+    rate = [share / cost for _, share, cost in found]
     assert rate == sorted(rate, reverse=True)
     plan = quality.verdicts(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -73,6 +73,25 @@ def test_cascade_order_and_plan(spark):
     assert quality.verdicts(empty).count() == 0 and quality.keep(empty).count() == 0
 
 
+def test_costly_rules_of_equal_rejection_sort_last(spark):
+    text = " ".join(f"word{i % 97}" for i in range(400))
+    df = frame(spark, [(i, text if i % 2 else "short one") for i in range(1000)])
+    rules = {
+        "a_windows": lambda m: (m["n_repeat_words"] >= 0) & (m["n_words"] < quality.MIN_WORDS),
+        "b_words": lambda m: m["n_words"] < quality.MIN_WORDS,
+        "c_never": lambda m: m["n_words"] < 0,
+        "d_never_stutters": lambda m: m["n_stutter"] > m["n_words"],
+    }
+    for _ in range(3):
+        assert quality.ordered(df, rules) == ["b_words", "a_windows", "c_never", "d_never_stutters"]
+    # a measure that is a column already costs its rule nothing
+    sample = quality.sampled(df, computed=("n_repeat_words",))
+    assert sample.columns == ["text", "w", "n_repeat_words"]
+    m = quality.measures(F.col("text"), F.col("w"))
+    want = {(r.text, r.n) for r in sample.select("text", m["n_repeat_words"].alias("n")).collect()}
+    assert {(r.text, r.n_repeat_words) for r in sample.collect()} == want
+
+
 def brute_attribute(token_len, section_len, rule):
     out, owner = [0] * len(section_len), np.repeat(np.arange(len(section_len)), section_len)
     at = 0
