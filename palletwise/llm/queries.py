@@ -46,9 +46,13 @@ def op2_topk_maxscore(spark, sf):
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+#: Target weights of the mix, by level; sources of one language share alike.
+MIX_WEIGHTS = {"domain": {0: 40, 1: 30, 2: 20, 3: 10}, "lang": {"en": 55, "de": 15, "fr": 15, "es": 15}}
+
+
 @register
 def op3_source_mixing(spark, sf):
-    return mixing.mix(_documents(spark, sf)).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+    return mixing.mix(_documents(spark, sf), weights=MIX_WEIGHTS).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
 @register

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palletwise.llm import mixing, packing, topk
+from palletwise.llm import mixing, packing, queries, topk
 
 VECTORS = "vec_id long, embedding array<float>, score string, rank string"
 DOCS = "doc_id long, text string, lang string, source string, domain string, epoch string"
@@ -197,5 +197,16 @@ def test_mix(spark, budget, epochs, slice_rows):
     assert sorted(((r.doc_id, r.epoch) for r in got.collect()), key=str) == brute_mix(rows, total, weights, epochs, 17)
 
 
+def test_mixing_query_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    rows = [tuple(r) for r in docs]
+    weights = {level: {str(k): w for k, w in of.items()} for level, of in queries.MIX_WEIGHTS.items()}
+    total = sum(len((r[1] or "").split()) for r in rows)
+    got = queries.op3_source_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(((r.doc_id, r.epoch) for r in got), key=str) == brute_mix(rows, total, weights, 2, 17)
+    share = {d: sum(r.n_tokens for r in got if r.domain == d) / total for d in range(4)}
+    assert share[0] > share[1] > share[2] > share[3] and abs(share[3] - 0.1) < 0.05
+
+
 def test_mix_empty(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
