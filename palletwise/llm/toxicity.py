@@ -60,9 +60,11 @@ def tolerance(term: str) -> int:
 
 class Matcher(dict):
     """token -> (kind, weight, entry) or None; kind 0 exact, 1 misspelt, 2
-    stem.  The dictionary is a bounded memo over the automaton."""
+    stem.  The dictionary is a memo over the automaton, bounded in entries
+    and in the characters of each: longer tokens are matched every time."""
 
     LIMIT = 400_000
+    LONGEST = 64
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         super().__init__()
@@ -165,7 +167,8 @@ class Matcher(dict):
             self.clear()
         core = token.strip(EDGE)
         hit = self.find(core) if core else None
-        self[token] = hit
+        if len(token) <= self.LONGEST:
+            self[token] = hit
         return hit
 
 

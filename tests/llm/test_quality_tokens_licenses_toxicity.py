@@ -237,6 +237,17 @@ def test_levenshtein_automaton():
     assert hits > 500
 
 
+def test_memo_is_bounded_in_entries_and_characters():
+    m = toxicity.Matcher({"scumbag": 2.0}, {"hatef": 1.5})
+    m.LIMIT = 10
+    for i in range(100):
+        long = f"hateful{i}" + "x" * 100_000
+        assert m[long][0] == 2 and long not in m
+        assert m[f"scumbag{i}"] == m.find(f"scumbag{i}") and f"scumbag{i}" in m
+        assert len(m) <= m.LIMIT
+    assert m["." * 100 + "scumbag"] == (0, 2.0, "scumbag") and all(len(t) <= m.LONGEST for t in m)
+
+
 def test_context():
     words = "he said that the idiot was there".split()
     assert toxicity.context(words, 4) < 1
