@@ -23,6 +23,7 @@ that start from the same version one commits and the other gets
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palletwise.functions.columns import quote_name
+
 _LOG = "_log"
 
 
@@ -229,19 +232,44 @@ def read_table_partitioned(spark: SparkSession, url: str, table: str, column: st
     return df.select(*columns) if columns else df
 
 
+LAND_ROWS = 1_000_000  # rows of a folder that one task writes, about
+
+
 def land(df: DataFrame, root: str, mode: str = "append") -> None:
     """Partitioned layout ``tipo=<t>/user_id=<u>/`` so listings by type and
-    user prune folders instead of scanning them."""
-    df.write.mode(mode).partitionBy("tipo", "user_id").parquet(root)
+    user prune folders instead of scanning them.
+
+    The rows of a folder go to one task, so that there is one file a folder
+    and not one for each task that holds some of its rows; a folder of more
+    than ``LAND_ROWS`` rows is dealt to as many tasks as that takes."""
+    spark, keys = df.sparkSession, ["tipo", "user_id"]
+    counts = df.groupBy(*[F.col(k).alias(f"_land_{k}") for k in keys]).agg(F.count("*").alias("_land_rows"))
+    large = counts.filter(F.col("_land_rows") > LAND_ROWS)
+    same = [F.col(k).eqNullSafe(F.col(f"_land_{k}")) for k in keys]
+    tasks = F.coalesce(F.ceil(F.col("_land_rows") / LAND_ROWS), F.lit(1))
+    hashed = [f.name for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    salt = F.pmod(F.xxhash64(*[F.col(quote_name(x)) for x in hashed]), tasks)
+    dealt = df.join(large, same[0] & same[1], "left").withColumn("_land_part", salt)
+    # a number is named, as small partitions would else be put together in one task, which is bound by its files
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(n, *keys, "_land_part").select(*[F.col(quote_name(x)) for x in df.columns])
+    dealt.write.mode(mode).partitionBy(*keys).parquet(root)
 
 
 def read_landed(spark: SparkSession, root: str, tipo: str | None = None, user_id: str | None = None) -> DataFrame:
     """The landed rows, optionally of one type and user: the folders of the
-    others are pruned before the scan."""
-    df = spark.read.parquet(root)
-    rest = [f for f in df.schema.fields if f.name not in ("tipo", "user_id")]
+    others are pruned before the scan, and not listed where type and user
+    name one folder."""
+    folder = root
+    # names that the writer takes as they are; others are found in the listing
+    if all(v is not None and re.fullmatch(r"[A-Za-z0-9_.-]+", v) for v in (tipo, user_id)):
+        fs, path = _fs(spark, f"{root.rstrip('/')}/tipo={tipo}/user_id={user_id}")
+        folder = path.toString() if fs.exists(path) else root
+    data = spark.read.parquet(folder)
+    rest = [f for f in data.schema.fields if f.name not in ("tipo", "user_id")]
     # partition values are text, also where all of them look like numbers
-    df = spark.read.schema(T.StructType([*rest, T.StructField("tipo", T.StringType()), T.StructField("user_id", T.StringType())])).parquet(root)
+    schema = T.StructType([*rest, T.StructField("tipo", T.StringType()), T.StructField("user_id", T.StringType())])
+    df = spark.read.schema(schema).option("basePath", root).parquet(folder)
     for column, value in (("tipo", tipo), ("user_id", user_id)):
         if value is not None:
             df = df.filter(F.col(column) == value)

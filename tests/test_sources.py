@@ -206,6 +206,29 @@ def test_landed_rows_are_pruned(spark, scratch):
     assert "PartitionFilters: [isnotnull(tipo" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_landed_folders_hold_one_file_each(spark, scratch, monkeypatch):
+    root = os.path.join(scratch, "landed")
+    df = spark.range(4000, numPartitions=16).selectExpr(
+        "concat('f', id) AS nombre", "'csv' AS tipo", "IF(id % 2 = 0, 'big', IF(id % 100 = 1, null, concat('u:', id % 10))) AS user_id", "id AS tamano")
+    monkeypatch.setattr(sinks, "LAND_ROWS", 500)
+    sinks.land(df, root)
+    held = {u: [x for x in os.listdir(os.path.join(root, "tipo=csv", u)) if x.endswith(".parquet")] for u in os.listdir(os.path.join(root, "tipo=csv"))}
+    assert len(held) == 7 and all(len(x) == 1 for u, x in held.items() if u != "user_id=big")
+    assert 2 <= len(held["user_id=big"]) <= 4  # 2,000 rows, 500 a task
+    assert rows(sinks.read_landed(spark, root), "nombre", "tipo", "user_id", "tamano") == rows(df)
+    for user in ("big", "u:3", "none"):
+        want = df.filter(f"user_id = '{user}'")
+        assert rows(sinks.read_landed(spark, root, "csv", user), "nombre", "tipo", "user_id", "tamano") == rows(want)
+
+
+def test_landed_folder_is_read_without_listing_the_others(spark, scratch):
+    root = os.path.join(scratch, "landed")
+    sinks.land(spark.createDataFrame([("a", "csv", "7"), ("b", "csv", "8")], "nombre string, tipo string, user_id string"), root)
+    one = sinks.read_landed(spark, root, "csv", "7")
+    assert rows(one) == [("a", "csv", "7")]
+    assert [f.rsplit("/", 2)[-2] for f in one._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).relation().location().inputFiles()] == ["user_id=7"]
+
+
 def test_file_catalogue(spark, scratch):
     for t, u, name in [("csv", "u1", "a.csv"), ("pdf", "u2", "b.pdf")]:
         os.makedirs(os.path.join(scratch, t, u), exist_ok=True)
