@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 import functools
 import json
+import re
 import sys
 import unicodedata
 
@@ -73,8 +74,9 @@ def strip_ws(c: Column | str) -> Column:
 
 
 def _only(c: Column, chars: str) -> Column:
-    """True when ``c`` consists of ``chars`` only (character deletion, no regex)."""
-    return F.translate(c, chars, "") == ""
+    """True when ``c`` consists of ``chars`` only (a search for a character of
+    one class takes half the time of deleting characters)."""
+    return ~c.rlike("[^" + re.escape(chars) + "]")
 
 
 def null_tokens(c: Column | str, tokens=NA_TOKENS) -> Column:
@@ -149,28 +151,22 @@ def format_item_id(c: Column | str) -> Column:
     # underscores between digits are accepted by the float parser being
     # matched; the (rare) pattern check only runs on text containing "_"
     t = F.when(t.contains("_") & t.rlike(UNDERSCORE_NUM_RE), F.translate(t, "_", "")).otherwise(t)
-    sign = F.substring(t, 1, 1)
-    signed = sign.isin("+", "-")
-    body = F.when(signed, F.substring(t, 2, 1 << 30)).otherwise(t)
-    is_int = (body != "") & _only(body, "0123456789")
-    digits = F.ltrim(body, F.lit("0"))
-    int_text = F.when(digits == "", F.lit("0")).otherwise(
-        F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), digits)
-    )
+    is_int = t.rlike(r"^[+-]?[0-9]+\z")
     finite = F.abs(t.try_cast("double")) < F.lit(float("inf"))
-    parts = F.split(F.lower(body), "e")
-    mantissa = F.split(F.get(parts, F.lit(0)), r"\.")
-    whole, fraction = F.get(mantissa, F.lit(0)), F.coalesce(F.get(mantissa, F.lit(1)), F.lit(""))
-    point = F.length(whole) + F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(0))
-    moved = F.ltrim(F.rpad(F.concat(whole, fraction), F.greatest(point, F.lit(0)), "0"), F.lit("0"))
-    moved = F.when((point <= 0) | (moved == ""), F.lit("0")).otherwise(
-        F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), moved))
-    return (
-        F.when(raw.isNull(), F.lit(MISSING_TEXT))
-        .when(is_int, int_text)
-        .when(_only(t, NUM_CHARS) & finite, moved)
-        .otherwise(raw)
-    )
+    # the parts of number text; Spark works out an expression in a branch as
+    # often as it is named there, so they are named seldom
+    body = F.ltrim(t, F.lit("+-"))
+    low = F.lower(body)
+    mantissa = F.substring_index(low, "e", 1)
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    # an exponent beyond an int leaves a finite number only if that is under 1
+    exponent = F.coalesce(F.substring_index(low, "e", -1).try_cast("int"), F.lit(-(1 << 30)))
+    shift = F.when(low.contains("e"), F.least(exponent, F.length(digits) + 400)).otherwise(F.lit(0))
+    point = F.greatest(F.length(F.substring_index(mantissa, ".", 1)) + shift, F.lit(0))
+    plain = F.when(is_int, body).when(_only(t, NUM_CHARS) & finite, F.rpad(digits, point, "0"))
+    signed = F.concat(F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.ltrim(plain, F.lit("0")))
+    # the first condition is asked of every row: what it names is worked out once
+    return F.when(t.isNull(), F.lit(MISSING_TEXT)).otherwise(F.coalesce(F.regexp_replace(signed, "^-?$", "0"), raw))
 
 
 def clean_text(c: Column | str) -> Column:
