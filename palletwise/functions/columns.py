@@ -254,34 +254,40 @@ def stamped_name(base: Column | str, stamp: str, ext: Column | str) -> Column:
 
 
 @functools.cache
-def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
-    """Non-ASCII characters whose compatibility decomposition holds ASCII
-    ones -> those, for one and for several ASCII characters."""
-    plain = {}
-    for point in range(0x80, sys.maxunicode + 1):
-        if not 0xD800 <= point <= 0xDFFF:
-            form = unicodedata.normalize("NFKD", chr(point))
-            if form != chr(point) and (text := form.encode("ascii", "ignore").decode()):
-                plain[chr(point)] = text
-    return {c: x for c, x in plain.items() if len(x) == 1}, {c: x for c, x in plain.items() if len(x) > 1}
+def _decompositions() -> list[list[str] | None]:
+    """Per page of 256 code points: their text in ASCII, which is the ASCII
+    characters of the compatibility decomposition; none for a page without
+    any."""
+    pages: list[list[str] | None] = []
+    for start in range(0, sys.maxunicode + 1, 256):
+        points = [chr(p) if not 0xD800 <= p <= 0xDFFF else "" for p in range(start, start + 256)]
+        plain = [unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in points]
+        pages.append(plain if any(plain) else None)
+    while pages[-1] is None:
+        pages.pop()
+    return pages
 
 
 def ascii_text(c: Column | str) -> Column:
     """Text in ASCII: characters decomposed (accents dropped, ligatures and
-    fractions spelt out), all others left out."""
-    one, more = _decompositions()
-    s = F.translate(as_col(c), "".join(one), "".join(one.values()))
-    table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
-    spelt = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    s = F.when(s.rlike("[" + "".join(more) + "]"), spelt).otherwise(s)
-    return F.regexp_replace(s, r"[^\x00-\x7F]", "")
+    fractions spelt out), all others left out.  A character is looked up by
+    its code point, and only in text that is not ASCII as it is."""
+    s = as_col(c).cast("string")
+    table = F.from_json(F.lit(json.dumps(_decompositions())), "array<array<string>>")
+
+    def plain(x: Column) -> Column:  # a run of ASCII characters or one other
+        page = F.get(table, F.shiftright(F.ascii(x), 8))
+        return F.when(F.ascii(x) < 128, x).otherwise(F.coalesce(F.get(page, F.ascii(x).bitwiseAND(255)), F.lit("")))
+
+    pieces = F.regexp_extract_all(s, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+    return F.when(F.octet_length(s) == F.length(s), s).otherwise(F.array_join(F.transform(pieces, plain), ""))
 
 
 def safe_name(c: Column | str) -> Column:
     """Safe file name: decomposed to ASCII, ``/`` -> space,
     whitespace runs -> ``_``, characters outside ``[A-Za-z0-9_.-]`` dropped,
     leading/trailing ``.`` and ``_`` removed."""
-    s = F.regexp_replace(ascii_text(c), "/", " ")
+    s = F.translate(ascii_text(c), "/", " ")
     s = F.regexp_replace(strip_ws(s), r"\s+", "_")
     s = F.regexp_replace(s, r"[^A-Za-z0-9_.\-]", "")
     return F.regexp_replace(s, r"^[._]+|[._]+$", "")

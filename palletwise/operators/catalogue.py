@@ -11,7 +11,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palletwise.functions.columns import ceil_div, file_ext, run_stamp, safe_name, split_ext, strip_ws
+from palletwise.functions.columns import ceil_div, file_ext, quote_name, run_stamp, safe_name, split_ext, strip_ws
 from palletwise.functions.constants import CATALOGUE_TYPES, DEFAULT_PAGE_LIMIT, RETENTION_MINUTES, UPLOAD_EXTENSIONS
 
 
@@ -156,23 +156,23 @@ def upload_manifest(files: DataFrame, user_id: str, now: _dt.datetime | None = N
     name = F.col(name_col)
     _, ext = split_ext(name)
     ext = F.lower(ext)
-    safe = safe_name(name)
-    safe_root, _ = split_ext(safe)
-    stored = F.concat(safe_root, F.lit("_"), stamp, ext)
     ok = name.isNotNull() & (name != "") & ext.isin(*UPLOAD_EXTENSIONS)
     error = (
         F.when(name.isNull() | (name == ""), F.lit("empty file name"))
         .when(~ext.isin(*UPLOAD_EXTENSIONS), F.lit("format not allowed (only .xlsx, .xls)"))
         .otherwise(F.lit(""))
     )
-    dest = F.concat(F.lit(f"xlsx/{user_id}/"), stored)
-    return files.select(
-        F.col("*"),
-        ok.alias("success"),
-        F.when(ok, stored).otherwise(name).alias("stored_name"),
-        F.when(ok, safe).alias("original_filename"),
-        F.when(ok, dest).otherwise(F.lit("")).alias("destination_path"),
-        error.alias("error"),
+    # one projection a step: the safe name is worked out once, for accepted files
+    safe_root, _ = split_ext(F.col("_safe"))
+    rows = files.select(F.col("*"), error.alias("_error"), F.when(ok, safe_name(name)).alias("_safe"), ext.alias("_ext"), ok.alias("_ok"))
+    rows = rows.withColumn("_stored", F.when(F.col("_ok"), F.concat(safe_root, F.lit("_"), stamp, F.col("_ext"))))
+    return rows.select(
+        *[F.col(quote_name(x)) for x in files.columns],
+        F.col("_ok").alias("success"),
+        F.when(F.col("_ok"), F.col("_stored")).otherwise(name).alias("stored_name"),
+        F.col("_safe").alias("original_filename"),
+        F.when(F.col("_ok"), F.concat(F.lit(f"xlsx/{user_id}/"), F.col("_stored"))).otherwise(F.lit("")).alias("destination_path"),
+        F.col("_error").alias("error"),
     )
 
 

@@ -56,6 +56,37 @@ def test_money_text(spark, value, expected):
     assert one(spark, C.money_text, value, "double") == expected
 
 
+def test_ascii_text_is_the_ascii_of_every_character(spark):
+    import sys
+    import unicodedata
+
+    points = [p for p in range(1, sys.maxunicode + 1) if not 0xD800 <= p <= 0xDFFF]
+    texts = ["a/" + "".join(map(chr, points[i : i + 64])) + "-z" for i in range(0, len(points), 64)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, v string")
+    got = {r["i"]: r["r"] for r in df.select("i", C.ascii_text("v").alias("r")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == "".join(unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode() for ch in x), i
+
+
+def test_scalars_are_worked_out_once(spark):
+    """No translation tables of thousands of characters and no regular
+    expression over them; number text is not split again for each use."""
+    plan = lambda e: str(spark.createDataFrame([("x",)], "v string").select(e.alias("r"))._jdf.queryExecution().optimizedPlan().numberedTreeString())
+    name = plan(C.safe_name("v"))
+    assert "translate(" in name and "\u00c0" not in name and "RLIKE" not in name
+    item = plan(C.format_item_id("v"))
+    assert "split(" not in item and item.count("rpad(") == 1
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("0.0005e4", "5"), ("-0.9", "0"), ("1.5E+3", "1500"), ("0e2000000000", "0"), ("1e-99999999999", "0"), ("1e999", "1e999"),
+    ("000.000", "0"), ("0" * 900 + "12.5e1", "125"), ("." + "0" * 500 + "1e501", "1"), ("-" + "9" * 400, "-" + "9" * 400),
+    ("9" * 400 + ".5", "9" * 400 + ".5"), ("12\u2028", "12\u2028"), ("+-5", "+-5"), (".", "."), ("e5", "e5"), ("", ""),
+])
+def test_format_item_id_odd_numbers(spark, text, expected):
+    assert one(spark, C.format_item_id, text) == expected
+
+
 def test_ellipsis(spark):
     assert one(spark, C.ellipsis, "a" * 40) == "a" * 40
     assert one(spark, C.ellipsis, "a" * 41) == "a" * 40 + "..."
