@@ -22,7 +22,7 @@ from palletwise.session import spread
 
 
 # key columns used to spread small single-file tables over the cluster
-_SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+_SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "part": "p_partkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
