@@ -379,15 +379,19 @@ def line_numbers_bucketed(spark, sf):
     return numbered
 
 
+WORKBOOK_ROWS = 100_000  # rows of an exported workbook at most (a sheet of .xlsx ends at 1,048,576)
+
+
 def _export_workbooks(spark, sf) -> str:
-    """The inventory view written as workbooks by the executors, one per
-    partition (so a task never holds more than its partition), through the
-    file system the path names."""
-    root = scratch_path(spark, "workbooks")
+    """The inventory view written as workbooks by the executors: those of a
+    partition one after the other, each closed at ``WORKBOOK_ROWS`` rows and
+    written as its rows come (so a task holds one batch of rows), through
+    the file system the path names."""
+    root, limit = scratch_path(spark, "workbooks"), WORKBOOK_ROWS
     cols = list(INV_COLS)
 
     def write(batches):
-        import io
+        from itertools import chain, islice
 
         import pandas as pd
         from pyspark import TaskContext
@@ -395,19 +399,28 @@ def _export_workbooks(spark, sf) -> str:
         from palletwise.sources.files import open_output
         from palletwise.sources.workbook import write_xlsx
 
-        data = [cols]
-        for b in batches:
-            data.extend([None if v is None or v != v else v for v in r] for r in b.itertuples(index=False, name=None))
-        path = f"{root}/part-{TaskContext.get().partitionId():05d}.xlsx"
-        buf = io.BytesIO()
-        write_xlsx(buf, data)
-        with open_output(path) as fh:
-            fh.write(buf.getvalue())
-        yield pd.DataFrame({"path": [path], "rows": [len(data) - 1]})
+        rows = ([None if v is None or v != v else v for v in r] for b in batches for r in b.itertuples(index=False, name=None))
+        part, out = TaskContext.get().partitionId(), []
+        first = next(rows, None)
+        while first is not None or not out:  # no rows: a workbook of the header alone
+            path, n = f"{root}/part-{part:05d}-{len(out):05d}.xlsx", 0
+
+            def counted(book):
+                nonlocal n
+                for row in book:
+                    n += 1
+                    yield row
+
+            book = chain([first], islice(rows, limit - 1)) if first is not None else ()
+            with open_output(path) as fh:
+                write_xlsx(fh, chain([cols], counted(book)))
+            out.append((path, n))
+            first = next(rows, None)
+        yield pd.DataFrame(out, columns=["path", "rows"])
 
     ship_package(spark)
     inv = views.inventory(spark, sf).select(*cols)
-    inv.mapInPandas(write, "path string, rows long").collect()
+    inv.mapInPandas(write, "path string, rows long").write.format("noop").mode("overwrite").save()
     return root
 
 

@@ -229,6 +229,25 @@ def test_landed_folder_is_read_without_listing_the_others(spark, scratch):
     assert [f.rsplit("/", 2)[-2] for f in one._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).relation().location().inputFiles()] == ["user_id=7"]
 
 
+def test_workbooks_are_written_row_by_row(spark, scratch, monkeypatch):
+    import tracemalloc
+
+    from palletwise.plans import registry, views
+    from tests.conftest import SF_SMALL
+
+    tracemalloc.start()
+    write_xlsx(os.path.join(scratch, "long.xlsx"), ([str(i), "x" * 100] for i in range(20_000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20  # the rows are over 2 MB
+    monkeypatch.setattr(registry, "WORKBOOK_ROWS", 50)
+    files = src.list_files(spark, registry._export_workbooks(spark, SF_SMALL))
+    n = views.inventory(spark, SF_SMALL).count()
+    assert files.count() >= n / 50
+    assert registry.files_workbook_rollup(spark, SF_SMALL).selectExpr("sum(quantity)").first() == registry.item_rollup(
+        spark, SF_SMALL).selectExpr("sum(quantity)").first()
+
+
 def test_file_catalogue(spark, scratch):
     for t, u, name in [("csv", "u1", "a.csv"), ("pdf", "u2", "b.pdf")]:
         os.makedirs(os.path.join(scratch, t, u), exist_ok=True)
