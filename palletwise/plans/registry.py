@@ -18,7 +18,7 @@ from palletwise.functions.constants import JOB_EXTENSIONS
 from palletwise.operators import catalogue, clean, compare, rollups, tables
 from palletwise.plans import jobs, views
 from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, SAFE_MARKS, UPLOAD_STAMP
-from palletwise.session import scratch_path, ship_package
+from palletwise.session import scratch_path, ship_package, stage
 from palletwise.sources import files, sinks
 
 def pos_out():
@@ -457,11 +457,14 @@ def files_multiline(spark, sf):
     late.write.option("header", True).option("escape", '"').csv(f"{root}/late")
     head = inv.filter(~n_side).select(*cols, _broken_desc()).withColumnRenamed("pallet_id", "Pallet\nID")
     head.write.option("header", True).option("sep", ";").option("escape", '"').csv(f"{root}/head")
-    # one file whose last line is not UTF-8
-    good = inv.select(F.lit(1).alias("place"), F.concat_ws(",", "item_id", "item_desc", "quantity").alias("value"))
+    # files whose last line is not UTF-8, as many as the rows' own tasks
+    good = inv.select(F.spark_partition_id().alias("part"), F.lit(1).alias("place"), F.concat_ws(",", "item_id", "item_desc", "quantity").alias("value"))
+    good = stage(good, "lines")
     ends = spark.createDataFrame([(0, "item_id,item_desc,quantity"), (2, "1,bad,")], "place int, value string")
     ends = ends.withColumn("value", F.when(F.col("place") == 2, F.concat("value", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("value")))
-    good.unionByName(ends).repartition(1).sortWithinPartitions("place").select("value").write.text(f"{root}/bad")
+    parts = spark.range(good.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1).select(F.col("id").cast("int").alias("part"))
+    lines = good.unionByName(parts.crossJoin(ends)).repartition("part").sortWithinPartitions("part", "place")
+    lines.select("part", "value").write.partitionBy("part").text(f"{root}/bad")
 
     def named(layout):
         return layout.withColumnRenamed("pallet\nid", "pallet_id").select(*INV_COLS)
@@ -470,9 +473,13 @@ def files_multiline(spark, sf):
 
 
 def _as_file(spark, df, path, sep=","):
-    """Rows as the one delimited file ``path``, as an upload arrives."""
+    """Rows as the one delimited file ``path``, as an upload arrives.  Its
+    writer reads them as columns, packed by the tasks that made them."""
     tmp = scratch_path(spark, "upload")
-    df.repartition(1).write.option("header", True).option("sep", sep).option("escape", '"').csv(tmp)
+    packed = scratch_path(spark, "upload-rows")
+    df.write.option("compression", "zstd").parquet(packed)
+    df = spark.read.parquet(packed).coalesce(1)
+    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(tmp)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     to = jvm.org.apache.hadoop.fs.Path(path)
     fs = to.getFileSystem(conf)

@@ -248,6 +248,28 @@ def test_workbooks_are_written_row_by_row(spark, scratch, monkeypatch):
         spark, SF_SMALL).selectExpr("sum(quantity)").first()
 
 
+def test_built_uploads_need_no_task_with_all_rows(spark, scratch, monkeypatch):
+    from palletwise.plans import registry
+    from tests.conftest import SF_SMALL
+
+    read = []
+    monkeypatch.setattr(registry.files, "read_delimited_auto", lambda spark, paths, **k: (read.extend(paths), None)[1:] + (None,))
+    registry.files_multiline(spark, SF_SMALL)
+    bad = [x["path"][5:] for x in src.list_files(spark, [p for p in read if p.endswith("/bad")]).collect()]
+    assert len(bad) > 1
+    for path in bad:
+        lines = open(path, "rb").read().splitlines()
+        assert lines[0] == b"item_id,item_desc,quantity" and lines[-1] == b"1,bad,\xff" and lines.count(lines[0]) == 1
+    # one upload is written from packed columns: its writer reads less than the file holds
+    df = spark.range(100_000).selectExpr("cast(id % 100 AS string) AS item_id", "repeat(cast(id % 7 AS string), 50) AS item_desc")
+    registry._as_file(spark, df, os.path.join(scratch, "up", "one.csv"))
+    packed = max((p for p in os.scandir(registry.scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0])
+                  if p.name.startswith("upload-rows-")), key=lambda p: p.stat().st_mtime)
+    size = sum(x.stat().st_size for x in os.scandir(packed.path))
+    assert size < os.path.getsize(os.path.join(scratch, "up", "one.csv")) / 5
+    assert spark.read.csv(os.path.join(scratch, "up", "one.csv"), header=True).count() == 100_000
+
+
 def test_file_catalogue(spark, scratch):
     for t, u, name in [("csv", "u1", "a.csv"), ("pdf", "u2", "b.pdf")]:
         os.makedirs(os.path.join(scratch, t, u), exist_ok=True)
