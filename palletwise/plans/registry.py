@@ -18,7 +18,7 @@ from palletwise.functions.constants import JOB_EXTENSIONS
 from palletwise.operators import catalogue, clean, compare, rollups, tables
 from palletwise.plans import jobs, views
 from palletwise.plans.oracle_sql import LIST_LIMIT, LIST_USER, LIST_USER_PAGE, NOW, PCT, POS_FIELDS, RUN_STAMP, SAFE_MARKS, UPLOAD_STAMP
-from palletwise.session import scratch_path, ship_package, stage
+from palletwise.session import scratch_path, ship_package, spread, stage
 from palletwise.sources import files, sinks
 
 def pos_out():
@@ -618,7 +618,7 @@ def alias_item_rollup(spark, sf):
 
 @register("safe_names")
 def safe_names(spark, sf):
-    part = views.table(spark, sf, "part", ["p_partkey", "p_name"])
+    part = spread(views.table(spark, sf, "part", ["p_partkey", "p_name"]), "p_partkey")
     mark = F.element_at(F.array(*map(F.lit, SAFE_MARKS)), (F.col("p_partkey") % len(SAFE_MARKS) + 1).cast("int"))
     return part.select("p_partkey", C.safe_name(F.concat(F.lit("._"), "p_name", F.lit(" /"), mark, F.lit(" v1.csv_"))).alias("name"))
 
