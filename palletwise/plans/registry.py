@@ -322,10 +322,10 @@ INV_COLS = ["series_desc", "pallet_id", "item_id", "item_desc", "us_price", "qua
 
 def _export_inventory(spark, sf) -> str:
     root = scratch_path(spark, "uploads")
-    inv = views.inventory(spark, sf)
+    inv = views.inventory(spark, sf, ordered=True)
     n_side = F.col("source_file").startswith("file_N")
-    inv.filter(n_side).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(f"{root}/layout_a")
-    inv.filter(~n_side).orderBy("_pos").select(*reversed(INV_COLS)).toDF(
+    inv.filter(n_side).select(*INV_COLS).write.option("header", True).csv(f"{root}/layout_a")
+    inv.filter(~n_side).select(*reversed(INV_COLS)).toDF(
         *[" " + c.upper() + " " for c in reversed(INV_COLS)]
     ).write.option("header", True).option("sep", ";").csv(f"{root}/layout_b")
     return root
@@ -347,7 +347,7 @@ def files_item_rollup(spark, sf):
 def files_pallet_rollup(spark, sf):
     # one layout only, so the file order is the row order of the view
     root = scratch_path(spark, "uploads")
-    views.inventory(spark, sf).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(root)
+    views.inventory(spark, sf, ordered=True).select(*INV_COLS).write.option("header", True).csv(root)
     rows, _ = files.read_tabular(spark, root)
     return rollups.pallet_rollup(rows, PCT)
 
@@ -355,7 +355,7 @@ def files_pallet_rollup(spark, sf):
 @register("files_refresh_reference")
 def files_refresh_reference(spark, sf):
     root = scratch_path(spark, "reference")
-    raw = views.reference_upload(spark, sf).orderBy("_pos").select(
+    raw = views.reference_upload(spark, sf, ordered=True).select(
         F.col("`no.`").alias(" No. "), F.col("description").alias("Description"))
     raw.write.option("header", True).csv(f"{root}/{views.REFERENCE_UPLOAD_NAME}")
     ref, _ = jobs.refresh_reference(spark, f"{root}/{views.REFERENCE_UPLOAD_NAME}")
@@ -565,7 +565,7 @@ def landed_listing(spark, sf):
 
 def _job(spark, sf, out_dir=None):
     root = scratch_path(spark, "uploads")
-    views.inventory(spark, sf).orderBy("_pos").select(*INV_COLS).write.option("header", True).csv(root)
+    views.inventory(spark, sf, ordered=True).select(*INV_COLS).write.option("header", True).csv(root)
     return jobs.build_purchase_order(spark, root, views.reference(spark, sf), PCT, out_dir=out_dir, user_id="u1")
 
 

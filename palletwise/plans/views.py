@@ -42,31 +42,32 @@ def zpad(c: str, n: int) -> F.Column:
     return F.when(F.length(t) >= n, t).otherwise(F.lpad(t, n, "0"))
 
 
-def _row_pos(prefix: str = "l_") -> F.Column:
-    # (orderkey, linenumber) is not unique in the generated data; these six
-    # columns are.  Used as the "row order" of the simulated files.
-    return F.struct(
-        F.col("l_orderkey"),
-        F.col("l_linenumber"),
-        F.col("l_partkey"),
-        F.col("l_suppkey"),
-        F.col("l_shipdate"),
-        F.col("l_extendedprice"),
-    ).alias("_pos")
-
-
-def _lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+# (orderkey, linenumber) is not unique in the generated data; these six
+# columns are.  Used as the "row order" of the simulated files.
+_POS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+
+
+def _row_pos() -> F.Column:
+    return F.struct(*map(F.col, _POS)).alias("_pos")
+
+
+def _lines_with_parts(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """Lines with their part.  ``ordered`` sorts them in row order here, by
+    numbers and before any text is made of them: a sort by the ``_pos`` struct
+    of the finished rows compares whole structs and makes the text twice (the
+    range sort samples its input first)."""
     li = table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
     ])
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_retailprice"])
-    return li.join(part, li.l_partkey == part.p_partkey, "inner")
+    rows = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    return rows.orderBy(*_POS) if ordered else rows
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inventory(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
     price_text = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
-    return _lines_with_parts(spark, sf_dir).select(
+    return _lines_with_parts(spark, sf_dir, ordered).select(
         zpad("l_orderkey", 8).alias("pallet_id"),
         F.when(F.col("l_partkey") % 3 == 0, zpad("l_partkey", 6))
         .otherwise(F.col("l_partkey").cast("string"))
@@ -101,10 +102,10 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFERENCE_UPLOAD_NAME = "Reference List (v2).csv"
 
 
-def reference_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reference_upload(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
     """Raw catalogue file: header ``No.``/``Description`` already lower-cased,
     keys repeated per line item, some blank, some padded with spaces."""
-    return _lines_with_parts(spark, sf_dir).select(
+    return _lines_with_parts(spark, sf_dir, ordered).select(
         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
         .when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" "), zpad("l_partkey", 6), F.lit(" ")))
         .otherwise(F.col("l_partkey").cast("string"))
