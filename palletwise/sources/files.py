@@ -75,8 +75,9 @@ def literal(path: str) -> str:
 
 
 def _path_of(uri: Column) -> Column:
-    """The plain path of a percent-encoded metadata path."""
-    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    """The plain path of a percent-encoded metadata path, decoded only where
+    something is encoded: scans ask for it in every row."""
+    return F.when(F.contains(uri, F.lit("%")), F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))).otherwise(uri)
 
 
 def unlisted_files(spark: SparkSession, paths) -> list[tuple[str, str]]:
@@ -265,8 +266,10 @@ def composed(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(uri, block, row, line); ``uri`` is the path as the scan names it,
+    decoded once a file, after the grouping."""
     lines = spark.read.text([literal(p) for p in paths])
-    return lines.select(_path_of(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+    return lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("row"), F.ltrim("value", F.lit("\ufeff")).alias("line"))
 
 
@@ -275,16 +278,18 @@ def body_checks(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
     that are not UTF-8, and whether a quoted field spans lines -- the first
     line left open was begun outside, so one such line tells."""
     is_open = F.contains("line", F.lit('"')) & ends_open(F.col("line"), sep)
-    return _lines(spark, paths).groupBy("path").agg(
+    found = _lines(spark, paths).groupBy("uri").agg(
         F.count_if(~F.is_valid_utf8("line")).alias("bad_lines"), (F.count_if(is_open) > 0).alias("multiline"))
+    return found.select(_path_of(F.col("uri")).alias("path"), "bad_lines", "multiline")
 
 
 def unclosed(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
     """(path) of the files that end inside a quoted field."""
     quoted = _lines(spark, paths).filter(F.contains("line", F.lit('"')))
-    steps = quoted.select("path", "block", "row", ends_open(F.col("line"), sep).alias("f0"),
+    steps = quoted.select("uri", "block", "row", ends_open(F.col("line"), sep).alias("f0"),
                           ends_open(F.concat(F.lit('"'), "line"), sep).alias("f1"))
-    return composed(composed(steps, ["path", "block"], "row"), ["path"], "block").filter("f0").select("path")
+    ends = composed(composed(steps, ["uri", "block"], "row"), ["uri"], "block").filter("f0")
+    return ends.select(_path_of(F.col("uri")).alias("path"))
 
 
 def sniff(spark: SparkSession, paths, listed: bool = False) -> DataFrame:
@@ -311,7 +316,7 @@ def with_position(df: DataFrame) -> DataFrame:
     """Adds ``source_file`` and ``_pos`` = (path, block start, row id): the
     order of rows inside each file, stable across re-execution of the scan."""
     path = _path_of(F.col("_metadata.file_path"))
-    return df.withColumn("source_file", F.element_at(F.split(path, "/"), -1)).withColumn(
+    return df.withColumn("source_file", F.substring_index(path, "/", -1)).withColumn(
         "_pos",
         F.struct(
             path.alias("file"),

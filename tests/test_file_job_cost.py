@@ -1,6 +1,7 @@
 """Work per row of the file jobs: what is sorted, decoded and summed."""
 
 from palletwise.plans import views
+from palletwise.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,19 @@ def test_exports_sort_numbers_before_text_is_made(spark):
         rows = [tuple(r["_pos"]) for r in view(spark, SF, ordered=True).collect()]
         assert rows == sorted(rows)
         assert sorted(map(str, view(spark, SF).collect())) == sorted(map(str, view(spark, SF, ordered=True).collect()))
+
+
+def test_paths_are_decoded_after_grouping_and_stay_plain(spark, scratch):
+    names = ["plain.csv", "50% a+b ü.csv", "x%20y.csv"]
+    for n in names:
+        with open(f"{scratch}/{n}", "w") as fh:
+            fh.write('a,b\n1,"two\nlines"\n')
+    paths = [f"{scratch}/{n}" for n in names]
+    lines = files.body_checks(spark, paths, ",")._jdf.queryExecution().analyzed().toString().splitlines()
+    top = next(i for i, x in enumerate(lines) if "Aggregate" in x)
+    assert any("url_decode" in x for x in lines[: top + 1]) and not any("url_decode" in x for x in lines[top + 1 :])
+    found = {r.path.rsplit("/", 1)[-1]: (r.bad_lines, r.multiline) for r in files.body_checks(spark, paths, ",").collect()}
+    assert found == {n: (0, True) for n in names}
+    rows, _ = files.read_tabular(spark, scratch)
+    got = {(r.source_file, r["_pos"]["file"].rsplit("/", 1)[-1], r.b) for r in rows.collect()}
+    assert got == {(n, n, "two\nlines") for n in names}
