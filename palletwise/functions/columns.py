@@ -165,8 +165,10 @@ def format_item_id(c: Column | str) -> Column:
     point = F.greatest(F.length(F.substring_index(mantissa, ".", 1)) + shift, F.lit(0))
     plain = F.when(is_int, body).when(_only(t, NUM_CHARS) & finite, F.rpad(digits, point, "0"))
     signed = F.concat(F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.ltrim(plain, F.lit("0")))
-    # the first condition is asked of every row: what it names is worked out once
-    return F.when(t.isNull(), F.lit(MISSING_TEXT)).otherwise(F.coalesce(F.regexp_replace(signed, "^-?$", "0"), raw))
+    # the first conditions are asked of every row: what they name is worked out once
+    bare = F.coalesce(F.nullif(F.ltrim(raw, F.lit("0")), F.lit("")), F.lit("0"))  # of digits alone, the usual id
+    return F.when(raw.isNull(), F.lit(MISSING_TEXT)).when(raw.rlike(r"^[0-9]+\z"), bare).otherwise(
+        F.coalesce(F.regexp_replace(signed, "^-?$", "0"), raw))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -316,6 +318,26 @@ def exact_sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(as_col(c).cast("decimal(38,6)")).cast("double"), F.lit(0.0))
 
 
+def exact_double_sum(c: Column | str) -> Column:
+    """``exact_sum`` of a double column, with the same result.  A value under
+    a million is fixed to six decimals by arithmetic on longs, in two parts
+    that no number of rows makes overflow; larger ones, and those so near to
+    half of the sixth decimal that their text has to tell, go by decimals."""
+    v = as_col(c)
+    micro = v * F.lit(1e6)
+    low = F.floor(micro)
+    above = micro - low
+    sure = (F.abs(v) < F.lit(1e6)) & (F.abs(above - F.lit(0.5)) > F.lit(1e-3))
+    units = low + F.when(above > F.lit(0.5), F.lit(1)).otherwise(F.lit(0))
+
+    def part(x: Column) -> Column:
+        return F.coalesce(F.sum(F.when(sure, x)), F.lit(0)).cast("decimal(20,0)")
+
+    whole = part(F.shiftright(units, 20)) * F.expr("1048576BD") + part(units.bitwiseAND(F.lit((1 << 20) - 1)))
+    rest = F.coalesce(F.sum(F.when(~sure, v.cast("decimal(38,6)"))), F.expr("cast(0 as decimal(38,6))"))
+    return (whole * F.expr("0.000001BD") + rest).cast("double")
+
+
 def exact_total(c: Column | str) -> Column:
     """Grand total of already aggregated values, exact in 38 digits."""
     return exact_sum(c)

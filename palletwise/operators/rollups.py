@@ -22,7 +22,7 @@ from palletwise.functions.columns import (
     ceil_div,
     currency_to_number,
     ellipsis,
-    exact_sum,
+    exact_double_sum,
     exact_total,
     extended_percent,
     format_item_id,
@@ -77,8 +77,8 @@ def pallet_rollup(df: DataFrame, pct: float, strip_currency: bool = True, pos: s
         .groupBy("pallet_id")
         .agg(
             first_non_null("series_desc", pos).alias("series_desc"),
-            exact_sum("quantity").alias("quantity"),
-            exact_sum("extended_percent").alias("extended_percent"),
+            exact_double_sum("quantity").alias("quantity"),
+            exact_double_sum("extended_percent").alias("extended_percent"),
         )
     )
 
@@ -96,7 +96,7 @@ def item_rollup(df: DataFrame) -> DataFrame:
         df.select(format_item_id("item_id").alias("item_id"), "item_desc", to_number("quantity").alias("quantity"))
         .filter(F.col("item_desc").isNotNull())
         .groupBy("item_id", "item_desc")
-        .agg(exact_sum("quantity").alias("quantity"))
+        .agg(exact_double_sum("quantity").alias("quantity"))
     )
 
 

@@ -1,5 +1,8 @@
 """Work per row of the file jobs: what is sorted, decoded and summed."""
 
+import random
+
+from palletwise.functions import columns as C
 from palletwise.plans import views
 from palletwise.sources import files
 
@@ -35,3 +38,20 @@ def test_paths_are_decoded_after_grouping_and_stay_plain(spark, scratch):
     rows, _ = files.read_tabular(spark, scratch)
     got = {(r.source_file, r["_pos"]["file"].rsplit("/", 1)[-1], r.b) for r in rows.collect()}
     assert got == {(n, n, "two\nlines") for n in names}
+
+
+def test_double_sums_are_those_of_decimals(spark):
+    rng = random.Random(7)
+    values = [None, 0.0, -0.0, 5e-7, -5e-7, 4.9e-7, 1.5e-6, 0.1234565, -0.1234575, 999999.9999995, 1e6, -1e6, 1e20, 5e-324]
+    values += [(rng.randint(-(10**8), 10**8) * 10 + 5) / 1e7 for _ in range(2000)]  # halves of the sixth decimal
+    values += [rng.uniform(-10, 10) * 10 ** rng.randint(-8, 12) for _ in range(2000)]
+    df = spark.createDataFrame([(i // k, v) for k in (1, 9, 5000) for i, v in enumerate(values)], "g long, v double")
+    got = df.groupBy("g").agg(C.exact_sum("v").alias("a"), C.exact_double_sum("v").alias("b"))
+    assert got.filter("not (a <=> b)").count() == 0
+    assert df.filter("v is null").agg(C.exact_double_sum("v").alias("s")).first().s == 0.0
+
+
+def test_ids_of_digits_alone(spark):
+    ids = {"0": "0", "000": "0", "007": "7", "9" * 40: "9" * 40, "0" * 30 + "12": "12", "12\n": "12", "+05": "5", "٣": "٣", "": "", None: "nan"}
+    df = spark.createDataFrame([(k,) for k in ids], "x string")
+    assert {r.x: r.y for r in df.select("x", C.format_item_id("x").alias("y")).collect()} == ids
