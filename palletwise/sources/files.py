@@ -374,7 +374,8 @@ def read_delimited(spark: SparkSession, paths, sep: str = ",", names: list[str]
         # the reader gives a record's text only along with one of its fields
         first = F.col(quote_name(names[0]))
         text = F.when(first.isNull() | (F.length(first) >= 0), F.col(quote_name(raw)))
-        df = df.withColumn(raw, fields_beyond(text, sep, len(names)))
+        # good records have no text: the condition spares them the rest
+        df = df.withColumn(raw, F.when(text.isNotNull(), fields_beyond(text, sep, len(names))))
         keep = [f"{quote_name(raw)}[0] AS {OVERFLOW}", f"{quote_name(raw)} AS {EXTRA}"]
     df = df.selectExpr(*[null_tokens_sql(quote_name(c), c, na_tokens) for c in data], *keep, "_metadata")
     return with_position(df).drop("_metadata")
