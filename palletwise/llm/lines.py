@@ -4,20 +4,22 @@ Lines are cut into character shingles: the (up to) ``SHINGLE`` characters
 from each character of the trimmed line on.  Equal lines are one entry.  Its
 MinHash signature comes from one sorted array of its shingle hashes: hash
 function j takes the first hash at or after a fixed mark j, in cyclic order
-(any hash of the set is the first with equal chance).  Signatures are
-banded; lines that share a band are candidates.  In a band every line is
-compared with the band's leaders, its first ``LEADERS`` lines, by the exact
-Jaccard similarity of the shingle sets (a shingle identified by 64 hash
-bits), unless the sizes of the sets rule it out; so bands of up to
-``LEADERS`` + 1 lines are compared whole.  In larger bands the lines that
-the links so far leave in different components are compared by an exact
-prefix filter: sets of similarity s >= 4/5 share one of the
-|set| - ceil(s |set|) + 1 first shingles of either in any common order;
-taken is the order by frequency, rarest first.  All they share stands from
-their first common shingle on, so pairs without enough room behind it are
-ruled out too.  So every pair of a band is
-compared, joined already or ruled out by proof.  Verified links are joined into components by
-distributed union-find, and of each component one line stays, the first in
+(any hash of the set is the first with equal chance).  Signatures are banded;
+lines that share a band are candidates.  In a band every line is compared with the band's leaders, its
+first ``LEADERS`` lines, by the exact Jaccard similarity of the shingle sets
+(a shingle identified by 64 hash bits), unless the sizes or sketches of the
+sets rule it out; so bands of up to ``LEADERS`` + 1 lines are compared whole.
+In larger bands the lines that the links so far leave in different
+components are compared by an exact prefix filter: sets of similarity
+s >= 4/5 share one of the |set| - ceil(s |set|) + 1 first shingles of either
+in any common order; taken is the order by frequency, rarest first.  All
+they share stands from their first common shingle on, so pairs without
+enough room behind it are ruled out too.  A sketch holds for each of its
+bits whether an odd number of the members falls on it: sets whose sketches
+differ in more bits than similar sets of their sizes differ in members are
+not similar.  So every pair of a band is compared, joined already or ruled
+out by proof.  Verified links are joined into components by distributed
+union-find, and of each component one line stays, the first in
 (doc_id, line number) order.
 
 With b bands of r rows a pair of similarity s meets with probability
@@ -45,6 +47,7 @@ from palletwise.session import Stages, stage
 
 SHINGLE = 9
 BANDS, ROWS = 9, 4
+WORDS = 16  # of 64 bits in a sketch
 LEADERS = 8
 SIMILARITY = (4, 5)  # 0.8 as a fraction
 
@@ -60,9 +63,14 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(_cut(line, size))
 
 
+def _raw(line: Column) -> Column:
+    """The 64-bit hashes of the shingles, with repeats."""
+    return F.transform(_cut(line), lambda x: F.xxhash64(x))
+
+
 def hashes(line: Column) -> Column:
     """The 64-bit hashes of the shingles, distinct and sorted."""
-    return F.sort_array(F.array_distinct(F.transform(_cut(line), lambda x: F.xxhash64(x))))
+    return F.sort_array(F.array_distinct(_raw(line)))
 
 
 def sizes_allow(x: Column, y: Column) -> Column:
@@ -110,9 +118,31 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     return sig.select("k1", "k2", "doc", "n", "size", F.array(*[f"b{b}" for b in range(bands)]).alias("bands"))
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """(k1, size, p0, p1, ...): of each line (k1, line) the number of its distinct
+    shingles and, per bit of the words p, whether an odd number of them falls
+    on that bit.  Each member that two sets do not share changes one bit at
+    most, so the bits that differ are no more than these members."""
+    one = texts.select("k1", F.explode(F.array_distinct(_raw(F.col("line")))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.expr(f"shiftright(h, 6) & {WORDS - 1}")
+    return one.groupBy("k1").agg(F.count("*").alias("size"), *[
+        F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(WORDS)])
+
+
+def sketches_allow(x_size: Column, y_size: Column) -> Column:
+    """Sets of these sizes and sketches (p and v_p) can reach ``SIMILARITY``:
+    similar sets have at most (x_size + y_size) / 9 members that only one has."""
+    apart = F.bit_count(F.col("p0").bitwiseXOR(F.col("v_p0")))
+    for j in range(1, WORDS):
+        apart = apart + F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"v_p{j}")))
+    return apart * sum(SIMILARITY) <= (x_size + y_size) * (SIMILARITY[1] - SIMILARITY[0])
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, as_set) -> DataFrame:
     """The (u, v) of ``pairs`` (u, v, u_size, v_size) whose sets are similar;
-    ``as_set`` makes a set of the column ``x`` of ``rows`` (k1, x)."""
+    ``as_set`` makes the members, repeated or not, of the column ``x`` of
+    ``rows`` (k1, x)."""
     left = pairs.distinct().join(rows.select(F.col("k1").alias("u"), F.col("x").alias("x")), "u")
     both = left.join(rows.select(F.col("k1").alias("v"), F.col("x").alias("y")), "v")
     same = similar(as_set(F.col("x")), as_set(F.col("y")), F.col("u_size"), F.col("v_size"))
@@ -128,45 +158,55 @@ def links(distinct: DataFrame, lines: DataFrame, leaders: int = LEADERS) -> Data
 
 def _links(distinct: DataFrame, lines: DataFrame, leaders: int, tmp: Stages) -> DataFrame:
     """``links``, with intermediate tables in ``tmp``."""
-    member = distinct.select("k1", "size", F.explode(F.array_distinct("bands")).alias("band"))
+    member = distinct.select("k1", F.explode(F.array_distinct("bands")).alias("band"))
     many = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    todo = tmp(member.join(many, "band").select("band", "n", "k1", "size"), "line-bands")
+    todo = tmp(member.join(many, "band").select("band", "n", "k1"), "line-bands")
     wanted = tmp(todo.select("k1").distinct(), "line-keys")
-    text = lines.select("k1", F.col("line").alias("x")).join(wanted, "k1", "left_semi")
+    text = lines.select("k1", "line").join(wanted, "k1", "left_semi")
     text = tmp(text.dropDuplicates(["k1"]), "line-texts")
+    sketch = tmp(sketches(text), "line-sketches")
+    text = text.withColumnRenamed("line", "x")
     order = Window.partitionBy("band").orderBy("k1")
-    lead = todo.select("band", "k1", "size", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= leaders)
-    lead = lead.select("band", F.col("k1").alias("v"), F.col("size").alias("v_size"))
-    met = todo.join(lead, "band").filter("v < k1").filter(sizes_allow(F.col("size"), F.col("v_size")))
+    lead = todo.select("band", "k1", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= leaders)
+    met = todo.select("band", F.col("k1").alias("u")).join(lead.select("band", F.col("k1").alias("v")), "band").filter("v < u")
+    met = met.select("u", "v").distinct().join(sketch.withColumnRenamed("k1", "u"), "u").join(_other(sketch), "v")
+    met = met.filter(sizes_allow(F.col("size"), F.col("v_size")) & sketches_allow(F.col("size"), F.col("v_size")))
     # texts move, an eighth of their sets
-    found = _verified(met.select(F.col("k1").alias("u"), "v", F.col("size").alias("u_size"), "v_size"), text, hashes)
-    large = todo.filter(F.col("n") > leaders + 1).select("band", "k1", "size")
+    found = _verified(met.select("u", "v", F.col("size").alias("u_size"), "v_size"), text, _raw)
+    large = todo.filter(F.col("n") > leaders + 1).select("band", "k1")
     if large.isEmpty():
         return found
     cc = components(found).withColumnRenamed("node", "k1")
-    large = large.join(cc, "k1", "left").select("band", "k1", "size", F.coalesce("component", "k1").alias("root"))
+    large = large.join(cc, "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("root"))
     apart = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    rest = tmp(large.join(apart, "band", "left_semi").select("k1", "size", "root").distinct(), "line-rest")
+    rest = tmp(large.join(apart, "band", "left_semi").select("k1", "root").distinct().join(sketch, "k1"), "line-rest")
     sets = tmp(text.join(rest.select("k1"), "k1", "left_semi").select("k1", hashes(F.col("x")).alias("x")), "line-sets")
     return found.unionByName(_verified(_prefix_pairs(rest, sets, tmp), sets, lambda x: x))
 
 
+def _other(rows: DataFrame) -> DataFrame:
+    """``rows`` as the other side of pairs: v for k1, v_ before other names."""
+    return rows.select(*[F.col(c).alias("v" if c == "k1" else f"v_{c}") for c in rows.columns])
+
+
 def _prefix_pairs(rest: DataFrame, sets: DataFrame, tmp: Stages) -> DataFrame:
-    """(u, v, u_size, v_size): the pairs of lines of ``rest`` (k1, size, root)
-    with different roots that can be similar, among them all that are."""
+    """(u, v, u_size, v_size): the pairs of lines of ``rest`` (k1, root and
+    sketch) with different roots that can be similar, among them all that are."""
     token = rest.join(sets, "k1").select("k1", "size", "root", F.explode("x").alias("token"))
     seen = token.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     token = token.join(seen, "token").withColumn("apart", F.expr("lo < hi"))
-    row = token.groupBy("k1", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "token", "apart"))).alias("all"))
+    row = token.groupBy("k1", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token", "apart"))).alias("all"))
     # all but ceil(s |set|) of the tokens, and one more
     length = F.floor(F.col("size") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1
-    row = row.select("k1", "size", "root", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t")).filter("t.apart")
+    row = row.select("k1", "size", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t")).filter("t.apart")
     # left: the members from this token on, itself included
-    row = tmp(row.select("k1", "size", "root", "t.token", (F.col("size") - F.col("at")).alias("left")), "line-prefixes")
-    other = row.select("token", F.col("k1").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"), F.col("left").alias("v_left"))
-    met = row.join(other, "token").filter("v < k1 and root <> v_root").filter(sizes_allow(F.col("size"), F.col("v_size")))
+    row = row.select("k1", "t.token", (F.col("size") - F.col("at")).alias("left"))
+    row = tmp(row.join(rest, "k1"), "line-prefixes")
+    met = row.join(_other(row).withColumnRenamed("v_token", "token"), "token").filter("v < k1 and root <> v_root")
+    met = met.filter(sizes_allow(F.col("size"), F.col("v_size")))
     # at their first common token, similar sets have room for the members they need to share
     met = met.filter(F.least("left", "v_left") * sum(SIMILARITY) >= (F.col("size") + F.col("v_size")) * SIMILARITY[0])
+    met = met.filter(sketches_allow(F.col("size"), F.col("v_size")))
     return met.select(F.col("k1").alias("u"), "v", F.col("size").alias("u_size"), "v_size")
 
 

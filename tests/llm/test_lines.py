@@ -189,3 +189,40 @@ def test_every_pair_of_a_hub_band_is_compared(spark):
     have = parts(found)
     assert max(len(m) for m in bands.values()) > 100
     assert all(have[k] == have[want[k]] for k in sets) and len(set(have.values())) <= 15
+
+
+def test_unlike_pairs_of_a_group_of_near_copies_are_ruled_out_before_they_meet(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(160)]
+    base, texts = words[:60], []
+    for _ in range(120):
+        new = list(base)
+        for at in rng.sample(range(60), 4):
+            new[at] = rng.choice(words[60:])  # rare words that a few lines share
+        texts.append(" ".join(new))
+    texts += [x + " end" for x in texts[:5]]
+    occ = lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    names = {r.k1: sliding(r.line) for r in occ.collect()}
+    one_band = occ.selectExpr("k1", "k2", "doc_id AS doc", "1L AS n", "cast(length(line) AS long) AS size", "array(7L) AS bands")
+    met, verified = [], lines._verified
+
+    def seen(pairs, *more):
+        met.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(lines, "_verified", seen)
+    found = {frozenset((r.u, r.v)) for r in lines.links(one_band, occ).collect()}
+    keys = sorted(names)
+    want = {frozenset((a, b)) for i, a in enumerate(keys) for b in keys[:i] if 5 * len(names[a] & names[b]) >= 4 * len(names[a] | names[b])}
+    close = sum(10 * len(names[a] & names[b]) >= 6 * len(names[a] | names[b]) for i, a in enumerate(keys) for b in keys[:i])
+    assert found <= want and len(want) >= 5
+    comp = {k: k for k in keys}
+    for edges in (found, want):
+        got = dict(comp)
+        for _ in keys:
+            for a, b in map(tuple, edges):
+                got[a] = got[b] = min(got[a], got[b])
+        have = got if edges is found else have
+    assert have == got
+    # many pairs are just under the limit; few of them are left to compare
+    assert close > 1000 and 10 * sum(met) < close, (close, met, len(want))
