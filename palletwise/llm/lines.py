@@ -2,10 +2,10 @@
 
 Lines are cut into character shingles: the (up to) ``SHINGLE`` characters
 from each character of the trimmed line on.  Equal lines are one entry.  Its
-MinHash signature comes from one sorted array of its shingle hashes: hash
-function j takes the first hash at or after a fixed mark j, in cyclic order
-(any hash of the set is the first with equal chance).  Signatures are banded;
-lines that share a band are candidates.  In a band every line is compared with the band's leaders, its
+MinHash signature comes from its shingles' hashes: hash function j takes the
+one nearest to a fixed mark j by xor (any hash of the set is the nearest
+with equal chance).  Signatures are banded; lines that share a band are
+candidates.  In a band every line is compared with the band's leaders, its
 first ``LEADERS`` lines, by the exact Jaccard similarity of the shingle sets
 (a shingle identified by 64 hash bits), unless the sizes or sketches of the
 sets rule it out; so bands of up to ``LEADERS`` + 1 lines are compared whole.
@@ -38,6 +38,8 @@ kept by ``dedup`` (clashing ``n_lines``/``n_removed`` are replaced).
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ from palletwise.session import Stages, stage
 
 SHINGLE = 9
 BANDS, ROWS = 9, 4
+CHUNK = 8  # shingles a row
 WORDS = 16  # of 64 bits in a sketch
 LEADERS = 8
 SIMILARITY = (4, 5)  # 0.8 as a fraction
@@ -94,28 +97,30 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k1, k2, doc, n, size, bands): distinct lines with their smallest
-    document, number of occurrences and of shingles, and band keys."""
-    # marks: the xxhash64 of the hash function's number, a fixed value
-    marks = lines.sparkSession.range(bands * rows).select(F.xxhash64("id", F.lit("mark"))).collect()
-    marks = [m[0] for m in marks]
-    rank = {m: i for i, m in enumerate(sorted(marks))}
-    sh = lines.select("doc_id", "k1", "k2", hashes(F.col("line")).alias("h"))
-    sh = sh.select("doc_id", "k1", "k2", F.size("h").alias("size"), F.concat("h", F.slice("h", 1, 1)).alias("ring"),
-                   F.sort_array(F.concat("h", F.array(*map(F.lit, marks)))).alias("m"))
-
-    def first(mark: int) -> Column:
-        # hashes below the mark: what stands before it, less the marks there
-        return F.col("ring")[F.array_position("m", F.lit(mark)) - F.lit(1 + rank[mark])]
-
-    keys = [F.xxhash64(F.lit(b), *[first(m) for m in marks[b * rows : b * rows + rows]]).alias(f"b{b}") for b in range(bands)]
-    # a lambda function keeps this projection out of whole-stage code, whose
-    # single method would be too long for the JVM to compile
-    size = F.transform(F.array("size"), lambda x: x)[0].alias("size")
-    sig = sh.select("doc_id", "k1", "k2", size, *keys).groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.min("size").cast("long").alias("size"),
-        *[F.min(f"b{b}").alias(f"b{b}") for b in range(bands)])
-    return sig.select("k1", "k2", "doc", "n", "size", F.array(*[f"b{b}" for b in range(bands)]).alias("bands"))
+    """(k1, k2, doc, n, bands): distinct lines with their smallest document,
+    number of occurrences and band keys.
+
+    Every shingle is cut and hashed in generated code, ``CHUNK`` to a row:
+    characters of four bytes are cut at a constant cost, and rows of one line
+    meet below the shuffle."""
+    # marks that differ in their first bits: the member nearest to a mark by
+    # xor is any member of the set with equal chance
+    rng, bits = random.Random(0), (bands * rows - 1).bit_length()
+    marks = [(j << 32 - bits | rng.getrandbits(32 - bits)) - (1 << 31) for j in rng.sample(range(1 << bits), bands * rows)]
+    wide = lines.select("doc_id", "k1", "k2", F.encode("line", "UTF-32").alias("b"))
+    at = wide.select("doc_id", "k1", "k2", "b", F.explode(F.expr(f"sequence(0, length(b) div 4 - 1, {CHUNK})")).alias("i"))
+
+    def shingle(c: int) -> Column:
+        # a last row's missing shingles repeat the last one
+        place = f"4 * least(i + {c}, length(b) div 4 - 1) + 1"
+        return F.shiftright(F.expr(f"xxhash64(substring(b, {place}, {4 * SHINGLE}))"), 32).cast("int").alias(f"h{c}")
+
+    sh = at.select("doc_id", "k1", "k2", "i", *map(shingle, range(CHUNK)))
+    sig = sh.groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("doc"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"),
+        *[F.min(F.least(*[F.col(f"h{c}").bitwiseXOR(F.lit(m)) for c in range(CHUNK)])).alias(f"m{j}") for j, m in enumerate(marks)])
+    keys = [F.xxhash64(F.lit(b), *[f"m{j}" for j in range(b * rows, b * rows + rows)]) for b in range(bands)]
+    return sig.select("k1", "k2", "doc", "n", F.array(*keys).alias("bands"))
 
 
 def sketches(texts: DataFrame) -> DataFrame:

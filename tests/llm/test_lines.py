@@ -226,3 +226,26 @@ def test_unlike_pairs_of_a_group_of_near_copies_are_ruled_out_before_they_meet(s
     assert have == got
     # many pairs are just under the limit; few of them are left to compare
     assert close > 1000 and 10 * sum(met) < close, (close, met, len(want))
+
+
+def test_signature_is_a_function_of_the_set_and_cut_in_generated_code(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop漢é😀", k=6)) for _ in range(400)]
+    texts, near = ["a" * 50, "a" * 60, "b", "漢字", "𠀀" * 30, "𠀀" * 31], []
+    for i in range(150):
+        x = " ".join(rng.choices(words, k=40))
+        at = rng.randrange(100, 160)
+        y = x[:at] + "#" + x[at + 18 :]  # about 27 shingles of each go
+        near.append((len(texts), len(texts) + 1))
+        texts += [x, y]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[0] + "\n" + texts[0])]
+    occ = lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    sig = lines.signatures(occ)
+    assert "regexp_extract_all" not in sig._jdf.queryExecution().toString()
+    got = {r.doc: r for r in sig.collect()}
+    assert len(got) == len(texts) and got[0].n == 3 and got[2].n == 1
+    assert got[0].bands == got[1].bands and got[4].bands == got[5].bands and len(set(got[0].bands)) == lines.BANDS
+    assert got[2].bands != got[3].bands
+    share = [set(got[a].bands) & set(got[b].bands) != set() for a, b in near]
+    like = [len(sliding(texts[a]) & sliding(texts[b])) / len(sliding(texts[a]) | sliding(texts[b])) for a, b in near]
+    assert min(like) >= 0.8 and sum(share) >= 0.97 * len(near)
