@@ -2,9 +2,11 @@
 
 Lines are cut into character shingles: the (up to) ``SHINGLE`` characters
 from each character of the trimmed line on.  Equal lines are one entry.  Its
-MinHash signature comes from its shingles' hashes: hash function j takes the
-one nearest to a fixed mark j by xor (any hash of the set is the nearest
-with equal chance).  Signatures are banded; lines that share a band are
+MinHash signature comes from its shingles' hashes: each falls into one bin,
+and value j of the signature is the smallest hash in bin j or, where that is
+empty, in the first bin with any in a fixed order of j's own (any shingle of
+two sets' union decides value j with equal chance, so the values agree with
+their similarity).  Signatures are banded; lines that share a band are
 candidates.  In a band every line is compared with the band's leaders, its
 first ``LEADERS`` lines, by the exact Jaccard similarity of the shingle sets
 (a shingle identified by 64 hash bits), unless the sizes or sketches of the
@@ -38,8 +40,6 @@ kept by ``dedup`` (clashing ``n_lines``/``n_removed`` are replaced).
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +49,6 @@ from palletwise.session import Stages, stage
 
 SHINGLE = 9
 BANDS, ROWS = 9, 4
-CHUNK = 8  # shingles a row
 WORDS = 16  # of 64 bits in a sketch
 LEADERS = 8
 SIMILARITY = (4, 5)  # 0.8 as a fraction
@@ -100,39 +99,52 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     """(k1, k2, doc, n, bands): distinct lines with their smallest document,
     number of occurrences and band keys.
 
-    Every shingle is cut and hashed in generated code, ``CHUNK`` to a row:
-    characters of four bytes are cut at a constant cost, and rows of one line
-    meet below the shuffle."""
-    # marks that differ in their first bits: the member nearest to a mark by
-    # xor is any member of the set with equal chance
-    rng, bits = random.Random(0), (bands * rows - 1).bit_length()
-    marks = [(j << 32 - bits | rng.getrandbits(32 - bits)) - (1 << 31) for j in rng.sample(range(1 << bits), bands * rows)]
+    Every shingle is cut and hashed in generated code: characters of four
+    bytes are cut at a constant cost, and the shingles of one line meet below
+    the shuffle, where each changes the one bin it falls into."""
+    bins = bands * rows
     wide = lines.select("doc_id", "k1", "k2", F.encode("line", "UTF-32").alias("b"))
-    at = wide.select("doc_id", "k1", "k2", "b", F.explode(F.expr(f"sequence(0, length(b) div 4 - 1, {CHUNK})")).alias("i"))
-
-    def shingle(c: int) -> Column:
-        # a last row's missing shingles repeat the last one
-        place = f"4 * least(i + {c}, length(b) div 4 - 1) + 1"
-        return F.shiftright(F.expr(f"xxhash64(substring(b, {place}, {4 * SHINGLE}))"), 32).cast("int").alias(f"h{c}")
-
-    sh = at.select("doc_id", "k1", "k2", "i", *map(shingle, range(CHUNK)))
-    sig = sh.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("doc"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"),
-        *[F.min(F.least(*[F.col(f"h{c}").bitwiseXOR(F.lit(m)) for c in range(CHUNK)])).alias(f"m{j}") for j, m in enumerate(marks)])
-    keys = [F.xxhash64(F.lit(b), *[f"m{j}" for j in range(b * rows, b * rows + rows)]) for b in range(bands)]
+    at = wide.select("doc_id", "k1", "k2", "b", F.explode(F.expr("sequence(0, length(b) div 4 - 1)")).alias("i"))
+    sh = at.select("doc_id", "k1", "k2", "i", F.expr(f"xxhash64(substring(b, 4 * i + 1, {4 * SHINGLE}))").alias("h"))
+    # the bin by the first bits of the hash, the value there by the last ones
+    sh = sh.select("doc_id", "k1", "k2", "i", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 40) * {bins}, 24) as int)").alias("bin"),
+                   F.expr(f"cast(h & {2**31 - 1} as int)").alias("v"))
+    sig = sh.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.expr("count(*) FILTER (WHERE i = 0)").alias("n"),
+                                     *[F.expr(f"min(v) FILTER (WHERE bin = {j})").alias(f"m{j}") for j in range(bins)])
+    # where its own bin is empty a value is that of the first other one of its
+    # group of bins, then of the other groups, in a fixed order; the values of
+    # a group go to different bands
+    one = ["k1", "k2", "doc", "n", *[f"m{j}" for j in range(bins)]]
+    sig = sig.select(*one, *[F.coalesce(*[f"m{j}" for j in range(g * rows, g * rows + rows)]).alias(f"g{g}") for g in range(bands)])
+    step = 1
+    for part in _factors(bands):
+        near = [[g - g // step % part * step + (g // step + d) % part * step for d in range(part)] for g in range(bands)]
+        sig = sig.select(*one, *[F.coalesce(*[f"g{x}" for x in near[g]]).alias(f"g{g}") for g in range(bands)])
+        step *= part
+    keys = [F.xxhash64(F.lit(b), *[F.coalesce(f"m{j}", f"g{j // rows}") for j in range(b, bins, bands)]) for b in range(bands)]
     return sig.select("k1", "k2", "doc", "n", F.array(*keys).alias("bands"))
 
 
+def _factors(n: int) -> list[int]:
+    """The prime factors of n, smallest first."""
+    out, p = [], 2
+    while n > 1:
+        while n % p == 0:
+            out.append(p)
+            n //= p
+        p += 1
+    return out
+
+
 def sketches(texts: DataFrame) -> DataFrame:
     """(k1, size, p0, p1, ...): of each line (k1, line) the number of its distinct
     shingles and, per bit of the words p, whether an odd number of them falls
     on that bit.  Each member that two sets do not share changes one bit at
     most, so the bits that differ are no more than these members."""
     one = texts.select("k1", F.explode(F.array_distinct(_raw(F.col("line")))).alias("h"))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    word = F.expr(f"shiftright(h, 6) & {WORDS - 1}")
+    one = one.select("k1", F.expr(f"shiftright(h, 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     return one.groupBy("k1").agg(F.count("*").alias("size"), *[
-        F.bit_xor(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{j}") for j in range(WORDS)])
+        F.expr(f"coalesce(bit_xor(bit) FILTER (WHERE word = {j}), 0L)").alias(f"p{j}") for j in range(WORDS)])
 
 
 def sketches_allow(x_size: Column, y_size: Column) -> Column:
@@ -198,14 +210,16 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, tmp: Stages) -> DataFrame:
     """(u, v, u_size, v_size): the pairs of lines of ``rest`` (k1, root and
     sketch) with different roots that can be similar, among them all that are."""
     token = rest.join(sets, "k1").select("k1", "size", "root", F.explode("x").alias("token"))
-    seen = token.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # tokens of one line alone come first in the order; their number is enough
+    seen = token.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1")
     token = token.join(seen, "token").withColumn("apart", F.expr("lo < hi"))
     row = token.groupBy("k1", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token", "apart"))).alias("all"))
     # all but ceil(s |set|) of the tokens, and one more
     length = F.floor(F.col("size") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]).cast("int") + 1
-    row = row.select("k1", "size", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "t")).filter("t.apart")
+    alone = (F.col("size") - F.size("all")).cast("int")
+    row = row.select("k1", F.size("all").alias("n"), F.posexplode(F.slice("all", F.lit(1), F.greatest(length - alone, F.lit(0)))).alias("at", "t"))
     # left: the members from this token on, itself included
-    row = row.select("k1", "t.token", (F.col("size") - F.col("at")).alias("left"))
+    row = row.filter("t.apart").select("k1", "t.token", (F.col("n") - F.col("at")).cast("long").alias("left"))
     row = tmp(row.join(rest, "k1"), "line-prefixes")
     met = row.join(_other(row).withColumnRenamed("v_token", "token"), "token").filter("v < k1 and root <> v_root")
     met = met.filter(sizes_allow(F.col("size"), F.col("v_size")))
@@ -220,8 +234,9 @@ def removals(docs: DataFrame) -> DataFrame:
     (``root``) whose first line stays."""
     lines = occurrences(docs)
     with Stages() as tmp:
-        named = _named(lines, tmp)
-    rows = lines.select("doc_id", "line_no", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "line_no", "k1", "root", "home")
+        rows = lines.select("doc_id", "line_no", "k1", "k2").join(_named(lines, tmp), ["k1", "k2"])
+        # read twice: the texts are cut into lines once
+        rows = stage(rows.select("doc_id", "line_no", "k1", "root", "home"), "line-rows")
     away = rows.filter("doc_id <> home").drop("home")
     home = rows.filter("doc_id = home").drop("home")
     first = home.groupBy("doc_id", "root").agg(F.min("line_no").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -238,7 +253,7 @@ def _named(lines: DataFrame, tmp: Stages) -> DataFrame:
         "k1", "k2", "doc", "n", F.coalesce("component", "k1").alias("root"), F.col("component").isNotNull().alias("linked"))
     named = named.filter("linked or n > 1")
     root = named.groupBy("root").agg(F.min("doc").alias("home"))
-    return stage(named.join(root, "root").select("k1", "k2", "root", "home"), "line-roots")
+    return tmp(named.join(root, "root").select("k1", "k2", "root", "home"), "line-roots")
 
 
 def _removed(docs: DataFrame) -> DataFrame:

@@ -249,3 +249,31 @@ def test_signature_is_a_function_of_the_set_and_cut_in_generated_code(spark):
     share = [set(got[a].bands) & set(got[b].bands) != set() for a, b in near]
     like = [len(sliding(texts[a]) & sliding(texts[b])) / len(sliding(texts[a]) | sliding(texts[b])) for a, b in near]
     assert min(like) >= 0.8 and sum(share) >= 0.97 * len(near)
+
+
+def test_a_shingle_changes_one_bin_and_empty_bins_are_filled_alike(spark):
+    rng = random.Random(6)
+    short, texts = ["".join(rng.choices("abcdefgh", k=12)) for _ in range(120)], []
+    for x in short:  # one shingle more: 12 of 13 are shared, most bins are empty
+        texts += [x, rng.choice("xyz") + x]
+    long = "".join(rng.choices("abcdefghijklmnop ", k=3000)).strip()
+    texts += [long, "#" + long, "q"]
+    occ = lines.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sig = lines.signatures(occ)
+    plan = sig._jdf.queryExecution().toString()
+    assert "least(" not in plan and "filter (where" in plan.lower()
+    got = {r.doc: r.bands for r in sig.collect()}
+    assert all(None not in b and len(b) == lines.BANDS for b in got.values())
+    share = [len(set(got[i]) & set(got[i + 1])) for i in range(0, 240, 2)]
+    assert sum(x > 0 for x in share) >= 117
+    # equal values with the chance of the similarity: 9 bands of 4 values at 12/13
+    assert 0.55 <= sum(share) / (120 * lines.BANDS) <= 0.9
+    assert set(got[240]) & set(got[241]) and not set(got[242]) & set(got[240])
+    unlike = {b for i in range(0, 240, 2) for b in got[i]}
+    assert len(unlike) >= 0.97 * 120 * len(set(got[0]))
+
+
+def test_the_texts_are_cut_twice_at_most_after_the_lines_are_named(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c"), (2, "a b c")], "doc_id long, text string")
+    plan = lines.removals(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
