@@ -1,5 +1,5 @@
 """File sources and table sinks."""
 
-from palletwise.sources import files, sinks, workbook
+from palletwise.sources import files, landing, sinks, workbook
 
-__all__ = ["files", "sinks", "workbook"]
+__all__ = ["files", "landing", "sinks", "workbook"]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palletwise.functions.columns import quote_name
+from palletwise.sources import landing
 
 _LOG = "_log"
 
@@ -241,7 +242,9 @@ def land(df: DataFrame, root: str, mode: str = "append") -> None:
 
     The rows of a folder go to one task, so that there is one file a folder
     and not one for each task that holds some of its rows; a folder of more
-    than ``LAND_ROWS`` rows is dealt to as many tasks as that takes."""
+    than ``LAND_ROWS`` rows is dealt to as many tasks as that takes.  Plain
+    rows added under a local or mounted folder are written by ``landing``,
+    others by Spark's writer."""
     spark, keys = df.sparkSession, ["tipo", "user_id"]
     counts = df.groupBy(*[F.col(k).alias(f"_land_{k}") for k in keys]).agg(F.count("*").alias("_land_rows"))
     large = counts.filter(F.col("_land_rows") > LAND_ROWS)
@@ -253,6 +256,9 @@ def land(df: DataFrame, root: str, mode: str = "append") -> None:
     # a number is named, as small partitions would else be put together in one task, which is bound by its files
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = dealt.repartition(n, *keys, "_land_part").select(*[F.col(quote_name(x)) for x in df.columns])
+    folder = landing.local_folder(spark, root) if mode == "append" else None
+    if folder and landing.takes(df, keys, spark.conf.get("spark.sql.parquet.compression.codec").lower()):
+        return landing.write_folders(dealt, root, folder, keys)
     dealt.write.mode(mode).partitionBy(*keys).parquet(root)
 
 
